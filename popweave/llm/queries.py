@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import chat_format, decontaminate, mixing, quality_rules, warc
+from popweave.llm import chat_format, decontaminate, mixing, pii, quality_rules, warc
 from popweave.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mixing, op4_quality_rules, op8_decontaminate, op9_chat_format, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op3_mixing, op4_quality_rules, op8_decontaminate, op9_chat_format, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
