@@ -13,7 +13,8 @@ smallest hash of their id and text (a documented bound; the vectors have
 labels and scores cover all documents.
 
 Defined results
-* null text counts as empty: all labellers but the length one abstain.
+* null text counts as empty: all labellers but the length one abstain; where
+  all abstain, the weak label is the share of good documents.
 * repeated rows get equal scores; an empty table gives no rows; ties of the
   sample's hash are equal documents, so which one is taken doesn't matter.
 """
@@ -111,7 +112,7 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> LabelModel:
     pattern = sorted(counts)
     n = np.array([counts[p] for p in pattern], float)
     cell = np.array([["01-".index(c) for c in p] for p in pattern]).reshape(len(pattern), -1)
-    q = np.array([0.9 if p.count("1") > p.count("0") and p.count("0") < 2 else 0.1 for p in pattern])
+    q = np.array([0.9 if p.count("0") < 2 else 0.1 for p in pattern])
     accuracy: dict[str, tuple[float, float]] = {}
     prior = 0.5
     for _ in range(rounds):
@@ -121,10 +122,11 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> LabelModel:
             right = []
             for c, w in ((0, n * (1 - q)), (1, n * q)):
                 # Pseudo-counts say that a labeller is right more often than not.
-                p = np.bincount(cell[:, j], w, 3) + ((8, 2, 5), (2, 8, 5))[c]
+                # An abstention says nothing.
+                p = np.bincount(cell[:, j], w, 3)[:2] + ((8, 2), (2, 8))[c]
                 p = p / p.sum()
-                log[c] += np.log(p)[cell[:, j]]
-                right.append(float(p[c] / (p[0] + p[1])))
+                log[c] += np.append(np.log(p), 0.0)[cell[:, j]]
+                right.append(float(p[c]))
             accuracy[LABELLERS[j]] = (right[0], right[1])
         q = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
     return LabelModel(prior, accuracy, dict(zip(pattern, q.tolist(), strict=True)))
