@@ -133,21 +133,13 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> LabelModel:
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Weights and bias of a logistic scorer for soft labels, classes weighing alike."""
+    """Weights and bias of a logistic scorer for soft labels (gradient descent with momentum)."""
     w = np.zeros(x.shape[1] + 1)
-    if not len(y):
-        return w
-    good = max(float(y.sum()), 1e-3)
-    bad = max(float((1 - y).sum()), 1e-3)
-    weight = 0.5 * (y / good + (1 - y) / bad)
     step = np.zeros_like(w)
-    for _ in range(rounds):
-        z = x @ w[:-1] + w[-1]
-        # The expected gradient of the two soft classes, each of total weight 1/2.
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = weight * p - 0.5 * y / good
-        grad = np.concatenate([x.T @ g, [g.sum()]])
-        grad[:-1] += 2e-5 * w[:-1]
+    for _ in range(rounds if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        g = (p - y) / len(y)
+        grad = np.concatenate([x.T @ g + 2e-5 * w[:-1], [g.sum()]])
         step = 0.9 * step - 4.0 * grad
         w += step
     return w
