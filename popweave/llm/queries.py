@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import chat_format, decontaminate, mixing, pii, quality_model, quality_rules, token_lengths, warc
+from popweave.llm import chat_format, decontaminate, mixing, pii, quality_model, quality_rules, suffix_dedup, token_lengths, warc
 from popweave.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_mixing, op4_quality_rules, op5_token_lengths, op6_quality_model, op8_decontaminate, op9_chat_format, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op3_mixing, op4_quality_rules, op5_token_lengths, op6_quality_model, op7_suffix_dedup, op8_decontaminate, op9_chat_format, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
