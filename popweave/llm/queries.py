@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import chat_format, decontaminate, mixing, pii, quality_model, quality_rules, suffix_dedup, token_lengths, warc
+from popweave.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_model, quality_rules, suffix_dedup, token_lengths, warc
 from popweave.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents")).drop("cid")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op3_mixing, op4_quality_rules, op5_token_lengths, op6_quality_model, op7_suffix_dedup, op8_decontaminate, op9_chat_format, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_mixing, op4_quality_rules, op5_token_lengths, op6_quality_model, op7_suffix_dedup, op8_decontaminate, op9_chat_format, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
