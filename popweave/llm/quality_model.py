@@ -34,7 +34,7 @@ from popweave.llm._store import stored
 from popweave.llm._words import Words, mix, slices, utf8, words
 from popweave.llm.quality_rules import measure_texts
 
-SAMPLE = 6000
+SAMPLE = 3000
 DIMENSIONS = 4096
 LABELLERS = ("symbols", "dup_lines", "repeats", "word_length", "stopwords", "length", "shouting")
 
@@ -132,10 +132,11 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> LabelModel:
     return LabelModel(prior, accuracy, dict(zip(pattern, q.tolist(), strict=True)))
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
+def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250) -> np.ndarray:
     """Weights and bias of a logistic scorer for soft labels (gradient descent with momentum)."""
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     step = np.zeros_like(w)
+    y = y.astype(np.float32)
     for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
         g = (p - y) / len(y)
