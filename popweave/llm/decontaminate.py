@@ -249,6 +249,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     return m.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without any word of a benchmark phrase's occurrence."""
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("cid")).alias("doc_id"), text.alias("text"))
+    dirty = find_matches(keyed, benchmark, width).where(F.size("hits") > 0).select(F.col("doc_id.id").alias("dirty_id"), F.col("doc_id.cid").alias("dirty_cid")).distinct()
+    dirty = stored(dirty, "dirty")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("dirty_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("dirty_cid")), "left_anti")
+
+
 SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

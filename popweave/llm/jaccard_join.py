@@ -346,11 +346,11 @@ def similar_texts(docs: DataFrame, sketched: DataFrame, recall: float = RECALL)
     out = stored(out.withColumn("label", F.coalesce("label", "key")), "classes")
     least = out.groupBy("label").agg(F.min("text_id").alias("class_id"))
     zero = F.lit(0).cast("long")
-    return out.join(least, "label").select("key", "text_id", "n_copies", F.coalesce("links", zero).alias("links"), F.coalesce("linked_docs", zero).alias("linked_docs"), "class_id")
+    return out.join(least, "label").select("key", "label", "text_id", "n_copies", F.coalesce("links", zero).alias("links"), F.coalesce("linked_docs", zero).alias("linked_docs"), "class_id")
 
 
 def join_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """For every document: doc_id, cid, class_id, text_id, n_copies, n_links
+    """For every document: doc_id, cid, component (null without a word), class_id, text_id, n_copies, n_links
     (different texts of similarity 0.8 or more) and n_linked_docs (documents
     of these texts, and other copies of its own)."""
     sketched = stored(sketches(docs), "sketches")
@@ -360,9 +360,27 @@ def join_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     return own.select(
         "doc_id",
         "cid",
+        F.col("label").alias("component"),
         F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(lone, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
         F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce(F.col("linked_docs") + F.col("n_copies") - 1, F.lit(0).cast("long")).alias("n_linked_docs"),
     )
+
+
+def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Of every component the rows of its smallest doc_id (one row if repeated); rows without a word stay."""
+    found = stored(join_documents(docs, recall).select("doc_id", "cid", "component"), "components")
+    in_one = found.where("component IS NOT NULL")
+    best = in_one.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("kept_id"), F.col("b.cid").alias("kept_cid"), F.lit(True).alias("single"))
+    lone = found.where("component IS NULL").select(F.col("doc_id").alias("kept_id"), F.col("cid").alias("kept_cid"), F.lit(False).alias("single")).distinct()
+    keep = stored(best.unionByName(lone), "kept")
+    match = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("kept_cid"))
+    again = found.groupBy("doc_id", "cid").agg(F.count("*").alias("n"), F.max(F.col("component").isNotNull()).alias("single")).where("n > 1 AND single")
+    if again.isEmpty():
+        return docs.join(keep, match, "left_semi")
+    rows = docs.join(keep, match)
+    first = rows.where("single").dropDuplicates(["kept_id", "kept_cid"])
+    return first.unionByName(rows.where("NOT single")).select(*docs.columns)

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from popweave.llm._store import stored
 from popweave.llm._words import SOLID, byte_class, mix, slices, utf8, windows, words
@@ -113,6 +114,26 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def measured_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), lang and the counts."""
+    fields = [T.StructField("row", docs.schema), T.StructField("lang", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts = measure_texts(utf8(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in COUNTS)], ["row", "lang", *COUNTS])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
+    """The rows of ``docs`` that are kept. Texts are measured twice rather than shuffled."""
+    cutoffs = safe_cutoffs(stored(measure(docs), "measured"), labels, max_false, error)
+    return judge(measured_rows(docs), cutoffs).where("kept").select("row.*")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 

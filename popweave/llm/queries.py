@@ -23,7 +23,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_documents(table(spark, sf_dir, "documents")).drop("cid")
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents")).drop("cid", "component")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
