@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from popweave.llm._store import drop_stored, release, shuffle_parts, stored
 from popweave.llm._words import mix, slices, utf8, windows, words
 
+# Joins are merge joins throughout: each side grows with the corpus, so none is
+# broadcast, and the plan is the same at every size.
 U = np.uint64
 SHINGLE = 5
 COORDINATES = 64
@@ -127,29 +129,32 @@ def _value(at) -> F.Column:
     return F.substring("sig", at * 4 + 1, 4) if isinstance(at, int) else F.substr("sig", at * 4 + 1, F.lit(4))
 
 
-def _children(level: int, runs: int) -> F.Column:
-    """The nodes that a text goes to: from the root of every run, or from ``node``."""
-    if level == 0:
-        made = []
-        for r in range(runs):
-            pick = mix(np.array([r * 3 + 1, r * 3 + 2, r * 3 + 3], U))
-            made.append((r, int(pick[0] % U(COORDINATES))))
-            if pick[1] % U(4) == 0:
-                made.append((r, int(pick[2] % U(COORDINATES))))
-        return F.array(*[F.xxhash64(F.lit(r), F.lit(c), _value(c)) for r, c in made])
+def _roots(texts: DataFrame, runs: int) -> DataFrame:
+    """Every text in the nodes that it goes to from the root of each run."""
+    made = []
+    for r in range(runs):
+        pick = mix(np.array([r * 3 + 1, r * 3 + 2, r * 3 + 3], U))
+        made.append((r, int(pick[0] % U(COORDINATES))))
+        if pick[1] % U(4) == 0 and pick[2] % U(COORDINATES) != pick[0] % U(COORDINATES):
+            made.append((r, int(pick[2] % U(COORDINATES))))
+    nodes = F.array(*[F.xxhash64(F.lit(r), F.lit(c), _value(c)) for r, c in made])
+    return texts.select("key", "sig", "n_shingles", F.explode(nodes).alias("node"))
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """Every text in the one or two children of its node that it goes to."""
     coordinate = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")
-    child = lambda k: F.xxhash64("node", coordinate(k), _value(coordinate(k)))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) == 0, child(3))
-    return F.array_distinct(F.array_compact(F.array(child(1), second)))
+    child = lambda of, k: of.select("key", "sig", "n_shingles", F.xxhash64("node", coordinate(k), _value(coordinate(k))).alias("node"))
+    two = (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) == 0) & (coordinate(1) != coordinate(3))
+    return child(rows, 1).unionByName(child(rows.where(two), 3))
 
 
 def leaves(texts: DataFrame, recall: float = RECALL) -> DataFrame:
     """(node, key, block, blocks): texts of every leaf with two or more, equal leaves once."""
     runs = runs_needed(recall)
     level_rows, level_nodes = [], []
-    rows = texts.select("key", "sig", "n_shingles", F.lit(0).cast("long").alias("node"))
+    rows = _roots(texts, runs)
     for level in range(DEPTH):
-        rows = rows.select("key", "sig", "n_shingles", F.explode(_children(level, runs)).alias("node"))
         print_ = F.xxhash64("key")
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.pmod(print_, F.lit(1 << 40))).alias("f1"), F.bit_xor(print_).alias("f2")).where("n > 1")
         nodes = stored(nodes, "nodes")
@@ -159,7 +164,7 @@ def leaves(texts: DataFrame, recall: float = RECALL) -> DataFrame:
         big = nodes.where(F.col("n") > LEAF).select("node")
         if last or big.isEmpty():
             break
-        rows = stored(rows.join(big, "node", "left_semi"), "large")
+        rows = _children(stored(rows.join(big.hint("merge"), "node", "left_semi"), "large"))
     every = level_nodes[0]
     for nodes in level_nodes[1:]:
         every = every.unionByName(nodes)
@@ -167,7 +172,7 @@ def leaves(texts: DataFrame, recall: float = RECALL) -> DataFrame:
     once = stored(every.groupBy("n", "f1", "f2").agg(F.min("node").alias("node"), F.first("size").alias("size")).select("node", blocks.alias("blocks")), "leaves")
     found = None
     for rows in level_rows:
-        part = rows.join(once, "node")
+        part = rows.join(once.hint("merge"), "node")
         found = part if found is None else found.unionByName(part)
     return found.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
 
@@ -315,7 +320,7 @@ def similar_texts(docs: DataFrame, sketched: DataFrame, recall: float = RECALL)
     release(spark)
 
     nodes = members.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    tagged = members.join(nodes, "key").join(texts.select("key", "tag", "n_copies"), "key")
+    tagged = members.join(nodes.hint("merge"), "key").join(texts.select("key", "tag", "n_copies").hint("merge"), "key")
     tagged = _tasks(tagged).select("task", "node", "block", "within", "key", "tag", "n_copies", "nodes")
     ddl = "task long, node long, block int, within boolean, key binary, tag binary, n_copies long, nodes array<long>"
     checked = stored(tagged.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_keep_checked, ddl), "checked")
@@ -331,22 +336,22 @@ def similar_texts(docs: DataFrame, sketched: DataFrame, recall: float = RECALL)
                     yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["key", "shingles"])
 
     # One document of each text to check; equal rows of it give the same set.
-    wanted = checked.select("key").distinct().join(texts.select("key", "source"), "key").select("key", F.col("source.doc_id").alias("source_id"), F.col("source.cid").alias("source_cid"))
+    wanted = checked.select("key").distinct().hint("merge").join(texts.select("key", "source"), "key").select("key", F.col("source.doc_id").alias("source_id"), F.col("source.cid").alias("source_cid"))
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("cid"), text.alias("text"))
-    bodies = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("cid") == F.col("source_cid"))).select("key", "text")
+    bodies = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("cid") == F.col("source_cid"))).select("key", "text")
     sets = bodies.mapInArrow(shingles, "key binary, shingles binary").dropDuplicates(["key"])
-    full = checked.join(sets, "key").repartition(parts, "task").sortWithinPartitions("task")
+    full = checked.join(sets.hint("merge"), "key").repartition(parts, "task").sortWithinPartitions("task")
     links = stored(full.mapInArrow(_verify, "key binary, root binary, links long, linked_docs long"), "links")
     release(spark)
 
     labels = components(links.where("key <> root").select("key", "root"))
     sums = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
-    out = texts.select("key", "text_id", "n_copies").join(sums, "key", "left").join(labels, "key", "left")
+    out = texts.select("key", "text_id", "n_copies").join(sums.hint("merge"), "key", "left").join(labels.hint("merge"), "key", "left")
     out = stored(out.withColumn("label", F.coalesce("label", "key")), "classes")
     least = out.groupBy("label").agg(F.min("text_id").alias("class_id"))
     zero = F.lit(0).cast("long")
-    return out.join(least, "label").select("key", "label", "text_id", "n_copies", F.coalesce("links", zero).alias("links"), F.coalesce("linked_docs", zero).alias("linked_docs"), "class_id")
+    return out.join(least.hint("merge"), "label").select("key", "label", "text_id", "n_copies", F.coalesce("links", zero).alias("links"), F.coalesce("linked_docs", zero).alias("linked_docs"), "class_id")
 
 
 def join_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -355,7 +360,7 @@ def join_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     of these texts, and other copies of its own)."""
     sketched = stored(sketches(docs), "sketches")
     info = similar_texts(docs, sketched, recall)
-    own = sketched.select("doc_id", "cid", "key").join(info, "key", "left")
+    own = sketched.select("doc_id", "cid", "key").join(info.hint("merge"), "key", "left")
     lone = F.col("key").isNull()
     return own.select(
         "doc_id",
