@@ -708,6 +708,7 @@ def y4_pawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sensitivity.pawn(r, "x", "y", 5))
 
 
-@query(" SELECT network, run, round(avg(value) OVER (PARTITION BY network ORDER BY run ROWS UNBOUNDED PRECEDING), 7) AS running_mean FROM fx_runs")
+@query(" SELECT network, run, avg(round(value * 100)::BIGINT) OVER (PARTITION BY network ORDER BY run ROWS UNBOUNDED PRECEDING) AS running_mean FROM fx_runs")
 def y5_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sensitivity.running_mean(fx.runs(spark, sf_dir), ["network"], "run", "value").select("network", "run", "running_mean"), 7)
+    cents = fx.runs(spark, sf_dir).select("network", "run", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return sensitivity.running_mean(cents, ["network"], "run", "cents").select("network", "run", "running_mean")
