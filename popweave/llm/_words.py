@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that one numpy pass works on.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 256 << 10
 
 
 def byte_class(members: str) -> np.ndarray:

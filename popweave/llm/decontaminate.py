@@ -39,6 +39,7 @@ WORD = ~byte_class("".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *ra
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
 CANDIDATES = 1 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
@@ -107,7 +108,7 @@ def index(docs: DataFrame, query: Phrases, prune: bool = True) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, least, gap = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHARD_BYTES):
                 texts = utf8(part.column("text"))
                 w = words(texts, WORD, lower=True)
                 n = np.diff(w.first)

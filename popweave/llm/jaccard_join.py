@@ -164,7 +164,9 @@ def leaves(texts: DataFrame, recall: float = RECALL) -> DataFrame:
         big = nodes.where(F.col("n") > LEAF).select("node")
         if last or big.isEmpty():
             break
-        rows = _children(stored(rows.join(big.hint("merge"), "node", "left_semi"), "large"))
+        # Only members of large nodes get their coordinates again.
+        inside = rows.select("key", "node").join(big.hint("merge"), "node", "left_semi")
+        rows = _children(stored(texts.select("key", "sig", "n_shingles").join(inside.hint("merge"), "key"), "large"))
     every = level_nodes[0]
     for nodes in level_nodes[1:]:
         every = every.unionByName(nodes)

@@ -130,7 +130,7 @@ def pages_to_arc(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, part in enumerate(slices(batch, "html")):
+            for n, part in enumerate(slices(batch, "html", 4 << 20)):
                 entries = []
                 for page, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), utf8(part.column("html")), strict=True):
                     mark = b"" if page is None else PAGE_HEADER + str(page).encode() + b"\r\n"
