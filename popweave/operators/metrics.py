@@ -183,7 +183,7 @@ def extract_subgraph(nodes: DataFrame, edges: DataFrame, center: int, max_nodes:
     if reached.limit(2).count() < 2:
         return None
     kept = reached.orderBy("distance", "node_id").limit(max_nodes).select("node_id")
-    inside = edges.join(kept.withColumnRenamed("node_id", "src"), "src", "left_semi").join(kept.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    inside = edges.join(kept.withColumnRenamed("node_id", "src"), "src", "left_semi").join(kept.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
     return nodes.join(kept, "node_id", "left_semi"), inside
 
 
