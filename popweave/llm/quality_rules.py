@@ -167,11 +167,13 @@ def safe_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MAX_
             good, bad = r[r.quality == 1], r[r.quality != 1]
             n_good, n_bad = int(good.n.sum()), int(bad.n.sum())
             best, chosen = 0.0, None
-            for j, cut in enumerate(cuts, 1):
-                k = int(good[good.step >= j].n.sum())
+            for j, cut in enumerate(cuts):
+                # A document's step counts the cutoffs that reject it: the strictest ones.
+                least = len(cuts) - j
+                k = int(good[good.step >= least].n.sum())
                 if binomial_cdf(k, n_good, max_false) > error / tests:
                     break
-                gain = int(bad[bad.step >= j].n.sum()) / max(n_bad, 1) - k / n_good
+                gain = int(bad[bad.step >= least].n.sum()) / max(n_bad, 1) - k / n_good
                 if gain > best:
                     best, chosen = gain, cut
             if chosen is not None:
