@@ -7,24 +7,12 @@ only with tables in the folder that the cluster names in
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = tempfile.mkdtemp(prefix="popweave-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from popweave.sources.scratch import shared_root
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -58,8 +46,13 @@ def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files that nothing refers to."""
+    """Let Spark's context cleaner delete shuffle files that nothing refers to.
+
+    Events on their way to listeners still refer to finished queries, so these
+    are waited for.
+    """
     gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -111,7 +111,7 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> LabelModel:
     """EM over vote patterns, with conditionally independent labellers."""
     pattern = sorted(counts)
     n = np.array([counts[p] for p in pattern], float)
-    cell = np.array([["01-".index(c) for c in p] for p in pattern]).reshape(len(pattern), -1)
+    cell = np.array([["01-".index(c) for c in p] for p in pattern]).reshape(len(pattern), len(LABELLERS)).astype(np.int64)
     q = np.array([0.9 if p.count("0") < 2 else 0.1 for p in pattern])
     accuracy: dict[str, tuple[float, float]] = {}
     prior = 0.5
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[L
     limit = max(chosen, default=None)
     text = F.col("text").cast("string")
     near = docs.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
-    near = near.where(F.col("key") <= limit) if chosen else near.limit(0)
+    near = near.where(F.col("key") <= F.lit(limit)) if chosen else near.limit(0)
     rows = _vectors_of(near.dropDuplicates(["key"])).collect()
     x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), np.float32)
     y = np.array([model.posterior[chosen[r.key]] for r in rows])
