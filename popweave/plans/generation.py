@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from popweave.functions.rng import uniform_sql
 from popweave.operators import communities as com
 from popweave.operators import edges as ed
-from popweave.operators import enrich, metrics, models
+from popweave.operators import enrich, expand, metrics, models
 from popweave.plans import api
 from popweave.plans import fixtures as fx
 from popweave.plans.catalog import TARGETS, pairs, query, rounded
 from popweave.sources import sinks, tables
-from popweave.sources.scratch import shared_root
+from popweave.sources.scratch import shared_root, stored
 from popweave.streaming import resume
 
 K = 7
@@ -394,3 +394,24 @@ def s2_13_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     resume.append_results(run(configs.where("config < 2")), path, ["config"])
     resume.run_in_batches(configs, path, ["config"], run, 2)
     return spark.read.parquet(path)
+
+
+# --- wider tables -----------------------------------------------------------------
+
+
+def _domain_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.element_at(F.array(*map(F.lit, expand.IMMIGRATION)), (F.pmod(F.floor(F.col("node_id") / 8), F.lit(5)) + 1).cast("int"))
+    sex = F.when(F.col("node_id") % 2 == 0, "Man").otherwise("Vrouw")
+    return domain_nodes(spark, sf_dir).select("node_id", groups.alias("etngrp"), sex.alias("geslacht"), "lft", "oplniv")
+
+
+@query()
+def n13_expand_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expand.expand_population(sinks.population_table(_domain_population(spark, sf_dir), expand.BASE))
+
+
+@query()
+def n14_expand_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _domain_population(spark, sf_dir)
+    wide = stored(expand.expand_population(sinks.population_table(people, expand.BASE)), "wide")
+    return expand.expand_interactions(sinks.interaction_table(fx.edges(spark, sf_dir), people, expand.BASE), wide)
