@@ -48,10 +48,12 @@ def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete shuffle files that nothing refers to.
 
-    Events on their way to listeners still refer to finished queries, so these
-    are waited for.
+    The scheduler refers to its last job until the next one, and events on their
+    way to listeners to finished queries; so a job of one row comes first, and
+    events are waited for.
     """
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.sparkContext._jvm.System.gc()
 
