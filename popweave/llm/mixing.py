@@ -6,7 +6,7 @@ threshold at which the running word count reaches ``need``. That threshold is
 found without sorting documents: words are summed by (source, leading hash
 bits), the bucket in which the sum crosses ``need`` is the boundary, and only
 the rows of boundary buckets are summed again by the next bits. A histogram
-has at most 2**20 rows for a source, whatever the number of documents.
+has at most 2**15 rows for a source, whatever the number of documents.
 
 Defined results
 * null text, or one without words: size 0, taken 0; an empty table: no rows.
@@ -27,7 +27,7 @@ from popweave.llm._store import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Widths of the nested histograms' hash digits; together the 56 bits of the hash.
-LEVELS = (16, 20, 20)
+LEVELS = (11, 15, 15, 15)
 
 
 def word_count(text: str | Column) -> Column:
