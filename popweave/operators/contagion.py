@@ -40,6 +40,24 @@ def seed_random(configs: DataFrame, nodes: DataFrame, initial: int, seed: int =
     return pool.withColumn("r", rank).where(F.col("r") <= initial).select("config", "node_id")
 
 
+def seed_sized(configs: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """(config, node_id): as :func:`seed_random`, each configuration with its own number ``initial``."""
+    most = configs.agg(F.max("initial")).first()[0] or 0
+    u = uniform(seed, "seed", "config", "node_id")
+    drawn = seed_random(configs, nodes, most, seed).join(F.broadcast(configs.select("config", "initial")), "config")
+    rank = F.row_number().over(Window.partitionBy("config").orderBy(u, "node_id"))
+    return drawn.withColumn("r", rank).where(F.col("r") <= F.col("initial")).select("config", "node_id")
+
+
+def grid(spark, **values: list) -> DataFrame:
+    """config and every combination of the given parameter values."""
+    from itertools import product
+
+    names = list(values)
+    rows = [(i, *map(float, v)) for i, v in enumerate(product(*values.values()))]
+    return spark.createDataFrame(rows, "config long, " + ", ".join(f"{n} double" for n in names))
+
+
 def seed_focal(configs: DataFrame, edges: DataFrame, focal: int) -> DataFrame:
     """(config, node_id): the focal node and its successors, for every configuration."""
     near = edges.where(F.col("src") == focal).select(F.col("dst").alias("node_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popweave.sources.scratch import stored
@@ -210,6 +210,11 @@ def metric_bundle(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Dat
     return out
 
 
-def shares_with_window(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Adds share: ``value`` over its sum within ``by``."""
-    return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(*by)))
+def network_table(edges: DataFrame) -> DataFrame:
+    """Per network (edges with a column network), in one job: n_nodes with an
+    edge, n_edges, mean_degree, degree_skew (population) and reciprocity."""
+    ends = edges.select("network", F.explode(F.array("src", "dst")).alias("node_id")).groupBy("network", "node_id").agg(F.count("*").cast("double").alias("k"))
+    d = ends.groupBy("network").agg(F.count("*").alias("n_nodes"), F.avg("k").alias("mean_degree"), F.skewness("k").alias("degree_skew"))
+    back = edges.select("network", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back")).distinct()
+    r = edges.join(back, ["network", "src", "dst"], "left").groupBy("network").agg(F.count("*").alias("n_edges"), F.avg(F.coalesce("back", F.lit(0))).alias("reciprocity"))
+    return d.join(r, "network")

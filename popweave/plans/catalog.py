@@ -712,3 +712,76 @@ def y4_pawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def y5_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = fx.runs(spark, sf_dir).select("network", "run", F.round(F.col("value") * 100).cast("long").alias("cents"))
     return sensitivity.running_mean(cents, ["network"], "run", "cents").select("network", "run", "running_mean")
+
+
+# --- sweeps over several parameters and tables over several networks --------------
+
+GRID = ", ".join(f"({i}, {t}::DOUBLE, {n})" for i, (t, n) in enumerate([(0.05, 20), (0.05, 80), (0.1, 20), (0.1, 80)]))
+
+
+@query(
+    f", cfg(config, threshold, initial) AS (VALUES {GRID}), seeds AS (SELECT config, node_id FROM cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'seed', 'config', 'node_id')}, node_id) <= initial), k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (SELECT config, node_id FROM seeds)"
+    + "".join(
+        f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.config, n.node_id FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config) WHERE n.n / k.k >= cfg.threshold)"
+        for i in range(1, 6)
+    )
+    + " SELECT config::BIGINT AS config, threshold, initial::DOUBLE AS initial, (SELECT count(*) FROM a5 WHERE a5.config = cfg.config) AS infected FROM cfg"
+)
+def x6_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs = contagion.grid(spark, threshold=[0.05, 0.1], initial=[20, 80])
+    seeds = contagion.seed_sized(configs.withColumn("initial", F.col("initial").cast("int")), fx.nodes(spark, sf_dir))
+    adopted = contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs.select("config", "threshold"), max_steps=5)
+    return contagion.final_adoption(adopted, configs)
+
+
+LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"
+
+
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    first = o.select(F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("network"), (F.col("o_orderkey") + 1).alias("k"))
+    return first.join(o.select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("k")), "k").where("src <> dst").select("src", "dst", "network").distinct()
+
+
+@query(
+    f"{LAYERED}, d AS (SELECT network, x, count(*)::DOUBLE AS k FROM (SELECT network, src AS x FROM le UNION ALL SELECT network, dst FROM le) GROUP BY ALL), m AS (SELECT network, avg(k) AS m, var_pop(k) AS v FROM d GROUP BY network), s AS (SELECT network, count(*) AS n_nodes, avg(k) AS mean_degree, avg(pow(k - m, 3)) / pow(any_value(v), 1.5) AS skew FROM d JOIN m USING (network) GROUP BY network), r AS (SELECT a.network, count(*) AS n_edges, avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1.0 END) AS r FROM le a LEFT JOIN le b ON b.network = a.network AND b.src = a.dst AND b.dst = a.src GROUP BY a.network)"
+    " SELECT network, n_nodes, round(mean_degree, 6) AS mean_degree, round(skew, 6) AS degree_skew, n_edges, round(r, 6) AS reciprocity FROM s JOIN r USING (network)"
+)
+def m13_network_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.network_table(layered(spark, sf_dir)))
+
+
+@query(" SELECT network, run, value, max(value) OVER (PARTITION BY network) AS network_size FROM fx_runs")
+def r17_network_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.runs(spark, sf_dir).select("network", "run", "value")
+    return r.join(r.groupBy("network").agg(F.max("value").alias("network_size")), "network")
+
+
+@query(f"{LAYERED}, a AS (SELECT src, dst FROM le WHERE network = '1-URGENT'), b AS (SELECT src, dst FROM le WHERE network = '2-HIGH') SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")
+def r33_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = layered(spark, sf_dir)
+    a, b = (e.where(F.col("network") == p).select("src", "dst") for p in ("1-URGENT", "2-HIGH"))
+    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(a.intersect(b), "both").union(count(a.subtract(b), "first only")).union(count(a.union(b).distinct(), "either"))
+
+
+@query(" SELECT count(*) AS n_runs, count(DISTINCT network) AS n_networks FROM fx_runs")
+def r36_global_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.runs(spark, sf_dir).agg(F.count("*").alias("n_runs"), F.countDistinct("network").alias("n_networks"))
+
+
+@query(", c AS (SELECT network, run % 10 AS structure, avg(value) AS m, var_pop(value) AS v FROM fx_runs GROUP BY ALL) SELECT structure, round(avg(m), 4) AS mean, round(var_samp(m), 4) AS between_networks, round(avg(v), 4) AS within FROM c GROUP BY structure")
+def r20_variance_by_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.runs(spark, sf_dir).groupBy("network", (F.col("run") % 10).alias("structure")).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return rounded(c.groupBy("structure").agg(F.avg("m").alias("mean"), F.var_samp("m").alias("between_networks"), F.avg("v").alias("within")), 4)
+
+
+@query(
+    ", b AS (SELECT network, least(floor(value / 25), 12)::INT AS bin FROM fx_runs) SELECT network, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY network), 6) AS share FROM b GROUP BY network, bin"
+)
+def r35_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    b = fx.runs(spark, sf_dir).select("network", F.least(F.floor(F.col("value") / 25), F.lit(12)).cast("int").alias("bin"))
+    n = b.groupBy("network", "bin").agg(F.count("*").alias("n"))
+    return rounded(n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("network"))))
