@@ -630,6 +630,15 @@ def r18_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outcomes.bootstrap_variance(r.select("network", "i", "value"), ["network"], "i", "value", 40), 4)
 
 
+@query()
+def r18_bootstrap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all runs and the reference's 1000 resamples; the twin of r18_bootstrap holds every hundredth run."""
+    from pyspark.sql import Window
+
+    r = fx.runs(spark, sf_dir).withColumn("i", (F.row_number().over(Window.partitionBy("network").orderBy("run")) - 1).cast("long"))
+    return rounded(outcomes.bootstrap_variance(r.select("network", "i", "value"), ["network"], "i", "value", 1000), 4)
+
+
 @query(" SELECT x::DOUBLE AS x, round(sum(exp(-0.5 * pow((x - value) / 5, 2))) / (count(*) * 5 * sqrt(2 * pi())), 8) AS density FROM fx_runs, range(0, 100, 10) t(x) GROUP BY x")
 def r34_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = spark.range(0, 100, 10).select(F.col("id").cast("double").alias("x"))

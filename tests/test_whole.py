@@ -1,5 +1,11 @@
 """Queries over whole tables, against small Python references."""
 
+import hashlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
 from popweave.plans import catalog
 from popweave.plans import fixtures as fx
 
@@ -25,3 +31,19 @@ def test_components_of_all_edges(spark):
         root[max(a, b)] = min(a, b)
     found = {r.node_id: r.component for r in catalog.QUERIES["m9_components_whole"](spark, DATA).collect()}
     assert found == {n: find(n) for n in nodes}
+
+
+def test_bootstrap_of_all_runs(spark):
+    def uniform(*keys):
+        return int(hashlib.md5("|".join(map(str, (42, "boot", *keys))).encode()).hexdigest()[:12], 16) / 16**12
+
+    values = defaultdict(list)
+    for r in fx.runs(spark, DATA).orderBy("run").collect():
+        values[r.network].append(r.value)
+    assert sum(map(len, values.values())) == fx.runs(spark, DATA).count()
+    found = {r.network: (r.low, r.high) for r in catalog.QUERIES["r18_bootstrap_whole"](spark, DATA).collect()}
+    assert set(found) == set(values)
+    for network, x in values.items():
+        n, x = len(x), np.array(x)
+        v = [x[[min(int(uniform(network, b, k) * n), n - 1) for k in range(n)]].var(ddof=1) for b in range(1, 1001)]
+        assert found[network] == pytest.approx(np.quantile(v, [0.025, 0.975]), abs=1e-3)
