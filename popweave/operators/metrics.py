@@ -132,20 +132,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node_id, community): each round all nodes take their neighbours' most
-    frequent label, the smaller if equal, their own counting once too."""
+    frequent label, the smaller if equal, their own counting once too.
+
+    Ends when no label changes, or all labels are those of two rounds before:
+    links are symmetric, so rounds run into one of the two. ``rounds`` stops earlier.
+    """
     pairs = stored(undirected(edges).select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("p")).select("p.*"), "pairs")
-    labels = stored(nodes.select("node_id", F.col("node_id").alias("community")), "labels")
-    for _ in range(rounds):
-        seen = pairs.join(labels.withColumnRenamed("node_id", "b"), "b").select(F.col("a").alias("node_id"), "community").unionByName(labels)
+    labels = stored(nodes.select("node_id", F.col("node_id").alias("community"), F.lit(None).cast("long").alias("was")), "labels")
+    done = 0
+    while rounds is None or done < rounds:
+        labels = labels.withColumnRenamed("was", "before")
+        seen = pairs.join(labels.withColumnRenamed("node_id", "b"), "b").select(F.col("a").alias("node_id"), "community").unionByName(labels.select("node_id", "community"))
         n = seen.groupBy("node_id", "community").agg(F.count("*").alias("n"))
         best = n.groupBy("node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("node_id", F.col("b.community").alias("community"))
         both = stored(labels.withColumnRenamed("community", "was").join(best, "node_id"), "labels")
-        labels = both.select("node_id", "community")
-        if both.where("was <> community").isEmpty():
+        labels, done = both.select("node_id", "community", "was"), done + 1
+        if both.where("was <> community").isEmpty() or both.where("not before <=> community").isEmpty():
             break
-    return labels
+    return labels.select("node_id", "community")
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int = 64, directed: bool = True) -> DataFrame:

@@ -341,7 +341,7 @@ def m6_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.label_propagation(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir).where("pmod(src, 10) = pmod(dst, 10)"), rounds=5)
+    return metrics.label_propagation(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
 
 
 @query(", o AS (SELECT src, count(*) AS o FROM fx_edges GROUP BY src), i AS (SELECT dst, count(*) AS i FROM fx_edges GROUP BY dst) SELECT round(corr(o, i), 6) AS assortativity FROM fx_edges JOIN o USING (src) JOIN i USING (dst)")

@@ -1,11 +1,12 @@
 """Queries over whole tables, against small Python references."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from popweave.operators import metrics
 from popweave.plans import catalog
 from popweave.plans import fixtures as fx
 
@@ -47,3 +48,29 @@ def test_bootstrap_of_all_runs(spark):
         n, x = len(x), np.array(x)
         v = [x[[min(int(uniform(network, b, k) * n), n - 1) for k in range(n)]].var(ddof=1) for b in range(1, 1001)]
         assert found[network] == pytest.approx(np.quantile(v, [0.025, 0.975]), abs=1e-3)
+
+
+def spread_labels(nodes, edges):
+    near = {n: {n} for n in nodes}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    before, label = None, {n: n for n in nodes}
+    while True:
+        count = {n: Counter(label[x] for x in near[n]) for n in nodes}
+        new = {n: min(c, key=lambda x: (-c[x], x)) for n, c in count.items()}
+        if new in (label, before):
+            return new
+        before, label = label, new
+
+
+def test_labels_spread_over_all_edges(spark):
+    found = catalog.QUERIES["m6_label_propagation"](spark, DATA).collect()
+    assert {r.node_id: r.community for r in found} == spread_labels(*graph(spark))
+
+
+@pytest.mark.parametrize("links", [[(i, i + 1) for i in range(15)], [(i, i + 1) for i in range(0, 8, 2)] + [(0, 3), (3, 6), (2, 7)]])
+def test_labels_spread_until_they_settle(spark, links):
+    nodes = list(range(16))
+    found = metrics.label_propagation(spark.createDataFrame([(n,) for n in nodes], "node_id long"), spark.createDataFrame(links, "src long, dst long"))
+    assert {r.node_id: r.community for r in found.collect()} == spread_labels(nodes, links)
