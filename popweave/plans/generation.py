@@ -147,6 +147,12 @@ def e8_complete_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.complete_communities(assignment(spark, sf_dir).where("node_id < 200"))
 
 
+@query()
+def e8_complete_communities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all people; the twin of e8_complete_communities holds ids under 200."""
+    return ed.complete_communities(assignment(spark, sf_dir))
+
+
 @query()
 def e10_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = api.generate(fx.pop(spark, sf_dir), fx.links(spark, sf_dir), scale=0.3, number_of_communities=5, preferential_attachment=0.5, reciprocity=0.3, transitivity=0.2, bridge_probability=0.1)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from popweave.operators import metrics
-from popweave.plans import catalog
+from popweave.plans import catalog, generation
 from popweave.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -74,3 +74,12 @@ def test_labels_spread_until_they_settle(spark, links):
     nodes = list(range(16))
     found = metrics.label_propagation(spark.createDataFrame([(n,) for n in nodes], "node_id long"), spark.createDataFrame(links, "src long, dst long"))
     assert {r.node_id: r.community for r in found.collect()} == spread_labels(nodes, links)
+
+
+def test_pairs_of_all_people(spark):
+    data = DATA.replace("0.001", "0.01")
+    home = {r.node_id: r.community for r in generation.assignment(spark, data).collect()}
+    size = Counter(home.values())
+    pairs = [(r.src, r.dst) for r in catalog.QUERIES["e8_complete_communities_whole"](spark, data).collect()]
+    assert len(pairs) == len(set(pairs)) == sum(n * (n - 1) for n in size.values())
+    assert all(a != b and home[a] == home[b] for a, b in pairs)
