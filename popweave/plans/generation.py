@@ -133,11 +133,11 @@ def c12_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
     g = fx.groups(spark, sf_dir).orderBy("group_id").collect()
-    people = np.array([int(r.n) for r in g]) // 10
+    people = np.array([int(r.n) for r in g])
     t = np.zeros((len(g), len(g)))
     for r in link_targets(spark, sf_dir).collect():
-        t[r.src_group, r.dst_group] = r.target / 20
-    comp = com.households(t, people, sweeps=3)
+        t[r.src_group, r.dst_group] = r.target
+    comp = com.households(t, people)
     rows = [(int(c), int(i), int(comp[c, i])) for c, i in zip(*np.nonzero(comp), strict=True)]
     return spark.createDataFrame(rows, "community int, group_id int, n int")
 

@@ -83,3 +83,10 @@ def test_pairs_of_all_people(spark):
     pairs = [(r.src, r.dst) for r in catalog.QUERIES["e8_complete_communities_whole"](spark, data).collect()]
     assert len(pairs) == len(set(pairs)) == sum(n * (n - 1) for n in size.values())
     assert all(a != b and home[a] == home[b] for a, b in pairs)
+
+
+def test_households_hold_all_people(spark):
+    held = Counter()
+    for r in catalog.QUERIES["c12_households"](spark, DATA).collect():
+        held[r.group_id] += r.n
+    assert held == {r.group_id: r.n for r in fx.groups(spark, DATA).collect()}
