@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from popweave.functions.rng import uniform
 from popweave.sources.scratch import stored
 
 
@@ -154,22 +155,35 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = N
     return labels.select("node_id", "community")
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 64, directed: bool = True) -> DataFrame:
-    """(source, node_id, distance) of all that ``sources`` (node_id) reach, by breadth-first rounds."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
+    """(source, node_id, distance) of all that ``sources`` (node_id) reach, by
+    breadth-first rounds until nothing new is found, or to distance ``most``."""
     step = edges.select("src", "dst") if directed else edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     step = stored(step, "steps")
     front = stored(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("distance")), "front")
-    parts, reached = [front], front
-    for d in range(1, most + 1):
+    reached, d = front, 0
+    while most is None or d < most:
+        d += 1
         near = front.join(step, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id")).distinct()
         front = stored(near.join(reached, ["source", "node_id"], "left_anti").withColumn("distance", F.lit(d)), "front")
         if front.isEmpty():
             break
-        parts.append(front)
         reached = reached.unionByName(front)
+        if d % 16 == 0:
+            reached = stored(reached, "reached")
     return reached
 
 
+def path_sources(nodes: DataFrame, edges: DataFrame, exact_below: int = 1000, sample: int = 100, seed: int = 42) -> DataFrame:
+    """Sources (node_id) of path lengths: below ``exact_below`` nodes all of the
+    largest weak component (the smaller label if equal), else ``sample`` drawn nodes."""
+    if nodes.count() >= exact_below:
+        return stored(nodes.select("node_id").orderBy(uniform(seed, "source", "node_id"), "node_id").limit(sample), "sources")
+    c = stored(components(nodes, edges), "components")
+    largest = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return c.join(largest, "component", "left_semi").select("node_id")
+
+
 def average_path_length(edges: DataFrame, sources: DataFrame, directed: bool = True) -> DataFrame:
     """Mean distance over the pairs reached from ``sources``; unreachable pairs are skipped."""
     return distances(edges, sources, directed=directed).where("distance > 0").agg(F.avg("distance").alias("path_length"), F.count("*").alias("n_pairs"))

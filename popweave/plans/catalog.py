@@ -366,6 +366,21 @@ def m8_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.average_path_length(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir).where(F.col("node_id").isin(0, 7, 42))))
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.path_sources(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
+
+
+@query()
+def m8_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the sources of the survey's M8; the twin of m8_distances holds three."""
+    return metrics.distances(fx.edges(spark, sf_dir), _sources(spark, sf_dir))
+
+
+@query()
+def m8_path_length_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.average_path_length(fx.edges(spark, sf_dir), _sources(spark, sf_dir)))
+
+
 @query(
     """, e AS (SELECT src AS a, dst AS b FROM fx_edges WHERE src % 40 = dst % 40 UNION SELECT dst, src FROM fx_edges WHERE src % 40 = dst % 40)"""
     + "".join(f", l{i} AS (" + (" SELECT node_id, node_id AS c FROM fx_nodes" if i == 0 else f" SELECT l.node_id, least(min(l.c), min(coalesce(m.c, l.c))) AS c FROM l{i - 1} l LEFT JOIN e ON e.a = l.node_id LEFT JOIN l{i - 1} m ON m.node_id = e.b GROUP BY l.node_id") + ")" for i in range(16))
@@ -394,9 +409,16 @@ def m11_non_isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.non_isolates(wanted, fx.edges(spark, sf_dir), 50)
 
 
+@query()
+def m11_non_isolates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all nodes; the twin of m11_non_isolates holds every third."""
+    wanted = fx.nodes(spark, sf_dir).select("node_id", F.col("node_id").alias("position"))
+    return metrics.non_isolates(wanted, fx.edges(spark, sf_dir), 50)
+
+
 @query()
 def m12_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metric_bundle(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir).where("node_id = 7"))
+    return metrics.metric_bundle(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), _sources(spark, sf_dir))
 
 
 # --- contagion ------------------------------------------------------------------

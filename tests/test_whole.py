@@ -90,3 +90,31 @@ def test_households_hold_all_people(spark):
     for r in catalog.QUERIES["c12_households"](spark, DATA).collect():
         held[r.group_id] += r.n
     assert held == {r.group_id: r.n for r in fx.groups(spark, DATA).collect()}
+
+
+def test_distances_from_all_nodes(spark):
+    nodes, edges = graph(spark)
+    out = defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+    want = {}
+    for s in nodes:
+        front, want[s, s] = [s], 0
+        for x in front:
+            for y in out[x]:
+                if (s, y) not in want:
+                    want[s, y] = want[s, x] + 1
+                    front.append(y)
+    assert {(r.source, r.node_id): r.distance for r in catalog.QUERIES["m8_distances_whole"](spark, DATA).collect()} == want
+    far = [d for d in want.values() if d]
+    mean = pytest.approx(sum(far) / len(far), abs=1e-6)
+    assert catalog.QUERIES["m8_path_length_whole"](spark, DATA).first() == (mean, len(far))
+    assert catalog.QUERIES["m12_metric_bundle"](spark, DATA).first().path_length == mean
+    ends = {x for e in edges for x in e}
+    assert [r.node_id for r in catalog.QUERIES["m11_non_isolates_whole"](spark, DATA).collect()] == [n for n in nodes if n in ends][:50]
+
+
+def test_distances_run_to_the_end_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long")
+    source = spark.createDataFrame([(0,)], "node_id long")
+    assert metrics.average_path_length(edges, source).first() == (35.5, 70)
