@@ -12,13 +12,24 @@ blocks of ``block_bytes`` of text, so what is broadcast has a fixed bound; each
 block is a pass over the documents. A shard keeps only postings that can be
 part of a phrase: those in runs of at least the shortest phrase's length.
 
+A proximity match of a phrase of n words is a shortest stretch of at most
+n + slop words of one document that has all of the phrase's words, in any order
+and each as often as the phrase does. Seeds are the rarest term's postings;
+seeds with every other term near them are settled by one pass over the sorted
+postings around them, all terms jointly.
+
 Terms are 64-bit hashes of lower-cased words.
 
 Defined results
 * null text: no words; null item texts and items without words have no windows.
 * items of fewer than ``width`` words are one window; repeated items and
   windows count for each item_id once; null item_ids are ignored.
-* repeated documents get a row each; an empty benchmark contaminates nothing.
+* repeated documents get a row each; an empty benchmark contaminates nothing,
+  an empty table of documents gives no rows.
+* overlapping matches and ties all count; hit words are counted once.
+* texts of any length are read whole; a text is never in two shards.
+* further columns are ignored, and kept by :func:`clean_documents` whatever
+  their names.
 """
 
 from __future__ import annotations
@@ -31,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm._store import stored
+from popweave.llm._store import free_names, stored
 from popweave.llm._words import byte_class, slices, utf8, words
 
 #: Bytes of a word: all but these (fixed values of the word definition); A-Z are lower-cased first.
 WORD = ~byte_class("".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])))
 WIDTH = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CANDIDATES = 1 << 20
 SHARD_BYTES = 4 << 20
 
@@ -62,17 +73,18 @@ class Phrases:
 def phrases(items: list[tuple[str, bytes]], width: int = WIDTH) -> Phrases:
     w = words([text for _, text in items], WORD, lower=True)
     vocabulary, numbers = np.unique(w.hashes, return_inverse=True)
-    found: dict[int, dict[tuple[int, ...], set[int]]] = {}
-    for i in range(len(items)):
-        own = numbers[w.of(i)].tolist()
-        n = min(width, len(own))
-        for j in range(len(own) - n + 1 if n else 0):
-            found.setdefault(n, {}).setdefault(tuple(own[j : j + n]), set()).add(i)
+    numbers = numbers.astype(np.int32)
+    n = np.diff(w.first)
     by_length = []
-    for n, rows in found.items():
-        owners = [sorted(x) for x in rows.values()]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        by_length.append((n, np.array(list(rows), np.int64), bounds, np.concatenate([np.array(x, np.int64) for x in owners])))
+    for length in np.unique(np.minimum(n, width)[n > 0]).tolist():
+        own = np.flatnonzero(np.minimum(n, width) == length)
+        count = n[own] - length + 1
+        at = np.repeat(w.first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        rows = np.ascontiguousarray(numbers[at[:, None] + np.arange(length)])
+        _, first, same = np.unique(rows.view(f"V{4 * length}").ravel(), return_index=True, return_inverse=True)
+        owners = np.unique(np.stack([same, np.repeat(own, count)]), axis=1)
+        bounds = np.searchsorted(owners[0], np.arange(len(first) + 1))
+        by_length.append((length, rows[first], bounds, owners[1]))
     return Phrases(vocabulary, by_length, [k for k, _ in items])
 
 
@@ -99,10 +111,10 @@ def in_long_runs(at: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
     return np.bincount(run)[run] >= least
 
 
-def index(docs: DataFrame, query: Phrases, prune: bool = True) -> DataFrame:
+def index(docs: DataFrame, query: Phrases, slop: int = 0) -> DataFrame:
     """One row for each shard: its documents, and postings sorted by term and place."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((query.vocabulary, query.shortest if prune else 1, query.longest))
+    sent = docs.sparkSession.sparkContext.broadcast((query.vocabulary, 1 if slop else query.shortest, query.longest + slop))
     schema = f"doc_ids array<{kind}>, n_words binary, keys binary, first binary, terms binary, places binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +144,11 @@ def index(docs: DataFrame, query: Phrases, prune: bool = True) -> DataFrame:
 def intersect(windows: np.ndarray, terms: np.ndarray, places: np.ndarray, size: int, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window, start) of every occurrence in a shard, in runs of bounded length.
 
-    With ``slop``, start is the rarest term's place, and the other terms may
-    stand in any order up to ``slop`` words beyond the phrase's own length.
+    With ``slop``, start is a place of the rarest term that has each of the
+    other terms less than ``length + slop`` words away: a candidate only.
     """
     length = windows.shape[1]
+    windows = windows.astype(np.int64)
     counts = np.bincount(terms, minlength=size)
     heads = np.concatenate([[0], np.cumsum(counts)])
     span = int(places.max()) + 2 * (length + slop) + 2 if len(places) else 1
@@ -168,12 +181,61 @@ def intersect(windows: np.ndarray, terms: np.ndarray, places: np.ndarray, size:
         yield some[k], start
 
 
+def near_matches(windows: np.ndarray, terms: np.ndarray, places: np.ndarray, size: int, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, start, end) of the proximity matches of a shard."""
+    reach = windows.shape[1] + slop
+    heads = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=size))])
+    for k, seed in intersect(windows, terms, places, size, slop):
+        out = []
+        by = np.lexsort((seed, k))
+        k, seed = k[by], seed[by]
+        # Seeds that can share a match are settled together.
+        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (seed[1:] - seed[:-1] >= reach)])) if len(k) else np.zeros(0, np.int64)
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(k)], strict=True):
+            window, need = np.unique(windows[k[a]], return_counts=True)
+            low, high = int(seed[a]) - reach + 1, int(seed[b - 1]) + reach
+            found = []
+            for t in window.tolist():
+                own = places[heads[t] : heads[t + 1]]
+                i, j = np.searchsorted(own, [low, high])
+                found += [(p, t) for p in own[i:j].tolist()]
+            out += [(int(k[a]), x, y) for x, y in shortest_covers(sorted(found), dict(zip(window.tolist(), need.tolist(), strict=True))) if y - x <= reach]
+        yield tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def shortest_covers(found: list[tuple[int, int]], need: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """[start, end) of all stretches that have ``need`` of each term and no part that has."""
+    have = dict.fromkeys(need, 0)
+    lacking, left = len(need), 0
+    for right, (place, term) in enumerate(found):
+        have[term] += 1
+        lacking -= have[term] == need[term]
+        grown = True
+        while not lacking:
+            start, first = found[left]
+            # Only the last stretch from a given end is shortest; its first word is needed.
+            if grown and have[first] == need[first]:
+                yield start, place + 1
+                grown = False
+            have[first] -= 1
+            lacking += have[first] < need[first]
+            left += 1
+    return
+
+
 def look_up(shards: DataFrame, query: Phrases, slop: int = 0) -> DataFrame:
     """doc_id, key, n_words, hits (merged [start, end) word spans) and items of every document."""
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     sent = shards.sparkSession.sparkContext.broadcast(query)
     schema = f"doc_id {kind}, key long, n_words long, hits array<array<long>>, items array<string>"
 
+    def matches(windows: np.ndarray, terms: np.ndarray, places: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if slop:
+            yield from near_matches(windows, terms, places, size, slop)
+        else:
+            for k, start in intersect(windows, terms, places, size):
+                yield k, start, start + windows.shape[1]
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         for batch in batches:
@@ -183,13 +245,13 @@ def look_up(shards: DataFrame, query: Phrases, slop: int = 0) -> DataFrame:
                 n, first, terms, places = (blob(c, t) for c, t in (("n_words", np.int64), ("first", np.int64), ("terms", np.int32), ("places", np.int64)))
                 hits: dict[int, list[np.ndarray]] = {}
                 items: dict[int, set[int]] = {}
-                for length, windows, bounds, owners in q.by_length:
-                    for k, start in intersect(windows, terms, places, len(q.vocabulary), slop):
+                for _, windows, bounds, owners in q.by_length:
+                    for k, start, end in matches(windows, terms, places, len(q.vocabulary)):
                         doc = np.searchsorted(first, start, "right") - 1
                         pairs = np.unique(np.stack([doc, k]), axis=1)
                         for d, x in pairs.T.tolist():
                             items.setdefault(d, set()).update(owners[bounds[x] : bounds[x + 1]].tolist())
-                        spans = np.unique(np.stack([doc, start - first[doc], start - first[doc] + length]), axis=1)
+                        spans = np.unique(np.stack([doc, start - first[doc], end - first[doc]]), axis=1)
                         for d in np.unique(spans[0]).tolist():
                             hits.setdefault(d, []).append(spans[1:, spans[0] == d])
                 merged = [merge(np.concatenate(hits[d], axis=1)) if d in hits else [] for d in range(len(n))]
@@ -227,7 +289,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop
     found: DataFrame | None = None
     passes = 0
     for query in benchmark_blocks(benchmark, block_bytes, width):
-        one = look_up(stored(index(docs, query, prune=not slop), "postings"), query, slop)
+        one = look_up(stored(index(docs, query, slop), "postings"), query, slop)
         found = one if found is None else found.unionByName(one)
         passes += 1
     if found is None:
@@ -254,9 +316,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
     """The rows of ``docs`` without any word of a benchmark phrase's occurrence."""
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("cid")).alias("doc_id"), text.alias("text"))
-    dirty = find_matches(keyed, benchmark, width).where(F.size("hits") > 0).select(F.col("doc_id.id").alias("dirty_id"), F.col("doc_id.cid").alias("dirty_cid")).distinct()
-    dirty = stored(dirty, "dirty")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("dirty_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("dirty_cid")), "left_anti")
+    dirty = find_matches(keyed, benchmark, width).where(F.size("hits") > 0).select("doc_id.id", "doc_id.cid").distinct()
+    own_id, own_cid = free_names(docs, "dirty_id", "dirty_cid")
+    dirty = stored(dirty.toDF(own_id, own_cid), "dirty")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty[own_id]) & (F.xxhash64(docs["text"].cast("string")) == dirty[own_cid]), "left_anti")
 
 
 SQL = r"""

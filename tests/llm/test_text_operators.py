@@ -192,7 +192,39 @@ def test_contamination(spark, block):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "one x two y three z four"), (2, "four three two one"), (3, "one two " + "q " * 30 + "three four")], "doc_id long, text string")
+    docs = [(1, "one x two y three z four"), (2, "four three two one"), (3, "one two " + "q " * 30 + "three four"), (4, "a b c one two"), (5, "three four d e f"), (6, "x " * 9 + "two three four one")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     b = spark.createDataFrame([(7, "one two three four")], "item_id long, text string")
-    near = {r.doc_id: list(r["items"]) for r in decontaminate.find_matches(d, b, slop=3).collect()}
-    assert near == {1: ["7"], 2: ["7"], 3: []}
+    near = {r.doc_id: (list(r["items"]), [list(x) for x in r.hits]) for r in decontaminate.find_matches(d, b, slop=3).collect()}
+    assert near == {1: (["7"], [[0, 7]]), 2: (["7"], [[0, 4]]), 3: ([], []), 4: ([], []), 5: ([], []), 6: (["7"], [[9, 13]])}
+    wide = {r.doc_id: list(r["items"]) for r in decontaminate.find_matches(d, b, slop=5).collect()}
+    assert not wide[4] and not wide[5]
+
+
+def brute_near(text, phrase, slop):
+    """Words of shortest stretches that have the phrase's words."""
+    w, need = text.split(), Counter(phrase.split())
+    covers = [(i, j) for i in range(len(w)) for j in range(i + 1, min(len(w), i + need.total() + slop) + 1) if not need - Counter(w[i:j])]
+    least = [(i, j) for i, j in covers if not any(i <= x and y <= j and (x, y) != (i, j) for x, y in covers)]
+    return {k for i, j in least for k in range(i, j)}
+
+
+@pytest.mark.parametrize("slop", [1, 3, 6])
+def test_proximity_against_brute_force(spark, slop):
+    r = random.Random(slop)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    docs = [(i, text(r.randint(0, 40))) for i in range(120)]
+    items = [(1, "a b c d e"), (2, "a a b"), (3, "h g f e d c b a a b"), (4, "c")]
+    found = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    got = {x.doc_id: ({k for a, b in x.hits for k in range(a, b)}, list(x["items"])) for x in found.collect()}
+    for i, t in docs:
+        hits = {str(k): brute_near(t, p, slop) for k, p in items}
+        assert got[i] == (set().union(*hits.values()), sorted(k for k, h in hits.items() if h))
+
+
+def test_clean_documents_with_clashing_columns(spark):
+    passage = fx.prose(50, 30)
+    names = ["dirty_id", "dirty_cid", "_dirty_id", "hits", "items", "key", "id", "cid", "n_words"]
+    d = spark.createDataFrame([(1, passage, *["v"] * len(names)), (2, "clean text", *["v"] * len(names)), (None, None, *["v"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = decontaminate.clean_documents(d, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == d.columns and {r.doc_id for r in out.collect()} == {2, None}
