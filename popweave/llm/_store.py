@@ -7,9 +7,11 @@ only with tables in the folder that the cluster names in
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from popweave.sources.scratch import shared_root
@@ -27,14 +29,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """As :func:`stored`, bucketed, so that grouping by ``column`` needs no shuffle."""
-    spark = df.sparkSession
-    name = f"popweave_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables made by :func:`stored` that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -50,12 +44,13 @@ def release(spark: SparkSession) -> None:
 
     The scheduler refers to its last job until the next one, and events on their
     way to listeners to finished queries; so a job of one row comes first, and
-    events are waited for.
+    events are waited for. Where they take longer, files are deleted later.
     """
     gc.collect()
     spark.range(1).count()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        spark.sparkContext._jvm.System.gc()
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from popweave.llm import chat_format, jaccard_join, mixing, suffix_dedup, warc
 
 from . import fixtures as fx
@@ -161,6 +163,34 @@ def test_repeats_are_removed_exactly(spark):
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
+def removal(d):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(d).collect())
+
+
+def test_texts_whose_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(3)))
+    rows = [(i, fx.prose(70 + i % 5, 30)) for i in range(12)] + [(20, fx.prose(71, 30) + fx.prose(90, 12)), (None, fx.prose(72, 30))]
+    d = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, cid string, bucket string, sha string").repartition(3)
+    assert removal(d) == brute_removal(rows)
+
+
+def test_hot_anchors_are_judged_by_window(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    line = fx.prose(75, 20)
+    rows = [(i, fx.prose(1000 + i, 8) + " " + line + " " + fx.prose(2000 + i, 8)) for i in range(40)] + [(50, (line + " ") * 5), (51, "-" * 700), (52, "-" * 300)]
+    assert removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_removal(rows)
+
+
+def test_echoes_stay_within_their_own_windows():
+    import numpy as np
+
+    place = np.array([100, 100, 300], np.uint32)
+    window = np.array([[0, 9], [10, 34], [0, 9]], np.uint8)
+    mask = np.array([0b1, 1 << 20, 0], np.uint64)
+    mask[2] = suffix_dedup._echo(place[:1], window[2:])[0]
+    assert suffix_dedup.resolved(place, mask).tolist() == [1, 1 << 20, 1]
+
+
 def test_suffix_sort_is_the_order_of_bytes():
     import numpy as np
 
