@@ -15,7 +15,8 @@ def _fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 400):
+    # The steps that are needed grow with the root of the larger parameter.
+    for m in range(1, 400 + 8 * math.isqrt(int(max(a, b)))):
         for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + numerator * d
             d = 1 / (d if abs(d) > tiny else tiny)

@@ -26,6 +26,13 @@ def uniform_sql(seed: int, stream: str, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{stream}', {', '.join(keys)})), 1, 12))::BIGINT / {SCALE!r}::DOUBLE)"
 
 
+def four_uniforms(seed: int, stream: str, *keys: Column | str) -> Column:
+    """An array of four doubles in [0, 1), of 32 bits each, for each combination of keys."""
+    parts = [F.lit(str(seed)), F.lit(stream), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)]
+    digest = F.md5(F.concat_ws("|", *parts))
+    return F.array(*(F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("double") / F.lit(float(16**8)) for j in range(4)))
+
+
 def pick(u: Column, n: Column) -> Column:
     """An index from 0 to n - 1."""
     return F.least(F.floor(u * n), n - 1).cast("long")

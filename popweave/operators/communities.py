@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions.rng import normal, uniform
 from popweave.operators.population import proportional_at_least_one
+from popweave.operators.sampling import numbered
 
 
 def community_sizes(spark: SparkSession, k: int, kind: str | list[float], people: int, seed: int = 42) -> DataFrame | None:
@@ -42,8 +43,8 @@ def assign_natural(nodes: DataFrame, k: int, seed: int = 42) -> DataFrame:
     spark = nodes.sparkSession
     if k == 1:
         return nodes.select("node_id", "group_id", F.lit(0).alias("community"))
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy(uniform(seed, "deal", "node_id"), "node_id")) - 1
-    dealt = nodes.select("node_id", "group_id", F.pmod(place, F.lit(k)).alias("turn"))
+    placed = numbered(nodes.select("node_id", "group_id"), ["group_id"], uniform(seed, "deal", "node_id"), ["node_id"], "place")
+    dealt = placed.select("node_id", "group_id", F.pmod("place", F.lit(k)).cast("int").alias("turn"))
     all_ = nodes.select("group_id").distinct().crossJoin(F.broadcast(spark.range(k).select(F.col("id").cast("int").alias("community"))))
     turn = F.row_number().over(Window.partitionBy("group_id").orderBy(uniform(seed, "turns", "group_id", "community"), "community")) - 1
     return dealt.join(all_.withColumn("turn", turn), ["group_id", "turn"]).select("node_id", "group_id", "community")
@@ -52,8 +53,7 @@ def assign_natural(nodes: DataFrame, k: int, seed: int = 42) -> DataFrame:
 def assign_weighted(nodes: DataFrame, sizes: DataFrame, seed: int = 42) -> DataFrame:
     """(node_id, group_id, community): each group split by the communities'
     weights (rounded, the last takes the rest), in random order."""
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy(uniform(seed, "deal", "node_id"), "node_id")) - 1
-    ranked = nodes.select("node_id", "group_id", place.alias("place"))
+    ranked = numbered(nodes.select("node_id", "group_id"), ["group_id"], uniform(seed, "deal", "node_id"), ["node_id"], "place")
     n = nodes.groupBy("group_id").agg(F.count("*").alias("n"))
     by = Window.orderBy("community")
     share = sizes.withColumns({"upto": F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum("weight").over(Window.partitionBy()), "last": F.max("community").over(Window.partitionBy())})
@@ -142,10 +142,10 @@ def assign_segregated(nodes: DataFrame, groups: DataFrame, targets: DataFrame, n
     first = F.coalesce(F.sum("units").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = units.withColumn("first", first)
     of_group = groups.select("group_id", label.alias("block")).join(placed, "block").select("group_id", "first", "units")
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy(uniform(seed, "deal", "node_id"), "node_id")) - 1
+    placed = numbered(nodes.select("node_id", "group_id"), ["group_id"], uniform(seed, "deal", "node_id"), ["node_id"], "place")
     start = F.floor(uniform(seed, "start", "group_id") * F.col("units"))
-    c = F.col("first") + F.pmod(place + start, F.col("units"))
-    return nodes.select("node_id", "group_id").join(F.broadcast(of_group), "group_id").select("node_id", "group_id", F.pmod(c, F.lit(k)).cast("int").alias("community"))
+    c = F.col("first") + F.pmod(F.col("place") + start, F.col("units"))
+    return placed.join(F.broadcast(of_group), "group_id").select("node_id", "group_id", F.pmod(c, F.lit(k)).cast("int").alias("community"))
 
 
 def separated_groups(pairs: DataFrame, k: int) -> list[int]:
@@ -176,10 +176,11 @@ def loss(comp: np.ndarray, budget: np.ndarray, penalty: float) -> float:
 
 
 def refine(assignment: DataFrame, targets: DataFrame, moves: int = 300_000, penalty: float = 10.0, seed: int = 42) -> DataFrame:
-    """Moves people between communities while that lowers the gap between the
-    possible interactions and the targets.
+    """Moves people between communities, or to a new one, while that lowers the
+    gap between the possible interactions and the targets.
 
-    The search runs on the composition table (communities x groups), which is
+    A move picks a person (so communities and groups by their people) and one of
+    the communities or the next new one. The search runs on the composition table (communities x groups), which is
     all that the gap depends on; afterwards each group's people are moved by
     rank, as few as the counts ask for. Group totals stay, and the gap never rises.
     """
@@ -198,14 +199,18 @@ def refine(assignment: DataFrame, targets: DataFrame, moves: int = 300_000, pena
     achieved = comp.T @ comp
     rng = np.random.default_rng(seed)
     cost = lambda x: np.where(x > 0, penalty * x, -x)
-    for _ in range(moves if k > 1 else 0):
-        a = int(rng.integers(k))
-        held = np.flatnonzero(comp[a])
-        b = int(rng.integers(k - 1))
-        b += b >= a
-        if not len(held):
+    # People keep their numbers, as a move of one of a group is a move of any.
+    home = np.repeat(np.arange(k), comp.sum(1).astype(int))
+    kind = np.concatenate([np.repeat(np.arange(len(groups)), row.astype(int)) for row in comp]) if k else np.zeros(0, int)
+    people = rng.integers(len(home), size=moves) if len(home) else np.zeros(0, int)
+    where = rng.random(len(people))
+    for i, u in zip(people.tolist(), where.tolist(), strict=True):
+        a, g = int(home[i]), int(kind[i])
+        b = int(u * (k + 1))
+        if a == b:
             continue
-        g = int(held[rng.integers(len(held))])
+        if b == len(comp):
+            comp = np.vstack([comp, np.zeros((1, len(groups)))])
         row = comp[b] - comp[a]
         row[g] = 2 * (comp[b, g] - comp[a, g]) + 2
         new_row, new_col = achieved[g] + row, achieved[:, g] + row
@@ -215,6 +220,10 @@ def refine(assignment: DataFrame, targets: DataFrame, moves: int = 300_000, pena
             achieved[g], achieved[:, g] = new_row, new_col
             comp[a, g] -= 1
             comp[b, g] += 1
+            home[i] = b
+            k = max(k, b + 1)
+    comp = comp[:k]
+    start = np.vstack([start, np.zeros((k - len(start), len(groups)))])
     spark = assignment.sparkSession
     leave, enter = [], []
     for i, g in enumerate(groups):
@@ -244,40 +253,52 @@ def merge_communities(assignment: DataFrame, k: int) -> DataFrame:
     return assignment.join(to, "community").select("node_id", "group_id", F.col("larger").alias("community"))
 
 
-def households(targets: np.ndarray, people: np.ndarray, sweeps: int = 20, tolerance: float = 5e-5, seed: int = 42) -> np.ndarray:
+def households(targets: np.ndarray, people: np.ndarray, sweeps: int = 15, tolerance: float = 5e-5, seed: int = 42, k: int | None = None) -> np.ndarray:
     """Composition (households x groups) whose co-members match symmetric targets.
 
-    Households start from draws conditioned on their first member's links; each
-    sweep deals every person anew with weights of the links to the household's
-    members, corrected by sqrt(target / achieved) within [0.1, 10], until the
-    mean relative error moves by less than ``tolerance``. Group totals stay.
+    Targets and link rates p (links over pairs of people) are made symmetric, the
+    later direction of a pair of groups winning. Without ``k``, people over the
+    mean expected size of a household is their number. Groups are seated from the
+    largest on, each drawn multinomially with weights of the links to who sits
+    there already; then sweeps draw each group's column anew with
+    p * clip(sqrt(target / achieved), 0.1, 10) (0 without a target), until the mean
+    relative error falls by less than ``tolerance``. Group totals stay.
+
+    All of it works on tables of households and groups, on the driver.
     """
     rng = np.random.default_rng(seed)
-    t = (targets + targets.T) / 2
-    p = t / np.maximum(people[:, None], 1)
-    size = 1 + float((p.sum(1) * people).sum() / max(people.sum(), 1))
-    k = max(1, int(round(people.sum() / size)))
-    member = np.repeat(np.arange(len(people)), people.astype(int))
-    rng.shuffle(member)
-    home = np.arange(len(member)) % k
-    comp = np.zeros((k, len(people)))
-    np.add.at(comp, (home, member), 1)
-    best, last = comp.copy(), np.inf
+    n = people.astype(float)
+    t = np.where(np.triu(targets.T > 0, 1), targets.T, targets)
+    t = np.triu(t) + np.triu(t, 1).T
+    pairs = np.outer(n, n) - np.diag(n)
+    p = np.divide(t, pairs, out=np.zeros_like(t), where=pairs > 0)
+    total = int(n.sum())
+    size = float(n @ (1 - np.diag(p) + p @ n) / total) if total else 2.0
+    k = k or max(1, round(total / size))
+    floor = 1 / k
+    comp = np.zeros((k, len(people)), np.int64)
+    order = np.argsort(-n, kind="stable").tolist()
+
+    def drawn(group: int, weights: np.ndarray) -> np.ndarray:
+        w = np.maximum(weights + floor, 0)
+        return rng.multinomial(int(people[group]), w / w.sum())
+
+    for step, g in enumerate(order):
+        seated = order[:step]
+        comp[:, g] = drawn(g, comp[:, seated] @ p[g, seated])
+
+    def achieved() -> np.ndarray:
+        return (comp.T @ comp - np.diag(comp.sum(0))).astype(float)
+
+    last = np.inf
     for _ in range(sweeps):
-        made = comp.T @ comp - np.diag(comp.sum(0))
+        made = achieved()
+        w = np.where(t > 0, np.clip(np.sqrt(t / np.maximum(made, 1e-9)), 0.1, 10), 0.0) * p
+        for g in rng.permutation(len(people)).tolist():
+            comp[:, g] = drawn(g, comp @ w[g] - w[g, g] * comp[:, g])
         some = t > 0
-        error = float((np.abs(made - t)[some] / t[some]).mean()) if some.any() else 0.0
-        if error < last:
-            best = comp.copy()
-        if abs(last - error) < tolerance:
+        error = float((np.abs(achieved() - t)[some] / t[some]).mean()) if some.any() else 0.0
+        if last - error < tolerance:
             break
-        last = min(last, error)
-        w = np.clip(np.sqrt(np.divide(t, made, out=np.full_like(t, 10.0), where=made > 0)), 0.1, 10) * p
-        for i in rng.permutation(len(member)).tolist():
-            g = member[i]
-            comp[home[i], g] -= 1
-            tries = rng.integers(k, size=8)
-            score = (comp[tries] @ w[g] + 1e-9) / (1 + comp[tries].sum(1))
-            home[i] = tries[np.searchsorted(np.cumsum(score), rng.random() * score.sum())]
-            comp[home[i], g] += 1
-    return best
+        last = error
+    return comp

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import normal, uniform
+from popweave.operators.sampling import smallest
 from popweave.sources.scratch import stored
 
 
@@ -87,8 +88,10 @@ def thresholds_heterogeneous(nodes: DataFrame, kind: str, mean: float, spread: f
 
 
 def thresholds_hybrid(nodes: DataFrame, base: float, vulnerable: float, fraction: float, seed: int = 42) -> DataFrame:
-    """(node_id, threshold): ``vulnerable`` for a share ``fraction`` of nodes picked by their numbers."""
-    return nodes.select("node_id", F.when(uniform(seed, "vulnerable", "node_id") < fraction, float(vulnerable)).otherwise(float(base)).alias("threshold"))
+    """(node_id, threshold): ``vulnerable`` for the floor(fraction * n) nodes with the smallest numbers."""
+    few = smallest(nodes.select("node_id"), uniform(seed, "vulnerable", "node_id"), int(fraction * nodes.count()), ["node_id"])
+    t = F.when(F.col("_picked"), float(vulnerable)).otherwise(float(base))
+    return nodes.select("node_id").join(few.withColumn("_picked", F.lit(True)), "node_id", "left").select("node_id", t.alias("threshold"))
 
 
 def threshold_contagion(edges: DataFrame, seeds: DataFrame, threshold: DataFrame, relative: bool = True, directed: bool = True, max_steps: int = 1000) -> DataFrame:
@@ -128,13 +131,22 @@ def simple_contagion(edges: DataFrame, seeds: DataFrame, p_transmit: float = 0.2
     """(config, node_id, step): each step a node with n infected nodes seen is
     infected with probability 1 - (1 - p)^n; all ``max_steps`` steps are run."""
     look = stored(looked_at(edges, directed), "look")
-    adopted = stored(seeds.select("config", "node_id").distinct().withColumn("step", F.lit(0)), "adopted")
+    front = stored(seeds.select("config", "node_id").distinct().withColumn("step", F.lit(0)), "adopted")
+    adopted, parts = front, 1
+    counts: DataFrame | None = None
     for step in range(1, max_steps + 1):
-        n = adopted.select("config", F.col("node_id").alias("seen")).join(look, "seen").groupBy("config", "node_id").agg(F.count("*").alias("n"))
-        open_ = n.join(adopted.select("config", "node_id"), ["config", "node_id"], "left_anti")
+        n = front.select("config", F.col("node_id").alias("seen")).join(look, "seen").groupBy("config", "node_id").agg(F.count("*").alias("n"))
+        if counts is not None:
+            n = n.unionByName(counts).groupBy("config", "node_id").agg(F.sum("n").alias("n"))
+        # Only the newest infected are joined on; who may still be infected carries the count on.
+        open_ = stored(n.join(adopted.select("config", "node_id"), ["config", "node_id"], "left_anti"), "counts")
         hit = uniform(seed, "transmit", "config", F.lit(step), "node_id") < 1 - F.pow(F.lit(1.0 - p_transmit), F.col("n"))
-        new = open_.where(hit).select("config", "node_id", F.lit(step).alias("step"))
-        adopted = stored(adopted.unionByName(new), "adopted")
+        front = stored(open_.where(hit).select("config", "node_id", F.lit(step).alias("step")), "adopted")
+        counts = open_.where(~hit)
+        adopted = adopted.unionByName(front)
+        parts += 1
+        if parts % 16 == 0:
+            adopted = stored(adopted, "adopted")
     return adopted
 
 
@@ -173,11 +185,92 @@ def sweep_summary(finals: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def curve_summary(curve: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Per curve: the x at which y crosses 0.5 (linear between neighbours),
-    the area under it by trapezoids, and the largest slope between neighbours."""
-    w = Window.partitionBy(*by).orderBy(x)
-    step = curve.withColumns({"_x": F.lag(x).over(w), "_y": F.lag(y).over(w)})
-    dx, dy = F.col(x) - F.col("_x"), F.col(y) - F.col("_y")
-    crossing = F.when((F.col("_y") - 0.5) * (F.col(y) - 0.5) <= 0, F.when(dy != 0, F.col("_x") + (0.5 - F.col("_y")) / dy * dx).otherwise(F.col("_x")))
-    return step.groupBy(*by).agg(F.min(crossing).alias("critical"), F.sum(dx * (F.col(y) + F.col("_y")) / 2).alias("auc"), F.max(F.abs(dy / dx)).alias("max_gradient"))
+def curve_summary(curve: DataFrame, by: list[str], x: str, y: str, target: float = 0.5) -> DataFrame:
+    """Per curve: critical, the x at which y crosses ``target``; the area under
+    it by trapezoids; and the largest absolute gradient.
+
+    A curve that ends lower than it begins crosses after its last point at or
+    above the target, others before their first one; null if all points are on
+    one side. Gradients are second-order inside, for uneven steps too, and
+    one-sided at the ends.
+    """
+    whole = Window.partitionBy(*by)
+    c = curve.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    near = whole.orderBy("x")
+    c = c.withColumn("i", F.row_number().over(near) - 1)
+    c = c.withColumns({f"{k}{j}": f(k).over(near) for k in "xy" for j, f in ((0, F.lag), (1, F.lead))})
+    above = F.col("y") >= target
+    ends = F.min_by("y", "x").over(whole) > F.max_by("y", "x").over(whole)
+    at = F.when(ends, F.max(F.when(above, F.col("i"))).over(whole)).otherwise(F.greatest(F.min(F.when(above, F.col("i"))).over(whole) - 1, F.lit(0)))
+    c = c.withColumns({"at": at, "mixed": F.min(above).over(whole) != F.max(above).over(whole)})
+    dx, dy = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
+    crossing = F.when(F.col("x1").isNull(), F.col("x")).when(F.abs(dy) < 1e-10, (F.col("x") + F.col("x1")) / 2).otherwise(F.col("x") + (target - F.col("y")) * dx / dy)
+    lower, upper = F.col("x") - F.col("x0"), dx
+    inner = (lower * lower * F.col("y1") + (upper * upper - lower * lower) * F.col("y") - upper * upper * F.col("y0")) / (lower * upper * (upper + lower))
+    slope = F.when(F.col("x0").isNull(), dy / dx).when(F.col("x1").isNull(), (F.col("y") - F.col("y0")) / lower).otherwise(inner)
+    g = c.withColumns({"crossing": F.when(F.col("mixed") & (F.col("i") == F.col("at")), crossing), "slope": slope}).groupBy(*by)
+    return g.agg(F.max("crossing").alias("critical"), F.sum(dx * (F.col("y") + F.col("y1")) / 2).alias("auc"), F.max(F.abs("slope")).alias("steepness"))
+
+
+def cascade_points(runs: DataFrame, by: list[str], x: str, value: str, target: float) -> DataFrame:
+    """Per curve and x: mean and population std of the runs, and cascade_prob, their share above ``target``."""
+    v = F.col(value).cast("double")
+    return runs.groupBy(*by, x).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((v > target).cast("double")).alias("cascade_prob"))
+
+
+def strategy_candidates(metrics: DataFrame, members: DataFrame, strategy: str, total: int, share: float = 0.01) -> DataFrame:
+    """node_id of the groups that a seeding strategy picks: by descending score
+    until their sizes reach ``share`` of ``total``; "random" takes everyone.
+
+    metrics has a row for each group (group_id, size and the strategies'
+    columns), members has node_id and group_id.
+    """
+    if strategy == "random":
+        return members.select("node_id")
+    upto = F.sum("size").over(Window.orderBy(F.desc(strategy), "group_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = metrics.withColumn("_upto", upto).where(F.col("_upto") - F.col("size") < share * total).select("group_id")
+    return members.join(chosen, "group_id", "left_semi").select("node_id")
+
+
+def strategy_sweep(edges: DataFrame, nodes: DataFrame, members: DataFrame, metrics: DataFrame, strategies: list[str], thresholds: list[float], runs: int, share: float = 0.01, max_steps: int = 1000, seed: int = 42) -> DataFrame:
+    """(strategy, threshold_idx, threshold, median_final_adoption, n_runs): every
+    strategy and threshold in one contagion. A strategy with fewer candidates
+    than seeds falls back to all nodes."""
+    spark = edges.sparkSession
+    n = nodes.count()
+    initial = int(n * share)
+    rows, seeds = [], None
+    for s, strategy in enumerate(strategies):
+        own = [(len(rows) + t * runs + r, strategy, t, float(v)) for t, v in enumerate(thresholds) for r in range(runs)]
+        rows += own
+        configs = spark.createDataFrame([(c,) for c, *_ in own], "config long")
+        part = seed_from(configs, strategy_candidates(metrics, members, strategy, n, share), nodes, initial, seed + s)
+        seeds = part if seeds is None else seeds.unionByName(part)
+    configs = spark.createDataFrame(rows, "config long, strategy string, threshold_idx int, threshold double")
+    adopted = threshold_contagion(edges, seeds, configs.select("config", "threshold"), max_steps=max_steps)
+    finals = final_adoption(adopted, configs)
+    return finals.groupBy("strategy", "threshold_idx", "threshold").agg(F.percentile(F.col("infected").cast("double"), F.lit(0.5)).alias("median_final_adoption"), F.count("*").alias("n_runs"))
+
+
+def compare_topologies(edges: DataFrame, initial: int, threshold: float = 0.25, runs: int = 50, max_steps: int = 1000, seed: int = 42) -> DataFrame:
+    """Complex contagion from random seeds on every network of ``edges`` (network,
+    src, dst; nodes are those with an edge), all networks and runs in one
+    contagion: network, run, infected and n_nodes."""
+    node = F.struct("network", F.col("id").alias("id"))
+    nodes = stored(edges.select("network", F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
+    spark = edges.sparkSession
+    keyed = edges.select(F.struct("network", F.col("src").alias("id")).alias("src"), F.struct("network", F.col("dst").alias("id")).alias("dst"))
+    numbers = spark.range(runs).select(F.col("id").alias("config"))
+    u = uniform(seed, "seed", "config", "network", "id")
+    rank = F.row_number().over(Window.partitionBy("config", "network").orderBy("u", "id"))
+    n = nodes.groupBy("network").agg(F.count("*").alias("n_nodes"))
+    # As in seed_random: about four times as many as are needed are ranked, all where that leaves too few.
+    drawn = nodes.join(n, "network").crossJoin(F.broadcast(numbers)).withColumn("u", u)
+    few = drawn.where(F.col("u") < (4 * initial + 40) / F.col("n_nodes"))
+    short = few.groupBy("network", "config", "n_nodes").agg(F.count("*").alias("k")).where(F.col("k") < F.least(F.lit(initial), F.col("n_nodes")))
+    pool = few if short.isEmpty() else drawn
+    seeds = pool.withColumn("r", rank).where(F.col("r") <= initial).select("config", node.alias("node_id"))
+    adopted = threshold_contagion(keyed, seeds, numbers.withColumn("threshold", F.lit(threshold)), max_steps=max_steps)
+    count = adopted.groupBy("config", F.col("node_id.network").alias("network")).agg(F.count("*").alias("infected"))
+    every = n.crossJoin(F.broadcast(numbers))
+    return every.join(count, ["network", "config"], "left").select("network", F.col("config").alias("run"), F.coalesce("infected", F.lit(0)).alias("infected"), "n_nodes")

@@ -1,9 +1,11 @@
 """Edges that meet link targets, by rounds of proposals and acceptance.
 
 A round proposes about one and a half edges for each missing one, and accepts
-in one set operation: no loops, no repeats, never over a pair's target. What a
-pair has is always counted from the edges, so nothing can drift. Picks go by
-counter-based numbers to the k-th member of a group, an equi-join, never a sort.
+in one set operation: no loops, no repeats, never over a pair's target. Edges are
+parts that are written once; what a pair still needs is a small table that new
+parts are taken off from, round by round. Picks go by counter-based numbers to
+the k-th member of a group, an equi-join, never a sort, and ranks within a group
+or a pair of groups are taken in buckets of their numbers.
 
 Within a round reciprocal and closing edges see the graph of the rounds before
 and follow accepted edges only.
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import pick, uniform
+from popweave.operators.sampling import numbered, smallest
 from popweave.sources.scratch import stored
 
 EDGE = ("src", "dst", "src_group", "dst_group", "mechanism", "phase", "round")
@@ -31,36 +34,69 @@ class World:
     comp: DataFrame  # community, group_id, k
     sizes: DataFrame  # group_id, k
     targets: DataFrame  # src_group, dst_group, target
+    shared: DataFrame  # src_group, dst_group, turn, shared, community, ks: communities of both groups, numbered
     communities: int
     seed: int
 
 
 def world(assignment: DataFrame, targets: DataFrame, seed: int = 42) -> World:
     u = uniform(seed, "order", "node_id")
-    idx = F.row_number().over(Window.partitionBy("community", "group_id").orderBy(u, "node_id")) - 1
-    gidx = F.row_number().over(Window.partitionBy("group_id").orderBy(u, "node_id")) - 1
-    m = stored(assignment.select("node_id", "group_id", "community", idx.cast("long").alias("idx"), gidx.cast("long").alias("gidx")), "members")
+    m = numbered(assignment.select("node_id", "group_id", "community"), ["community", "group_id"], u, ["node_id"], "idx")
+    m = stored(numbered(m, ["group_id"], u, ["node_id"], "gidx"), "members")
     comp = stored(m.groupBy("community", "group_id").agg(F.count("*").alias("k")), "comp")
-    sizes = m.groupBy("group_id").agg(F.count("*").alias("k"))
+    sizes = stored(comp.groupBy("group_id").agg(F.sum("k").alias("k")), "sizes")
+    t = stored(targets.select("src_group", "dst_group", "target"), "targets")
+    src = comp.select("community", F.col("group_id").alias("src_group"), F.col("k").alias("ks"))
+    dst = comp.select("community", F.col("group_id").alias("dst_group"))
+    both = t.where("target > 0").select("src_group", "dst_group").join(src, "src_group").join(dst, ["community", "dst_group"])
+    by = Window.partitionBy("src_group", "dst_group")
+    turn = F.row_number().over(by.orderBy(uniform(seed, "turn", "src_group", "dst_group", "community"), "community")) - 1
+    shared = stored(both.withColumns({"turn": turn.cast("long"), "shared": F.count("*").over(by)}), "shared")
     k = (comp.agg(F.max("community")).first()[0] or 0) + 1
-    return World(m, comp, sizes, stored(targets.select("src_group", "dst_group", "target"), "targets"), k, seed)
+    return World(m, comp, sizes, t, shared, k, seed)
 
 
-def missing(w: World, edges: DataFrame) -> DataFrame:
-    """(src_group, dst_group, need) of pairs under their target."""
-    have = edges.groupBy("src_group", "dst_group").agg(F.count("*").alias("have"))
-    left = w.targets.join(have, ["src_group", "dst_group"], "left").withColumn("need", F.col("target") - F.coalesce("have", F.lit(0)))
-    return left.where("need > 0").select("src_group", "dst_group", "need")
+@dataclass
+class Grown:
+    """Edges so far, in parts, and (src_group, dst_group, need) of pairs under their target."""
+
+    parts: list[DataFrame]
+    need: DataFrame
+
+    @property
+    def edges(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, part: DataFrame) -> None:
+        """Takes a stored part in; the need is settled by :meth:`settle`."""
+        self.parts.append(part)
+        have = part.groupBy("src_group", "dst_group").agg(F.count("*").alias("have"))
+        left = self.need.join(have, ["src_group", "dst_group"], "left").withColumn("need", F.col("need") - F.coalesce("have", F.lit(0)))
+        self.need = left.where("need > 0").select("src_group", "dst_group", "need")
+
+    def settle(self) -> None:
+        self.need = stored(self.need, "need")
+        if len(self.parts) > 24:
+            self.parts = [stored(self.edges, "edges")]
+
 
+def begin(w: World, edges: DataFrame) -> Grown:
+    g = Grown([], w.targets.where("target > 0").select("src_group", "dst_group", F.col("target").alias("need")))
+    g.add(edges)
+    g.settle()
+    return g
 
-def accept(w: World, candidates: DataFrame, edges: DataFrame, share: float = 1.0) -> DataFrame:
+
+def accept(candidates: DataFrame, grown: Grown, share: float = 1.0) -> DataFrame:
     """Of the candidates (an edge with u) those that may join: new, no loop, and
     within ``share`` of the pair's need (rounded up)."""
-    c = candidates.where("src <> dst")
-    c = c.groupBy("src", "dst").agg(F.min(F.struct("u", "src_group", "dst_group")).alias("b")).select("src", "dst", "b.*")
-    c = c.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").join(missing(w, edges), ["src_group", "dst_group"])
-    rank = F.row_number().over(Window.partitionBy("src_group", "dst_group").orderBy("u", "src", "dst"))
-    return c.withColumn("r", rank).where(F.col("r") <= F.ceil(F.col("need") * share)).select("src", "dst", "src_group", "dst_group", "u")
+    c = candidates.where("src <> dst").join(grown.need, ["src_group", "dst_group"])
+    c = c.groupBy("src", "dst").agg(F.min(F.struct("u", "src_group", "dst_group", "need")).alias("b")).select("src", "dst", "b.*")
+    # Edges look for candidates, which are few, and only those found are taken off.
+    known = grown.edges.select("src", "dst").join(c.select("src", "dst"), ["src", "dst"], "left_semi")
+    c = c.join(known, ["src", "dst"], "left_anti")
+    ranked = numbered(c, ["src_group", "dst_group"], F.col("u"), ["src", "dst"], "r", 256)
+    return ranked.where(F.col("r") < F.ceil(F.col("need") * share)).select("src", "dst", "src_group", "dst_group", "u")
 
 
 def _attempts(need: DataFrame, seed: int, stream: str) -> DataFrame:
@@ -77,7 +113,7 @@ def _member(rows: DataFrame, w: World, node: str, group: str, index: str, commun
     return rows.join(m, [x for x in name.values() if x != node])
 
 
-def propose(w: World, edges: DataFrame, mode: str, round_: int, attachment: float = 0.0, bridge: float = 0.0, pool: DataFrame | None = None) -> DataFrame:
+def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float = 0.0, bridge: float = 0.0, pool: DataFrame | None = None) -> DataFrame:
     """Candidates (src, dst, src_group, dst_group, u).
 
     community: source and destination in a community that has both groups, the
@@ -85,7 +121,6 @@ def propose(w: World, edges: DataFrame, mode: str, round_: int, attachment: floa
     from its popular members; ring: destination communities around the
     source's on the ring; own: the source's community; any: the whole groups.
     """
-    need = stored(missing(w, edges), "need")
     a = _attempts(need, w.seed, f"{mode}/{round_}")
     fraction = 1.0 - attachment
     if mode == "any":
@@ -94,15 +129,10 @@ def propose(w: World, edges: DataFrame, mode: str, round_: int, attachment: floa
             a = _member(a, w, side, group, "i").drop("i")
         return a.select("src", "dst", "src_group", "dst_group", "u")
     if mode == "community":
-        src = w.comp.select("community", F.col("group_id").alias("src_group"), F.col("k").alias("ks"))
-        dst = w.comp.select("community", F.col("group_id").alias("dst_group"))
-        shared = need.select("src_group", "dst_group").join(src, "src_group").join(dst, ["community", "dst_group"])
-        by = Window.partitionBy("src_group", "dst_group")
-        turn = F.row_number().over(by.orderBy(uniform(w.seed, f"turn/{round_}", "src_group", "dst_group", "community"), "community")) - 1
-        shared = shared.withColumns({"turn": turn.cast("long"), "shared": F.count("*").over(by)})
-        count = shared.select("src_group", "dst_group", "shared").distinct()
-        a = a.join(count, ["src_group", "dst_group"]).withColumn("turn", F.pmod("j", F.col("shared"))).drop("shared")
-        a = a.join(shared.drop("shared"), ["src_group", "dst_group", "turn"]).withColumn("i", pick(F.col("us"), F.col("ks")))
+        # Communities by turns, from another one on in each round.
+        first = w.shared.where("turn = 0").select("src_group", "dst_group", "shared")
+        a = a.join(first, ["src_group", "dst_group"]).withColumn("turn", F.pmod(F.col("j") + 7919 * round_, F.col("shared"))).drop("shared")
+        a = a.join(w.shared.drop("shared"), ["src_group", "dst_group", "turn"]).withColumn("i", pick(F.col("us"), F.col("ks")))
         a = _member(a, w, "src", "src_group", "i", "community").drop("i", "ks", "turn")
         step = F.when(F.col("ub") < bridge / 2, -1).when(F.col("ub") < bridge, 1).otherwise(0)
         a = a.withColumn("there", F.pmod(F.col("community") + step, F.lit(w.communities)).cast("int"))
@@ -138,14 +168,26 @@ def propose(w: World, edges: DataFrame, mode: str, round_: int, attachment: floa
     return _member(a, w, "dst", "dst_group", "i", "there").select("src", "dst", "src_group", "dst_group", "u")
 
 
-def popularity(w: World, edges: DataFrame, fraction: float) -> DataFrame:
-    """(there, dst_group, p, dst): one numbered entry for each edge whose
-    destination becomes more popular (with probability 1 - fraction, twice)."""
-    m = w.members.select(F.col("node_id").alias("dst"), F.col("community").alias("there"))
+def popularity(w: World, edges: DataFrame, fraction: float, scope: str = "local") -> DataFrame:
+    """(there, dst_group, p, dst): numbered entries for destinations that become
+    more popular.
+
+    local: an edge's destination once in its own community, with probability
+    1 - fraction, twice. global: with probability 1 - fraction, and then
+    ``fraction``, once in a random community that has the group.
+    """
+    if scope not in ("local", "global"):
+        raise ValueError(f"unknown scope: {scope}")
     u, v = uniform(w.seed, "push", "src", "dst"), uniform(w.seed, "push2", "src", "dst")
-    e = edges.where((u > fraction) & (v > fraction)).join(m, "dst")
-    p = F.row_number().over(Window.partitionBy("there", "dst_group").orderBy(u, "src", "dst")) - 1
-    return e.select("there", "dst_group", p.cast("long").alias("p"), "dst")
+    if scope == "local":
+        m = w.members.select(F.col("node_id").alias("dst"), F.col("community").alias("there"))
+        e = edges.where((u > fraction) & (v > fraction)).join(m, "dst")
+    else:
+        by = Window.partitionBy("group_id")
+        pools = w.comp.select(F.col("group_id").alias("dst_group"), F.col("community").alias("there"), (F.row_number().over(by.orderBy("community")) - 1).cast("long").alias("t"), F.count("*").over(by).alias("pools"))
+        e = edges.where((u > fraction) & (v < fraction)).join(pools.where("t = 0").select("dst_group", "pools"), "dst_group")
+        e = e.withColumn("t", pick(uniform(w.seed, "pool", "src", "dst"), F.col("pools"))).join(pools.drop("pools"), ["dst_group", "t"])
+    return numbered(e.select("src", "dst", "there", "dst_group"), ["there", "dst_group"], u, ["src", "dst"], "p", 256).select("there", "dst_group", "p", "dst")
 
 
 def reciprocal(new: DataFrame, probability: float, seed: int) -> DataFrame:
@@ -157,7 +199,7 @@ def reciprocal(new: DataFrame, probability: float, seed: int) -> DataFrame:
 def closing(w: World, new: DataFrame, edges: DataFrame, inside: float, outside: float) -> DataFrame:
     """For each new edge s to d and neighbour n of d: s to n, with a probability
     that depends on whether d and n share a community."""
-    near = edges.select(F.col("src").alias("dst"), F.col("dst").alias("n")).union(edges.select("dst", F.col("src").alias("n"))).distinct()
+    near = edges.select(F.col("src").alias("dst"), F.col("dst").alias("n")).union(edges.select("dst", F.col("src").alias("n")))
     p = F.when(F.col("cd") == F.col("cn"), float(inside)).otherwise(float(outside))
     m = w.members
     c = new.select("src", "dst", "src_group").join(near, "dst").where("n <> src")
@@ -179,30 +221,33 @@ def grow(
     reciprocity: float,
     closure: tuple[float, float],
     bridge: float,
+    scope: str = "local",
 ) -> DataFrame:
     """Edges after the schedule's (phase, mode, rounds); a phase ends early when a round accepts nothing."""
     fraction = 1.0 - attachment
     derived = reciprocity > 0 or max(closure) > 0
+    g = begin(w, edges)
     for phase, mode, rounds in schedule:
         for r in range(rounds + 3 if derived and phase == "A" else rounds):
+            if g.need.isEmpty():
+                break
             # Where edges lead to others, a round takes part of the need, so that these find room.
             share = 0.35 if derived and phase == "A" else 1.0
-            pool = popularity(w, edges, fraction) if mode == "community" and attachment > 0 else None
-            new = stored(accept(w, propose(w, edges, mode, r, attachment, bridge, pool), edges, share), "accepted")
+            pool = popularity(w, g.edges, fraction, scope) if mode == "community" and attachment > 0 else None
+            new = stored(accept(propose(w, g.need, mode, r, attachment, bridge, pool), g, share), "accepted")
             if new.isEmpty():
                 break
-            grown = edges.unionByName(tagged(new, "primary", phase, r))
-            extra = [(reciprocal(new, reciprocity, w.seed), "reciprocal")] if reciprocity > 0 else []
+            before = g.edges
+            g.add(tagged(new, "primary", phase, r))
+            if reciprocity > 0:
+                g.add(tagged(stored(accept(reciprocal(new, reciprocity, w.seed), g), "reciprocal"), "reciprocal", phase, r))
             if max(closure) > 0:
-                extra.append((closing(w, new, edges, *closure), "closing"))
-            for candidates, name in extra:
-                more = stored(accept(w, candidates, grown), name)
-                grown = grown.unionByName(tagged(more, name, phase, r))
-                if name == "closing" and reciprocity > 0:
-                    back = stored(accept(w, reciprocal(more, reciprocity, w.seed), grown), "back")
-                    grown = grown.unionByName(tagged(back, "reciprocal", phase, r))
-            edges = stored(grown, "edges")
-    return edges
+                more = stored(accept(closing(w, new, before, *closure), g), "closing")
+                g.add(tagged(more, "closing", phase, r))
+                if reciprocity > 0:
+                    g.add(tagged(stored(accept(reciprocal(more, reciprocity, w.seed), g), "back"), "reciprocal", phase, r))
+            g.settle()
+    return stored(g.edges, "edges")
 
 
 def no_edges(like: World) -> DataFrame:
@@ -233,19 +278,9 @@ def diagnostics(edges: DataFrame) -> DataFrame:
 
 
 def sample_edges(edges: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """floor(fraction * E) edges with the smallest numbers, by a threshold and
-    an exact cut of the few edges that share it."""
-    n = int(fraction * edges.count())
-    if n <= 0:
-        return edges.limit(0)
-    u = edges.select("src", "dst").withColumn("u", uniform(seed, "sample", "src", "dst"))
-    bucket = F.floor(F.col("u") * 65536).cast("int")
-    upto = F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hist = u.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).withColumn("upto", upto)
-    edge = hist.where(F.col("upto") >= n).agg(F.min(F.struct("b", "upto", "k")).alias("e")).select("e.*").first()
-    rest = n - (edge.upto - edge.k)
-    inside = u.where(bucket < edge.b).select("src", "dst")
-    return inside.unionByName(u.where(bucket == edge.b).orderBy("u", "src", "dst").limit(rest).select("src", "dst"))
+    """floor(fraction * E) edges with the smallest numbers."""
+    e = edges.select("src", "dst")
+    return smallest(e, uniform(seed, "sample", "src", "dst"), int(fraction * edges.count()), ["src", "dst"])
 
 
 def combine_layers(layers: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform
+from popweave.operators.sampling import smallest
 from popweave.sources.scratch import stored
 
 
@@ -141,7 +142,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = N
     links are symmetric, so rounds run into one of the two. ``rounds`` stops earlier.
     """
     pairs = stored(undirected(edges).select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("p")).select("p.*"), "pairs")
-    labels = stored(nodes.select("node_id", F.col("node_id").alias("community"), F.lit(None).cast("long").alias("was")), "labels")
+    labels = stored(nodes.select("node_id", F.col("node_id").alias("community"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("was")), "labels")
     done = 0
     while rounds is None or done < rounds:
         labels = labels.withColumnRenamed("was", "before")
@@ -178,7 +179,7 @@ def path_sources(nodes: DataFrame, edges: DataFrame, exact_below: int = 1000, sa
     """Sources (node_id) of path lengths: below ``exact_below`` nodes all of the
     largest weak component (the smaller label if equal), else ``sample`` drawn nodes."""
     if nodes.count() >= exact_below:
-        return stored(nodes.select("node_id").orderBy(uniform(seed, "source", "node_id"), "node_id").limit(sample), "sources")
+        return stored(smallest(nodes.select("node_id"), uniform(seed, "source", "node_id"), sample, ["node_id"]), "sources")
     c = stored(components(nodes, edges), "components")
     largest = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return c.join(largest, "component", "left_semi").select("node_id")
@@ -231,10 +232,32 @@ def metric_bundle(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Dat
 
 
 def network_table(edges: DataFrame) -> DataFrame:
-    """Per network (edges with a column network), in one job: n_nodes with an
-    edge, n_edges, mean_degree, degree_skew (population) and reciprocity."""
+    """Per network (edges with a column network), all networks in the same jobs:
+    n_nodes with an edge, n_edges, mean_degree, degree_skew (population),
+    reciprocity, clustering (transitivity of the undirected graph) and modularity
+    (of label propagation's communities)."""
     ends = edges.select("network", F.explode(F.array("src", "dst")).alias("node_id")).groupBy("network", "node_id").agg(F.count("*").cast("double").alias("k"))
     d = ends.groupBy("network").agg(F.count("*").alias("n_nodes"), F.avg("k").alias("mean_degree"), F.skewness("k").alias("degree_skew"))
     back = edges.select("network", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back")).distinct()
     r = edges.join(back, ["network", "src", "dst"], "left").groupBy("network").agg(F.count("*").alias("n_edges"), F.avg(F.coalesce("back", F.lit(0))).alias("reciprocity"))
-    return d.join(r, "network")
+    # A node of one network is another one in the next: ids carry the network.
+    of = lambda end: F.struct("network", F.col(end).alias("id")).alias(end)
+    keyed = stored(edges.select(of("src"), of("dst")), "networks")
+    pairs = undirected(keyed)
+    k = pairs.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("k"))
+    triples = k.groupBy(F.col("x.network").alias("network")).agg(F.sum(F.expr("k * (k - 1) div 2")).alias("triples"))
+    closed = triangles(pairs).groupBy(F.col("u.network").alias("network")).agg(F.count("*").alias("triangles"))
+    c = triples.join(closed, "network", "left").select("network", F.when(F.col("triples") > 0, 3 * F.coalesce("triangles", F.lit(0)) / F.col("triples")).otherwise(0.0).alias("clustering"))
+    nodes = ends.select(F.struct("network", F.col("node_id").alias("id")).alias("node_id"))
+    return d.join(r, "network").join(c, "network").join(network_modularity(pairs, label_propagation(nodes, keyed)), "network")
+
+
+def network_modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """(network, modularity) of undirected pairs whose ids carry their network."""
+    side = lambda end: membership.select(F.col("node_id").alias(end), F.col("community").alias(f"c{end}"))
+    e = pairs.join(side("u"), "u").join(side("v"), "v").select(F.col("u.network").alias("network"), "cu", "cv")
+    ends = e.select("network", F.explode(F.array("cu", "cv")).alias("c")).groupBy("network", "c").agg(F.count("*").alias("d"))
+    squares = ends.groupBy("network").agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("dd"))
+    total = e.groupBy("network").agg(F.count("*").alias("m"), F.count_if(F.col("cu") == F.col("cv")).alias("inside"))
+    q = F.col("inside") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))
+    return total.join(squares, "network").select("network", q.alias("modularity"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform
 from popweave.operators.metrics import degrees
+from popweave.operators.sampling import numbered, smallest
+from popweave.sources.scratch import stored
 
 
 def expected_edges(blocks: DataFrame, probabilities: DataFrame) -> DataFrame:
@@ -33,8 +35,7 @@ def stochastic_blocks(nodes: DataFrame, probabilities: DataFrame, seed: int = 42
     drawn is turned into a pair of members by an equi-join. Slots are cut in
     strips of about STRIP expected edges, which start anew by independence.
     """
-    idx = F.row_number().over(Window.partitionBy("block").orderBy("node_id")) - 1
-    m = nodes.select("node_id", "block", idx.cast("long").alias("idx"))
+    m = stored(numbered(nodes.select("node_id", "block"), ["block"], uniform(seed, "member", "node_id"), ["node_id"], "idx"), "members")
     sizes = m.groupBy("block").agg(F.count("*").alias("n"))
     a = sizes.select(F.col("block").alias("i"), F.col("n").alias("ni"))
     b = sizes.select(F.col("block").alias("j"), F.col("n").alias("nj"))
@@ -73,7 +74,7 @@ def symmetric(pairs: DataFrame) -> DataFrame:
 
 def induced_sample(nodes: DataFrame, probabilities: DataFrame, m: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """m nodes by their numbers, and a block model on them."""
-    chosen = nodes.withColumn("u", uniform(seed, "induce", "node_id")).orderBy("u", "node_id").limit(m).drop("u")
+    chosen = stored(smallest(nodes, uniform(seed, "induce", "node_id"), m, ["node_id"]), "chosen")
     return chosen, stochastic_blocks(chosen, probabilities, seed)
 
 
@@ -85,6 +86,85 @@ def random_graph(nodes: DataFrame, mean_degree: float, seed: int = 42) -> DataFr
     return stochastic_blocks(nodes.select("node_id", F.lit(0).alias("block")), one, seed)
 
 
+def _pair_of(slot: Column) -> tuple[Column, Column]:
+    """Row and column of a slot of the triangle below the diagonal: slot 0 is (1, 0)."""
+    row = F.floor((1 + F.sqrt(1.0 + 8.0 * slot)) / 2).cast("long")
+    row = F.when(F.expr("1L") * row * (row - 1) / 2 > slot, row - 1).otherwise(row)
+    return row, slot - (row * (row - 1) / 2).cast("long")
+
+
+def _first_draws(spark: SparkSession, make: Callable[[DataFrame], DataFrame], need: int, seed_rows: int = 64) -> DataFrame:
+    """The ``need`` pairs (u, v) that turn up first among numbered draws.
+
+    ``make`` turns draws (id) into pairs (u, v, id), leaving out what doesn't
+    count. Draws are quadrupled until there are enough, up to 100 for each pair.
+    """
+    tries = 2 * need + seed_rows
+    while True:
+        found = stored(make(spark.range(tries)).where("u <> v").groupBy("u", "v").agg(F.min("id").alias("id")), "draws")
+        if tries >= 100 * need + seed_rows or found.count() >= need:
+            return smallest(found, F.col("id") / float(tries), need, ["id"]).select("u", "v")
+        tries = min(4 * tries, 100 * need + seed_rows)
+
+
+def fixed_size_graph(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFrame:
+    """(u, v), u < v: ``m`` different pairs of 0..n-1, uniformly (all if there are fewer).
+
+    A sparse graph takes the slots that random draws hit first; where a quarter of
+    all pairs or more is wanted, slots are numbered themselves.
+    """
+    total = n * (n - 1) // 2
+    m = min(m, total)
+    if total < 4 * m:
+        slots = smallest(spark.range(total).toDF("slot"), uniform(seed, "slot", "slot"), m, ["slot"])
+        row, column = _pair_of(F.col("slot"))
+        return slots.select(column.alias("u"), row.alias("v"))
+
+    def make(draws: DataFrame) -> DataFrame:
+        row, column = _pair_of(F.col("slot"))
+        return draws.select("id", F.least(F.floor(uniform(seed, "slot", "id") * total), F.lit(total - 1)).cast("long").alias("slot")).select(column.alias("u"), row.alias("v"), "id")
+
+    return _first_draws(spark, make, m)
+
+
+def fit_edge_count(pairs: DataFrame, n: int, m: int, seed: int = 42) -> DataFrame:
+    """``pairs`` with random ones added or taken away until there are ``m``."""
+    have = pairs.count()
+    if have >= m:
+        return smallest(pairs, uniform(seed, "drop", "u", "v"), m, ["u", "v"])
+    more = fixed_size_graph(pairs.sparkSession, n, min(m + have, n * (n - 1) // 2), seed).join(pairs, ["u", "v"], "left_anti")
+    return pairs.unionByName(smallest(more, uniform(seed, "add", "u", "v"), m - have, ["u", "v"]))
+
+
+def accept_reject_graph(spark: SparkSession, n: int, groups: int, m: int, same: float = 0.8, different: float = 0.1, seed: int = 42) -> DataFrame:
+    """(u, v): random pairs of 0..n-1, kept with probability ``same`` within one of
+    the equal blocks of ids and ``different`` across, until there are ``m``."""
+    block = lambda x: F.least(F.floor(F.col(x) / (n // groups)), F.lit(groups - 1))
+
+    def make(draws: DataFrame) -> DataFrame:
+        a, b = (F.floor(uniform(seed, f"accept/{x}", "id") * n).cast("long") for x in "ab")
+        d = draws.select("id", a.alias("a"), b.alias("b"))
+        keep = uniform(seed, "accept/keep", "id") < F.when(block("a") == block("b"), same).otherwise(different)
+        return d.where(keep).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "id")
+
+    return _first_draws(spark, make, m)
+
+
+def core_periphery(spark: SparkSession, n: int, core: int = 8, inside: float = 0.6, outside: float = 0.1, seed: int = 42) -> DataFrame:
+    """(u, v), u < v, of a demo graph: a dense core, everyone else linked to two or
+    three of the core, and few links among the others.
+
+    The others are a block model, so work follows the edges.
+    """
+    ids = spark.range(n).toDF("node_id")
+    block = F.when(F.col("node_id") < core, 0).otherwise(1).alias("block")
+    p = spark.createDataFrame([(0, 0, inside), (1, 1, outside)], "i int, j int, p double")
+    e = stochastic_blocks(ids.select("node_id", block), p, seed)
+    rim = ids.where(F.col("node_id") >= core).withColumn("links", F.when(uniform(seed, "links", "node_id") < 0.5, 2).otherwise(3))
+    ends = rim.crossJoin(F.broadcast(spark.range(core).toDF("u"))).withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(uniform(seed, "core", "node_id", "u"), "u")))
+    return e.unionByName(ends.where(F.col("r") <= F.col("links")).select("u", F.col("node_id").alias("v")))
+
+
 def block_statistics(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: density, degree mean, std, min, max, and the share of pairs within blocks."""
     d = degrees(nodes, pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
@@ -120,8 +200,6 @@ def scale_free(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFrame
     whom link number t copies is a fixed number, so chains of copies resolve by
     pointer jumping instead of one newcomer at a time.
     """
-    from popweave.sources.scratch import stored
-
     # Link t = v * m + i of newcomer v; ends 2t (source) and 2t + 1 (destination).
     t = spark.range(m * m, n * m).select(F.col("id").alias("t"), F.floor(F.col("id") / m).alias("v"))
     first = m * m
@@ -140,14 +218,43 @@ def scale_free(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFrame
 
 
 def homophily_graph(nodes: DataFrame, n_edges: int, strength: float, seed: int = 42) -> DataFrame:
-    """(u, v): draws of random pairs, kept with ``strength`` inside a block and
-    1 - strength across, until about ``n_edges``."""
-    m = nodes.select("node_id", "block", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("i"))
-    n = nodes.count()
-    tries = nodes.sparkSession.range(int(n_edges * 2 / max(min(strength, 1 - strength) + 0.5, 0.1)) + 16)
-    d = tries.select("id", F.floor(uniform(seed, "a", "id") * n).alias("i"), F.floor(uniform(seed, "b", "id") * n).alias("k"))
-    d = d.join(m, "i").withColumnRenamed("node_id", "a").withColumnRenamed("block", "ba").drop("i")
-    d = d.join(m.select(F.col("i").alias("k"), F.col("node_id").alias("b"), F.col("block").alias("bb")), "k").where("a <> b")
-    keep = uniform(seed, "keep", "id") < F.when(F.col("ba") == F.col("bb"), strength).otherwise(1 - strength)
-    e = d.where(keep).groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("id").alias("id"))
-    return e.orderBy("id").limit(n_edges).select("u", "v")
+    """(u, v): int(strength * n_edges) pairs within blocks (a random block, then two
+    of its members), the rest across, and random pairs for what these leave open.
+
+    nodes (node_id, block). Draws stop at 100 for each wanted pair.
+    """
+    spark = nodes.sparkSession
+    m = stored(numbered(nodes.select("node_id", "block"), ["block"], uniform(seed, "member", "node_id"), ["node_id"], "i"), "members")
+    sizes = stored(m.groupBy("block").agg(F.count("*").alias("n")).withColumn("k", (F.row_number().over(Window.orderBy("block")) - 1).cast("long")), "sizes")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    everyone = stored(m.join(F.broadcast(sizes.select("block", before.alias("first"))), "block").select((F.col("i") + F.col("first")).alias("g"), "node_id", "block"), "everyone")
+    total, blocks = everyone.count(), sizes.count()
+    inside_need = int(n_edges * strength)
+    pick = lambda stream, size: F.least(F.floor(uniform(seed, stream, "id") * size), size - 1).cast("long")
+
+    def inside(draws: DataFrame) -> DataFrame:
+        d = draws.select("id", pick("block", F.lit(blocks)).alias("k")).join(F.broadcast(sizes), "k")
+        d = d.select("id", "block", pick("in/a", F.col("n")).alias("x"), pick("in/b", F.col("n")).alias("y"))
+        a, b = (m.select("block", F.col("i").alias(x), F.col("node_id").alias(out)) for x, out in (("x", "a"), ("y", "b")))
+        return d.join(a, ["block", "x"]).join(b, ["block", "y"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "id")
+
+    def anywhere(stream: str, across: bool) -> Callable[[DataFrame], DataFrame]:
+        def make(draws: DataFrame) -> DataFrame:
+            d = draws.select("id", pick(f"{stream}/a", F.lit(total)).alias("x"), pick(f"{stream}/b", F.lit(total)).alias("y"))
+            a, b = (everyone.select(F.col("g").alias(x), F.col("node_id").alias(out), F.col("block").alias(f"b{out}")) for x, out in (("x", "a"), ("y", "b")))
+            both = d.join(a, "x").join(b, "y")
+            both = both.where("ba <> bb") if across else both
+            return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "id")
+
+        return make
+
+    e = _first_draws(spark, inside, inside_need) if inside_need and total else None
+    if total and n_edges > inside_need and blocks > 1:
+        other = _first_draws(spark, anywhere("out", True), n_edges - inside_need)
+        e = other if e is None else e.unionByName(other)
+    e = stored(e if e is not None else everyone.limit(0).select(F.col("node_id").alias("u"), F.col("node_id").alias("v")), "edges")
+    short = min(n_edges, total * (total - 1) // 2) - e.count()
+    if short <= 0:
+        return e
+    fill = _first_draws(spark, lambda d: anywhere("fill", False)(d).join(e, ["u", "v"], "left_anti"), short)
+    return e.unionByName(fill)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popweave.functions import distributions as dist
-from popweave.functions.rng import pick, uniform
+from popweave.functions.rng import four_uniforms, pick
 
 
 def parse_runs(text: str) -> Column:
@@ -82,7 +82,8 @@ def variance_split(cells: DataFrame, by: Sequence[str], mean: str, variance: str
 
 
 def regression(points: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
-    """Least squares of y on x and on ln x in each cell: slope, intercept, r2, t (null below three points)."""
+    """Least squares of y on x and on ln x in each cell: slope, intercept and r2 of
+    both, and t of the first (null below three points)."""
     logx = F.when(F.col(x) > 0, F.log(x))
     n = F.regr_count(y, x)
     g = points.groupBy(*by).agg(
@@ -91,6 +92,7 @@ def regression(points: DataFrame, by: Sequence[str], y: str, x: str) -> DataFram
         F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r2"),
         F.regr_slope(F.col(y), logx).alias("log_slope"),
+        F.regr_intercept(F.col(y), logx).alias("log_intercept"),
         F.regr_r2(F.col(y), logx).alias("log_r2"),
     )
     t = F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
@@ -156,12 +158,14 @@ def equal_width_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
 def bootstrap_variance(runs: DataFrame, by: Sequence[str], index: str, value: str, samples: int = 200, seed: int = 42) -> DataFrame:
     """2.5 and 97.5 percentiles of the sample variance over resamples.
 
-    ``index`` numbers the runs of a cell from 0. Draw k of a resample is a
-    counter-based index, joined back to its run.
+    ``index`` numbers the runs of a cell from 0. A draw is a counter-based index,
+    joined back to its run.
     """
     n = runs.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = n.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_b")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-    drawn = draws.withColumn(index, pick(uniform(seed, "boot", *by, "_b", "_k"), F.col("_n")))
+    blocks = n.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_b")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / 4))).alias("_q"))
+    # One digest gives four draws of 32 bits.
+    u = F.transform(four_uniforms(seed, "boot", *by, "_b", "_q"), lambda x: pick(x, F.col("_n")))
+    drawn = blocks.select(*by, "_n", "_b", "_q", F.posexplode(u).alias("_j", index)).where(F.col("_q") * 4 + F.col("_j") < F.col("_n"))
     v = drawn.join(runs, [*by, index]).groupBy(*by, "_b").agg(F.var_samp(value).alias("_v"))
     return v.groupBy(*by).agg(F.percentile("_v", F.lit(0.025)).alias("low"), F.percentile("_v", F.lit(0.975)).alias("high"))
 
@@ -201,14 +205,15 @@ def anova(runs: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def pairwise_t(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """Every pair of groups: pooled t, p, Bonferroni p and Cohen's d."""
+    """Every pair of groups: pooled t, p, Bonferroni p, and Cohen's d (over the root of the mean variance)."""
     g = runs.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     a, b = (g.select(F.col(group).alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
     p = a.join(b, F.col("a") < F.col("b"))
     df = F.col("n_a") + F.col("n_b") - 2
     pooled = ((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / df
-    d = (F.col("m_a") - F.col("m_b")) / F.sqrt(pooled)
-    t = d / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))
+    gap = F.col("m_a") - F.col("m_b")
+    d = gap / F.sqrt((F.col("v_a") + F.col("v_b")) / 2)
+    t = gap / F.sqrt(pooled) / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))
     out = _with(p.select("a", "b", t.alias("t"), df.cast("double").alias("df"), d.alias("cohen_d")), {"p": (("t", "df"), dist.t_two_sided)})
     return out.withColumn("p_bonferroni", F.least(F.col("p") * F.count("*").over(Window.partitionBy()), F.lit(1.0)))
 
@@ -231,6 +236,47 @@ def mann_whitney(runs: DataFrame, group: str, value: str) -> DataFrame:
     return _with(s.select("a", "b", u.alias("u"), (2 * u / (n1 * n2) - 1).alias("rank_biserial"), F.greatest(z, F.lit(0.0)).alias("z")), {"p": (("z",), dist.normal_two_sided)})
 
 
+def between_map(cells: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
+    """(by, std, rank): per point of the parameter space the sample deviation of the
+    groups' means, the largest first."""
+    m = cells.groupBy(*by, group).agg(F.avg(value).alias("m")).groupBy(*by).agg(F.stddev_samp("m").alias("std"))
+    return m.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("std"), *by)))
+
+
+def profile_correlations(cells: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
+    """(a, b, correlation) of every two groups' profiles over the points that both have."""
+    p = cells.groupBy(*by, group).agg(F.avg(value).alias("y"))
+    a, b = (p.select(*by, F.col(group).alias(x), F.col("y").alias(f"y_{x}")) for x in "ab")
+    return a.join(b, list(by)).groupBy("a", "b").agg(F.corr("y_a", "y_b").alias("correlation"))
+
+
+def ward_linkage(cells: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
+    """(step, left, right, distance, size): Ward's merges of the groups' profiles.
+
+    Groups are numbered in their order from 0, merged ones go on from there. Only
+    the groups' mutual squared distances come to the driver (a row for each two).
+    """
+    p = cells.groupBy(*by, group).agg(F.avg(value).alias("y"))
+    a, b = (p.select(*by, F.col(group).alias(x), F.col("y").alias(f"y_{x}")) for x in "ab")
+    d = a.join(b, list(by)).where("a < b").groupBy("a", "b").agg(F.sum(F.pow(F.col("y_a") - F.col("y_b"), F.lit(2.0))).alias("d")).collect()
+    names = sorted(r[group] for r in p.select(group).distinct().collect())
+    at = {n: i for i, n in enumerate(names)}
+    gap = {frozenset((at[r.a], at[r.b])): r.d for r in d}
+    size = dict.fromkeys(range(len(names)), 1)
+    rows = []
+    while len(size) > 1:
+        near, x, y = min((gap[frozenset((i, j))], i, j) for i in size for j in size if i < j)
+        new, n = len(names) + len(rows), size[x] + size[y]
+        for k in size:
+            if k not in (x, y):
+                total = n + size[k]
+                gap[frozenset((new, k))] = ((size[x] + size[k]) * gap[frozenset((x, k))] + (size[y] + size[k]) * gap[frozenset((y, k))] - size[k] * near) / total
+        del size[x], size[y]
+        size[new] = n
+        rows.append((len(rows), x, y, near**0.5, n))
+    return cells.sparkSession.createDataFrame(rows, "step int, left int, right int, distance double, size int")
+
+
 def kruskal(runs: DataFrame, group: str, value: str) -> DataFrame:
     """One row: H with ties corrected, its degrees of freedom and p.
 

@@ -19,13 +19,26 @@ def one_at_a_time(spark: SparkSession, baseline: dict[str, float], ranges: dict[
     return spark.createDataFrame(rows, "sample_id long, param string, setting double, " + ", ".join(f"{p} double" for p in baseline))
 
 
-def finite_differences(samples: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Adds slope (central, one-sided at the ends) and elasticity slope * x / y (null at y = 0)."""
-    w = Window.partitionBy(*by).orderBy(x)
-    x0, x1 = F.coalesce(F.lag(x).over(w), F.col(x)), F.coalesce(F.lead(x).over(w), F.col(x))
-    y0, y1 = F.coalesce(F.lag(y).over(w), F.col(y)), F.coalesce(F.lead(y).over(w), F.col(y))
-    s = samples.withColumn("slope", F.when(x1 != x0, (y1 - y0) / (x1 - x0)))
-    return s.withColumn("elasticity", F.when(F.col(y) != 0, F.col("slope") * F.col(x) / F.col(y)))
+def finite_differences(samples: DataFrame, by: Sequence[str], x: str, y: str, method: str = "central", baseline: int | None = None) -> DataFrame:
+    """slope and elasticity at the inner points of each curve.
+
+    ``method`` is "central" or "forward"; slopes without a step are 0. The
+    elasticity is always central, scaled by x / y of the point number
+    ``baseline`` (the middle one if not given; null where its y is 0).
+    """
+    if method not in ("central", "forward"):
+        raise ValueError(f"unknown method: {method}")
+    whole = Window.partitionBy(*by)
+    w = whole.orderBy(x)
+    s = samples.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole), "_x0": F.lag(x).over(w), "_y0": F.lag(y).over(w), "_x1": F.lead(x).over(w), "_y1": F.lead(y).over(w)})
+    middle = F.floor(F.col("_n") / 2) if baseline is None else F.lit(baseline)
+    at = F.col("_i") == middle
+    s = s.withColumns({"_bx": F.max(F.when(at, F.col(x))).over(whole), "_by": F.max(F.when(at, F.col(y))).over(whole)})
+    ratio = lambda dy, dx: F.when(dx != 0, dy / dx).otherwise(0.0)
+    central = ratio(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0"))
+    slope = central if method == "central" else ratio(F.col("_y1") - F.col(y), F.col("_x1") - F.col(x))
+    s = s.withColumns({"slope": slope, "elasticity": F.when(F.col("_by") != 0, F.col("_bx") / F.col("_by") * central)})
+    return s.where((F.col("_i") > 0) & (F.col("_i") < F.col("_n") - 1)).drop("_i", "_n", "_x0", "_y0", "_x1", "_y1", "_bx", "_by")
 
 
 def sensitivity_summary(differences: DataFrame, by: Sequence[str]) -> DataFrame:

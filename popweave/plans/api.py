@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from popweave.operators import communities as com
 from popweave.operators import edges as ed
 from popweave.operators import population, targets
+from popweave.sources import tables
 from popweave.sources.scratch import stored
 
 
@@ -79,6 +80,13 @@ def create_communities(
     return a
 
 
+def community_file(nodes: DataFrame, path: str) -> DataFrame:
+    """(node_id, group_id, community) of the nodes that a community file names."""
+    spark = nodes.sparkSession
+    a = tables.read_assignment(spark, path) if path.rstrip("/").endswith(".json") else spark.read.parquet(path).select("node_id", "community")
+    return nodes.select("node_id", "group_id").join(a, "node_id")
+
+
 def generate(
     pops: DataFrame,
     links: DataFrame,
@@ -87,7 +95,7 @@ def generate(
     reciprocity: float = 0.0,
     transitivity: float = 0.0,
     number_of_communities: int = 1,
-    assignment: DataFrame | None = None,
+    assignment: DataFrame | str | None = None,
     pop_column: str = "n",
     src_suffix: str = "_src",
     dst_suffix: str = "_dst",
@@ -99,16 +107,24 @@ def generate(
     internal_transitivity: float | None = None,
     external_transitivity: float | None = None,
     refine_moves: int = 0,
+    pa_scope: str = "local",
+    base_path: str | None = None,
     seed: int = 42,
 ) -> Network:
     """A directed graph whose group-pair counts meet scaled link targets.
 
     Pass ``assignment`` (node_id, group_id, community) for communities made
-    before, or a number to deal people out. Same arguments and seed, same graph.
+    before, the path of a community file (Parquet, or JSON if it ends so, as
+    ``sinks.write_assignment`` makes both; people whom it leaves out are left
+    out), or a number to deal people out. ``pa_scope`` says whether popularity
+    stays in a community. With ``base_path`` the graph is written there. Same
+    arguments and seed, same graph.
     """
     g, nodes = people(pops, scale, pop_column)
     names = population.characteristics(pops, pop_column)
     t = group_targets(links, g, names, scale, src_suffix, dst_suffix, link_column)
+    if isinstance(assignment, str):
+        assignment = community_file(nodes, assignment)
     a = assignment if assignment is not None else create_communities(nodes, g, t, names, number_of_communities, refine_moves=refine_moves, seed=seed)
     w = ed.world(a, t, seed)
     start = ed.no_edges(w)
@@ -121,8 +137,11 @@ def generate(
     schedule = [("A", "community", 3)] + ([("B", "ring", 3)] if w.communities > 1 else [])
     if fill_unfulfilled:
         schedule += [("fill", "own", 3), ("fill", "any", 10)]
-    edges = ed.grow(w, stored(start, "edges"), schedule, preferential_attachment, reciprocity, closure, bridge_probability)
-    return Network(nodes.join(a.select("node_id", "community"), "node_id"), edges, g, t)
+    edges = ed.grow(w, stored(start, "edges"), schedule, preferential_attachment, reciprocity, closure, bridge_probability, pa_scope)
+    made = Network(nodes.join(a.select("node_id", "community"), "node_id"), edges, g, t)
+    if base_path is not None:
+        made.write(base_path)
+    return made
 
 
 def generate_multiplex(pops: DataFrame, layers: dict[str, DataFrame], households: int, larger: int, scale: float = 1.0, kept_share: float = 0.3, seed: int = 42, **options) -> dict[str, Network]:

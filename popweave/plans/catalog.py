@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform_sql
-from popweave.operators import composition, contagion, metrics, outcomes, population, sensitivity, targets
+from popweave.operators import analysis, composition, contagion, metrics, outcomes, population, sensitivity, targets
 from popweave.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,6 +323,16 @@ def m4_local_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.local_clustering(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)))
 
 
+@query(
+    f"{UNDIRECTED}, t AS (SELECT x, count(*) AS t FROM (SELECT u AS x FROM tri UNION ALL SELECT v FROM tri UNION ALL SELECT w FROM tri) GROUP BY x)"
+    " SELECT round(avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END), 6) AS clustering, round(avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) END), 6) AS of_linked FROM fx_nodes LEFT JOIN k ON x = node_id LEFT JOIN t USING (x)"
+)
+def m4_average_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)
+    both = metrics.average_clustering(n, e).crossJoin(metrics.average_clustering(n, e, skip_small=True).withColumnRenamed("clustering", "of_linked"))
+    return rounded(both)
+
+
 @query(" SELECT n AS n_nodes, e AS n_edges, round(e / (n * (n - 1)), 6) AS density, round(e / n, 6) AS mean_degree FROM (SELECT count(*) AS n FROM fx_nodes), (SELECT count(*) AS e FROM fx_edges)")
 def m5_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.density(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)))
@@ -339,86 +349,98 @@ def m6_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.modularity(fx.edges(spark, sf_dir), c))
 
 
-@query()
-def m6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.label_propagation(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
-
-
 @query(", o AS (SELECT src, count(*) AS o FROM fx_edges GROUP BY src), i AS (SELECT dst, count(*) AS i FROM fx_edges GROUP BY dst) SELECT round(corr(o, i), 6) AS assortativity FROM fx_edges JOIN o USING (src) JOIN i USING (dst)")
 def m7_assortativity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.assortativity(fx.edges(spark, sf_dir)))
 
 
-def _bfs_sql(rounds: int) -> str:
-    parts = [", d0 AS (SELECT node_id AS source, node_id, 0 AS distance FROM fx_nodes WHERE node_id IN (0, 7, 42))"]
-    for i in range(1, rounds + 1):
-        parts.append(f", d{i} AS (SELECT * FROM d{i - 1} UNION ALL SELECT DISTINCT d.source, e.dst, {i} FROM d{i - 1} d JOIN fx_edges e ON e.src = d.node_id WHERE d.distance = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} x WHERE x.source = d.source AND x.node_id = e.dst))")
-    return "".join(parts)
-
-
-@query(f"{_bfs_sql(12)} SELECT source, node_id, distance FROM d12")
-def m8_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.distances(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir).where(F.col("node_id").isin(0, 7, 42)), most=12)
+COMPONENTS = """, ce AS MATERIALIZED (SELECT src AS a, dst AS b FROM fx_edges UNION SELECT dst, src FROM fx_edges)""" + "".join(
+    f", l{i} AS MATERIALIZED ("
+    + (" SELECT node_id, node_id AS c FROM fx_nodes" if i == 0 else f" SELECT l.node_id, least(min(l.c), min(coalesce(m.c, l.c))) AS c FROM l{i - 1} l LEFT JOIN ce ON ce.a = l.node_id LEFT JOIN l{i - 1} m ON m.node_id = ce.b GROUP BY l.node_id")
+    + ")"
+    for i in range(16)
+)
+#: All of the largest component below 1000 nodes, else 100 drawn ones.
+SOURCES = f"""{COMPONENTS}, sources AS MATERIALIZED (
+  SELECT node_id FROM l15 WHERE (SELECT count(*) FROM fx_nodes) < 1000 AND c = (SELECT c FROM l15 GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)
+  UNION ALL (SELECT node_id FROM fx_nodes WHERE (SELECT count(*) FROM fx_nodes) >= 1000 ORDER BY {uniform_sql(42, "source", "node_id")}, node_id LIMIT 100))"""
 
 
-@query(f"{_bfs_sql(12)} SELECT round(avg(distance), 6) AS path_length, count(*) AS n_pairs FROM d12 WHERE distance > 0")
-def m8_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.average_path_length(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir).where(F.col("node_id").isin(0, 7, 42))))
+def _bfs_sql(rounds: int, sources: str = "sources") -> str:
+    parts = [f", d0 AS MATERIALIZED (SELECT node_id AS source, node_id, 0 AS distance FROM {sources})"]
+    for i in range(1, rounds + 1):
+        parts.append(f", d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT DISTINCT d.source, e.dst, {i} FROM d{i - 1} d JOIN fx_edges e ON e.src = d.node_id WHERE d.distance = {i - 1} AND NOT EXISTS (SELECT 1 FROM d{i - 1} x WHERE x.source = d.source AND x.node_id = e.dst))")
+    return "".join(parts)
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.path_sources(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
 
 
-@query()
-def m8_distances_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the sources of the survey's M8; the twin of m8_distances holds three."""
+@query(f"{SOURCES}{_bfs_sql(12)} SELECT source, node_id, distance FROM d12")
+def m8_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.distances(fx.edges(spark, sf_dir), _sources(spark, sf_dir))
 
 
-@query()
-def m8_path_length_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{SOURCES}{_bfs_sql(12)} SELECT round(avg(distance), 6) AS path_length, count(*) AS n_pairs FROM d12 WHERE distance > 0")
+def m8_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.average_path_length(fx.edges(spark, sf_dir), _sources(spark, sf_dir)))
 
 
-@query(
-    """, e AS (SELECT src AS a, dst AS b FROM fx_edges WHERE src % 40 = dst % 40 UNION SELECT dst, src FROM fx_edges WHERE src % 40 = dst % 40)"""
-    + "".join(f", l{i} AS (" + (" SELECT node_id, node_id AS c FROM fx_nodes" if i == 0 else f" SELECT l.node_id, least(min(l.c), min(coalesce(m.c, l.c))) AS c FROM l{i - 1} l LEFT JOIN e ON e.a = l.node_id LEFT JOIN l{i - 1} m ON m.node_id = e.b GROUP BY l.node_id") + ")" for i in range(16))
-    + " SELECT node_id, c AS component FROM l15"
-)
+@query(f"{COMPONENTS} SELECT node_id, c AS component FROM l15")
 def m9_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.components(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir).where("pmod(src, 40) = pmod(dst, 40)"))
-
-
-@query()
-def m9_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all edges; the twin of m9_components holds a fortieth of them."""
     return metrics.components(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
 
 
-@query(f"{_bfs_sql(12).replace('(0, 7, 42)', '(7)')}, kept AS (SELECT node_id FROM d12 ORDER BY distance, node_id LIMIT 60) SELECT src, dst FROM fx_edges WHERE src IN (SELECT node_id FROM kept) AND dst IN (SELECT node_id FROM kept)")
+@query(f"{_bfs_sql(12, '(SELECT 7 AS node_id)')}, kept AS (SELECT node_id FROM d12 ORDER BY distance, node_id LIMIT 60) SELECT src, dst FROM fx_edges WHERE src IN (SELECT node_id FROM kept) AND dst IN (SELECT node_id FROM kept)")
 def m10_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.extract_subgraph(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), 7, 60)
     assert found is not None
     return found[1]
 
 
-@query(" SELECT node_id, position FROM (SELECT node_id, node_id AS position FROM fx_nodes WHERE node_id % 3 = 0) WHERE node_id IN (SELECT src FROM fx_edges UNION SELECT dst FROM fx_edges) ORDER BY position LIMIT 50")
+@query(" SELECT node_id, node_id AS position FROM fx_nodes WHERE node_id IN (SELECT src FROM fx_edges UNION SELECT dst FROM fx_edges) ORDER BY position LIMIT 50")
 def m11_non_isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = fx.nodes(spark, sf_dir).where("node_id % 3 = 0").select("node_id", F.col("node_id").alias("position"))
+    wanted = fx.nodes(spark, sf_dir).select("node_id", F.col("node_id").alias("position"))
     return metrics.non_isolates(wanted, fx.edges(spark, sf_dir), 50)
 
 
-@query()
-def m11_non_isolates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all nodes; the twin of m11_non_isolates holds every third."""
-    wanted = fx.nodes(spark, sf_dir).select("node_id", F.col("node_id").alias("position"))
-    return metrics.non_isolates(wanted, fx.edges(spark, sf_dir), 50)
+def spread_sql(nodes: str, edges: str) -> str:
+    """Label propagation of nodes (network, node_id) over edges (network, src, dst), all networks in step."""
+    return f""", lp_pairs AS MATERIALIZED (SELECT network, src AS a, dst AS b FROM ({edges}) UNION SELECT network, dst, src FROM ({edges})),
+lp AS (
+  SELECT 0 AS r, network, node_id, node_id AS community, NULL::BIGINT AS was, NULL::BIGINT AS before, true AS moves FROM ({nodes})
+  UNION ALL
+  SELECT *, (count(*) FILTER (was <> community) OVER ()) > 0 AND (count(*) FILTER (before IS DISTINCT FROM community) OVER ()) > 0 FROM (
+    SELECT l.r + 1, l.network, l.node_id, best.b AS community, l.community AS was, l.was AS before
+    FROM lp l JOIN (
+      SELECT network, node_id, min(struct_pack(n := -n, b := community)).b AS b FROM (
+        SELECT network, node_id, community, count(*) AS n FROM (
+          SELECT p.network, p.a AS node_id, x.community FROM lp_pairs p JOIN lp x ON x.network = p.network AND x.node_id = p.b
+          UNION ALL SELECT network, node_id, community FROM lp) GROUP BY ALL) GROUP BY network, node_id) best USING (network, node_id)
+    WHERE l.moves)),
+spread AS MATERIALIZED (SELECT network, node_id, community FROM lp WHERE r = (SELECT max(r) FROM lp))
+"""
 
 
-@query()
+SPREAD = spread_sql("SELECT '' AS network, node_id FROM fx_nodes", "SELECT '' AS network, src, dst FROM fx_edges")
+
+
+@query(f"{SPREAD} SELECT node_id, community FROM spread")
+def m6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.label_propagation(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
+
+
+@query(
+    f"{SOURCES}{_bfs_sql(12)}{SPREAD}{DEGREES}{UNDIRECTED}, o2 AS (SELECT src, count(*) AS o FROM fx_edges GROUP BY src), i2 AS (SELECT dst, count(*) AS i FROM fx_edges GROUP BY dst), im AS (SELECT avg(in_degree) AS m, var_pop(in_degree) AS v FROM deg),"
+    " e AS (SELECT a.community AS cu, b.community AS cv FROM und JOIN spread a ON u = a.node_id JOIN spread b ON v = b.node_id), dd AS (SELECT c, count(*) AS d FROM (SELECT cu AS c FROM e UNION ALL SELECT cv FROM e) GROUP BY c)"
+    " SELECT (SELECT count(*) FROM fx_edges) AS n_edges, (SELECT round(avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1.0 END), 6) FROM fx_edges a LEFT JOIN fx_edges b ON b.src = a.dst AND b.dst = a.src) AS reciprocity,"
+    " (SELECT round(3 * (SELECT count(*) FROM tri) / sum(k * (k - 1) // 2), 6) FROM k) AS transitivity, (SELECT round(avg(distance), 6) FROM d12 WHERE distance > 0) AS path_length,"
+    " (SELECT round(avg(pow(in_degree - m, 3)) / pow(any_value(v), 1.5), 6) FROM deg, im) AS in_degree_skew, (SELECT round(corr(o, i), 6) FROM fx_edges JOIN o2 USING (src) JOIN i2 USING (dst)) AS assortativity,"
+    " (SELECT count(*) FROM dd) AS n_communities, (SELECT round(count(*) FILTER (cu = cv) / count(*) - (SELECT sum(d * d) FROM dd) / (4 * count(*) * count(*)), 6) FROM e) AS modularity"
+)
 def m12_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metric_bundle(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), _sources(spark, sf_dir))
+    return rounded(metrics.metric_bundle(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), _sources(spark, sf_dir)))
 
 
 # --- contagion ------------------------------------------------------------------
@@ -493,12 +515,22 @@ def x1_simple_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contagion.simple_contagion(fx.edges(spark, sf_dir), contagion.seed_random(configs, fx.nodes(spark, sf_dir), 20), max_steps=4)
 
 
-@query(f" SELECT node_id, round(CASE WHEN {uniform_sql(42, 'vulnerable', 'node_id')} < 0.25 THEN 0.02 ELSE 0.3 END, 6)::DOUBLE AS threshold FROM fx_nodes")
+HYBRID = f" SELECT node_id, (CASE WHEN row_number() OVER (ORDER BY {uniform_sql(42, 'vulnerable', 'node_id')}, node_id) <= floor(0.25 * count(*) OVER ()) THEN 0.02 ELSE 0.3 END)::DOUBLE AS threshold FROM fx_nodes"
+
+
+@query(HYBRID)
 def x4_hybrid_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contagion.thresholds_hybrid(fx.nodes(spark, sf_dir), 0.3, 0.02, 0.25)
 
 
-@query()
+@query(
+    f"{_seeds_sql('(0, 0::DOUBLE), (1, 0::DOUBLE)', 60)}, hy AS MATERIALIZED ({HYBRID}), k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (SELECT config, node_id, 0 AS step FROM seeds)"
+    + "".join(
+        f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT n.config, n.node_id, {i} FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN hy USING (node_id) WHERE n.n / k.k >= hy.threshold AND NOT EXISTS (SELECT 1 FROM a{i - 1} x WHERE x.config = n.config AND x.node_id = n.node_id))"
+        for i in range(1, 21)
+    )
+    + " SELECT config::BIGINT AS config, node_id, step FROM a20"
+)
 def x4_hybrid_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fx.nodes(spark, sf_dir)
     seeds = contagion.seed_random(_configs(spark, [0.0], 2), n, 60)
@@ -526,19 +558,79 @@ def x11_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CURVE = """, c AS (SELECT network, threshold_idx::DOUBLE AS x, avg(CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END) + threshold_idx * 0.2 AS y FROM fx_runs GROUP BY network, threshold_idx),
-s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY network ORDER BY x))
+w AS (SELECT network, list(x ORDER BY x) AS x, list(y ORDER BY x) AS y, count(*) AS n FROM c GROUP BY network),
+placed AS (SELECT *, CASE WHEN y[1] > y[n] THEN list_max(list_filter(range(1, n + 1), lambda i: y[i] >= 0.5)) ELSE greatest(list_min(list_filter(range(1, n + 1), lambda i: y[i] >= 0.5)) - 1, 1) END AS i,
+  list_min(list_transform(y, lambda v: v >= 0.5)) <> list_max(list_transform(y, lambda v: v >= 0.5)) AS mixed FROM w),
+cross_ AS (SELECT network, CASE WHEN NOT mixed THEN NULL WHEN i >= n THEN x[n] WHEN abs(y[i + 1] - y[i]) < 1e-10 THEN (x[i] + x[i + 1]) / 2 ELSE x[i] + (0.5 - y[i]) * (x[i + 1] - x[i]) / (y[i + 1] - y[i]) END AS critical FROM placed),
+inner_ AS (SELECT network, i, (pow(x[i] - x[i - 1], 2) * y[i + 1] + (pow(x[i + 1] - x[i], 2) - pow(x[i] - x[i - 1], 2)) * y[i] - pow(x[i + 1] - x[i], 2) * y[i - 1]) / ((x[i] - x[i - 1]) * (x[i + 1] - x[i]) * (x[i + 1] - x[i - 1])) AS g FROM (SELECT *, unnest(range(2, n)) AS i FROM w)),
+grads AS (SELECT network, max(abs(g)) AS steepness FROM (SELECT network, g FROM inner_ UNION ALL SELECT network, (y[2] - y[1]) / (x[2] - x[1]) FROM w WHERE n > 1 UNION ALL SELECT network, (y[n] - y[n - 1]) / (x[n] - x[n - 1]) FROM w WHERE n > 1) GROUP BY network),
+area AS (SELECT network, sum((x[i + 1] - x[i]) * (y[i + 1] + y[i]) / 2) AS auc FROM (SELECT *, unnest(range(1, n)) AS i FROM w) GROUP BY network)
 """
 
 
-@query(
-    f"{CURVE} SELECT network, round(min(CASE WHEN (py - 0.5) * (y - 0.5) <= 0 THEN CASE WHEN y <> py THEN px + (0.5 - py) / (y - py) * (x - px) ELSE px END END), 6) AS critical, round(sum((x - px) * (y + py) / 2), 6) AS auc, round(max(abs((y - py) / (x - px))), 6) AS max_gradient FROM s GROUP BY network"
-)
+@query(f"{CURVE} SELECT network, round(critical, 6) AS critical, round(auc, 6) AS auc, round(steepness, 6) AS steepness FROM cross_ JOIN area USING (network) JOIN grads USING (network)")
 def x7_curve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fx.runs(spark, sf_dir).groupBy("network", "threshold_idx").agg(F.avg((F.col("value") > 30).cast("double")).alias("y"))
     curve = r.select("network", F.col("threshold_idx").cast("double").alias("x"), (F.col("y") + F.col("threshold_idx") * 0.2).alias("y"))
     return rounded(contagion.curve_summary(curve, ["network"], "x", "y"))
 
 
+@query(" SELECT network, threshold_idx, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(avg(CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END), 6) AS cascade_prob FROM fx_runs GROUP BY ALL")
+def x7_cascade_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = contagion.cascade_points(fx.runs(spark, sf_dir), ["network"], "threshold_idx", "value", 30.0)
+    return c.select("network", "threshold_idx", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("cascade_prob", 6).alias("cascade_prob"))
+
+
+STRATEGIES = ["combined_score", "internal_density", "external_exposure_ratio", "random", "size"]
+
+
+def _strategies_sql(share: float, thresholds: list[float], runs: int, steps: int) -> str:
+    parts = [f"{SEEDING}, sc AS (SELECT *, exposure AS external_exposure_ratio FROM scores), ini AS (SELECT trunc(count(*) * {share}::DOUBLE)::BIGINT AS k, count(*) AS n FROM fx_nodes)"]
+    rows, config = [], 0
+    for s, strategy in enumerate(STRATEGIES):
+        if strategy == "random":
+            parts.append(f", cand{s} AS MATERIALIZED (SELECT node_id FROM fx_nodes)")
+        else:
+            parts.append(f", cand{s} AS MATERIALIZED (SELECT node_id FROM fx_gnodes WHERE group_id IN (SELECT group_id FROM (SELECT group_id, size, sum(size) OVER (ORDER BY {strategy} DESC, group_id ROWS UNBOUNDED PRECEDING) AS upto FROM sc), ini WHERE upto - size < {share}::DOUBLE * ini.n))")
+        own = []
+        for t, v in enumerate(thresholds):
+            for _ in range(runs):
+                own.append(f"({config}, '{strategy}', {t}, {v}::DOUBLE)")
+                config += 1
+        rows += own
+        parts.append(f", cf{s}(config, strategy, ti, threshold) AS (VALUES {', '.join(own)}), sd{s} AS MATERIALIZED (SELECT config, node_id FROM cf{s}, (SELECT node_id FROM cand{s} WHERE (SELECT count(*) FROM cand{s}) >= (SELECT k FROM ini) UNION ALL SELECT node_id FROM fx_nodes WHERE (SELECT count(*) FROM cand{s}) < (SELECT k FROM ini)) QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42 + s, 'seed', 'config', 'node_id')}, node_id) <= (SELECT k FROM ini))")
+    parts.append(f", cfg(config, strategy, threshold_idx, threshold) AS (VALUES {', '.join(rows)}), k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM sd{s}" for s in range(len(STRATEGIES))) + ")")
+    for i in range(1, steps + 1):
+        parts.append(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.config, n.node_id FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config) WHERE n.n / k.k >= cfg.threshold)")
+    return "".join(parts) + f" SELECT strategy, threshold_idx, threshold, median(c)::DOUBLE AS median_final_adoption, count(*) AS n_runs FROM (SELECT cfg.*, (SELECT count(*) FROM a{steps} WHERE a{steps}.config = cfg.config) AS c FROM cfg) GROUP BY ALL"
+
+
+@query(_strategies_sql(0.04, [0.05, 0.1], 3, 5))
+def x11_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = seeding(spark, sf_dir).withColumn("external_exposure_ratio", F.col("exposure"))
+    n = fx.grouped_nodes(spark, sf_dir)
+    return contagion.strategy_sweep(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), n, m, STRATEGIES, [0.05, 0.1], 3, 0.04, max_steps=5)
+
+
+LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"
+
+
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    first = o.select(F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("network"), (F.col("o_orderkey") + 1).alias("k"))
+    return first.join(o.select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("k")), "k").where("src <> dst").select("src", "dst", "network").distinct()
+
+
+@query(
+    f"{LAYERED}, tn AS MATERIALIZED (SELECT network, src AS id FROM le UNION SELECT network, dst FROM le), sz AS (SELECT network, count(*) AS n_nodes FROM tn GROUP BY network), rr AS (SELECT i AS config FROM range(3) t(i)),"
+    f" a0 AS MATERIALIZED (SELECT network, config, id FROM tn, rr QUALIFY row_number() OVER (PARTITION BY network, config ORDER BY {uniform_sql(42, 'seed', 'config', 'network', 'id')}, id) <= 30), k AS (SELECT network, src AS id, count(*) AS k FROM le GROUP BY ALL)"
+    + "".join(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.network, n.config, n.id FROM (SELECT a.network, a.config, e.src AS id, count(*) AS n FROM a{i - 1} a JOIN le e ON e.network = a.network AND e.dst = a.id GROUP BY ALL) n JOIN k USING (network, id) WHERE n.n / k.k >= 0.25)" for i in range(1, 6))
+    + " SELECT network, config AS run, (SELECT count(*) FROM a5 WHERE a5.network = sz.network AND a5.config = rr.config) AS infected, n_nodes FROM sz, rr"
+)
+def x15_compare_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contagion.compare_topologies(layered(spark, sf_dir), 30, 0.25, 3, max_steps=5)
+
+
 # --- outcomes -------------------------------------------------------------------
 
 DECOMPOSE = """, s AS (SELECT *, max(value) OVER (PARTITION BY network) AS size FROM fx_runs),
@@ -576,7 +668,7 @@ def r19_variance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", p AS (SELECT network, value AS y, (run % 50 + 1)::DOUBLE AS x FROM fx_runs), g AS (SELECT network, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_slope(y, ln(x)) AS ls, regr_r2(y, ln(x)) AS lr FROM p GROUP BY network) SELECT network, n::BIGINT AS n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(ls, 6) AS log_slope, round(lr, 6) AS log_r2, round(sign(slope) * sqrt(r2 * (n - 2) / (1 - r2)), 6) AS t FROM g"
+    ", p AS (SELECT network, value AS y, (run % 50 + 1)::DOUBLE AS x FROM fx_runs), g AS (SELECT network, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_slope(y, ln(x)) AS ls, regr_intercept(y, ln(x)) AS li, regr_r2(y, ln(x)) AS lr FROM p GROUP BY network) SELECT network, n::BIGINT AS n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(ls, 6) AS log_slope, round(li, 6) AS log_intercept, round(lr, 6) AS log_r2, round(sign(slope) * sqrt(r2 * (n - 2) / (1 - r2)), 6) AS t FROM g"
 )
 def r21_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.runs(spark, sf_dir).select("network", F.col("value").alias("y"), (F.col("run") % 50 + 1).cast("double").alias("x"))
@@ -639,26 +731,19 @@ def r27_partial_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outcomes.partial_correlation(r, "x", "y", "z", ["network"]))
 
 
-BOOT = uniform_sql(42, "boot", "network", "b", "k")
+RESAMPLES = 1000
 
 
 @query(
-    f", r AS (SELECT network, run // 100 AS i, value FROM fx_runs WHERE run % 100 = 0 ), q AS (SELECT network, row_number() OVER (PARTITION BY network ORDER BY i) - 1 AS i, value FROM r), n AS (SELECT network, count(*) AS n FROM q GROUP BY network), d AS (SELECT network, n, b, unnest(range(n)) AS k FROM (SELECT network, n, unnest(range(1, 41)) AS b FROM n)), s AS (SELECT network, b, least(floor({BOOT} * n), n - 1)::BIGINT AS i FROM d), v AS (SELECT network, b, var_samp(value) AS v FROM s JOIN q USING (network, i) GROUP BY ALL) SELECT network, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM v GROUP BY network"
+    f", q AS MATERIALIZED (SELECT network, row_number() OVER (PARTITION BY network ORDER BY run) - 1 AS i, value FROM fx_runs), n AS (SELECT network, count(*) AS n FROM q GROUP BY network), d AS (SELECT network, n, b, unnest(range((n + 3) // 4)) AS k FROM (SELECT network, n, unnest(range(1, {RESAMPLES + 1})) AS b FROM n)),"
+    " h AS (SELECT network, n, b, k, md5(concat_ws('|', '42', 'boot', network, b, k)) AS h FROM d), s AS (SELECT network, b, least(floor(('0x' || substr(h, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE * n), n - 1)::BIGINT AS i FROM h, range(4) t(j) WHERE 4 * k + j < n),"
+    " v AS (SELECT network, b, var_samp(value) AS v FROM s JOIN q USING (network, i) GROUP BY ALL) SELECT network, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM v GROUP BY network"
 )
 def r18_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    r = fx.runs(spark, sf_dir).where("run % 100 = 0").withColumn("i", (F.row_number().over(Window.partitionBy("network").orderBy("run")) - 1).cast("long"))
-    return rounded(outcomes.bootstrap_variance(r.select("network", "i", "value"), ["network"], "i", "value", 40), 4)
-
-
-@query()
-def r18_bootstrap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all runs and the reference's 1000 resamples; the twin of r18_bootstrap holds every hundredth run."""
-    from pyspark.sql import Window
-
     r = fx.runs(spark, sf_dir).withColumn("i", (F.row_number().over(Window.partitionBy("network").orderBy("run")) - 1).cast("long"))
-    return rounded(outcomes.bootstrap_variance(r.select("network", "i", "value"), ["network"], "i", "value", 1000), 4)
+    return rounded(outcomes.bootstrap_variance(r.select("network", "i", "value"), ["network"], "i", "value", RESAMPLES), 4)
 
 
 @query(" SELECT x::DOUBLE AS x, round(sum(exp(-0.5 * pow((x - value) / 5, 2))) / (count(*) * 5 * sqrt(2 * pi())), 8) AS density FROM fx_runs, range(0, 100, 10) t(x) GROUP BY x")
@@ -675,42 +760,89 @@ def r5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.count("*").alias("n")), 4)
 
 
+def simpson_sql(body: str, upto: str, steps: int = 4000) -> str:
+    """A scalar: the integral of ``body`` (of x) from 0 to ``upto`` by Simpson's rule."""
+    return f"(SELECT sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({body.replace('{x}', f'(i * ({upto}) / {steps})')})) * ({upto}) / {3 * steps} FROM range({steps + 1}) si(i))"
+
+
+F_PDF = "CASE WHEN {x} > 0 THEN exp(lgamma((df1 + df2) / 2) - lgamma(df1 / 2) - lgamma(df2 / 2) + df1 / 2 * ln(df1 / df2) + (df1 / 2 - 1) * ln({x}) - (df1 + df2) / 2 * ln(1 + df1 / df2 * {x})) ELSE 0 END"
+T_PDF = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()) - (df + 1) / 2 * ln(1 + {x} * {x} / df))"
+N_PDF = "exp(-0.5 * {x} * {x}) / sqrt(2 * pi())"
+
+
 @query(
-    ", g AS (SELECT network, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM fx_runs GROUP BY network), s AS (SELECT sum(n * pow(m - (SELECT avg(value) FROM fx_runs), 2)) AS b, sum(n * v) AS w, count(*) - 1 AS df1, sum(n) - count(*) AS df2 FROM g) SELECT round(b / df1 / (w / df2), 6) AS f, df1::DOUBLE AS df1, df2::DOUBLE AS df2 FROM s"
+    ", g AS (SELECT network, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM fx_runs GROUP BY network), s AS (SELECT sum(n * pow(m - (SELECT avg(value) FROM fx_runs), 2)) AS b, sum(n * v) AS w, (count(*) - 1)::DOUBLE AS df1, (sum(n) - count(*))::DOUBLE AS df2 FROM g), a AS (SELECT b / df1 / (w / df2) AS f, df1, df2 FROM s)"
+    f" SELECT round(f, 6) AS f, df1, df2, round(1 - {simpson_sql(F_PDF, 'least(f, 60)')}, 6) AS p FROM a"
 )
 def x8_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(outcomes.anova(fx.runs(spark, sf_dir), "network", "value").drop("p"))
+    return rounded(outcomes.anova(fx.runs(spark, sf_dir), "network", "value"))
 
 
 @query(
-    ", g AS (SELECT network, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM fx_runs GROUP BY network), p AS (SELECT x.network AS a, y.network AS b, x.n AS na, y.n AS nb, x.m - y.m AS d, sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / (x.n + y.n - 2)) AS s FROM g x JOIN g y ON x.network < y.network) SELECT a, b, round(d / s / sqrt(1 / na + 1 / nb), 6) AS t, (na + nb - 2)::DOUBLE AS df, round(d / s, 6) AS cohen_d FROM p"
+    ", g AS (SELECT network, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM fx_runs GROUP BY network), p AS (SELECT x.network AS a, y.network AS b, x.n AS na, y.n AS nb, x.m - y.m AS d, sqrt((x.v + y.v) / 2) AS c, sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / (x.n + y.n - 2)) AS s FROM g x JOIN g y ON x.network < y.network),"
+    f" q AS (SELECT a, b, d / s / sqrt(1 / na + 1 / nb) AS t, (na + nb - 2)::DOUBLE AS df, d / c AS cohen_d FROM p), z AS (SELECT *, 1 - 2 * {simpson_sql(T_PDF, 'least(abs(t), 40)')} AS p FROM q) SELECT a, b, round(t, 6) AS t, df, round(cohen_d, 6) AS cohen_d, round(p, 6) AS p, round(least(p * count(*) OVER (), 1), 6) AS p_bonferroni FROM z"
 )
 def x8_pairwise_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(outcomes.pairwise_t(fx.runs(spark, sf_dir), "network", "value").drop("p", "p_bonferroni"))
+    return rounded(outcomes.pairwise_t(fx.runs(spark, sf_dir), "network", "value"))
 
 
 @query(
-    ", n AS (SELECT DISTINCT network FROM fx_runs), p AS (SELECT x.network AS a, y.network AS b FROM n x JOIN n y ON x.network < y.network), r AS (SELECT a, b, network, value, rank() OVER w + (count(*) OVER (PARTITION BY a, b, value) - 1) / 2 AS k FROM p JOIN fx_runs ON network IN (a, b) WINDOW w AS (PARTITION BY a, b ORDER BY value)), s AS (SELECT a, b, sum(k) FILTER (network = a) AS ra, count(*) FILTER (network = a) AS n1, count(*) FILTER (network = b) AS n2 FROM r GROUP BY a, b) SELECT a, b, round(ra - n1 * (n1 + 1) / 2, 4) AS u, round(2 * (ra - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) AS rank_biserial FROM s"
+    ", n AS (SELECT DISTINCT network FROM fx_runs), p AS (SELECT x.network AS a, y.network AS b FROM n x JOIN n y ON x.network < y.network), r AS (SELECT a, b, network, value, rank() OVER w + (count(*) OVER (PARTITION BY a, b, value) - 1) / 2 AS k FROM p JOIN fx_runs ON network IN (a, b) WINDOW w AS (PARTITION BY a, b ORDER BY value)),"
+    " ti AS (SELECT a, b, sum(pow(t, 3) - t) AS ties FROM (SELECT a, b, count(*)::DOUBLE AS t FROM r GROUP BY a, b, value) GROUP BY a, b), s AS (SELECT a, b, sum(k) FILTER (network = a) - count(*) FILTER (network = a) * (count(*) FILTER (network = a) + 1) / 2 AS u, (count(*) FILTER (network = a))::DOUBLE AS n1, (count(*) FILTER (network = b))::DOUBLE AS n2 FROM r GROUP BY a, b),"
+    " z AS (SELECT a, b, u, n1, n2, greatest((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM s JOIN ti USING (a, b))"
+    f" SELECT a, b, round(u, 4) AS u, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial, round(z, 6) AS z, round(1 - 2 * {simpson_sql(N_PDF, 'least(z, 12)')}, 6) AS p FROM z"
 )
 def x9_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(outcomes.mann_whitney(fx.runs(spark, sf_dir), "network", "value").select("a", "b", F.round("u", 4).alias("u"), "rank_biserial"))
+    m = outcomes.mann_whitney(fx.runs(spark, sf_dir), "network", "value")
+    return rounded(m.withColumn("u", F.round("u", 4)))
 
 
 @query(
-    ", r AS (SELECT network, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS k FROM fx_runs), g AS (SELECT network, sum(k) AS r, count(*) AS n FROM r GROUP BY network), t AS (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM fx_runs GROUP BY value)), s AS (SELECT sum(r * r / n) AS q, sum(n)::DOUBLE AS n, count(*) - 1 AS df FROM g) SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)), 4) AS h, df::DOUBLE AS df FROM s, t"
+    ", r AS (SELECT network, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS k FROM fx_runs), g AS (SELECT network, sum(k) AS r, count(*) AS n FROM r GROUP BY network), t AS (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM fx_runs GROUP BY value)), s AS (SELECT sum(r * r / n) AS q, sum(n)::DOUBLE AS n, (count(*) - 1)::DOUBLE AS df FROM g),"
+    " x AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)) AS h, df FROM s, t)"
+    f" SELECT round(h, 4) AS h, df, round(1 - {simpson_sql('CASE WHEN {x} > 0 THEN exp((df / 2 - 1) * ln({x}) - {x} / 2 - df / 2 * ln(2) - lgamma(df / 2)) ELSE 0 END', 'least(h, 120)')}, 4) AS p FROM x"
 )
 def x10_kruskal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(outcomes.kruskal(fx.runs(spark, sf_dir), "network", "value").drop("p"), 4)
+    return rounded(outcomes.kruskal(fx.runs(spark, sf_dir), "network", "value"), 4)
 
 
-@query()
+Z975 = 1.959963984540054
+
+
+@query(
+    f", g AS (SELECT network, threshold_idx, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS se, (count(*) - 1)::DOUBLE AS df, {Z975}::DOUBLE AS z FROM fx_runs GROUP BY network, threshold_idx)"
+    " SELECT network, threshold_idx, round(mean, 4) AS mean, round(se * (z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(df, 3))), 4) AS half FROM g"
+)
 def x8_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.mean_interval(fx.runs(spark, sf_dir), ["network", "threshold_idx"], "value")
+    return rounded(outcomes.mean_interval(fx.runs(spark, sf_dir), ["network", "threshold_idx"], "value"), 4)
+
+
+CELLS = ", c AS (SELECT network, threshold_idx, run % 10 AS seed, avg(value) AS y FROM fx_runs GROUP BY ALL)"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.runs(spark, sf_dir).groupBy("network", "threshold_idx", F.pmod("run", F.lit(10)).alias("seed")).agg(F.avg("value").alias("y"))
+
+
+@query(f"{CELLS}, s AS (SELECT threshold_idx, seed, stddev_samp(y) AS std FROM c GROUP BY ALL) SELECT threshold_idx, seed, round(std, 4) AS std, row_number() OVER (ORDER BY std DESC NULLS LAST, threshold_idx, seed)::INT AS rank FROM s")
+def x8_between_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(outcomes.between_map(_cells(spark, sf_dir), ["threshold_idx", "seed"], "network", "y"), 4)
+
+
+@query(f"{CELLS} SELECT a.network AS a, b.network AS b, round(corr(a.y, b.y), 6) AS correlation FROM c a JOIN c b USING (threshold_idx, seed) GROUP BY ALL")
+def x8_profile_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(outcomes.profile_correlations(_cells(spark, sf_dir), ["threshold_idx", "seed"], "network", "y"))
+
+
+@query()
+def x8_ward_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(outcomes.ward_linkage(_cells(spark, sf_dir), ["threshold_idx", "seed"], "network", "y"))
 
 
 # --- sensitivity ----------------------------------------------------------------
 
-FD = ", c AS (SELECT network, threshold_idx::DOUBLE AS x, avg(value) AS y FROM fx_runs GROUP BY ALL), d AS (SELECT *, coalesce(lag(x) OVER w, x) AS x0, coalesce(lead(x) OVER w, x) AS x1, coalesce(lag(y) OVER w, y) AS y0, coalesce(lead(y) OVER w, y) AS y1 FROM c WINDOW w AS (PARTITION BY network ORDER BY x)), fd AS (SELECT network, x, y, (y1 - y0) / (x1 - x0) AS slope, (y1 - y0) / (x1 - x0) * x / y AS elasticity FROM d)"
+FD = """, c AS (SELECT network, list(x ORDER BY x) AS x, list(y ORDER BY x) AS y, count(*) AS n FROM (SELECT network, threshold_idx::DOUBLE AS x, avg(value) AS y FROM fx_runs GROUP BY ALL) GROUP BY network),
+fd AS (SELECT network, x[i] AS x, y[i] AS y, (y[i + 1] - y[i - 1]) / (x[i + 1] - x[i - 1]) AS slope, (y[i + 1] - y[i]) / (x[i + 1] - x[i]) AS forward, x[n // 2 + 1] / y[n // 2 + 1] * (y[i + 1] - y[i - 1]) / (x[i + 1] - x[i - 1]) AS elasticity FROM (SELECT *, unnest(range(2, n)) AS i FROM c))"""
 
 
 def _finite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -723,6 +855,20 @@ def y2_finite_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_finite(spark, sf_dir), 4)
 
 
+@query(f"{FD} SELECT network, x, round(y, 4) AS y, round(forward, 4) AS slope, round(elasticity, 4) AS elasticity FROM fd")
+def y2_forward_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.runs(spark, sf_dir).groupBy("network", F.col("threshold_idx").cast("double").alias("x")).agg(F.avg("value").alias("y"))
+    return rounded(sensitivity.finite_differences(c, ["network"], "x", "y", "forward"), 4)
+
+
+BASE_POINT = {"pa": 0.5, "recip": 0.2}
+
+
+@query(" SELECT sample_id, param, setting, CASE WHEN param = 'pa' THEN setting ELSE 0.5 END::DOUBLE AS pa, CASE WHEN param = 'recip' THEN setting ELSE 0.2 END::DOUBLE AS recip FROM (VALUES (0, 'pa', 0.0::DOUBLE), (1, 'pa', 0.45::DOUBLE), (2, 'pa', 0.9::DOUBLE), (3, 'recip', 0.0::DOUBLE), (4, 'recip', 1.0::DOUBLE)) t(sample_id, param, setting)")
+def y1_one_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensitivity.one_at_a_time(spark, BASE_POINT, {"pa": [0.0, 0.45, 0.9], "recip": [0.0, 1.0]})
+
+
 @query(f"{FD} SELECT network, round(avg(abs(elasticity)), 4) AS mean_sensitivity, round(max(abs(elasticity)), 4) AS max_sensitivity FROM fd GROUP BY network")
 def y2_sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sensitivity.sensitivity_summary(_finite(spark, sf_dir), ["network"]), 4)
@@ -771,18 +917,14 @@ def x6_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contagion.final_adoption(adopted, configs)
 
 
-LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"
-
-
-def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    first = o.select(F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("network"), (F.col("o_orderkey") + 1).alias("k"))
-    return first.join(o.select(F.col("o_custkey").alias("dst"), F.col("o_orderkey").alias("k")), "k").where("src <> dst").select("src", "dst", "network").distinct()
+LAYER_SPREAD = spread_sql("SELECT network, src AS node_id FROM le UNION SELECT network, dst FROM le", "SELECT network, src, dst FROM le")
 
 
 @query(
-    f"{LAYERED}, d AS (SELECT network, x, count(*)::DOUBLE AS k FROM (SELECT network, src AS x FROM le UNION ALL SELECT network, dst FROM le) GROUP BY ALL), m AS (SELECT network, avg(k) AS m, var_pop(k) AS v FROM d GROUP BY network), s AS (SELECT network, count(*) AS n_nodes, avg(k) AS mean_degree, avg(pow(k - m, 3)) / pow(any_value(v), 1.5) AS skew FROM d JOIN m USING (network) GROUP BY network), r AS (SELECT a.network, count(*) AS n_edges, avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1.0 END) AS r FROM le a LEFT JOIN le b ON b.network = a.network AND b.src = a.dst AND b.dst = a.src GROUP BY a.network)"
-    " SELECT network, n_nodes, round(mean_degree, 6) AS mean_degree, round(skew, 6) AS degree_skew, n_edges, round(r, 6) AS reciprocity FROM s JOIN r USING (network)"
+    f"{LAYERED}, d AS (SELECT network, x, count(*)::DOUBLE AS k FROM (SELECT network, src AS x FROM le UNION ALL SELECT network, dst FROM le) GROUP BY ALL), m AS (SELECT network, avg(k) AS m, var_pop(k) AS v FROM d GROUP BY network), s AS (SELECT network, count(*) AS n_nodes, avg(k) AS mean_degree, avg(pow(k - m, 3)) / pow(any_value(v), 1.5) AS skew FROM d JOIN m USING (network) GROUP BY network), r AS (SELECT a.network, count(*) AS n_edges, avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1.0 END) AS r FROM le a LEFT JOIN le b ON b.network = a.network AND b.src = a.dst AND b.dst = a.src GROUP BY a.network),"
+    " lu AS MATERIALIZED (SELECT DISTINCT network, least(src, dst) AS u, greatest(src, dst) AS v FROM le), lk AS (SELECT network, x, count(*) AS k FROM (SELECT network, u AS x FROM lu UNION ALL SELECT network, v FROM lu) GROUP BY ALL), tp AS (SELECT network, sum(k * (k - 1) // 2) AS triples FROM lk GROUP BY network), tr AS (SELECT a.network, count(*) AS n FROM lu a JOIN lu b ON b.network = a.network AND a.v = b.u JOIN lu c ON c.network = a.network AND c.u = a.u AND c.v = b.v GROUP BY a.network)"
+    f"{LAYER_SPREAD}, le2 AS (SELECT lu.network, a.community AS cu, b.community AS cv FROM lu JOIN spread a ON a.network = lu.network AND u = a.node_id JOIN spread b ON b.network = lu.network AND v = b.node_id), ld AS (SELECT network, sum(d * d) AS dd FROM (SELECT network, c, count(*) AS d FROM (SELECT network, cu AS c FROM le2 UNION ALL SELECT network, cv FROM le2) GROUP BY ALL) GROUP BY network), lq AS (SELECT network, count(*) FILTER (cu = cv) / count(*) - any_value(dd) / (4.0 * count(*) * count(*)) AS q FROM le2 JOIN ld USING (network) GROUP BY network)"
+    " SELECT network, n_nodes, round(mean_degree, 6) AS mean_degree, round(skew, 6) AS degree_skew, n_edges, round(r, 6) AS reciprocity, round(CASE WHEN triples > 0 THEN 3 * coalesce(tr.n, 0) / triples ELSE 0 END, 6) AS clustering, round(q, 6) AS modularity FROM s JOIN r USING (network) JOIN tp USING (network) LEFT JOIN tr USING (network) JOIN lq USING (network)"
 )
 def m13_network_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.network_table(layered(spark, sf_dir)))
@@ -822,3 +964,85 @@ def r35_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fx.runs(spark, sf_dir).select("network", F.least(F.floor(F.col("value") / 25), F.lit(12)).cast("int").alias("bin"))
     n = b.groupBy("network", "bin").agg(F.count("*").alias("n"))
     return rounded(n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("network"))))
+
+
+# --- joins of results with tables about their networks -------------------------
+
+MAPPING = f"{SETS}, mapping AS (SELECT combo AS aggregation, sum(n * n) / (sum(n) * sum(n)) AS hhi, count(*) AS n_groups, sum(n) * sum(n) / sum(n * n) AS effective_n FROM sets GROUP BY combo)"
+
+
+def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = composition.concentration(composition.aggregate_combinations(fx.pop(spark, sf_dir), ["seg", "reg"]))
+    return c.select(F.col("combo").alias("aggregation"), "hhi", "n_groups", "effective_n")
+
+
+FILES = [("seg_stats", 0.4), ("reg_stats", 0.3), ("seg_reg_stats", 0.2), ("seg_stats_old", 0.1), ("lft_stats", 0.5)]
+FILES_SQL = ", files(filename, transitivity) AS (VALUES " + ", ".join(f"('{f}', {v}::DOUBLE)" for f, v in FILES) + ")"
+
+
+@query(f"{MAPPING}{FILES_SQL} SELECT filename, transitivity, regexp_replace(filename, '_stats$', '') AS aggregation_key, round(hhi, 6) AS hhi, n_groups, round(effective_n, 6) AS effective_n, printf('HHI=%.4f', hhi) AS hhi_label FROM files JOIN mapping ON aggregation = regexp_replace(filename, '_stats$', '')")
+def j2_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.attach_concentration(spark.createDataFrame(FILES, "filename string, transitivity double"), _mapping(spark, sf_dir)))
+
+
+NETWORKS = ["seg", "reg", "seg_reg", "lft", "lft_seg"]
+NETS = ", nets AS (SELECT unnest(['seg', 'reg', 'seg_reg', 'lft', 'lft_seg']) AS network, unnest(range(5)) AS i)"
+#: Event types stand for networks: the i-th of them in alphabetical order for the i-th name.
+NAMED = f"{DECOMPOSE}, ranked AS (SELECT network AS e, row_number() OVER (ORDER BY network) - 1 AS i FROM (SELECT DISTINCT network FROM fx_runs)), dec AS (SELECT nets.network, g.threshold_idx AS threshold_value, g.mean_ignited, g.p_ignite FROM g JOIN ranked ON g.network = e JOIN nets USING (i))"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    d = _decomposed(spark, sf_dir)
+    names = d.select("network").distinct().withColumn("i", F.row_number().over(Window.orderBy("network")) - 1)
+    name = F.get(F.array(*map(F.lit, NETWORKS)), F.col("i"))
+    return d.join(names, "network").where(F.col("i") < len(NETWORKS)).select(name.alias("network"), F.col("threshold_idx").alias("threshold_value"), "mean_ignited", "p_ignite")
+
+
+HOMOPHILY_OF = "parts(partition) AS (VALUES ('seg'), ('reg'), ('seg_reg')), pq AS (SELECT partition, unnest(string_split(partition, '_')) AS dim FROM parts), hom AS (SELECT partition, avg(excess) AS mean FROM pq JOIN inb USING (dim) GROUP BY partition)"
+
+
+@query(f"{NETS}{NAMED}{INBREEDING.replace(', l AS', ', l AS', 1)}, {HOMOPHILY_OF} SELECT network, threshold_value, round(mean_ignited, 4) AS mean_ignited, round(p_ignite, 4) AS p_ignite, round(mean, 4) AS mean FROM dec LEFT JOIN hom ON partition = network")
+def j3_homophily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = composition.partition_summary(_partitions(spark), composition.inbreeding(fx.links(spark, sf_dir), ["seg", "reg"]))
+    return rounded(analysis.attach(_named(spark, sf_dir), h, "network", "partition", ["mean"]), 4)
+
+
+@query(f"{NETS}{NAMED}{MAPPING}, blocks AS (SELECT p.partition, n_groups AS n_blocks FROM (VALUES ('seg'), ('reg'), ('seg_reg'), ('x')) p(partition) LEFT JOIN mapping ON aggregation = p.partition) SELECT network, threshold_value, round(mean_ignited, 4) AS mean_ignited, round(p_ignite, 4) AS p_ignite, n_blocks FROM dec LEFT JOIN blocks ON partition = network")
+def j4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.createDataFrame([("seg",), ("reg",), ("seg_reg",), ("x",)], "partition string")
+    blocks = analysis.attach(parts, _mapping(spark, sf_dir), "partition", "aggregation", [F.col("n_groups").alias("n_blocks")])
+    return rounded(analysis.attach(_named(spark, sf_dir), blocks, "network", "partition", ["n_blocks"]), 4)
+
+
+@query(f"{NETS}{NAMED}{MAPPING} SELECT network, threshold_value, round(mean_ignited, 4) AS mean_ignited, round(p_ignite, 4) AS p_ignite, round(hhi, 4) AS hhi FROM dec LEFT JOIN mapping ON aggregation = network")
+def j5_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.attach(_named(spark, sf_dir), _mapping(spark, sf_dir), "network", "aggregation", ["hhi"]), 4)
+
+
+@query(f"{NETS}{NAMED}{MAPPING} SELECT network, threshold_value, round(mean_ignited, 4) AS mean_ignited, round(p_ignite, 4) AS p_ignite, round(effective_n, 4) AS effective_n FROM dec LEFT JOIN mapping ON aggregation = network")
+def j6_sweep_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.attach(_named(spark, sf_dir), _mapping(spark, sf_dir), "network", "aggregation", ["effective_n"]), 4)
+
+
+@query(f"{NETS}{NAMED}{MAPPING} SELECT network, threshold_value, round(mean_ignited, 4) AS mean_ignited, round(p_ignite, 4) AS p_ignite, round(hhi, 4) AS hhi, n_groups FROM dec JOIN mapping ON aggregation = network")
+def j7_inner_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.attach(_named(spark, sf_dir), _mapping(spark, sf_dir), "network", "aggregation", ["hhi", "n_groups"], "inner"), 4)
+
+
+@query(
+    f"{NETS}{NAMED}{INBREEDING}, drops(fine, coarse, dropped) AS (VALUES ('seg_reg', 'reg', 'seg'), ('seg_reg', 'seg', 'reg'), ('lft_seg', 'seg', 'lft'), ('lft_seg', 'lft', 'seg'))"
+    " SELECT fine, coarse, dropped AS dropped_dim, round(excess, 4) AS homophily_dropped, f.threshold_value AS threshold, round(f.mean_ignited, 4) AS fine_size, round(c.mean_ignited, 4) AS coarse_size, round(f.p_ignite, 4) AS fine_pig, round(c.p_ignite, 4) AS coarse_pig,"
+    " round(log10(greatest(f.mean_ignited, 1)) - log10(greatest(c.mean_ignited, 1)), 4) AS delta_log_size, round(f.p_ignite - c.p_ignite, 4) AS delta_pig FROM drops JOIN dec f ON f.network = fine JOIN dec c ON c.network = coarse AND c.threshold_value = f.threshold_value LEFT JOIN inb ON dim = dropped"
+)
+def j10_pair_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs_ = composition.coarsening_pairs(spark.createDataFrame([(p,) for p in NETWORKS], "partition string"))
+    h = composition.inbreeding(fx.links(spark, sf_dir), ["seg", "reg"])
+    return rounded(analysis.pair_drops(pairs_, _named(spark, sf_dir), h), 4)
+
+
+@query(" SELECT seg, count(*) AS n, round(avg(x), 6) AS mean FROM (SELECT CASE WHEN node_id % 7 <> 0 THEN seg END AS seg, CASE WHEN node_id % 5 <> 0 THEN node_id::DOUBLE END AS x FROM fx_nodes) WHERE seg IS NOT NULL AND x IS NOT NULL GROUP BY seg")
+def r2_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fx.nodes(spark, sf_dir).select(F.when(F.col("node_id") % 7 != 0, F.col("seg")).alias("seg"), F.when(F.col("node_id") % 5 != 0, F.col("node_id").cast("double")).alias("x"))
+    return rounded(analysis.group_means(n, ["seg"], "x"))

@@ -78,4 +78,4 @@ fx_runs AS (SELECT event_type AS network, user_id % 4 AS threshold_idx, event_id
 
 def with_views(sql: str) -> str:
     """A DuckDB query over the views."""
-    return f"WITH {FX}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+    return f"WITH RECURSIVE {FX}{sql if sql.lstrip().startswith(',') else ' ' + sql}"

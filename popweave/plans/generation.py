@@ -11,7 +11,7 @@ from popweave.operators import edges as ed
 from popweave.operators import enrich, expand, metrics, models
 from popweave.plans import api
 from popweave.plans import fixtures as fx
-from popweave.plans.catalog import TARGETS, pairs, query, rounded
+from popweave.plans.catalog import DEGREES, TARGETS, _bfs_sql, layered, pairs, query, rounded
 from popweave.sources import sinks, tables
 from popweave.sources.scratch import shared_root, stored
 from popweave.streaming import resume
@@ -105,12 +105,27 @@ def c9_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(com.isolation(fx.groups(spark, sf_dir), link_targets(spark, sf_dir), ["seg", "reg"]))
 
 
-@query()
+ISOLATION = f"{TARGETS}, g AS (SELECT group_id, 'seg' AS c, seg AS v, n FROM fx_groups UNION ALL SELECT group_id, 'reg', reg, n FROM fx_groups), l AS (SELECT a.c, a.v, sum(target) FILTER (a.v = b.v) AS intra, sum(target) AS total FROM targets t JOIN g a ON a.group_id = src_group JOIN g b ON b.group_id = dst_group AND b.c = a.c GROUP BY ALL), p AS (SELECT c, v, sum(n) / (SELECT sum(n) FROM fx_groups) AS share FROM g GROUP BY ALL), iso AS (SELECT c, avg(CASE WHEN total > 0 THEN intra / total - share ELSE 0 END) AS isolation FROM p LEFT JOIN l USING (c, v) GROUP BY c)"
+
+
+@query(
+    f"{ISOLATION}, lab AS (SELECT group_id, n, CASE WHEN (SELECT c FROM iso ORDER BY isolation DESC, c LIMIT 1) = 'seg' THEN seg || '|' || reg ELSE reg || '|' || seg END AS block FROM fx_groups), bl AS (SELECT block, sum(n) AS n FROM lab GROUP BY block),"
+    f" ex AS (SELECT block, n / sum(n) OVER () * {K} AS exact FROM bl), un AS (SELECT block, exact, greatest(floor(exact), 1)::BIGINT AS k FROM ex), un2 AS (SELECT block, k + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, block) <= {K} - sum(k) OVER () THEN 1 ELSE 0 END AS units FROM un),"
+    f" pl AS (SELECT block, units, coalesce(sum(units) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM un2), place AS (SELECT node_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {DEAL}, node_id) - 1 AS place FROM fx_gnodes)"
+    f" SELECT node_id, group_id, ((first + (place + floor({uniform_sql(42, 'start', 'group_id')} * units)::BIGINT) % units) % {K})::INT AS community FROM place JOIN lab USING (group_id) JOIN pl USING (block)"
+)
 def c9_assign_segregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return com.assign_segregated(fx.grouped_nodes(spark, sf_dir), fx.groups(spark, sf_dir), link_targets(spark, sf_dir), ["seg", "reg"], K, threshold=-1.0)
 
 
-@query()
+def _separated_sql(k: int) -> str:
+    parts = [f"{TARGETS}, sym AS (SELECT src_group AS a, dst_group AS b, target AS t FROM targets UNION ALL SELECT dst_group, src_group, target FROM targets), tot AS (SELECT a AS g, sum(t) AS t FROM sym GROUP BY a), s0 AS (SELECT 0 AS position, (SELECT g FROM tot ORDER BY t, g LIMIT 1) AS group_id)"]
+    for i in range(1, k):
+        parts.append(f", s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT {i}, (SELECT g FROM (SELECT tot.g, coalesce(sum(sym.t) FILTER (sym.b IN (SELECT group_id FROM s{i - 1})), 0) AS near FROM tot JOIN sym ON sym.a = tot.g GROUP BY tot.g) WHERE g NOT IN (SELECT group_id FROM s{i - 1}) ORDER BY near, g LIMIT 1))")
+    return "".join(parts) + f" SELECT position::INT AS position, group_id::INT AS group_id FROM s{k - 1}"
+
+
+@query(_separated_sql(K))
 def c4_separated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = com.separated_groups(link_targets(spark, sf_dir), K)
     return spark.createDataFrame(list(enumerate(chosen)), "position int, group_id int")
@@ -118,7 +133,7 @@ def c4_separated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c7_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return com.refine(assignment(spark, sf_dir), link_targets(spark, sf_dir), moves=5000)
+    return com.refine(assignment(spark, sf_dir), link_targets(spark, sf_dir))
 
 
 @query(
@@ -142,15 +157,16 @@ def c12_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "community int, group_id int, n int")
 
 
-@query(f"{ASSIGN} SELECT a.node_id AS src, b.node_id AS dst FROM assignment a JOIN assignment b USING (community) WHERE a.node_id <> b.node_id AND a.node_id < 200 AND b.node_id < 200")
-def e8_complete_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ed.complete_communities(assignment(spark, sf_dir).where("node_id < 200"))
+HOMES = f""", ks AS (SELECT greatest(count(*) // 4, 1)::INT AS k FROM fx_nodes), place AS (SELECT node_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {DEAL}, node_id) - 1 AS place FROM fx_gnodes),
+turns AS (SELECT group_id, community, row_number() OVER (PARTITION BY group_id ORDER BY {uniform_sql(42, "turns", "group_id", "community")}, community) - 1 AS turn FROM (SELECT group_id, unnest(range((SELECT k FROM ks))) AS community FROM fx_groups)),
+home AS (SELECT node_id, community FROM place p JOIN turns t ON p.group_id = t.group_id AND p.place % (SELECT k FROM ks) = t.turn)"""
 
 
-@query()
-def e8_complete_communities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all people; the twin of e8_complete_communities holds ids under 200."""
-    return ed.complete_communities(assignment(spark, sf_dir))
+@query(f"{HOMES} SELECT a.node_id AS src, b.node_id AS dst FROM home a JOIN home b USING (community) WHERE a.node_id <> b.node_id")
+def e8_complete_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All people, in communities of household size, so that pairs grow with the people."""
+    n = fx.grouped_nodes(spark, sf_dir)
+    return ed.complete_communities(com.assign_natural(n, max(n.count() // 4, 1)))
 
 
 @query()
@@ -213,17 +229,40 @@ def g4_expected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.expected_edges(n.groupBy("block").agg(F.count("*").alias("n")), p))
 
 
-@query()
+def _sbm_sql(nodes: str, probabilities: str) -> str:
+    """Pairs (u, v) of a block model, as CTE sbm."""
+    return f""", bm AS MATERIALIZED (SELECT node_id, block, row_number() OVER (PARTITION BY block ORDER BY {uniform_sql(42, "member", "node_id")}, node_id) - 1 AS idx FROM ({nodes})),
+bs AS (SELECT block, count(*) AS n FROM bm GROUP BY block),
+sl AS (SELECT i, j, p, CASE WHEN i = j THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS slots, b.n AS nj FROM ({probabilities}) JOIN bs a ON a.block = i JOIN bs b ON b.block = j WHERE p > 0),
+st AS (SELECT *, greatest(ceil(10000.0::DOUBLE / p), 1)::BIGINT AS strip FROM sl WHERE slots > 0),
+fr AS (SELECT i, j, p, slots, nj, strip, unnest(range(0, slots, strip)) AS frm FROM st),
+sz AS (SELECT *, least(strip, slots - frm) AS size FROM fr),
+ks AS (SELECT *, unnest(range(1, ceil(size * p + 8 * sqrt(size * p + 4))::BIGINT + 1)) AS k FROM sz),
+gp AS (SELECT *, CASE WHEN p >= 1 THEN 1 ELSE floor(ln(1 - {uniform_sql(42, "gap", "i", "j", "frm", "k")}) / ln(1 - p)) + 1 END AS gap FROM ks),
+hits AS (SELECT i, j, nj, frm + (sum(gap) OVER (PARTITION BY i, j, frm ORDER BY k) - 1)::BIGINT AS slot, (sum(gap) OVER (PARTITION BY i, j, frm ORDER BY k) - 1) < size AS inside FROM gp),
+rw AS (SELECT i, j, CASE WHEN i = j THEN floor((1 + sqrt(1 + 8.0::DOUBLE * slot)) / 2)::BIGINT ELSE slot // nj END AS x0, slot, nj FROM hits WHERE inside),
+rx AS (SELECT i, j, CASE WHEN i = j AND x0 * (x0 - 1) // 2 > slot THEN x0 - 1 ELSE x0 END AS x, slot, nj FROM rw),
+sbm AS (SELECT least(a.node_id, b.node_id) AS u, greatest(a.node_id, b.node_id) AS v FROM rx JOIN bm a ON a.block = i AND a.idx = x JOIN bm b ON b.block = j AND b.idx = CASE WHEN i = j THEN slot - x * (x - 1) // 2 ELSE slot % nj END)"""
+
+
+BLOCKS = "SELECT node_id, group_id % 3 AS block FROM fx_gnodes"
+BLOCK_P = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {0.02 if i == j else 0.004}::DOUBLE)" for i in range(3) for j in range(i, 3)) + ") t(i, j, p)"
+
+
+@query(f"{_sbm_sql(BLOCKS, BLOCK_P)} SELECT u, v FROM sbm")
 def g1_stochastic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.stochastic_blocks(*_blocks(spark, sf_dir))
 
 
-@query()
+@query(f"{_sbm_sql(BLOCKS, BLOCK_P)} SELECT u AS src, v AS dst FROM sbm UNION ALL SELECT v, u FROM sbm")
 def g2_symmetric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.symmetric(models.stochastic_blocks(*_blocks(spark, sf_dir)))
 
 
-@query()
+INDUCED = f"SELECT node_id, block FROM ({BLOCKS}) ORDER BY {uniform_sql(42, 'induce', 'node_id')}, node_id LIMIT 300"
+
+
+@query(f"{_sbm_sql(INDUCED, BLOCK_P)} SELECT u, v FROM sbm")
 def g3_induced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.induced_sample(*_blocks(spark, sf_dir), 300)[1]
 
@@ -243,22 +282,88 @@ def g6_attribute_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.attribute_summary(fx.nodes(spark, sf_dir), ["seg", "reg"], 3))
 
 
-@query()
+PAIR = "CASE WHEN r0 * (r0 - 1) // 2 > slot THEN r0 - 1 ELSE r0 END"
+
+
+@query(
+    f", d AS (SELECT id, least(floor({uniform_sql(42, 'slot', 'id')} * 499500), 499499)::BIGINT AS slot FROM range(20000) t(id)), f AS (SELECT slot, min(id) AS id FROM d GROUP BY slot ORDER BY id LIMIT 2500), r AS (SELECT slot, floor((1 + sqrt(1 + 8.0::DOUBLE * slot)) / 2)::BIGINT AS r0 FROM f), q AS (SELECT slot, {PAIR} AS v FROM r) SELECT slot - v * (v - 1) // 2 AS u, v FROM q"
+)
+def g7_fixed_size_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fixed_size_graph(spark, 1000, 2500)
+
+
+@query(
+    f", sl AS (SELECT slot FROM range(780) t(slot) ORDER BY {uniform_sql(42, 'slot', 'slot')}, slot LIMIT 400), r AS (SELECT slot, floor((1 + sqrt(1 + 8.0::DOUBLE * slot)) / 2)::BIGINT AS r0 FROM sl), q AS (SELECT slot, {PAIR} AS v FROM r) SELECT slot - v * (v - 1) // 2 AS u, v FROM q"
+)
+def g7_dense_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fixed_size_graph(spark, 40, 400)
+
+
+def _draw(stream: str, size: str) -> str:
+    return f"least(floor({uniform_sql(42, stream, 'id')} * {size}), {size} - 1)::BIGINT"
+
+
+@query(
+    f", hm AS MATERIALIZED (SELECT node_id, block, row_number() OVER (PARTITION BY block ORDER BY {uniform_sql(42, 'member', 'node_id')}, node_id) - 1 AS i FROM ({BLOCKS})), hs AS (SELECT block, count(*) AS n, row_number() OVER (ORDER BY block) - 1 AS k FROM hm GROUP BY block),"
+    " ha AS MATERIALIZED (SELECT node_id, block, i + first AS g FROM hm JOIN (SELECT block, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM hs) USING (block)), ht AS (SELECT count(*) AS n FROM ha),"
+    f" di AS (SELECT id, block, {_draw('in/a', 'n')} AS x, {_draw('in/b', 'n')} AS y FROM (SELECT id, {_draw('block', '(SELECT count(*) FROM hs)')} AS k FROM range(20000) t(id)) JOIN hs USING (k)),"
+    " ei AS (SELECT least(a.node_id, b.node_id) AS u, greatest(a.node_id, b.node_id) AS v, min(id) AS id FROM di JOIN hm a ON a.block = di.block AND a.i = x JOIN hm b ON b.block = di.block AND b.i = y WHERE a.node_id <> b.node_id GROUP BY ALL ORDER BY id LIMIT 1800),"
+    f" do_ AS (SELECT id, {_draw('out/a', 'n')} AS x, {_draw('out/b', 'n')} AS y FROM range(20000) t(id), ht),"
+    " eo AS (SELECT least(a.node_id, b.node_id) AS u, greatest(a.node_id, b.node_id) AS v, min(id) AS id FROM do_ JOIN ha a ON a.g = x JOIN ha b ON b.g = y WHERE a.block <> b.block GROUP BY ALL ORDER BY id LIMIT 200) SELECT u, v FROM ei UNION ALL SELECT u, v FROM eo"
+)
 def g8_homophily_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.homophily_graph(_blocks(spark, sf_dir)[0], 2000, 0.9)
 
 
-@query()
+SCALE_FREE = f""", own AS MATERIALIZED (SELECT t, t // 3 AS v, floor({uniform_sql(42, 'copy', 't')} * 2 * ((t // 3) * 3))::BIGINT AS e FROM range(9, 3000) r(t)),
+st AS MATERIALIZED (SELECT t, v, CASE WHEN e // 2 < 9 THEN e % 3 WHEN e % 2 = 0 THEN (e // 2) // 3 END AS dest, CASE WHEN e // 2 >= 9 AND e % 2 = 1 THEN e // 2 END AS ask FROM own),
+ch AS (SELECT t, t AS cur FROM st UNION ALL SELECT ch.t, st.ask FROM ch JOIN st ON st.t = ch.cur WHERE st.ask IS NOT NULL),
+sf AS (SELECT DISTINCT least(s.v, e.dest) AS u, greatest(s.v, e.dest) AS v FROM ch JOIN st s ON s.t = ch.t JOIN st e ON e.t = ch.cur WHERE e.dest IS NOT NULL AND s.v <> e.dest UNION SELECT * FROM (VALUES (0, 1), (0, 2), (1, 2)) c(u, v))"""
+
+
+@query(f"{SCALE_FREE} SELECT u::BIGINT AS u, v::BIGINT AS v FROM sf")
 def g9_scale_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.scale_free(spark, 1000, 3)
 
 
-@query()
+@query(f"{SCALE_FREE} SELECT u::BIGINT AS u, v::BIGINT AS v FROM sf ORDER BY {uniform_sql(42, 'drop', 'u', 'v')}, u, v LIMIT 2500")
+def g9_fewer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fit_edge_count(stored(models.scale_free(spark, 1000, 3), "pairs"), 1000, 2500)
+
+
+SMALL_WORLD = f", sw AS (SELECT a, CASE WHEN {uniform_sql(42, 'rewire', 'a', 'step')} < 0.1 THEN floor({uniform_sql(42, 'to', 'a', 'step')} * 1000)::BIGINT ELSE (a + step) % 1000 END AS b FROM range(1000) r(a), range(1, 4) s(step)), ws AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM sw WHERE a <> b)"
+
+
+@query(f"{SMALL_WORLD} SELECT u, v FROM ws")
 def g10_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.small_world(spark, 1000, 6, 0.1)
 
 
-@query()
+@query(
+    f"{SMALL_WORLD}, need AS (SELECT 3500 - count(*) AS k, 3500 + count(*) AS m FROM ws), d AS (SELECT id, least(floor({uniform_sql(42, 'slot', 'id')} * 499500), 499499)::BIGINT AS slot FROM range(40000) t(id)), f AS (SELECT slot FROM (SELECT slot, min(id) AS id FROM d GROUP BY slot) QUALIFY row_number() OVER (ORDER BY id) <= (SELECT m FROM need)), r AS (SELECT slot, floor((1 + sqrt(1 + 8.0::DOUBLE * slot)) / 2)::BIGINT AS r0 FROM f), q AS (SELECT slot, {PAIR} AS v FROM r), c AS (SELECT slot - v * (v - 1) // 2 AS u, v FROM q)"
+    f" SELECT u, v FROM ws UNION ALL SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY {uniform_sql(42, 'add', 'u', 'v')}, u, v) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM ws WHERE ws.u = c.u AND ws.v = c.v)) WHERE k <= (SELECT k FROM need)"
+)
+def g10_more_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fit_edge_count(stored(models.small_world(spark, 1000, 6, 0.1), "pairs"), 1000, 3500)
+
+
+@query(
+    f", d AS (SELECT id, floor({uniform_sql(42, 'accept/a', 'id')} * 200)::BIGINT AS a, floor({uniform_sql(42, 'accept/b', 'id')} * 200)::BIGINT AS b, {uniform_sql(42, 'accept/keep', 'id')} AS k FROM range(50000) t(id))"
+    " SELECT least(a, b) AS u, greatest(a, b) AS v FROM d WHERE a <> b AND k < CASE WHEN least(a // 50, 3) = least(b // 50, 3) THEN 0.8 ELSE 0.1 END GROUP BY ALL ORDER BY min(id) LIMIT 500"
+)
+def g11_accept_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.accept_reject_graph(spark, 200, 4, 500)
+
+
+@query(
+    f"{_sbm_sql('SELECT i AS node_id, CASE WHEN i < 8 THEN 0 ELSE 1 END AS block FROM range(60) t(i)', 'SELECT * FROM (VALUES (0, 0, 0.6::DOUBLE), (1, 1, 0.1::DOUBLE)) t(i, j, p)')}"
+    f", rim AS (SELECT i AS v, CASE WHEN {uniform_sql(42, 'links', 'i')} < 0.5 THEN 2 ELSE 3 END AS links FROM range(8, 60) t(i)), ends AS (SELECT u, v FROM rim, range(8) c(u) QUALIFY row_number() OVER (PARTITION BY v ORDER BY {uniform_sql(42, 'core', 'v', 'u')}, u) <= links) SELECT u, v FROM sbm UNION ALL SELECT u, v FROM ends"
+)
+def g11_core_periphery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.core_periphery(spark, 60)
+
+
+@query(f"{_sbm_sql('SELECT node_id, 0 AS block FROM fx_nodes', 'SELECT 0 AS i, 0 AS j, least(1.0, 6.0::DOUBLE / greatest(count(*) - 1, 1)) AS p FROM fx_nodes')} SELECT u, v FROM sbm")
 def g12_random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.random_graph(fx.nodes(spark, sf_dir), 6.0)
 
@@ -317,12 +422,49 @@ def a5_benefits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.benefits(enrich.work_status(_with_income(spark, sf_dir))).select("node_id", "uitkeringstype")
 
 
-@query()
+def _waves_sql(strength: float, decay: tuple[float, ...], stream: str, waves: int) -> str:
+    """Codes drawn in waves by descending degree, from CTE base (node_id, code, p)."""
+    parts = [
+        f"{DEGREES}, wv AS MATERIALIZED (SELECT node_id, floor((row_number() OVER (ORDER BY degree DESC, node_id) - 1) * {waves} / greatest(count(*) OVER (), 1))::INT AS wave FROM deg WHERE node_id IN (SELECT node_id FROM base)),"
+        " near AS MATERIALIZED (SELECT src AS node_id, dst AS other FROM fx_edges UNION ALL SELECT dst, src FROM fx_edges), codes AS (SELECT DISTINCT code FROM base), done0 AS (SELECT node_id, code FROM base WHERE false)"
+    ]
+    for i in range(1, waves + 1):
+        parts.append(
+            f", seen{i} AS (SELECT n.node_id, d.code AS seen, count(*) AS n FROM near n JOIN wv USING (node_id) JOIN done{i - 1} d ON d.node_id = n.other WHERE wave = {i - 1} GROUP BY ALL),"
+            f" hom{i} AS (SELECT node_id, c.code, sum(n * ([{', '.join(f'{x!r}::DOUBLE' for x in decay)}])[abs(c.code - seen) + 1]) AS h FROM seen{i}, codes c GROUP BY ALL),"
+            f" hn{i} AS (SELECT node_id, code, h / sum(h) OVER (PARTITION BY node_id) AS h FROM hom{i}),"
+            f" p{i} AS (SELECT b.node_id, b.code, CASE WHEN h IS NULL THEN p ELSE (1 - {strength}::DOUBLE) * p + {strength}::DOUBLE * (CASE WHEN p > 0 THEN h ELSE 0 END) END AS p FROM base b JOIN wv USING (node_id) LEFT JOIN hn{i} USING (node_id, code) WHERE wave = {i - 1}),"
+            f" c{i} AS (SELECT *, sum(p) OVER (PARTITION BY node_id ORDER BY code) AS upto, {uniform_sql(42, stream, 'node_id')} * sum(p) OVER (PARTITION BY node_id) AS u FROM p{i}),"
+            f" done{i} AS MATERIALIZED (SELECT * FROM done{i - 1} UNION ALL SELECT node_id, coalesce(min(code) FILTER (upto > u AND p > 0), max(code) FILTER (p > 0)) FROM c{i} GROUP BY node_id)"
+        )
+    return "".join(parts)
+
+
+STEP = "CASE " + " ".join(f"WHEN age < {bound} THEN {k}" for k, (bound, _) in enumerate(enrich.INCOME_BY_AGE[:-1])) + f" ELSE {len(enrich.INCOME_BY_AGE) - 1} END"
+INCOME_SQL = (
+    f"{DOMAIN}{AGES}, ie(oplniv, code, p) AS (VALUES "
+    + ", ".join(f"({e}, {i}, {p}::DOUBLE)" for e, ps in enrich.INCOME_BY_EDUCATION.items() for i, p in enumerate(ps))
+    + "), ia(step, code, m) AS (VALUES "
+    + ", ".join(f"({k}, {i}, {m}::DOUBLE)" for k, (_, ms) in enumerate(enrich.INCOME_BY_AGE) for i, m in enumerate(ms))
+    + f"), base AS MATERIALIZED (SELECT node_id, code, p * m / sum(p * m) OVER (PARTITION BY node_id) AS p FROM (SELECT node_id, oplniv, {STEP} AS step FROM aged WHERE age >= 20) JOIN ie USING (oplniv) JOIN ia USING (step, code))"
+)
+
+
+@query(
+    f"{INCOME_SQL}{_waves_sql(enrich.INCOME_STRENGTH, enrich.INCOME_DECAY, 'income', 3)} SELECT a.node_id, lft, oplniv, age, '[' || (age // 5 * 5) || ',' || (age // 5 * 5 + 5) || ')' AS age_bracket_5yr,"
+    + " coalesce(([" + ", ".join(f"'{b}'" for b in enrich.INCOME) + f"])[code + 1], '{enrich.NOT_APPLICABLE}') AS inkomensniveau FROM aged a LEFT JOIN done3 USING (node_id)"
+)
 def a3_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.income(enrich.ages(domain_nodes(spark, sf_dir)), fx.edges(spark, sf_dir), waves=3)
 
 
-@query()
+@query(
+    f"{DOMAIN}, mb(lft, code, p) AS (VALUES "
+    + ", ".join(f"('{k}', {i}, {p}::DOUBLE)" for k, ps in enrich.MARITAL_BY_AGE.items() for i, p in enumerate(ps))
+    + f"), base AS MATERIALIZED (SELECT node_id, code, p FROM dom JOIN mb USING (lft)){_waves_sql(enrich.MARITAL_STRENGTH, enrich.MARITAL_DECAY, 'marital', 3)} SELECT d.node_id, lft, oplniv, (["
+    + ", ".join(f"'{m}'" for m in enrich.MARITAL)
+    + "])[code + 1] AS burgerlijke_staat FROM dom d LEFT JOIN done3 USING (node_id)"
+)
 def a6_marital_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.marital_status(domain_nodes(spark, sf_dir), fx.edges(spark, sf_dir), waves=3)
 
@@ -360,12 +502,25 @@ def k4_interaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.interaction_table(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), ["seg"])
 
 
-@query(" SELECT 'p' || i AS params, (i / 10)::DOUBLE AS scale, CASE WHEN i % 2 = 0 THEN (i / 4)::DOUBLE END AS reciprocity FROM range(5) t(i)")
+FOLDERS = [("a", "scale=0.1_comms=50_recip=1_trans=0.5_pa=0.99_bridge=0.2"), ("b", "scale=12_comms=1000_trans=0_pa=0"), ("c", "nothing"), ("d", "recip=0_bridge=1.5")]
+FOLDERS_SQL = ", folders(name, params) AS (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in FOLDERS) + ")"
+
+
+@query(f"{FOLDERS_SQL} SELECT name, " + ", ".join(f"try_cast(nullif(regexp_extract(params, '{n}=({v})', 1), '') AS DOUBLE) AS {n}" for n, v in (("scale", r"\d+"), ("comms", r"\d+"), ("recip", r"\d+"), ("trans", r"[\d.]+"), ("pa", r"[\d.]+"), ("bridge", r"[\d.]+"))) + " FROM folders")
 def p5_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    text = F.concat(F.lit("scale="), (i / 10).cast("string"), F.when(i % 2 == 0, F.concat(F.lit("_reciprocity="), (i / 4).cast("string"))).otherwise(""))
-    t = spark.range(5).select(F.concat(F.lit("p"), "id").alias("name"), text.alias("params"))
-    return t.select(F.col("name").alias("params"), *tables.parameters("params")[:2])
+    return spark.createDataFrame(FOLDERS, "name string, params string").select("name", *tables.parameters("params"))
+
+
+@query(" SELECT 'scale=' || i || '_pa=' || (i / 4)::DOUBLE AS folder, regexp_replace('x' || i || '_stats', '_stats$', '') AS key FROM range(4) t(i)")
+def p18_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.range(4).select("id", (F.col("id") / 4).alias("pa"), F.concat(F.lit("x"), "id", F.lit("_stats")).alias("file"))
+    return t.select(tables.folder_name({"scale": "id", "pa": "pa"}).alias("folder"), tables.without_suffix("file").alias("key"))
+
+
+@query(" SELECT i::INT AS i, round(0.05 + i * 0.45 / 9, 8)::DOUBLE AS value, round(pow(10, i * 4.7 / 9), 6)::DOUBLE AS power FROM range(10) t(i)")
+def p15_spaced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = tables.linspace(spark, 0.05, 0.5, 10).withColumn("value", F.round("value", 8))
+    return a.join(tables.logspace(spark, 0, 4.7, 10, "power").withColumn("power", F.round("power", 6)), "i")
 
 
 @query(" SELECT node_id, node_id % 10 / 10 AS x FROM fx_nodes WHERE node_id % 10 IN (3, 7)")
@@ -411,13 +566,155 @@ def _domain_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain_nodes(spark, sf_dir).select("node_id", groups.alias("etngrp"), sex.alias("geslacht"), "lft", "oplniv")
 
 
-@query()
+def _split_sql(i: int, before: str, keys: list[str], on: str, table: dict, out: str) -> str:
+    """CTE x<i>: rows of ``before`` split over a table's categories by largest remainders."""
+    values = ", ".join(f"('{k}', {pos}, '{c}', {p / sum(t.values())!r}::DOUBLE)" for k, t in table.items() for pos, (c, p) in enumerate(t.items()))
+    names = ", ".join(keys)
+    return (
+        f", t{i}(tk, pos, category, p) AS (VALUES {values}), w{i} AS (SELECT r.*, pos, category, p * n AS exact, floor(p * n)::BIGINT AS whole FROM {before} r JOIN t{i} ON tk = {on}),"
+        f" k{i} AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY {names} ORDER BY exact - whole DESC, pos DESC) <= n - sum(whole) OVER (PARTITION BY {names}) THEN 1 ELSE 0 END AS k FROM w{i}),"
+        f" x{i} AS (SELECT {names}, category AS {out}, k::BIGINT AS n FROM k{i} WHERE k > 0)"
+    )
+
+
+def _expanded_sql() -> str:
+    groups = "(['" + "','".join(expand.IMMIGRATION) + "'])[(node_id // 8 % 5 + 1)::INT]"
+    keys = list(expand.BASE)
+    sql = f"{DOMAIN}, dp AS (SELECT node_id, {groups} AS etngrp, CASE WHEN node_id % 2 = 0 THEN 'Man' ELSE 'Vrouw' END AS geslacht, lft, oplniv FROM dom), x0 AS (SELECT {', '.join(keys)}, count(*) AS n FROM dp GROUP BY ALL)"
+    child = f"lft = '{expand.CHILDREN}'"
+    incomes = {str(e): dict(zip(enrich.INCOME, ps, strict=True)) for e, ps in enrich.INCOME_BY_EDUCATION.items()} | {expand.CHILDREN: {enrich.NOT_APPLICABLE: 1.0}}
+    steps = [
+        ("lft", expand.MARITAL, "burgerlijke_staat"),
+        ("lft", expand.EMPLOYMENT, "arbeidsstatus"),
+        (f"CASE WHEN {child} THEN lft ELSE oplniv::VARCHAR END", incomes, "inkomensniveau"),
+        ("lft", expand.HEALTH, "gezondheid"),
+        ("etngrp", expand.IMMIGRATION, "immigratie_gen"),
+        (f"CASE WHEN {child} THEN lft ELSE 'adult' END", {"adult": expand.VOTE, expand.CHILDREN: {"Nee": 1.0}}, "kiesrecht"),
+    ]
+    for i, (on, table, out) in enumerate(steps, 1):
+        sql += _split_sql(i, f"x{i - 1}", keys, on, table, out)
+        keys.append(out)
+    return sql
+
+
+@query(f"{_expanded_sql()} SELECT * FROM x6")
 def n13_expand_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.expand_population(sinks.population_table(_domain_population(spark, sf_dir), expand.BASE))
 
 
-@query()
+ENDS = [c + e for e in ("_src", "_dst") for c in expand.BASE]
+BANDS = "(['" + "','".join(enrich.INCOME) + "'])"
+
+
+@query(
+    f"{_expanded_sql()}, sh AS (SELECT {', '.join(expand.BASE)}, inkomensniveau, sum(n) / sum(sum(n)) OVER (PARTITION BY {', '.join(expand.BASE)}) AS share FROM x6 GROUP BY {', '.join(expand.BASE)}, inkomensniveau),"
+    f" bd AS (SELECT *, list_position({BANDS}, inkomensniveau) - 1 AS band FROM sh WHERE list_contains({BANDS}, inkomensniveau)),"
+    f" il AS (SELECT {', '.join(f'{e}.{c} AS {c}_{n}' for e, n in (('a', 'src'), ('b', 'dst')) for c in expand.BASE)}, count(*) AS n FROM fx_edges JOIN dp a ON a.node_id = src JOIN dp b ON b.node_id = dst GROUP BY ALL),"
+    f" iw AS (SELECT il.*, a.band AS ba, b.band AS bb, a.share * b.share * ([{', '.join(f'{x!r}::DOUBLE' for x in enrich.INCOME_DECAY)}])[abs(a.band - b.band) + 1] AS w FROM il JOIN bd a ON {' AND '.join(f'a.{c} = {c}_src' for c in expand.BASE)} JOIN bd b ON {' AND '.join(f'b.{c} = {c}_dst' for c in expand.BASE)}),"
+    f" ip AS (SELECT *, w / sum(w) OVER (PARTITION BY {', '.join(ENDS)}) AS p FROM iw), iq AS (SELECT *, p * n AS exact, floor(p * n)::BIGINT AS whole, ba * 4 + bb AS pos FROM ip WHERE w > 0),"
+    f" ik AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY {', '.join(ENDS)} ORDER BY exact - whole DESC, pos DESC) <= n - sum(whole) OVER (PARTITION BY {', '.join(ENDS)}) THEN 1 ELSE 0 END AS k FROM iq)"
+    f" SELECT {', '.join(ENDS)}, {BANDS}[(ba + 1)::INT] AS inkomensniveau_src, {BANDS}[(bb + 1)::INT] AS inkomensniveau_dst, k::BIGINT AS n FROM ik WHERE k > 0"
+)
 def n14_expand_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _domain_population(spark, sf_dir)
     wide = stored(expand.expand_population(sinks.population_table(people, expand.BASE)), "wide")
     return expand.expand_interactions(sinks.interaction_table(fx.edges(spark, sf_dir), people, expand.BASE), wide)
+
+
+# --- graph folders ------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_root(spark)}/popweave-{uuid.uuid4().hex}/{name}"
+
+
+LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"
+
+
+@query(f"{LAYERED} SELECT network, src, dst FROM le WHERE network IN ('1-URGENT', '3-MEDIUM')")
+def s8_load_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs written by network and read back by name, without the baseline."""
+    path = _folder(spark, "graphs")
+    layered(spark, sf_dir).write.partitionBy("network").parquet(path)
+    return tables.read_networks(spark, path, ["1-URGENT", "3-MEDIUM"], baseline=False)
+
+
+FIRST = "SELECT src AS node_id FROM le WHERE network = '1-URGENT' UNION SELECT dst FROM le WHERE network = '1-URGENT'"
+
+
+@query(f"{LAYERED}{_sbm_sql(f'SELECT node_id, 0 AS block FROM ({FIRST})', f'SELECT 0 AS i, 0 AS j, least(1.0, (SELECT count(*) FROM le WHERE network = ' + chr(39) + '1-URGENT' + chr(39) + f') / count(*) / greatest(count(*) - 1, 1)) AS p FROM ({FIRST})')} SELECT 'Random (ER)' AS network, u AS src, v AS dst FROM sbm UNION ALL SELECT 'Random (ER)', v, u FROM sbm")
+def s8_matched_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "graphs")
+    layered(spark, sf_dir).write.partitionBy("network").parquet(path)
+    return tables.read_networks(spark, path).where("network = 'Random (ER)'")
+
+
+@query(" SELECT group_id, seg, reg, count(*) AS n FROM fx_gnodes GROUP BY ALL")
+def s7_graph_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of edges and metadata, read back with the groups' attributes."""
+    path = _folder(spark, "graph")
+    n = fx.grouped_nodes(spark, sf_dir)
+    fx.edges(spark, sf_dir).write.parquet(f"{path}/edges")
+    of = F.map_from_entries(F.collect_list(F.struct(F.col("node_id").cast("string"), "group_id"))).alias("nodes_to_group")
+    attrs = F.map_from_entries(F.collect_set(F.struct(F.col("group_id").cast("string"), F.struct("seg", "reg")))).alias("group_to_attrs")
+    n.agg(of, attrs).coalesce(1).write.json(f"{path}/metadata")
+    nodes = tables.read_edges(spark, path)[1]
+    return nodes.groupBy("group_id", F.col("attrs")["seg"].alias("seg"), F.col("attrs")["reg"].alias("reg")).agg(F.count("*").alias("n"))
+
+
+@query(", b AS (SELECT row_number() OVER (ORDER BY reg, seg) - 1 AS block, reg, seg FROM fx_pop), l AS (SELECT least(x.block, y.block) AS i, greatest(x.block, y.block) AS j, l.n, x.block AS s FROM fx_links l JOIN b x ON x.reg = reg_src AND x.seg = seg_src JOIN b y ON y.reg = reg_dst AND y.seg = seg_dst) SELECT i, j, round(arg_max(n, s * 1000 + j) / 1e6, 9)::DOUBLE AS p FROM l GROUP BY i, j")
+def s15_block_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population and connections as CSV, read back as a block model; the later row of a pair wins."""
+    path = _folder(spark, "blocks")
+    sinks.write_csv(fx.pop(spark, sf_dir).select("reg", "seg", "n"), f"{path}/population.csv")
+    links = fx.links(spark, sf_dir).withColumn("fn", F.col("n") / 1e6).drop("n")
+    # One part, in order, so that "later" is defined.
+    links.coalesce(1).sortWithinPartitions("reg_src", "seg_src", "reg_dst", "seg_dst").write.option("header", True).csv(f"{path}/connections.csv")
+    return rounded(tables.read_blocks(spark, f"{path}/population.csv", f"{path}/connections.csv")[1], 9)
+
+
+@query(f"{_sbm_sql(BLOCKS, BLOCK_P)} SELECT u AS source, v AS target FROM sbm")
+def k7_append_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block model's edges written in three batches of one file, read back."""
+    path = _folder(spark, "edges")
+    e = stored(models.stochastic_blocks(*_blocks(spark, sf_dir)), "pairs")
+    sinks.append_edges((e.where(F.pmod(F.xxhash64("u", "v"), F.lit(3)) == b) for b in range(3)), path)
+    return spark.read.option("header", True).schema("source long, target long").csv(path)
+
+
+@query(f"{_bfs_sql(12, '(SELECT 7 AS node_id)')}, kept AS (SELECT node_id FROM d12 ORDER BY distance, node_id LIMIT 60) SELECT node_id, seg, reg FROM fx_nodes WHERE node_id IN (SELECT node_id FROM kept)")
+def k10_subgraph_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subgraph written twice to one folder, its nodes read back."""
+    path = _folder(spark, "subgraph")
+    found = metrics.extract_subgraph(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), 7, 60)
+    assert found is not None
+    for _ in range(2):
+        sinks.write_graph(*found, path)
+    return spark.read.parquet(f"{path}/nodes")
+
+
+@query(f"{LAYERS} SELECT src, dst, array_to_string(list(layer ORDER BY layer), ',') AS layers FROM le GROUP BY src, dst")
+def k11_multiplex_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "multiplex")
+    sinks.write_layers(_layers(spark, sf_dir), path)
+    return spark.read.parquet(f"{path}/combined").withColumn("layers", F.array_join("layers", ","))
+
+
+@query(
+    """, s AS (SELECT seg, dense_rank() OVER (ORDER BY seg) - 1 AS c FROM (SELECT DISTINCT seg FROM fx_nodes)),
+    r AS (SELECT reg, dense_rank() OVER (ORDER BY reg) - 1 AS c FROM (SELECT DISTINCT reg FROM fx_nodes))
+    SELECT node_id, s.c::SMALLINT AS seg, r.c::SMALLINT AS reg FROM fx_nodes JOIN s USING (seg) JOIN r USING (reg)"""
+)
+def k6_encoded_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "encoded")
+    sinks.write_encoded(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), ["seg", "reg"], path)
+    return spark.read.parquet(f"{path}/nodes")
+
+
+@query(" SELECT DISTINCT group_id, seg, reg FROM fx_gnodes")
+def k14_group_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "groups")
+    sinks.write_groups(fx.grouped_nodes(spark, sf_dir), ["seg", "reg"], path)
+    return spark.read.option("header", True).schema("group_id int, seg string, reg string").csv(f"{path}/attributes")

@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder, or one of our own where the session names none."""
+    """The shared folder. Where the session names none, a session in one process
+    gets a temporary folder; on a cluster that is an error, as no folder of the
+    driver's is seen by the executors."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="popweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popweave.operators.outcomes import parse_runs
@@ -71,10 +71,41 @@ def read_statistics(spark: SparkSession, folder: str, schema: str | None = None)
     return t.withColumns({"file_path": path, "filename": F.col("_metadata.file_name"), "folder": F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)})
 
 
+#: Parameters in a network's folder name, and what their values look like (fixed values; the first three are whole numbers).
+PARAMETERS = {"scale": r"\d+", "comms": r"\d+", "recip": r"\d+", "trans": r"[\d.]+", "pa": r"[\d.]+", "bridge": r"[\d.]+"}
+
+
 def parameters(params: str) -> list:
-    """Columns for name=value pairs in a text; values are read as doubles."""
-    get = lambda name: F.when(F.regexp_extract(params, rf"{name}=([0-9.]+)", 1) != "", F.regexp_extract(params, rf"{name}=([0-9.]+)", 1).cast("double")).alias(name)
-    return [get(n) for n in ("scale", "reciprocity", "transitivity", "preferential_attachment", "communities")]
+    """Columns for the name=value pairs in a text, as doubles; null where a name is missing.
+
+    Whole numbers end at the first other character, so scale=0.1 gives 0.
+    """
+    out = []
+    for name, value in PARAMETERS.items():
+        found = F.regexp_extract(params, f"{name}=({value})", 1)
+        out.append(F.when(found != "", found.try_cast("double")).alias(name))
+    return out
+
+
+def folder_name(values: dict) -> Column:
+    """The folder name of a network, as :func:`parameters` reads it, from columns by name."""
+    return F.concat_ws("_", *(F.concat(F.lit(f"{name}="), F.col(column).cast("string")) for name, column in values.items()))
+
+
+def linspace(spark: SparkSession, start: float, stop: float, n: int, out: str = "value") -> DataFrame:
+    """(i, value): n evenly spaced values with both ends."""
+    step = (stop - start) / (n - 1) if n > 1 else 0.0
+    return spark.range(n).select(F.col("id").cast("int").alias("i"), (F.lit(float(start)) + F.col("id") * step).alias(out))
+
+
+def logspace(spark: SparkSession, start: float, stop: float, n: int, out: str = "value") -> DataFrame:
+    """(i, value): powers of ten with evenly spaced exponents."""
+    return linspace(spark, start, stop, n, out).withColumn(out, F.pow(F.lit(10.0), F.col(out)))
+
+
+def without_suffix(column: str, suffix: str = "_stats") -> Column:
+    """A file name without the ending of statistics files."""
+    return F.regexp_replace(column, f"{suffix}$", "")
 
 
 def near_any(column: str, values: Sequence[float], tolerance: float = 1e-6):
@@ -109,3 +140,53 @@ def parse_dimensions(column: str, names: Sequence[str], out: str = "dims") -> di
         found = F.when(hit, F.array_append(found, F.lit(n))).otherwise(found)
         rest = F.when(hit, F.replace(rest, F.lit(n), F.lit("\x00"))).otherwise(rest)
     return {out: F.array_sort(found)}
+
+
+def read_edges(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of a graph folder: edges/ (src, dst), and metadata/ (JSON
+    with nodes_to_group and group_to_attrs), whose attributes nodes get."""
+    meta = spark.read.schema("nodes_to_group map<string,int>, group_to_attrs map<string,map<string,string>>").option("multiLine", True).json(f"{folder}/metadata")
+    groups = meta.select(F.explode("group_to_attrs").alias("g", "attrs")).select(F.col("g").cast("int").alias("group_id"), "attrs")
+    nodes = meta.select(F.explode("nodes_to_group").alias("n", "group_id")).select(F.col("n").cast("long").alias("node_id"), "group_id")
+    return spark.read.parquet(f"{folder}/edges"), nodes.join(groups, "group_id", "left").select("node_id", "group_id", "attrs")
+
+
+def read_networks(spark: SparkSession, folder: str, names: Sequence[str] | None = None, baseline: bool = True, seed: int = 42) -> DataFrame:
+    """(network, src, dst) of all graphs under ``folder`` (network=<name>/), or of ``names`` only.
+
+    With ``baseline``, a random graph comes along with the nodes and the mean
+    degree of the first network, as "Random (ER)", both directions of each pair.
+    """
+    from popweave.operators import models
+
+    e = spark.read.parquet(folder).select("network", "src", "dst")
+    if names is not None:
+        e = e.where(F.col("network").isin(*names))
+    first = e.agg(F.min("network")).first()[0]
+    if not baseline or first is None:
+        return e
+    own = e.where(F.col("network") == first)
+    nodes = own.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    n = nodes.count()
+    pairs = models.random_graph(nodes, own.count() / n, seed)
+    return e.unionByName(models.symmetric(pairs).select(F.lit("Random (ER)").alias("network"), "src", "dst"))
+
+
+def read_blocks(spark: SparkSession, population: str, connections: str, probability: str = "fn", count: str = "n") -> tuple[DataFrame, DataFrame]:
+    """(blocks, probabilities) of a block model: blocks are numbered in the order
+    of their attributes; a connection counts for both directions, the later row
+    of a pair winning, and rows with an unknown end go."""
+    from pyspark.sql import Window
+
+    pop = read_table(spark, population)
+    names = [c for c in pop.columns if c != count]
+    blocks = pop.dropDuplicates(names).select((F.row_number().over(Window.orderBy(*names)) - 1).alias("block"), *names, F.col(count).cast("long").alias("n"))
+    links = read_table(spark, connections).withColumn("_row", F.monotonically_increasing_id())
+    for suffix, side in (("_src", "i"), ("_dst", "j")):
+        b = blocks.select(F.col("block").alias(side), *(F.col(c).alias(f"_{c}") for c in names))
+        match = F.lit(True)
+        for c in names:
+            match = match & F.col(c + suffix).eqNullSafe(F.col(f"_{c}"))
+        links = links.join(b, match).drop(*(f"_{c}" for c in names))
+    p = links.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col(probability).cast("double").alias("p"), "_row")
+    return blocks, p.groupBy("i", "j").agg(F.max_by("p", "_row").alias("p"))

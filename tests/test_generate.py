@@ -59,7 +59,7 @@ def test_refinement_keeps_totals_and_lowers_loss(tables):
     assert count(a) == count(b) and b.select("node_id").distinct().count() == 150
 
     def gap(x):
-        comp = np.zeros((5, 3))
+        comp = np.zeros((50, 3))
         for r in com.composition(x).collect():
             comp[r.community, r.group_id] = r.n
         budget = np.zeros((3, 3))

@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from popweave.operators import communities as com
 from popweave.operators import metrics
-from popweave.plans import catalog, generation
+from popweave.plans import catalog, generation  # noqa: F401
 from popweave.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -30,23 +31,23 @@ def test_components_of_all_edges(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    found = {r.node_id: r.component for r in catalog.QUERIES["m9_components_whole"](spark, DATA).collect()}
+    found = {r.node_id: r.component for r in catalog.QUERIES["m9_components"](spark, DATA).collect()}
     assert found == {n: find(n) for n in nodes}
 
 
 def test_bootstrap_of_all_runs(spark):
-    def uniform(*keys):
-        return int(hashlib.md5("|".join(map(str, (42, "boot", *keys))).encode()).hexdigest()[:12], 16) / 16**12
+    def uniform(k, *keys):
+        return int(hashlib.md5("|".join(map(str, (42, "boot", *keys, k // 4))).encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8], 16) / 16**8
 
     values = defaultdict(list)
     for r in fx.runs(spark, DATA).orderBy("run").collect():
         values[r.network].append(r.value)
     assert sum(map(len, values.values())) == fx.runs(spark, DATA).count()
-    found = {r.network: (r.low, r.high) for r in catalog.QUERIES["r18_bootstrap_whole"](spark, DATA).collect()}
+    found = {r.network: (r.low, r.high) for r in catalog.QUERIES["r18_bootstrap"](spark, DATA).collect()}
     assert set(found) == set(values)
     for network, x in values.items():
         n, x = len(x), np.array(x)
-        v = [x[[min(int(uniform(network, b, k) * n), n - 1) for k in range(n)]].var(ddof=1) for b in range(1, 1001)]
+        v = [x[[min(int(uniform(k, network, b) * n), n - 1) for k in range(n)]].var(ddof=1) for b in range(1, 1001)]
         assert found[network] == pytest.approx(np.quantile(v, [0.025, 0.975]), abs=1e-3)
 
 
@@ -77,12 +78,11 @@ def test_labels_spread_until_they_settle(spark, links):
 
 
 def test_pairs_of_all_people(spark):
-    data = DATA.replace("0.001", "0.01")
-    home = {r.node_id: r.community for r in generation.assignment(spark, data).collect()}
-    size = Counter(home.values())
-    pairs = [(r.src, r.dst) for r in catalog.QUERIES["e8_complete_communities_whole"](spark, data).collect()]
-    assert len(pairs) == len(set(pairs)) == sum(n * (n - 1) for n in size.values())
-    assert all(a != b and home[a] == home[b] for a, b in pairs)
+    n = fx.grouped_nodes(spark, DATA)
+    home = {r.node_id: r.community for r in com.assign_natural(n, n.count() // 4).collect()}
+    assert set(home) == set(graph(spark)[0])
+    pairs = [(r.src, r.dst) for r in catalog.QUERIES["e8_complete_communities"](spark, DATA).collect()]
+    assert Counter(pairs) == Counter((a, b) for a in home for b in home if a != b and home[a] == home[b])
 
 
 def test_households_hold_all_people(spark):
@@ -105,13 +105,13 @@ def test_distances_from_all_nodes(spark):
                 if (s, y) not in want:
                     want[s, y] = want[s, x] + 1
                     front.append(y)
-    assert {(r.source, r.node_id): r.distance for r in catalog.QUERIES["m8_distances_whole"](spark, DATA).collect()} == want
+    assert {(r.source, r.node_id): r.distance for r in catalog.QUERIES["m8_distances"](spark, DATA).collect()} == want
     far = [d for d in want.values() if d]
     mean = pytest.approx(sum(far) / len(far), abs=1e-6)
-    assert catalog.QUERIES["m8_path_length_whole"](spark, DATA).first() == (mean, len(far))
+    assert catalog.QUERIES["m8_path_length"](spark, DATA).first() == (mean, len(far))
     assert catalog.QUERIES["m12_metric_bundle"](spark, DATA).first().path_length == mean
     ends = {x for e in edges for x in e}
-    assert [r.node_id for r in catalog.QUERIES["m11_non_isolates_whole"](spark, DATA).collect()] == [n for n in nodes if n in ends][:50]
+    assert [r.node_id for r in catalog.QUERIES["m11_non_isolates"](spark, DATA).collect()] == [n for n in nodes if n in ends][:50]
 
 
 def test_distances_run_to_the_end_of_a_chain(spark):
