@@ -1,27 +1,29 @@
 """Quality rules whose cutoffs carry a guarantee (risk-controlled thresholds).
 
-Each rule rejects a document whose ratio reaches a cutoff. Per stratum (the
-language) and rule, cutoffs are tried on all labelled documents from the most
-lenient to stricter ones. A cutoff is safe if the exact (Clopper-Pearson)
-upper bound of its false rejection rate is at most ``max_false`` at level
-``error`` divided by (strata x rules): Bonferroni over rules and strata, and
-fixed-sequence testing over cutoffs, which stops at the first one that isn't
-safe. So with probability 1 - ``error`` no stratum loses more than
-``max_false`` of its good documents to any rule. Of the safe cutoffs the one
-that best separates bad from good documents is used, the more lenient one if
-equal; without a safe one the rule is off in that stratum.
+Each rule rejects a document whose ratio reaches a cutoff; a document goes if any
+rule rejects it. The rules' cutoffs are tightened together, in LEVELS steps that
+are fixed beforehand. Per stratum (the language) the steps are tried on all
+labelled documents from the most lenient to stricter ones. A step is safe if the
+exact (Clopper-Pearson) upper bound of the rate at which good documents are
+rejected, by whichever rule, is at most ``max_false`` at level ``error`` divided
+by the number of strata: Bonferroni over strata, and fixed-sequence testing over
+steps, which stops at the first one that isn't safe. So with probability
+1 - ``error`` no stratum loses more than ``max_false`` of its good documents. Of
+the safe steps the one that best separates bad from good documents is used, the
+more lenient one if equal; without a safe one the rules are off in that stratum.
 
 Defined results
 * null text: no words, so it fails the base rule; null languages are a
   stratum of their own; null labels and labels without a document don't count;
   a document with several labels counts as bad if one says so.
 * an empty table gives no rows; without labels only the base rule rejects.
-* repeated rows are measured one by one.
+* repeated rows are measured one by one; texts of any length are measured whole.
+* further columns are ignored, and kept by :func:`good_documents` whatever their
+  names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +33,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from popweave.functions.distributions import incomplete_beta
 from popweave.llm._store import stored
 from popweave.llm._words import SOLID, byte_class, mix, slices, utf8, windows, words
 
 SYMBOL = byte_class("#*$%&|<>")
 BLANK = b" \t\n\v\f\r"
 WINDOW = 5
-#: rule: (numerator, denominator, cutoffs in thousandths from lenient to strict)
+#: rule: (numerator, denominator, cutoffs in thousandths, one for each step from lenient to strict)
 RULES = {
-    "symbols": ("n_symbols", "n_words", (3000, 2000, 1500, 1000, 750, 500, 400, 300, 250, 200, 150, 100, 75, 50)),
-    "dup_lines": ("n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200)),
-    "repeats": ("n_repeat_words", "n_words", (200, 180, 160, 140, 120, 100, 80, 60)),
-    "long_words": ("word_chars", "n_words", (20000, 15000, 12000, 10000, 9000, 8000, 7500, 7000, 6500, 6000)),
+    "symbols": ("n_symbols", "n_words", (3000, 2000, 1500, 1000, 750, 500, 400, 300, 250, 200, 150, 100)),
+    "dup_lines": ("n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 225, 200)),
+    "repeats": ("n_repeat_words", "n_words", (200, 190, 180, 170, 160, 150, 140, 120, 100, 80, 70, 60)),
+    "long_words": ("word_chars", "n_words", (20000, 15000, 12000, 10000, 9500, 9000, 8500, 8000, 7500, 7000, 6500, 6000)),
 }
+LEVELS = 12
 MAX_FALSE = 0.0125
 ERROR = 0.05
 
@@ -144,40 +148,36 @@ def rejected(rule: str, cutoff: Column) -> Column:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(at most k of n) at rate p, exactly but for rounding."""
-    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+    """P(at most k of n) at rate p, exactly but for rounding, as an incomplete beta function."""
+    return 1.0 if k >= n else incomplete_beta(n - k, k + 1, 1 - p)
 
 
 def safe_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
-    """(stratum, rule, cutoff) of the rules that are on.
+    """(lang, rule, cutoff) of the strata whose rules are on.
 
-    What is gathered is a count for each stratum, rule, cutoff and label.
+    What is gathered is a count for each stratum, step and label.
     """
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     m = measured.where(~base_failed()).join(known, "doc_id")
-    steps = [F.struct(F.lit(r).alias("rule"), sum((rejected(r, F.lit(c)).cast("int") for c in cuts), F.lit(0)).alias("step")) for r, (_, _, cuts) in RULES.items()]
-    hist = m.select("lang", "quality", F.explode(F.array(*steps)).alias("s")).groupBy("lang", "s.rule", "s.step", "quality").agg(F.count("*").alias("n"))
-    hist = stored(hist, "label_counts")
-    tests = hist.select(F.struct("lang")).distinct().count() * len(RULES)
+    step = F.lit(0)
+    for j in range(LEVELS):
+        step = step + F.greatest(*(rejected(r, F.lit(cuts[j])) for r, (_, _, cuts) in RULES.items())).cast("int")
+    hist = stored(m.groupBy("lang", step.alias("step"), "quality").agg(F.count("*").alias("n")), "label_counts")
+    tests = max(1, hist.select(F.struct("lang")).distinct().count())
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for rule, (_, _, cuts) in RULES.items():
-            r = rows[rows.rule == rule]
-            good, bad = r[r.quality == 1], r[r.quality != 1]
-            n_good, n_bad = int(good.n.sum()), int(bad.n.sum())
-            best, chosen = 0.0, None
-            for j, cut in enumerate(cuts):
-                # A document's step counts the cutoffs that reject it: the strictest ones.
-                least = len(cuts) - j
-                k = int(good[good.step >= least].n.sum())
-                if binomial_cdf(k, n_good, max_false) > error / tests:
-                    break
-                gain = int(bad[bad.step >= least].n.sum()) / max(n_bad, 1) - k / n_good
-                if gain > best:
-                    best, chosen = gain, cut
-            if chosen is not None:
-                out.append((rows.lang.iloc[0], rule, chosen))
+        good, bad = rows[rows.quality == 1], rows[rows.quality != 1]
+        n_good, n_bad = int(good.n.sum()), int(bad.n.sum())
+        best, chosen = 0.0, None
+        for j in range(LEVELS):
+            # A document's step counts the levels that reject it: the strictest ones.
+            k = int(good[good.step >= LEVELS - j].n.sum())
+            if binomial_cdf(k, n_good, max_false) > error / tests:
+                break
+            gain = int(bad[bad.step >= LEVELS - j].n.sum()) / max(n_bad, 1) - k / n_good
+            if gain > best:
+                best, chosen = gain, j
+        out = [] if chosen is None else [(rows.lang.iloc[0], r, cuts[chosen]) for r, (_, _, cuts) in RULES.items()]
         return pd.DataFrame(out, columns=["lang", "rule", "cutoff"])
 
     return hist.groupBy("lang").applyInPandas(choose, "lang string, rule string, cutoff long")
@@ -202,9 +202,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_false: float = MAX_
 
 
 def _sql() -> str:
-    rules = ", ".join(f"('{r}', {j}, {c})" for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts, 1))
-    over = "CASE rule " + " ".join(f"WHEN '{r}' THEN {a}" for r, (a, _, _) in RULES.items()) + " END"
-    under = "CASE rule " + " ".join(f"WHEN '{r}' THEN {b}" for r, (_, b, _) in RULES.items()) + " END"
+    levels = ", ".join(f"({j}, {', '.join(str(cuts[j]) for _, _, cuts in RULES.values())})" for j in range(LEVELS))
+    hit = " OR ".join(f"({b} > 0 AND 1000 * {a} >= cut_{r} * {b})" for r, (a, b, _) in RULES.items())
     solid = r"[^\x20\x09-\x0D]"
     return rf"""
 WITH d AS MATERIALIZED (
@@ -225,27 +224,26 @@ m AS MATERIALIZED (
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-cuts AS (SELECT * FROM (VALUES {rules}) t(rule, j, cut)),
+cuts AS (SELECT * FROM (VALUES {levels}) t(j, {", ".join(f"cut_{r}" for r in RULES)})),
 counts AS (
-  SELECT lang, rule, j, cut,
+  SELECT lang, j,
          count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality <> 1) AS n_bad,
          count(*) FILTER (quality = 1 AND hit) AS k, count(*) FILTER (quality <> 1 AND hit) AS k_bad
-  FROM (SELECT lang, rule, j, cut, quality, ({under}) > 0 AND 1000 * ({over}) >= cut * ({under}) AS hit
-        FROM b JOIN known USING (doc_id), cuts WHERE NOT base_failed)
+  FROM (SELECT lang, j, quality, {hit} AS hit FROM b JOIN known USING (doc_id), cuts WHERE NOT base_failed)
   GROUP BY ALL),
 tested AS (
   SELECT *, list_sum(list_transform(range(0, k + 1), lambda i:
               exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({MAX_FALSE}::DOUBLE) + (n_good - i) * ln(1 - {MAX_FALSE}::DOUBLE))))
-            <= {ERROR}::DOUBLE / (SELECT {len(RULES)} * count(DISTINCT coalesce(lang, chr(0))) FROM counts) AS passed
+            <= {ERROR}::DOUBLE / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM counts) AS passed
   FROM counts),
-safe AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY j) AS ok FROM tested),
+safe AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang ORDER BY j) AS ok FROM tested),
 chosen AS (
-  SELECT lang, rule, cut FROM safe
+  SELECT lang, j FROM safe
   WHERE ok AND k_bad / greatest(n_bad, 1) - k / n_good > 0
-  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY k_bad / greatest(n_bad, 1) - k / n_good DESC, j) = 1),
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY k_bad / greatest(n_bad, 1) - k / n_good DESC, j) = 1),
 hits AS (
-  SELECT DISTINCT doc_id FROM b JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang
-  WHERE ({under}) > 0 AND 1000 * ({over}) >= cut * ({under}))
+  SELECT DISTINCT doc_id FROM b JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang JOIN cuts USING (j)
+  WHERE {hit})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hits WHERE doc_id IS NOT NULL) AS kept
 FROM b
