@@ -6,6 +6,8 @@ Expectation-maximisation over the counts of their vote patterns - at most
 good documents. The posterior of a document's pattern is its weak label, and
 weak labels train a linear scorer on hashed features, which generalises beyond
 the labellers. No hand label is used; hand labels only measure the result.
+Texts are read three times and never shuffled: for the votes, for the sample's
+vectors, and for votes and scores together.
 
 The scorer is fitted on a bounded sample: the ``SAMPLE`` documents with the
 smallest hash of their id and text (a documented bound; the vectors have
@@ -15,8 +17,10 @@ labels and scores cover all documents.
 Defined results
 * null text counts as empty: all labellers but the length one abstain; where
   all abstain, the weak label is the share of good documents.
-* repeated rows get equal scores; an empty table gives no rows; ties of the
-  sample's hash are equal documents, so which one is taken doesn't matter.
+* repeated rows get equal scores; an empty table gives no rows; of documents with
+  equal hashes one is in the sample.
+* a score of exactly the threshold is good; texts of any length are read whole;
+  further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from popweave.llm._store import stored
 from popweave.llm._words import Words, mix, slices, utf8, words
 from popweave.llm.quality_rules import measure_texts
 
-SAMPLE = 3000
+SAMPLE = 6000
 DIMENSIONS = 4096
 LABELLERS = ("symbols", "dup_lines", "repeats", "word_length", "stopwords", "length", "shouting")
 
@@ -132,7 +136,7 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> LabelModel:
     return LabelModel(prior, accuracy, dict(zip(pattern, q.tolist(), strict=True)))
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250) -> np.ndarray:
+def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Weights and bias of a logistic scorer for soft labels (gradient descent with momentum)."""
     w = np.zeros(x.shape[1] + 1, np.float32)
     step = np.zeros_like(w)
@@ -147,18 +151,21 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 250) -> np.ndarray:
 
 
 def label_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, votes and key (a hash of id and text) of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """key (a hash of id and text) and votes of every document."""
     stops = stop_hashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = utf8(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(vote_texts(texts, words(texts), stops), pa.string())], ["doc_id", "key", "votes"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(vote_texts(texts, words(texts), stops), pa.string())], ["key", "votes"])
+
+    return _keyed(docs).select("key", "text").mapInArrow(run, "key long, votes string")
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, key long, votes string")
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
 
 
 def _vectors_of(docs: DataFrame) -> DataFrame:
@@ -176,33 +183,32 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[L
     """The label model of all documents, and the scorer of the bounded sample."""
     model = fit_labels({r.votes: r.n for r in labelled.groupBy("votes").agg(F.count("*").alias("n")).collect()})
     chosen = {r.key: r.votes for r in labelled.select("key", "votes").orderBy("key").limit(sample).collect()}
-    limit = max(chosen, default=None)
-    text = F.col("text").cast("string")
-    near = docs.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
-    near = near.where(F.col("key") <= F.lit(limit)) if chosen else near.limit(0)
-    rows = _vectors_of(near.dropDuplicates(["key"])).collect()
+    near = _keyed(docs)
+    near = near.where(F.col("key") <= F.lit(max(chosen))) if chosen else near.limit(0)
+    rows = sorted(_vectors_of(near.dropDuplicates(["key"])).collect(), key=lambda r: r.key)
     x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), np.float32)
     y = np.array([model.posterior[chosen[r.key]] for r in rows])
     return model, fit_scorer(x, y)
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, key and score (0 to 1) of every document."""
+def score_documents(docs: DataFrame, model: LabelModel, weights: np.ndarray) -> DataFrame:
+    """doc_id, votes, weak_label and score (0 to 1) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    stops = stop_hashes()
+    sent = docs.sparkSession.sparkContext.broadcast((model.posterior, weights.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
+        posterior, w = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = utf8(part.column("text"))
                 own = words(texts)
+                votes = vote_texts(texts, own, stops)
                 z = np.concatenate([vectors(texts[i : i + 256], _rows(own, i, i + 256)) @ w[:-1] for i in range(0, len(texts), 256)]) + w[-1]
                 score = 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(score, pa.float64())], ["doc_id", "key", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(votes, pa.string()), pa.array([posterior[v] for v in votes], pa.float64()), pa.array(score, pa.float64())], ["doc_id", "votes", "weak_label", "score"])
 
-    text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, key long, score double")
+    return _keyed(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, votes string, weak_label double, score double")
 
 
 def _rows(w: Words, a: int, b: int) -> Words:
@@ -213,9 +219,5 @@ def _rows(w: Words, a: int, b: int) -> Words:
 
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """doc_id, votes, weak_label (posterior), score and good for every document."""
-    labelled = stored(label_documents(docs), "votes")
-    model, weights = train(docs, labelled, sample)
-    # Equal rows have equal keys, so the label of a key is the label of each of its rows.
-    weak = docs.sparkSession.createDataFrame(sorted(model.posterior.items()) or [("", 0.5)], "votes string, weak_label double")
-    by_key = labelled.select("key", "votes").distinct().join(F.broadcast(weak), "votes")
-    return score_documents(docs, weights).join(by_key, "key").select("doc_id", "votes", "weak_label", "score", (F.col("score") >= threshold).alias("good"))
+    model, weights = train(docs, stored(label_documents(docs), "votes"), sample)
+    return score_documents(docs, model, weights).withColumn("good", F.col("score") >= threshold)
