@@ -14,8 +14,12 @@ bytes, so what is broadcast is bounded.
 Defined results
 * null or empty text: a document of length 0; special tokens' strings are
   ordinary text; repeated rows count each; an empty table has no lengths.
-* texts beyond ``PIECE`` characters are cut before a single space between
-  other characters, where no token can cross, so counts stay exact.
+* texts beyond ``PIECE`` characters are cut where no token can cross (before
+  blanks that follow something else, and between ASCII letters and digits), so
+  counts stay exact. Only a longer run without any such place is encoded at once,
+  as its merges may reach over all of it.
+* equal lengths are one row; limits may repeat and get a row each, null limits
+  none; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_VOCABULARY = 64 << 20
 PIECE = 1 << 18
-CUT = re.compile(r"(?<=\S)\x20(?=\S)")
+CUT = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 BLOCK = 1024
 
 
@@ -117,12 +121,25 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
 def totals_at(hist: DataFrame, limits: DataFrame) -> DataFrame:
     """(context_limit, truncated_tokens, docs_cut) for any limits, from a stored histogram.
 
-    ``limits`` is the stated query set, a column context_limit.
+    ``limits`` is the stated query set, a column context_limit. A limit takes the
+    suffix sums of the next longer length, which a window over the lengths and
+    limits of its block finds, and where the block has none, the sums of the next
+    block that has some.
     """
-    longer = hist.join(limits, F.col("n_tokens") > F.col("context_limit"), "right")
-    cut = longer.groupBy("context_limit").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs_cut"), F.coalesce(F.sum(F.col("n_docs") * (F.col("n_tokens") - F.col("context_limit"))), F.lit(0)).alias("lost"))
-    total = hist.agg(F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0)).alias("total"))
-    return cut.crossJoin(F.broadcast(total)).select("context_limit", (F.col("total") - F.col("lost")).alias("truncated_tokens"), "docs_cut")
+    lengths = hist.select("n_tokens", "docs_at_least", "tokens_at_least", F.lit(None).cast("long").alias("context_limit"))
+    asked = limits.where("context_limit IS NOT NULL").select(F.col("context_limit").cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("docs_at_least"), F.lit(None).cast("long").alias("tokens_at_least"), F.col("context_limit").cast("long").alias("context_limit"))
+    both = lengths.unionByName(asked).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    sums = F.struct(F.col("docs_at_least").alias("docs"), F.col("tokens_at_least").alias("tokens"))
+    known = F.when(F.col("context_limit").isNull(), sums)
+    longer = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rangeBetween(Window.unboundedPreceding, -1)
+    here = both.withColumn("own", F.last(known, ignorenulls=True).over(longer))
+    blocks = both.groupBy("block").agg(F.max(known).alias("all"))
+    after = F.last("all", ignorenulls=True).over(Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
+    found = here.where("context_limit IS NOT NULL").join(blocks.select("block", after.alias("later")), "block")
+    next_ = F.coalesce("own", "later")
+    docs, tokens = (F.coalesce(next_[k], F.lit(0)) for k in ("docs", "tokens"))
+    total = hist.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("total"))
+    return found.crossJoin(F.broadcast(total)).select("context_limit", (F.col("total") - tokens + docs * F.col("context_limit")).alias("truncated_tokens"), docs.alias("docs_cut"))
 
 
 def length_quantile(hist: DataFrame, q: float) -> int | None:
