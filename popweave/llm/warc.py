@@ -16,7 +16,11 @@ Defined results
   back as null, and never chosen before a number when payloads are equal.
 * payloads of 100 bytes or more are grouped by digest and length; all rows with
   the group's smallest page_id are responses, the others revisit it.
-* repeated rows make a record each; an empty table makes an empty archive.
+* repeated rows make a record each, with ids of their own (they follow from the
+  ARC file's name and the record's offset too); an empty table makes an empty
+  archive; further columns are ignored whatever their names.
+* WARC files close at VOLUME_BYTES, so only a record of that size makes a longer one.
+* an X-Page-Id that is no number (in a foreign archive) is read as null.
 * a record whose declared length goes beyond its file is kept as far as it
   goes and marked ``truncated``; header lines that don't parse are skipped.
 """
@@ -31,7 +35,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +54,8 @@ ARC_FIELDS = {
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
 PAGE_HEADER = b"X-Page-Id: "
+#: Bytes of records after which a WARC file is closed.
+VOLUME_BYTES = 64 << 20
 
 
 @dataclass
@@ -54,6 +63,7 @@ class ArcRecord:
     fields: dict[str, str]
     block: bytes
     truncated: bool
+    offset: int
 
 
 def arc_file(name: str, version: int, date: str, entries: Iterable[tuple[str, str, str, bytes]]) -> bytes:
@@ -97,7 +107,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         extra = len(values) - len(names)
         values = ["%20".join(values[: extra + 1]), *values[extra + 1 :]]
         size = int(values[-1])
-        yield ArcRecord(dict(zip(names, values, strict=True)), data[at : at + size], at + size > len(data))
+        yield ArcRecord(dict(zip(names, values, strict=True)), data[at : at + size], at + size > len(data), at)
         at += size
 
 
@@ -122,21 +132,25 @@ def page_of(head: bytes) -> int | None:
     if at < 0:
         return None
     at += 2 + len(PAGE_HEADER)
-    return int(head[at : head.find(b"\r\n", at)])
+    number = head[at : head.find(b"\r\n", at)].strip()
+    return int(number) if re.fullmatch(rb"-?[0-9]{1,18}", number) else None
 
 
 def pages_to_arc(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     """(name, data): ARC files of a few MB, versions 1 and 2 in turn."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        n = -1
         for batch in batches:
-            for n, part in enumerate(slices(batch, "html", 4 << 20)):
+            for part in slices(batch, "html", 4 << 20):
+                n += 1
                 entries = []
                 for page, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), utf8(part.column("html")), strict=True):
                     mark = b"" if page is None else PAGE_HEADER + str(page).encode() + b"\r\n"
                     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + mark + b"\r\n"
                     entries.append((quote(url or "", safe="%/:?#[]@!$&'()*+,;=~"), "text/html", "200", head + html))
-                name = f"part-{uuid.uuid4().hex}.arc"
+                name = f"part-{task:06d}-{n:06d}.arc"
                 yield pa.RecordBatch.from_pydict({"name": [name], "data": pa.array([arc_file(name, 1 + n % 2, date, entries)], pa.binary())})
 
     return pages.select("page_id", "url", "html").mapInArrow(pack, "name string, data binary")
@@ -152,24 +166,24 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def arc_records(arcs: DataFrame, column: str = "data") -> DataFrame:
-    """What each ARC record needs to become a WARC record."""
+    """What each ARC record needs to become a WARC record (of files with a name, if there is such a column)."""
     names = [f.name for f in T._parse_datatype_string(RECORDS)]
     schema = _arrow(RECORDS)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for data, file in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 rows = []
                 for r in parse_arc(data.as_py() or b""):
                     f, http = r.fields, split_http(r.block)
                     head, payload = http or (b"", r.block)
                     block = hashlib.sha256(r.block).hexdigest()
-                    key = f"{f['URL']}|{f['Archive-date']}|{block}"
+                    key = f"{file}|{r.offset}|{f['URL']}|{f['Archive-date']}|{block}"
                     rows.append((page_of(head), f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>", f["URL"], iso_date(f["Archive-date"]), f["IP-address"], "response" if http else "resource", f["Content-type"], head, payload, len(payload), hashlib.sha256(payload).hexdigest(), block, r.truncated))
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=schema)
 
-    return arcs.select(column).mapInArrow(parse, RECORDS)
+    return arcs.select(column, F.col("name") if "name" in arcs.columns else F.lit("").alias("name")).mapInArrow(parse, RECORDS)
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
@@ -217,10 +231,19 @@ def warc_text(revisit: Column) -> Column:
     return F.concat(*lines)
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Gzipped WARC files under ``path`` (kind response with refers_id: revisit)."""
-    text = records.select(warc_text(F.col("refers_id").isNotNull()).alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_warc(records: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES) -> None:
+    """Gzipped WARC files under ``path`` (kind response with refers_id: revisit), of about ``volume_bytes`` each."""
+
+    def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            size = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = before + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(((ends - size) // volume_bytes).astype(np.int32))], ["value", "volume"])
+            before = int(ends[-1]) if len(ends) else before
+
+    text = records.select(warc_text(F.col("refers_id").isNotNull()).alias("value")).mapInArrow(volumes, "value string, volume int")
+    text.write.partitionBy("volume").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -269,7 +292,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", True).load(path)
     return files.select("content").mapInArrow(parse, READ)
 
 
