@@ -109,6 +109,27 @@ def test_archives_round_trip(spark):
     assert warc.convert_pages(p.limit(0)).count() == 0
 
 
+def test_volumes_close_at_their_size(spark, tmp_path):
+    pages = [(i, "http://x", chr(97 + i % 26) * 3000) for i in range(60)] + [(100, "http://y", "q" * 50_000), (101, "http://x", "d"), (101, "http://x", "d")]
+    p = spark.createDataFrame([(*r, "v", "v", "v") for r in pages], "page_id long, url string, html string, volume string, value string, name string").coalesce(1)
+    records = warc.stored(warc.arc_records(warc.pages_to_arc(p)), "records")
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(warc.with_revisits(records), path, volume_bytes=20_000)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path).collect()
+    import gzip
+
+    sizes = [len(gzip.decompress(bytes(f.content))) for f in files]
+    assert len(sizes) > 3 and all(s < 20_000 + 60_000 for s in sizes) and sum(s > 30_000 for s in sizes) <= 1
+    out = warc.read_warc(spark, path).collect()
+    assert Counter(r.page_id for r in out) == Counter(i for i, *_ in pages)
+    assert len({r.record_id for r in out}) == len(out)
+
+
+def test_foreign_page_ids():
+    assert warc.page_of(b"HTTP/1.1 200 OK\r\nX-Page-Id: abc\r\n\r\n") is None
+    assert warc.page_of(b"HTTP/1.1 200 OK\r\nX-Page-Id: 12\r\n\r\n") == 12
+
+
 def test_arc_versions_and_damage():
     date = "199912312359"
     for version in (1, 2):
