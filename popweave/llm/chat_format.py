@@ -18,7 +18,8 @@ Defined results
   (nulls first), so repeated rows stay, next to each other.
 * an empty table has no conversations; a message whose parent does not exist
   is a root, and messages on a reply cycle belong to no tree.
-* one conversation's text is one value, so Spark holds it in one row.
+* one conversation's text is one value, so Spark holds it in one row; texts of
+  any length are whole, further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -108,9 +109,9 @@ def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
         chosen = ends.withColumn("rank", rank).where(F.col("rank") <= best).select(F.col("node").alias("leaf"), "rank", "node", "depth")
     path = chosen
     for i, jump in enumerate(jumps[:41]):
-        path = stored(path, "path") if i % 4 == 3 else path
+        # Stored each time: a path's rows are small, and an unstored union would be computed twice by the next hop.
         hop = path.join(jump, "node").select("leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << i)).alias("depth"))
-        path = path.unionByName(hop)
+        path = stored(path.unionByName(hop), "path")
     return path
 
 

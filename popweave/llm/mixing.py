@@ -15,7 +15,8 @@ Defined results
   proportion (rounded down). A null doc_id hashes like an empty string.
 * the one document at the boundary is taken in part, so a source's total is
   its target rounded to words; other documents are taken whole.
-* columns of the input that carry the names of results are replaced.
+* columns of the input that carry the names of results are replaced, others are
+  ignored or kept whatever their names; texts of any length are counted whole.
 """
 
 from __future__ import annotations
