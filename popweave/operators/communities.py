@@ -67,9 +67,26 @@ def assign_weighted(nodes: DataFrame, sizes: DataFrame, seed: int = 42) -> DataF
     return ranked.join(spans, ["group_id", "place"]).select("node_id", "group_id", "community")
 
 
-def coordinates(assignment: DataFrame, seed: int = 42) -> DataFrame:
-    """(community, theta): one uniform place on the ring for each community."""
-    return assignment.select("community").distinct().withColumn("theta", uniform(seed, "theta", "community"))
+def coordinates(assignment: DataFrame, seed: int = 42, spread: bool = False) -> DataFrame:
+    """(community, theta): a place on the ring [0, 1) for each community, uniform,
+    or with ``spread`` evenly spaced in random order."""
+    u = uniform(seed, "theta", "community")
+    c = assignment.select("community").distinct()
+    if not spread:
+        return c.withColumn("theta", u)
+    place = F.row_number().over(Window.orderBy(u, "community")) - 1
+    return c.withColumn("theta", place / F.count("*").over(Window.partitionBy()))
+
+
+def assign_counts(nodes: DataFrame, counts: DataFrame, seed: int = 42) -> DataFrame:
+    """(node_id, group_id, community): each group's people in random order, dealt to
+    communities as ``counts`` (community, group_id, n) says; people beyond the
+    counts are left out."""
+    by = Window.partitionBy("group_id").orderBy("community")
+    high = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = counts.where("n > 0").select("group_id", "community", F.explode(F.sequence(high - F.col("n"), high - 1)).alias("place"))
+    placed = numbered(nodes.select("node_id", "group_id"), ["group_id"], uniform(seed, "deal", "node_id"), ["node_id"], "place")
+    return placed.join(spans, ["group_id", "place"]).select("node_id", "group_id", "community")
 
 
 def composition(assignment: DataFrame) -> DataFrame:
@@ -253,6 +270,21 @@ def merge_communities(assignment: DataFrame, k: int) -> DataFrame:
     return assignment.join(to, "community").select("node_id", "group_id", F.col("larger").alias("community"))
 
 
+def assign_households(nodes: DataFrame, targets: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
+    """(node_id, group_id, community) of :func:`households`; only counts by group and
+    targets by pair come to the driver."""
+    n = {r.group_id: r.n for r in nodes.groupBy("group_id").agg(F.count("*").alias("n")).collect()}
+    ids = sorted(n)
+    at = {g: i for i, g in enumerate(ids)}
+    t = np.zeros((len(ids), len(ids)))
+    for r in targets.select("src_group", "dst_group", "target").collect():
+        if r.src_group in at and r.dst_group in at:
+            t[at[r.src_group], at[r.dst_group]] = r.target
+    comp = households(t, np.array([n[g] for g in ids], np.int64), seed=seed, k=k)
+    rows = [(int(c), ids[i], int(comp[c, i])) for c, i in zip(*np.nonzero(comp), strict=True)]
+    return assign_counts(nodes, nodes.sparkSession.createDataFrame(rows, "community int, group_id int, n long"), seed)
+
+
 def households(targets: np.ndarray, people: np.ndarray, sweeps: int = 15, tolerance: float = 5e-5, seed: int = 42, k: int | None = None) -> np.ndarray:
     """Composition (households x groups) whose co-members match symmetric targets.
 

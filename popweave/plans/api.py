@@ -68,7 +68,11 @@ def create_communities(
     seed: int = 42,
 ) -> DataFrame:
     """(node_id, group_id, community). Modes: "capacity" (people dealt out evenly
-    or by size) and "segregation" (blocks of isolated characteristics)."""
+    or by size), "segregation" (blocks of isolated characteristics) and
+    "household" (co-members that match the targets; their number follows from the
+    targets if ``number_of_communities`` is 0)."""
+    if mode == "household":
+        return stored(com.assign_households(nodes, link_targets, number_of_communities or None, seed), "assignment")
     if mode == "segregation":
         a = com.assign_segregated(nodes, groups, link_targets, names, number_of_communities, seed=seed)
     else:

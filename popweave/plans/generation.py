@@ -65,6 +65,11 @@ def c10_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return com.coordinates(assignment(spark, sf_dir))
 
 
+@query(f" SELECT i::INT AS community, (row_number() OVER (ORDER BY {uniform_sql(42, 'theta', 'i')}, i) - 1) / {K} AS theta FROM range({K}) t(i)")
+def c10_spread_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return com.coordinates(assignment(spark, sf_dir), spread=True)
+
+
 @query(f"{ASSIGN}{TARGETS} SELECT src_group, dst_group, a.community FROM targets t JOIN comp a ON a.group_id = src_group JOIN comp b ON b.group_id = dst_group AND a.community = b.community WHERE target > 0")
 def c11_pair_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return com.pair_communities(com.composition(assignment(spark, sf_dir)), link_targets(spark, sf_dir))
@@ -145,16 +150,8 @@ def c8_merge_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c12_households(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    g = fx.groups(spark, sf_dir).orderBy("group_id").collect()
-    people = np.array([int(r.n) for r in g])
-    t = np.zeros((len(g), len(g)))
-    for r in link_targets(spark, sf_dir).collect():
-        t[r.src_group, r.dst_group] = r.target
-    comp = com.households(t, people)
-    rows = [(int(c), int(i), int(comp[c, i])) for c, i in zip(*np.nonzero(comp), strict=True)]
-    return spark.createDataFrame(rows, "community int, group_id int, n int")
+    """People by household and group, from the sampler on all groups and targets."""
+    return com.composition(com.assign_households(fx.grouped_nodes(spark, sf_dir), link_targets(spark, sf_dir)))
 
 
 HOMES = f""", ks AS (SELECT greatest(count(*) // 4, 1)::INT AS k FROM fx_nodes), place AS (SELECT node_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {DEAL}, node_id) - 1 AS place FROM fx_gnodes),
@@ -175,6 +172,13 @@ def e10_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.edges
 
 
+@query()
+def e10_generate_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Popularity beyond one's own community."""
+    n = api.generate(fx.pop(spark, sf_dir), fx.links(spark, sf_dir), scale=0.2, number_of_communities=5, preferential_attachment=0.5, pa_scope="global")
+    return n.edges
+
+
 @query()
 def e11_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.diagnostics(api.generate(fx.pop(spark, sf_dir), fx.links(spark, sf_dir), scale=0.2, number_of_communities=3, reciprocity=0.3).edges)

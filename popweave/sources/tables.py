@@ -127,6 +127,16 @@ def read_assignment(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.explode("nodes_to_communities").alias("node_id", "community")).select(F.col("node_id").cast("long").alias("node_id"), "community")
 
 
+def read_communities(spark: SparkSession, path: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assignment, groups, coordinates) of a community file: people who are among
+    ``nodes`` (node_id, group_id), the groups of each community, and its place on the
+    ring where the file has coordinates."""
+    a = nodes.select("node_id", "group_id").join(read_assignment(spark, path), "node_id")
+    t = spark.read.schema("community_coordinates map<string,double>").option("multiLine", True).json(path)
+    places = t.select(F.explode("community_coordinates").alias("c", "theta")).select(F.col("c").cast("int").alias("community"), "theta")
+    return a, a.select("community", "group_id").distinct(), places
+
+
 def unassigned(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
     """Nodes without a community."""
     return nodes.select("node_id").join(assignment, "node_id", "left_anti")

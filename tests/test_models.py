@@ -163,6 +163,30 @@ def test_households_follow_their_targets():
     assert (com.households(t, people) == comp).all() and len(com.households(t, people, k=40)) == 40
 
 
+def test_people_are_dealt_as_counts_say(spark):
+    nodes = spark.range(50).select(F.col("id").alias("node_id"), F.pmod("id", F.lit(2)).cast("int").alias("group_id"))
+    counts = spark.createDataFrame([(0, 0, 10), (1, 0, 5), (3, 0, 10), (1, 1, 24)], "community int, group_id int, n long")
+    out = com.assign_counts(nodes, counts)
+    assert {(r.community, r.group_id): r["n"] for r in com.composition(out).collect()} == {(0, 0): 10, (1, 0): 5, (3, 0): 10, (1, 1): 24}
+    assert out.select("node_id").distinct().count() == 49
+    t = spark.createDataFrame([(0, 1, 40), (1, 0, 40)], "src_group int, dst_group int, target long")
+    homes = com.assign_households(nodes, t)
+    assert homes.select("node_id").distinct().count() == homes.count() == 50
+    assert com.assign_households(nodes, t, 7).agg(F.max("community")).first()[0] <= 6
+
+
+def test_community_file_with_places(spark, tmp_path):
+    import json
+
+    (tmp_path / "c.json").write_text(json.dumps({"nodes_to_communities": {"0": 1, "1": 0, "99": 1}, "community_coordinates": {"0": 0.25, "1": 0.5}}))
+    nodes = spark.createDataFrame([(0, 3), (1, 3), (2, 4)], "node_id long, group_id int")
+    a, groups, places = tables.read_communities(spark, str(tmp_path / "c.json"), nodes)
+    assert {(r.node_id, r.community) for r in a.collect()} == {(0, 1), (1, 0)}
+    assert {tuple(r) for r in groups.collect()} == {(1, 3), (0, 3)} and {tuple(r) for r in places.collect()} == {(0, 0.25), (1, 0.5)}
+    (tmp_path / "d.json").write_text(json.dumps({"nodes_to_communities": {"0": 1}}))
+    assert tables.read_communities(spark, str(tmp_path / "d.json"), nodes)[2].count() == 0
+
+
 def test_global_popularity(spark):
     a = spark.range(60).select(F.col("id").alias("node_id"), F.lit(0).alias("group_id"), F.pmod("id", F.lit(3)).cast("int").alias("community"))
     w = edges.world(a, spark.createDataFrame([(0, 0, 30)], "src_group int, dst_group int, target long"))
