@@ -73,8 +73,12 @@ ADDRESS = re.compile(
     rf"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)\x20(?:de\x20|del\x20)?[{UPPER}][{LOWER}]{{1,24}},?\x20[0-9]{{1,4}}(?!\w)"
 )
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1[12][0-9]{3}|[12][0-9]{3}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
-ASSIGNED = re.compile(r"""(?i)(?:key|token|secret|passw(?:or)?d|pwd|credentials?|auth)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.~=-]{8,256})""")
+#: Words that every address has one of; texts without any aren't searched.
+STREETS = ("Street", "St", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Way", "straße", "strasse", "weg", "platz", "allee", "gasse")
+STREETS += ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "alle", "venida", "laza", "aseo")
+NUMBERS = re.compile(r"[0-9]++(?:[./-][0-9]++)++")
+DATE = re.compile(r"[0-9]{1,2}([./-])[0-9]{1,2}\1[12][0-9]{3}|[12][0-9]{3}-[0-9]{2}-[0-9]{2}")
+ASSIGNED = re.compile(r"""[:=]\s{0,3}["']?([A-Za-z0-9+/_.~=-]{8,256})""")
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+")
 
 # Common top-level domains, country codes of accounts, and given names.
@@ -177,15 +181,15 @@ def candidates(text: str, base: list[Span], near: list[tuple[int, int]]) -> list
     if text.count(":") >= 7:
         found += [("ip", *m.span()) for m in IPV6.finditer(text)]
     if DIGIT.search(text):
-        found += [("birth", *m.span()) for m in DATE.finditer(text)]
+        found += [("birth", *m.span()) for m in NUMBERS.finditer(text) if DATE.fullmatch(m.group())]
         found += [("iban", *m.span()) for m in IBAN.finditer(text)]
+        found += [("address", *m.span()) for m in ADDRESS.finditer(text)] if any(w in text for w in STREETS) else []
     for m in NAME.finditer(text):
         # A word before a given name is none of the name's ("Call Anna Smith").
         a, given = m.start(), m.group().split(" ")
         late = len(given) == 3 and given[0].lower() not in GIVEN_NAMES and given[1].lower() in GIVEN_NAMES
         found.append(("name", a + len(given[0]) + 1 if late else a, m.end()))
-    found += [("address", *m.span()) for m in ADDRESS.finditer(text)]
-    found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
+    found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text) if CUES["secret"].search(text[max(0, m.start() - 16) : m.start(1)])]
     found += [("secret", *m.span()) for m in BARE.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
     free: list[Span] = []
