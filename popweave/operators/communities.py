@@ -84,7 +84,7 @@ def assign_counts(nodes: DataFrame, counts: DataFrame, seed: int = 42) -> DataFr
     counts are left out."""
     by = Window.partitionBy("group_id").orderBy("community")
     high = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = counts.where("n > 0").select("group_id", "community", F.explode(F.sequence(high - F.col("n"), high - 1)).alias("place"))
+    spans = counts.where("n > 0").withColumn("high", high).select("group_id", "community", F.explode(F.sequence(F.col("high") - F.col("n"), F.col("high") - 1)).alias("place"))
     placed = numbered(nodes.select("node_id", "group_id"), ["group_id"], uniform(seed, "deal", "node_id"), ["node_id"], "place")
     return placed.join(spans, ["group_id", "place"]).select("node_id", "group_id", "community")
 

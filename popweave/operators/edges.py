@@ -76,7 +76,7 @@ class Grown:
 
     def settle(self) -> None:
         self.need = stored(self.need, "need")
-        if len(self.parts) > 24:
+        if len(self.parts) > 8:
             self.parts = [stored(self.edges, "edges")]
 
 
@@ -88,15 +88,20 @@ def begin(w: World, edges: DataFrame) -> Grown:
 
 
 def accept(candidates: DataFrame, grown: Grown, share: float = 1.0) -> DataFrame:
-    """Of the candidates (an edge with u) those that may join: new, no loop, and
-    within ``share`` of the pair's need (rounded up)."""
+    """Of the candidates (an edge with u and mechanism) those that may join: new, no
+    loop, and within ``share`` of the pair's need (rounded up)."""
     c = candidates.where("src <> dst").join(grown.need, ["src_group", "dst_group"])
-    c = c.groupBy("src", "dst").agg(F.min(F.struct("u", "src_group", "dst_group", "need")).alias("b")).select("src", "dst", "b.*")
+    c = c.groupBy("src", "dst").agg(F.min(F.struct("u", "src_group", "dst_group", "need", "mechanism")).alias("b")).select("src", "dst", "b.*")
+    c = stored(c, "candidates")
     # Edges look for candidates, which are few, and only those found are taken off.
     known = grown.edges.select("src", "dst").join(c.select("src", "dst"), ["src", "dst"], "left_semi")
     c = c.join(known, ["src", "dst"], "left_anti")
     ranked = numbered(c, ["src_group", "dst_group"], F.col("u"), ["src", "dst"], "r", 256)
-    return ranked.where(F.col("r") < F.ceil(F.col("need") * share)).select("src", "dst", "src_group", "dst_group", "u")
+    return ranked.where(F.col("r") < F.ceil(F.col("need") * share)).select(*CANDIDATE)
+
+
+#: Columns of a candidate.
+CANDIDATE = ("src", "dst", "src_group", "dst_group", "u", "mechanism")
 
 
 def _attempts(need: DataFrame, seed: int, stream: str) -> DataFrame:
@@ -114,7 +119,7 @@ def _member(rows: DataFrame, w: World, node: str, group: str, index: str, commun
 
 
 def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float = 0.0, bridge: float = 0.0, pool: DataFrame | None = None) -> DataFrame:
-    """Candidates (src, dst, src_group, dst_group, u).
+    """Candidates of the primary mechanism.
 
     community: source and destination in a community that has both groups, the
     destination's moved to a neighbour with probability ``bridge``, and picked
@@ -127,7 +132,7 @@ def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float
         for side, group, u in (("src", "src_group", "us"), ("dst", "dst_group", "ud")):
             a = a.join(w.sizes.select(F.col("group_id").alias(group), F.col("k").alias("k")), group).withColumn("i", pick(F.col(u), F.col("k"))).drop("k")
             a = _member(a, w, side, group, "i").drop("i")
-        return a.select("src", "dst", "src_group", "dst_group", "u")
+        return a.withColumn("mechanism", F.lit("primary")).select(*CANDIDATE)
     if mode == "community":
         # Communities by turns, from another one on in each round.
         first = w.shared.where("turn = 0").select("src_group", "dst_group", "shared")
@@ -152,20 +157,17 @@ def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float
             a = a.drop("community").join(ring.select(F.col("community"), "place"), "place").drop("place")
         a = a.withColumn("there", there)
     k = w.comp.select(F.col("community").alias("there"), F.col("group_id").alias("dst_group"), F.col("k").alias("kd"))
-    a = a.join(k, ["there", "dst_group"])
     # The pool of popular members: a share of the group, and everyone again for each edge that they drew.
     first = F.greatest(F.ceil(F.lit(fraction) * F.col("kd")), F.lit(1)).cast("long") if mode == "community" else F.col("kd")
-    a = a.withColumn("first", first)
+    k = k.select("there", "dst_group", first.alias("size"))
+    entries = w.members.select(F.col("community").alias("there"), F.col("group_id").alias("dst_group"), F.col("idx").alias("p"), F.col("node_id").alias("dst"))
     if pool is not None and mode == "community":
-        size = pool.groupBy("there", "dst_group").agg(F.count("*").alias("drawn"))
-        a = a.join(size, ["there", "dst_group"], "left").withColumn("p", pick(F.col("ud"), F.col("first") + F.coalesce("drawn", F.lit(0))))
-        old = a.where("p >= first").withColumn("p", F.col("p") - F.col("first")).join(pool, ["there", "dst_group", "p"])
-        a = a.where("p < first")
-        fresh = _member(a.withColumnRenamed("p", "i"), w, "dst", "dst_group", "i", "there")
-        keep = ["src", "dst", "src_group", "dst_group", "u"]
-        return fresh.select(*keep).unionByName(old.select(*keep))
-    a = a.withColumn("i", pick(F.col("ud"), F.col("first")))
-    return _member(a, w, "dst", "dst_group", "i", "there").select("src", "dst", "src_group", "dst_group", "u")
+        later = pool.join(k, ["there", "dst_group"]).select("there", "dst_group", (F.col("p") + F.col("size")).alias("p"), "dst")
+        entries = entries.join(k, ["there", "dst_group"]).where("p < size").drop("size").unionByName(later)
+        drawn = pool.groupBy("there", "dst_group").agg(F.count("*").alias("drawn"))
+        k = k.join(drawn, ["there", "dst_group"], "left").select("there", "dst_group", (F.col("size") + F.coalesce("drawn", F.lit(0))).alias("size"))
+    a = a.join(k, ["there", "dst_group"]).withColumn("p", pick(F.col("ud"), F.col("size")))
+    return a.join(entries, ["there", "dst_group", "p"]).select(*(F.lit("primary").alias(c) if c == "mechanism" else F.col(c) for c in CANDIDATE))
 
 
 def popularity(w: World, edges: DataFrame, fraction: float, scope: str = "local") -> DataFrame:
@@ -191,9 +193,10 @@ def popularity(w: World, edges: DataFrame, fraction: float, scope: str = "local"
 
 
 def reciprocal(new: DataFrame, probability: float, seed: int) -> DataFrame:
+    """Candidates back along new edges."""
     u = uniform(seed, "back", "src", "dst")
     turned = new.where(u < probability)
-    return turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_group").alias("src_group"), F.col("src_group").alias("dst_group"), u.alias("u"))
+    return turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_group").alias("src_group"), F.col("src_group").alias("dst_group"), u.alias("u"), F.lit("reciprocal").alias("mechanism"))
 
 
 def closing(w: World, new: DataFrame, edges: DataFrame, inside: float, outside: float) -> DataFrame:
@@ -206,11 +209,11 @@ def closing(w: World, new: DataFrame, edges: DataFrame, inside: float, outside:
     u = uniform(w.seed, "close", "src", "dst", "n")
     c = c.where(u < max(inside, outside)).withColumn("u", u)
     c = c.join(m.select(F.col("node_id").alias("dst"), F.col("community").alias("cd")), "dst").join(m.select(F.col("node_id").alias("n"), F.col("community").alias("cn"), F.col("group_id").alias("dst_group")), "n")
-    return c.where(F.col("u") < p).select("src", F.col("n").alias("dst"), "src_group", "dst_group", "u")
+    return c.where(F.col("u") < p).select("src", F.col("n").alias("dst"), "src_group", "dst_group", "u", F.lit("closing").alias("mechanism"))
 
 
-def tagged(rows: DataFrame, mechanism: str, phase: str, round_: int) -> DataFrame:
-    return rows.select("src", "dst", "src_group", "dst_group", F.lit(mechanism).alias("mechanism"), F.lit(phase).alias("phase"), F.lit(round_).alias("round"))
+def tagged(rows: DataFrame, phase: str, round_: int) -> DataFrame:
+    return rows.select("src", "dst", "src_group", "dst_group", "mechanism", F.lit(phase).alias("phase"), F.lit(round_).alias("round"))
 
 
 def grow(
@@ -227,25 +230,26 @@ def grow(
     fraction = 1.0 - attachment
     derived = reciprocity > 0 or max(closure) > 0
     g = begin(w, edges)
+    turning: DataFrame | None = None
     for phase, mode, rounds in schedule:
         for r in range(rounds + 3 if derived and phase == "A" else rounds):
             if g.need.isEmpty():
                 break
             # Where edges lead to others, a round takes part of the need, so that these find room.
             share = 0.35 if derived and phase == "A" else 1.0
-            pool = popularity(w, g.edges, fraction, scope) if mode == "community" and attachment > 0 else None
+            pool = stored(popularity(w, g.edges, fraction, scope), "pool") if mode == "community" and attachment > 0 else None
             new = stored(accept(propose(w, g.need, mode, r, attachment, bridge, pool), g, share), "accepted")
             if new.isEmpty():
                 break
             before = g.edges
-            g.add(tagged(new, "primary", phase, r))
-            if reciprocity > 0:
-                g.add(tagged(stored(accept(reciprocal(new, reciprocity, w.seed), g), "reciprocal"), "reciprocal", phase, r))
-            if max(closure) > 0:
-                more = stored(accept(closing(w, new, before, *closure), g), "closing")
-                g.add(tagged(more, "closing", phase, r))
-                if reciprocity > 0:
-                    g.add(tagged(stored(accept(reciprocal(more, reciprocity, w.seed), g), "back"), "reciprocal", phase, r))
+            g.add(tagged(new, phase, r))
+            # One step for all derived edges; those back along closing edges come a round later.
+            extra = [reciprocal(x, reciprocity, w.seed) for x in (new, turning) if x is not None] if reciprocity > 0 else []
+            extra += [closing(w, new, before, *closure)] if max(closure) > 0 else []
+            if extra:
+                more = stored(accept(reduce(DataFrame.unionByName, extra), g), "derived")
+                turning = more.where("mechanism = 'closing'")
+                g.add(tagged(more, phase, r))
             g.settle()
     return stored(g.edges, "edges")
 
@@ -258,7 +262,7 @@ def pre_seeded(w: World, edges: DataFrame) -> DataFrame:
     """Given edges (src, dst) with their groups, counted towards the targets."""
     side = lambda end: w.members.select(F.col("node_id").alias(end), F.col("group_id").alias(f"{end}_group"))
     e = edges.select("src", "dst").where("src <> dst").distinct().join(side("src"), "src").join(side("dst"), "dst")
-    return tagged(e, "given", "given", 0)
+    return tagged(e.withColumn("mechanism", F.lit("given")), "given", 0)
 
 
 def complete_communities(assignment: DataFrame) -> DataFrame:
