@@ -69,6 +69,11 @@ def _all_equal(names: Sequence[str], src: str, dst: str) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c + src).eqNullSafe(F.col(c + dst)) for c in names))
 
 
+def spread_halves(rows: DataFrame, base: Column, n: int) -> DataFrame:
+    """n rows spread over hhi: half of those where ``base`` holds, the rest of the others."""
+    return spread_sample(rows.where(base), n // 2).unionByName(spread_sample(rows.where(~base), n - n // 2))
+
+
 def homophily(links: DataFrame, names: Sequence[str], count: str = "n", src: str = "_src", dst: str = "_dst") -> DataFrame:
     """One row: n_blocks, total_edges, frac_within, ei_index, modularity_q,
     newman_r and ei_<characteristic>, from the mixing matrix of blocks."""

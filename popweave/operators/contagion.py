@@ -10,11 +10,11 @@ to the node it looks at), or neighbours of any direction.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import normal, uniform
-from popweave.operators.sampling import smallest
+from popweave.operators.sampling import numbered, smallest
 from popweave.sources.scratch import stored
 
 
@@ -66,6 +66,14 @@ def seed_focal(configs: DataFrame, edges: DataFrame, focal: int) -> DataFrame:
     return near.union(own).distinct().crossJoin(F.broadcast(configs.select("config"))).select("config", "node_id")
 
 
+def seed_focals(configs: DataFrame, edges: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """(config, node_id): for each configuration a random node of its own and that node's successors."""
+    drawn = nodes.select("node_id").crossJoin(F.broadcast(configs.select("config")))
+    focal = drawn.groupBy("config").agg(F.min(F.struct(uniform(seed, "focal", "config", "node_id").alias("u"), "node_id")).alias("f")).select("config", "f.node_id")
+    near = focal.join(edges.select(F.col("src").alias("node_id"), F.col("dst")), "node_id").select("config", F.col("dst").alias("node_id"))
+    return stored(focal.unionByName(near).distinct(), "focals")
+
+
 def seed_from(configs: DataFrame, candidates: DataFrame, nodes: DataFrame, initial: int, seed: int = 42) -> DataFrame:
     """``initial`` of the candidates, or of all nodes if there are fewer."""
     enough = candidates.limit(initial).count() >= initial
@@ -252,6 +260,51 @@ def strategy_sweep(edges: DataFrame, nodes: DataFrame, members: DataFrame, metri
     return finals.groupBy("strategy", "threshold_idx", "threshold").agg(F.percentile(F.col("infected").cast("double"), F.lit(0.5)).alias("median_final_adoption"), F.count("*").alias("n_runs"))
 
 
+def _sweep(spark: SparkSession, runs: int, **values: list) -> DataFrame:
+    """Configurations of a sweep: every combination of values, ``runs`` times."""
+    g = grid(spark, **values).withColumnRenamed("config", "cell")
+    return g.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("config", F.col("cell") * runs + F.col("run")).drop("cell")
+
+
+def _percent(adopted: DataFrame, configs: DataFrame, nodes: DataFrame) -> DataFrame:
+    n = nodes.count()
+    return final_adoption(adopted, configs).withColumn("percent", 100.0 * F.col("infected") / n).drop("config", "infected")
+
+
+def sweep_uncontested(edges: DataFrame, nodes: DataFrame, thresholds: list[float] = (1, 2, 3, 4, 5), runs: int = 20, max_steps: int = 50, seed: int = 42) -> DataFrame:
+    """(threshold, run, percent) of absolute thresholds: up to 1 from one random node,
+    above from a random node and its successors."""
+    c = _sweep(edges.sparkSession, runs, threshold=list(thresholds))
+    low, high = c.where("threshold <= 1"), c.where("threshold > 1")
+    seeds = seed_random(low, nodes, 1, seed).unionByName(seed_focals(high, edges, nodes, seed))
+    return _percent(threshold_contagion(edges, seeds, c.select("config", "threshold"), relative=False, max_steps=max_steps), c, nodes)
+
+
+def sweep_contested(edges: DataFrame, nodes: DataFrame, fractions: list[float], runs: int = 20, max_steps: int = 50, seed: int = 42) -> DataFrame:
+    """(threshold, run, percent) of thresholds as shares, from a random node and its successors."""
+    c = _sweep(edges.sparkSession, runs, threshold=list(fractions))
+    return _percent(threshold_contagion(edges, seed_focals(c, edges, nodes, seed), c.select("config", "threshold"), max_steps=max_steps), c, nodes)
+
+
+def sweep_hybrid(edges: DataFrame, nodes: DataFrame, fractions: list[float], base: float = 2, vulnerable: float = 1, runs: int = 20, max_steps: int = 50, seed: int = 42) -> DataFrame:
+    """(fraction, run, percent): absolute thresholds, lower for the floor(fraction * n)
+    nodes with the smallest numbers, from a random node and its successors."""
+    c = _sweep(edges.sparkSession, runs, fraction=list(fractions))
+    n = nodes.count()
+    placed = stored(numbered(nodes.select("node_id"), [], uniform(seed, "vulnerable", "node_id"), ["node_id"], "place"), "places")
+    t = placed.crossJoin(F.broadcast(c.select("config", "fraction"))).select("config", "node_id", F.when(F.col("place") < F.floor(F.col("fraction") * n), float(vulnerable)).otherwise(float(base)).alias("threshold"))
+    return _percent(threshold_contagion(edges, seed_focals(c, edges, nodes, seed), t, relative=False, max_steps=max_steps), c, nodes)
+
+
+def sweep_combined(edges: DataFrame, nodes: DataFrame, thresholds: list[float], seed_fractions: list[float], runs: int = 10, max_steps: int = 50, seed: int = 42) -> DataFrame:
+    """(threshold, seed_fraction, mean_percent): thresholds as shares by random seeds of a share of all nodes, one at least."""
+    n = nodes.count()
+    c = _sweep(edges.sparkSession, runs, threshold=list(thresholds), seed_fraction=list(seed_fractions))
+    sized = c.withColumn("initial", F.greatest(F.floor(F.col("seed_fraction") * n), F.lit(1)).cast("int"))
+    adopted = threshold_contagion(edges, seed_sized(sized, nodes, seed), c.select("config", "threshold"), max_steps=max_steps)
+    return _percent(adopted, c, nodes).groupBy("threshold", "seed_fraction").agg(F.avg("percent").alias("mean_percent"))
+
+
 def compare_topologies(edges: DataFrame, initial: int, threshold: float = 0.25, runs: int = 50, max_steps: int = 1000, seed: int = 42) -> DataFrame:
     """Complex contagion from random seeds on every network of ``edges`` (network,
     src, dst; nodes are those with an edge), all networks and runs in one

@@ -201,6 +201,16 @@ def r29_spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition.spread_sample(g, 7)
 
 
+@query(
+    """, r AS (SELECT group_id, 'g' || group_id AS combo, n::DOUBLE AS hhi, group_id % 3 = 0 AS base FROM fx_groups),
+    k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY hhi, combo) - 1 AS r, count(*) OVER (PARTITION BY base) AS c, CASE WHEN base THEN 3 ELSE 4 END AS want FROM r)
+    SELECT combo, hhi FROM k WHERE list_contains(list_transform(range(least(want, c)), lambda i: floor(i * (c - 1) / greatest(least(want, c) - 1, 1))::BIGINT), r)"""
+)
+def r29_spread_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.groups(spark, sf_dir).select(F.concat(F.lit("g"), "group_id").alias("combo"), F.col("n").alias("hhi"), "group_id")
+    return composition.spread_halves(g, F.col("group_id") % 3 == 0, 7).select("combo", "hhi")
+
+
 @query(
     """, p AS (SELECT reg, n / sum(n) OVER (PARTITION BY reg) AS p FROM fx_pop)
     SELECT reg, round(-sum(p * ln(p)), 6) AS entropy, count(*) AS kinds, round(1 - sum(p * p), 6) AS simpson, round(ln(count(*)), 6) AS max_entropy, round(-sum(p * ln(p)) / ln(count(*)), 6) AS evenness FROM p GROUP BY reg"""
@@ -612,6 +622,51 @@ def x11_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contagion.strategy_sweep(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), n, m, STRATEGIES, [0.05, 0.1], 3, 0.04, max_steps=5)
 
 
+def _runs_sql(values: list[float], runs: int, name: str) -> str:
+    return f", cfg({name}, run, config) AS (VALUES " + ", ".join(f"({v}::DOUBLE, {r}, {i * runs + r})" for i, v in enumerate(values) for r in range(runs)) + ")"
+
+
+FOCALS = f", fo AS MATERIALIZED (SELECT config, node_id FROM focal_cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'focal', 'config', 'node_id')}, node_id) = 1), focals AS MATERIALIZED (SELECT * FROM fo UNION SELECT fo.config, e.dst FROM fo JOIN fx_edges e ON e.src = fo.node_id)"
+
+
+def _spread_steps(start: str, condition: str, steps: int) -> str:
+    """CTEs a0 .. a<steps> of adopters (config, node_id)."""
+    parts = [f", k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED ({start})"]
+    for i in range(1, steps + 1):
+        parts.append(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.config, n.node_id FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config) {condition})")
+    return "".join(parts) + f", fin AS (SELECT cfg.*, (SELECT count(*) FROM a{steps} WHERE a{steps}.config = cfg.config) * 100.0 / (SELECT count(*) FROM fx_nodes) AS percent FROM cfg)"
+
+
+ONE = f"SELECT config, node_id FROM cfg, fx_nodes WHERE threshold <= 1 QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'seed', 'config', 'node_id')}, node_id) <= 1"
+
+
+@query(f"{_runs_sql([1, 2, 3], 2, 'threshold')}, focal_cfg AS (SELECT config FROM cfg WHERE threshold > 1){FOCALS}{_spread_steps(f'{ONE} UNION ALL SELECT * FROM focals', 'WHERE n.n >= cfg.threshold', 4)} SELECT threshold, run, round(percent, 6) AS percent FROM fin")
+def x6_uncontested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(contagion.sweep_uncontested(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [1, 2, 3], 2, 4))
+
+
+@query(f"{_runs_sql([0.05, 0.1], 2, 'threshold')}, focal_cfg AS (SELECT config FROM cfg){FOCALS}{_spread_steps('SELECT * FROM focals', 'WHERE n.n / k.k >= cfg.threshold', 4)} SELECT threshold, run, round(percent, 6) AS percent FROM fin")
+def x6_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(contagion.sweep_contested(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.05, 0.1], 2, 4))
+
+
+@query(
+    f"{_runs_sql([0.0, 0.2], 2, 'fraction')}, vu AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY {uniform_sql(42, 'vulnerable', 'node_id')}, node_id) - 1 AS place FROM fx_nodes), focal_cfg AS (SELECT config FROM cfg){FOCALS}"
+    f"{_spread_steps('SELECT * FROM focals', 'JOIN vu USING (node_id) WHERE n.n >= CASE WHEN place < floor(cfg.fraction * (SELECT count(*) FROM fx_nodes)) THEN 1 ELSE 2 END', 4)} SELECT fraction, run, round(percent, 6) AS percent FROM fin"
+)
+def x6_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(contagion.sweep_hybrid(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.0, 0.2], runs=2, max_steps=4))
+
+
+COMBINED = ", ".join(f"({t}::DOUBLE, {f}::DOUBLE, {r}, {(i * 2 + j) * 2 + r})" for i, t in enumerate((0.05, 0.1)) for j, f in enumerate((0.01, 0.05)) for r in range(2))
+SIZED = f"SELECT config, node_id FROM cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'seed', 'config', 'node_id')}, node_id) <= greatest(floor(seed_fraction * (SELECT count(*) FROM fx_nodes)), 1)"
+
+
+@query(f", cfg(threshold, seed_fraction, run, config) AS (VALUES {COMBINED}){_spread_steps(SIZED, 'WHERE n.n / k.k >= cfg.threshold', 4)} SELECT threshold, seed_fraction, round(avg(percent), 6) AS mean_percent FROM fin GROUP BY ALL")
+def x6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(contagion.sweep_combined(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.05, 0.1], [0.01, 0.05], 2, 4))
+
+
 LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"
 
 
