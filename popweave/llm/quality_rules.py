@@ -40,14 +40,16 @@ from popweave.llm._words import SOLID, byte_class, mix, slices, utf8, windows, w
 SYMBOL = byte_class("#*$%&|<>")
 BLANK = b" \t\n\v\f\r"
 WINDOW = 5
-#: rule: (numerator, denominator, cutoffs in thousandths, one for each step from lenient to strict)
+#: rule: (numerator, denominator, cutoffs in thousandths, one for each step from lenient to strict).
+#: Symbols, which prose hardly has, are tightened first; then long words and repeated lines; last
+#: repeated words, which good documents have most often.
 RULES = {
-    "symbols": ("n_symbols", "n_words", (3000, 2000, 1500, 1000, 750, 500, 400, 300, 250, 200, 150, 100)),
-    "dup_lines": ("n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 225, 200)),
-    "repeats": ("n_repeat_words", "n_words", (200, 190, 180, 170, 160, 150, 140, 120, 100, 80, 70, 60)),
-    "long_words": ("word_chars", "n_words", (20000, 15000, 12000, 10000, 9500, 9000, 8500, 8000, 7500, 7000, 6500, 6000)),
+    "symbols": ("n_symbols", "n_words", (2000, 1000, 500, 300, 200, 150, 100, 100, 100, 100, 100, 100, 100, 100, 75, 50)),
+    "dup_lines": ("n_dup_lines", "n_lines", (900, 900, 900, 900, 900, 800, 700, 600, 500, 450, 400, 350, 300, 300, 250, 200)),
+    "repeats": ("n_repeat_words", "n_words", (200, 200, 200, 200, 200, 200, 200, 200, 200, 200, 190, 180, 170, 160, 140, 120)),
+    "long_words": ("word_chars", "n_words", (20000, 20000, 20000, 20000, 15000, 12000, 10000, 9000, 8000, 7500, 7000, 7000, 7000, 6500, 6500, 6500)),
 }
-LEVELS = 12
+LEVELS = 16
 MAX_FALSE = 0.0125
 ERROR = 0.05
 
