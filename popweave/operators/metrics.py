@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform
 from popweave.operators.sampling import smallest
-from popweave.sources.scratch import stored
+from popweave.sources.scratch import drop, stored
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,6 +129,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = labels.join(near, "node_id", "left").select("node_id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         up = labels.select(F.col("node_id").alias("component"), F.col("component").alias("up"))
         moved = stored(moved.join(up, "component").select("node_id", "was", F.least("component", "up").alias("component")), "labels")
+        drop(labels)
         labels = moved.select("node_id", "component")
         if moved.where("was <> component").isEmpty():
             return labels
@@ -150,6 +151,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = N
         n = seen.groupBy("node_id", "community").agg(F.count("*").alias("n"))
         best = n.groupBy("node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("node_id", F.col("b.community").alias("community"))
         both = stored(labels.withColumnRenamed("community", "was").join(best, "node_id"), "labels")
+        drop(labels)
         labels, done = both.select("node_id", "community", "was"), done + 1
         if both.where("was <> community").isEmpty() or both.where("not before <=> community").isEmpty():
             break

@@ -35,3 +35,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_root(spark)}/popweave-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that no later plan reads."""
+    for frame in frames:
+        spark = frame.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
