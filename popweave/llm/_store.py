@@ -14,7 +14,7 @@ import uuid
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-from popweave.sources.scratch import shared_root
+from popweave.sources.scratch import drop, shared_root
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -31,12 +31,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables made by :func:`stored` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    drop(*frames)
 
 
 def release(spark: SparkSession) -> None:

@@ -350,7 +350,9 @@ def components(edges: DataFrame) -> DataFrame:
         above = labels.select(F.col("key").alias("label"), F.col("label").alias("above"))
         jumped = moved.join(above, "label", "left").select("key", "was", F.least("label", F.coalesce("above", "label")).alias("label"))
         jumped = stored(jumped, "labels")
+        drop_stored(jumped.sparkSession, labels)
         if jumped.where("label <> was").isEmpty():
+            drop_stored(jumped.sparkSession, both)
             return jumped.select("key", "label")
         labels = jumped.select("key", "label")
 
@@ -390,12 +392,14 @@ def similar_texts(docs: DataFrame, sketched: DataFrame, recall: float = RECALL)
     sets = bodies.mapInArrow(shingles, "key binary, shingles binary").dropDuplicates(["key"])
     full = checked.join(sets.hint("merge"), "key").repartition(parts, "task").sortWithinPartitions("task")
     links = stored(full.mapInArrow(_verify(least), "key binary, root binary, links long, linked_docs long"), "links")
+    drop_stored(spark, checked)
     release(spark)
 
     labels = components(links.where("key <> root").select("key", "root"))
     sums = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
     out = texts.select("key", "text_id", "n_copies").join(sums.hint("merge"), "key", "left").join(labels.hint("merge"), "key", "left")
     out = stored(out.withColumn("label", F.coalesce("label", "key")), "classes")
+    drop_stored(spark, texts, links, labels)
     least = out.groupBy("label").agg(F.min("text_id").alias("class_id"))
     zero = F.lit(0).cast("long")
     return out.join(least.hint("merge"), "label").select("key", "label", "text_id", "n_copies", F.coalesce("links", zero).alias("links"), F.coalesce("linked_docs", zero).alias("linked_docs"), "class_id")
