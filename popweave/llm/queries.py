@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_model, quality_rules, suffix_dedup, token_lengths, warc
+from popweave.llm import (
+    chat_format,
+    decontaminate,
+    fill_middle,
+    hard_negatives,
+    imatch,
+    jaccard_join,
+    mixing,
+    pii,
+    quality_model,
+    quality_rules,
+    suffix_dedup,
+    token_lengths,
+    warc,
+)
 from popweave.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +86,49 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    whole = fill_middle.restored(F.col("form"), F.col("output"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_pii,
+    op2_jaccard_join,
+    op3_mixing,
+    op4_quality_rules,
+    op5_token_lengths,
+    op6_quality_model,
+    op7_suffix_dedup,
+    op8_decontaminate,
+    op9_chat_format,
+    op10_warc,
+    op11_imatch,
+    op12_fill_middle,
+    op13_hard_negatives,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_mixing, op4_quality_rules, op5_token_lengths, op6_quality_model, op7_suffix_dedup, op8_decontaminate, op9_chat_format, op10_warc)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_quality_rules": quality_rules.SQL, "op8_decontaminate": decontaminate.SQL, "op9_chat_format": chat_format.SQL, "op10_warc": warc.SQL}
+    return {
+        "op3_mixing": mixing.SQL,
+        "op4_quality_rules": quality_rules.SQL,
+        "op8_decontaminate": decontaminate.SQL,
+        "op9_chat_format": chat_format.SQL,
+        "op10_warc": warc.SQL,
+        "op12_fill_middle": fill_middle.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
+    }
