@@ -20,19 +20,24 @@ Defined results
   ARC file's name and the record's offset too); an empty table makes an empty
   archive; further columns are ignored whatever their names.
 * WARC files close at VOLUME_BYTES, so only a record of that size makes a longer one.
-* an X-Page-Id that is no number (in a foreign archive) is read as null.
-* a record whose declared length goes beyond its file is kept as far as it
-  goes and marked ``truncated``; header lines that don't parse are skipped.
+* page ids are whole longs; an X-Page-Id that is no long (in a foreign archive) is read
+  as null, and so are other numbers of our own headers.
+* a record whose declared length goes beyond its file is kept as far as it goes, a WARC
+  record without a valid length up to the next one; both are marked ``truncated``. ARC
+  header lines that don't parse are skipped. Damaged gzip data is read as far as it
+  goes. Readers only ever move forward, so any bytes at all are read to their end.
+* a date that is none becomes the first of 1970.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
 from urllib.parse import quote
 
 import numpy as np
@@ -56,6 +61,8 @@ MIN_REVISIT_BYTES = 100
 PAGE_HEADER = b"X-Page-Id: "
 #: Bytes of records after which a WARC file is closed.
 VOLUME_BYTES = 64 << 20
+#: A declared length.
+LENGTH = re.compile(r"[0-9]{1,18}")
 
 
 @dataclass
@@ -94,29 +101,35 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             continue
         if line.startswith("filedesc://"):
             length = line.rpartition(" ")[2]
-            about = data[at : at + int(length)].decode("latin-1").split("\n") if length.isdigit() else []
+            size = int(length) if LENGTH.fullmatch(length) else 0
+            about = data[at : at + size].decode("latin-1").split("\n")
             if len(about) > 1:
                 given = about[1].split()
-                names = given if given and given[-1] == "Archive-length" else ARC_FIELDS.get(int(about[0][:1] or 1), ARC_FIELDS[1]).split()
-            at += int(length) if length.isdigit() else 0
+                own = given if given and given[-1] == "Archive-length" else None
+                names = own or ARC_FIELDS[2 if about[0].startswith("2") else 1].split()
+            at += size
             continue
         values = line.split(" ")
-        if len(values) < len(names) or not values[-1].isdigit():
+        if len(values) < len(names) or not LENGTH.fullmatch(values[-1]):
             continue
         # Old writers left spaces in URLs: what is too many belongs to the first field.
         extra = len(values) - len(names)
         values = ["%20".join(values[: extra + 1]), *values[extra + 1 :]]
         size = int(values[-1])
-        yield ArcRecord(dict(zip(names, values, strict=True)), data[at : at + size], at + size > len(data), at)
+        fields = dict.fromkeys(ARC_FIELDS[1].split(), "-") | dict(zip(names, values, strict=True))
+        yield ArcRecord(fields, data[at : at + size], at + size > len(data), at)
         at += size
 
 
 def iso_date(date: str) -> str:
     """ISO 8601 of an ARC date of 14 digits (12 in old files; missing parts are the first)."""
-    digits = re.sub(r"\D", "", date)[:14]
+    digits = re.sub(r"[^0-9]", "", date)[:14]
     digits += "19700101000000"[len(digits) :]
-    y, mo, d, h, mi, s = digits[:4], digits[4:6], digits[6:8], digits[8:10], digits[10:12], digits[12:]
-    return f"{y}-{mo}-{d}T{h}:{mi}:{s}Z"
+    parts = [int(digits[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14))]
+    try:
+        return f"{datetime(*parts).isoformat()}Z"
+    except ValueError:
+        return "1970-01-01T00:00:00Z"
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes] | None:
@@ -132,8 +145,15 @@ def page_of(head: bytes) -> int | None:
     if at < 0:
         return None
     at += 2 + len(PAGE_HEADER)
-    number = head[at : head.find(b"\r\n", at)].strip()
-    return int(number) if re.fullmatch(rb"-?[0-9]{1,18}", number) else None
+    return whole_long(head[at : head.find(b"\r\n", at)].decode("latin-1"))
+
+
+def whole_long(number: str | None) -> int | None:
+    """A number in the range of a long, else None."""
+    if number is None or not re.fullmatch(r"-?[0-9]{1,19}", number.strip()):
+        return None
+    value = int(number)
+    return value if -(1 << 63) <= value < 1 << 63 else None
 
 
 def pages_to_arc(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
@@ -246,21 +266,48 @@ def write_warc(records: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES)
     text.write.partitionBy("volume").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, by Content-Length."""
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(headers, block, whether it is cut short) of each record, by Content-Length."""
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length") or 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        at = end + 4
+        told = headers.get("content-length", "")
+        if LENGTH.fullmatch(told):
+            to = at + int(told)
+        else:
+            to = data.find(b"\r\n\r\nWARC/1.", end)
+            to = len(data) if to < 0 else max(to, at)
+        yield headers, data[at:to], to > len(data) or not LENGTH.fullmatch(told)
+        at = to
+
+
+def unzipped(data: bytes) -> bytes:
+    """All members of gzip data, as far as they are sound; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    member = zlib.decompressobj(31)
+    for at in range(0, len(data), 1 << 20):
+        piece = data[at : at + (1 << 20)]
+        try:
+            while piece:
+                out.append(member.decompress(piece))
+                piece = member.unused_data
+                if member.eof:
+                    member = zlib.decompressobj(31)
+                else:
+                    break
+        except zlib.error:
+            break
+    return b"".join(out)
 
 
-READ = "page_id long, record_id string, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to long, intact boolean"
+READ = "page_id long, record_id string, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to long, intact boolean, truncated boolean"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -275,20 +322,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = []
-                for h, block in parse_warc(data):
+                for h, block, cut in parse_warc(unzipped(content.as_py())):
                     head, payload = split_http(block) or (b"", block)
                     told = h.get("warc-payload-digest", "").rpartition(":")[2]
                     kind = h.get("warc-type", "")
                     if kind == "revisit":
-                        size, digest, intact = int(h.get("x-payload-length") or 0), told, None
+                        size, digest, intact = whole_long(h.get("x-payload-length")) or 0, told, None
                     else:
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                         intact = digest == told
-                    page = h.get("x-refers-to-page-id")
-                    rows.append((page_of(head), h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), size, digest, int(page) if page else None, intact))
+                    refers = whole_long(h.get("x-refers-to-page-id"))
+                    rows.append((page_of(head), h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), size, digest, refers, intact, cut))
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=schema)
 

@@ -315,3 +315,61 @@ def test_runs_and_coordinates_miss_as_seldom_as_stated():
             hit |= inside
     found = hit & (equal.sum(1) >= j.least_equal(n, 0.999))
     assert 1 - found.mean() < 0.001
+
+
+def test_page_ids_are_whole_longs(spark):
+    ids = [-(1 << 63), -(10**18), -1, 0, 1, 10**18, 1234567890123456789, (1 << 63) - 1, None]
+    rows = [(i, "http://a", f"page {n % 3} " + "x" * 200) for n, i in enumerate(ids)]
+    out = warc.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html] = min(i, first.get(html, i))
+    want = Counter((i, "revisit" if i is not None and i != first[h] else "response", first[h] if i is not None and i != first[h] else None) for i, _, h in rows)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in out) == want
+    assert [warc.whole_long(x) for x in ("9223372036854775807", "9223372036854775808", "-9223372036854775809", "1" * 5000, "x", "", None)] == [(1 << 63) - 1] + [None] * 6
+
+
+def test_malformed_headers_are_survived():
+    record = lambda length, block=b"abc": b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: " + length + b"\r\n\r\n" + block + b"\r\n\r\n"
+    good = record(b"3")
+    for bad in (b"x", b"-33", b"", b"\xb2", b"3.0", b"9" * 5000):
+        found = list(warc.parse_warc(good + record(bad) + good))
+        assert [(block, cut) for _, block, cut in found] == [(b"abc", False), (b"abc", True), (b"abc", False)], bad
+    assert [(b, c) for _, b, c in warc.parse_warc(good + record(b"30"))] == [(b"abc", False), (b"abc\r\n\r\n", True)]
+    line = b"http://a 0.0.0.0 20240101000000 text/plain 3\nabc\n"
+    for bad in (b"abc", b"1 0 x\nURL Archive-length", b"\xb2 x\nq", b"2"):
+        head = b"filedesc://f 0.0.0.0 2024 text/plain " + str(len(bad)).encode() + b"\n" + bad + b"\n"
+        assert all(r.block == b"abc" for r in warc.parse_arc(head + line))
+    assert [r.block for r in warc.parse_arc("http://a 0.0.0.0 2024 text/plain ²\n".encode() + line)] == [b"abc"]
+    assert warc.iso_date("20249999999999") == "1970-01-01T00:00:00Z" and warc.iso_date("") == "1970-01-01T00:00:00Z"
+
+
+def test_damaged_archives_are_read_to_their_end(spark, tmp_path):
+    import gzip
+    import random
+    import zlib
+
+    r = random.Random(4)
+    entries = [(f"http://a/{k}", "text/html", "200", b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" % k + b"<p>" * r.randint(0, 60)) for k in range(12)]
+    records = "".join(f"WARC/1.1\r\nWARC-Type: revisit\r\nX-Payload-Length: {k}\r\nX-Refers-To-Page-Id: {k}\r\nContent-Length: 7\r\n\r\npayload\r\n\r\n" for k in range(12)).encode()
+    arcs, warcs = [], []
+    for n in range(300):
+        both = [bytearray(warc.arc_file("n", 1 + n % 2, "20240101000000", entries)), bytearray(records)]
+        for data, out in zip(both, (arcs, warcs), strict=True):
+            for _ in range(r.randint(1, 12)):
+                at = r.randrange(len(data))
+                data[at : at + r.randint(0, 3)] = bytes(r.choice([r.randrange(256), 45, 57, 10, 13, 32]) for _ in range(r.randint(0, 4)))
+            out.append(bytes(data))
+    assert all(len(list(warc.parse_arc(a))) <= len(a) for a in arcs) and all(len(list(warc.parse_warc(w))) <= len(w) for w in warcs)
+    packed = gzip.compress(records)
+    assert warc.unzipped(packed + packed) == records * 2 and warc.unzipped(records) == records
+    assert records.startswith(warc.unzipped(packed[: len(packed) // 2]))
+    damaged = packed[:60] + b"\x00\xff\x00" + packed[63:]
+    warc.unzipped(damaged), warc.unzipped(packed + b"junk"), warc.unzipped(b"\x1f\x8b")
+    assert warc.unzipped(zlib.compress(b"x")) == zlib.compress(b"x")
+    d = spark.createDataFrame([(a,) for a in arcs], "data binary").repartition(4)
+    assert warc.arc_records(d).count() > 0
+    for k, w in enumerate([*warcs, packed[:-9], damaged]):
+        (tmp_path / f"{k}.txt").write_bytes(w)
+    assert warc.read_warc(spark, str(tmp_path)).count() > 0
