@@ -171,6 +171,43 @@ def test_cutoffs_are_safe(spark):
     assert all(r.kept for r in quality_rules.quality_verdicts(docs, few).collect() if not r.base_failed)
 
 
+def test_the_guarantee_holds_for_an_order_that_depends_on_the_fitting_part():
+    """Kinds of documents with known shares: in 200 draws of labels the chosen step's true rate of
+    false rejections exceeds the bound at most as often as the level says. Some kinds are
+    rejected so often that a lucky order would take them in."""
+    q, rng, most, error = quality_rules, np.random.default_rng(12), 0.0125, 0.05
+    n_kinds = 1 + len(q.PAIRS)
+    rejects = np.zeros((n_kinds, len(q.PAIRS)), bool)
+    at = 0
+    for _, _, cuts in q.RULES.values():
+        for i in range(len(cuts)):
+            rejects[1 + at + i, at + i : at + len(cuts)] = True  # rejected from cutoff i on
+        at += len(cuts)
+    share = np.concatenate([[0.0], rng.choice([0.0, 0.0005, 0.003, 0.02], len(q.PAIRS))])
+    share[0] = 1 - share.sum()
+    bad = np.concatenate([[0.1], rng.random(len(q.PAIRS))])
+    orders, over, used = set(), 0, 0
+    for _ in range(200):
+        fitting, certifying = rng.multinomial(300, share), rng.multinomial(900, share)
+        order = q.ordered_pairs(rejects, fitting)
+        chosen = q.certified(rejects, order, certifying, rng.multinomial(200, bad / bad.sum()), most, error)
+        orders.add(tuple(order))
+        over += float(share[rejects[:, chosen].any(axis=1)].sum()) > most if chosen else 0
+        used += bool(chosen)
+        for rule in q.RULES:  # steps only get stricter
+            mine = [i for r, i in (q.PAIRS[p] for p in order) if r == rule]
+            assert mine == sorted(mine)
+    assert len(orders) > 20 and used > 100 and over <= error * 200
+
+
+def test_repeats_of_one_long_text():
+    words = [b"w%d" % (k % 70_000) for k in range(300_000)]
+    assert quality_rules.repeat_words(iter(words)) == 300_000
+    assert quality_rules.repeat_words(iter(words[:70_000])) == 0
+    assert quality_rules.repeat_words(iter(words[:70_005])) == 10
+    assert quality_rules.repeat_words(iter([b"a"] * 5)) == 0 and quality_rules.repeat_words(iter([b"a"] * 6)) == 6
+
+
 def test_binomial_bound():
     assert abs(quality_rules.binomial_cdf(0, 100, 0.01) - 0.99**100) < 1e-12
     assert abs(quality_rules.binomial_cdf(7, 7, 0.3) - 1) < 1e-12
