@@ -2,23 +2,25 @@
 
 A lost executor must never lose data that a later job needs, so lineage is cut
 only with tables in the folder that the cluster names in
-``spark.checkpoint.dir``, which driver and executors share.
+``spark.checkpoint.dir``, which driver and executors share. Functions marked
+``scoped`` leave only the tables that their result reads.
 """
 
 from __future__ import annotations
 
 import contextlib
 import gc
-import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-from popweave.sources.scratch import drop, shared_root
+from popweave.sources.scratch import claim, drop, scoped
+
+__all__ = ["drop_stored", "free_names", "release", "scoped", "scratch_path", "shuffle_parts", "stored"]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/popweave-{uuid.uuid4().hex}/{tag}"
+    return claim(spark, tag)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popweave.llm._store import stored
+from popweave.llm._store import scoped, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -67,6 +67,7 @@ def linear_threads(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     )
 
 
+@scoped
 def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
     """(leaf, rank, node, depth) for every message of each root's ``best`` branches.
 

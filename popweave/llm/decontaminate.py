@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm._store import free_names, stored
+from popweave.llm._store import free_names, scoped, stored
 from popweave.llm._words import byte_class, slices, utf8, words
 
 #: Bytes of a word: all but these (fixed values of the word definition); A-Z are lower-cased first.
@@ -283,6 +283,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int, width: int) -> Iter
         yield phrases([(r.item_id, bytes(r.text)) for r in rows], width)
 
 
+@scoped
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, hits and items of every document; ``slop`` > 0 asks for
     proximity matches instead of exact phrases."""
@@ -305,6 +306,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop
     return found.drop("key")
 
 
+@scoped
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     m = find_matches(docs, benchmark, width)
@@ -312,6 +314,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     return m.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+@scoped
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without any word of a benchmark phrase's occurrence."""
     text = F.col("text").cast("string")

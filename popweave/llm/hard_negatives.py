@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from popweave.llm._store import drop_stored, shuffle_parts, stored
+from popweave.llm._store import drop_stored, scoped, shuffle_parts, stored
 
 #: Rows that the upper storey is fitted on, its leaves, bytes of vectors of a shard, rows of a bucket.
 SAMPLE, LEAVES, SHARD_BYTES, BUCKET = 4096, 256, 2 << 20, 512
@@ -168,6 +168,7 @@ def decode(rows: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+@scoped
 def scaled_rows(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, row, square, dims, peak): a stored table, one row for each vec_id that takes part."""
     spark = vectors.sparkSession
@@ -382,6 +383,7 @@ def visit(pack: Pack, shard: dict, same: bool, k: int, square: float, exact: boo
     return found
 
 
+@scoped
 def search(index: Index, anchors: DataFrame, same: bool, k: int) -> DataFrame:
     """(vec_id, slot, score, other, rank): the first ``k`` rows in each window of each anchor, of
     equal (``same``) or different label, itself apart. ``anchors`` has vec_id, label, row, low and high."""
@@ -449,6 +451,7 @@ def search(index: Index, anchors: DataFrame, same: bool, k: int) -> DataFrame:
     return out
 
 
+@scoped
 def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, shard_bytes: int = SHARD_BYTES, leaves: int = LEAVES) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for the anchors (vec_id divisible by ``every``)."""
     spark = vectors.sparkSession

@@ -43,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm._store import drop_stored, shuffle_parts, stored
+from popweave.llm._store import drop_stored, scoped, shuffle_parts, stored
 from popweave.llm._words import byte_class, mix, powers, slices, utf8, words
 
 TERM = ~byte_class("".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])))
@@ -114,6 +114,7 @@ def band(n_docs: int, n_terms: int) -> tuple[int, int]:
     return low, max(low, int(n_docs * MOST), MOST_DOCS)
 
 
+@scoped
 def lexicon(docs: DataFrame) -> tuple[np.ndarray, int]:
     """The sorted term hashes of the band (MOST_TERMS at most), and the bytes of all texts."""
     counts = stored(term_counts(docs), "terms")

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm._store import drop_stored, free_names, release, shuffle_parts, stored
+from popweave.llm._store import drop_stored, free_names, release, scoped, shuffle_parts, stored
 from popweave.llm._words import mix, slices, utf8, windows, words
 
 # Joins are merge joins throughout: each side grows with the corpus, so none is
@@ -405,6 +405,7 @@ def similar_texts(docs: DataFrame, sketched: DataFrame, recall: float = RECALL)
     return out.join(least.hint("merge"), "label").select("key", "label", "text_id", "n_copies", F.coalesce("links", zero).alias("links"), F.coalesce("linked_docs", zero).alias("linked_docs"), "class_id")
 
 
+@scoped
 def join_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """For every document: doc_id, cid, component (null without a word), class_id, text_id, n_copies, n_links
     (different texts of similarity 0.8 or more) and n_linked_docs (documents
@@ -425,6 +426,7 @@ def join_documents(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     )
 
 
+@scoped
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """Of every component the rows of its smallest doc_id (one row if repeated); rows without a word stay."""
     found = stored(join_documents(docs, recall).select("doc_id", "cid", "component"), "components")

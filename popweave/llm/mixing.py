@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popweave.llm._store import stored
+from popweave.llm._store import scoped, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Widths of the nested histograms' hash digits; together the 56 bits of the hash.
@@ -106,12 +106,14 @@ def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("taken", (F.col("size") * F.col("passes") + part).cast("long")).drop("plan_source", "passes", "threshold", "rest", "tied", "hash")
 
 
+@scoped
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document."""
     sized = stored(docs.select("doc_id", "source", word_count("text").alias("size"), id_hash("doc_id").alias("hash")), "sizes")
     return take(sized, thresholds(sized, weights, max_repeats))
 
 
+@scoped
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
     """The documents that the mix takes, with every input column, and size,
     source_size, target and taken (words, repeats counted)."""

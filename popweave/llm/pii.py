@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm._store import stored
+from popweave.llm._store import scoped, stored
 from popweave.llm._words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -409,6 +409,7 @@ def digest_spans(scanned: DataFrame, model: SpanModel) -> DataFrame:
     return scanned.select("doc_id", "found").mapInArrow(run, schema)
 
 
+@scoped
 def find_pii(docs: DataFrame) -> DataFrame:
     scanned = stored(scan(docs), "candidates")
     return digest_spans(scanned, train(scanned))
@@ -426,6 +427,7 @@ def mask_text(text: str, model: SpanModel) -> str:
     return "".join([*out, text[at:]])
 
 
+@scoped
 def masked(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with personal data in ``column`` replaced by its kind: [EMAIL], [NAME] and so on."""
     model = train(stored(scan(docs.select(F.lit(0).alias("doc_id"), F.col(column).alias("text"))).where(F.size("found") > 0), "candidates"))

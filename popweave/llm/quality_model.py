@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.llm._store import stored
+from popweave.llm._store import scoped, stored
 from popweave.llm._words import Words, mix, slices, utf8, words
 from popweave.llm.quality_rules import measure_texts
 
@@ -217,6 +217,7 @@ def _rows(w: Words, a: int, b: int) -> Words:
     return Words(w.hashes[s], w.start[s], w.end[s], first - first[0])
 
 
+@scoped
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """doc_id, votes, weak_label (posterior), score and good for every document."""
     model, weights = train(docs, stored(label_documents(docs), "votes"), sample)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popweave.functions.distributions import incomplete_beta
-from popweave.llm._store import stored
+from popweave.llm._store import scoped, stored
 from popweave.llm._words import SOLID, byte_class, mix, slices, utf8, windows, words
 
 SYMBOL = byte_class("#*$%&|<>")
@@ -149,6 +149,7 @@ def measured_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
+@scoped
 def good_documents(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
     """The rows of ``docs`` that are kept. Texts are measured twice rather than shuffled."""
     cutoffs = safe_cutoffs(stored(measure(docs), "measured"), labels, max_false, error)
@@ -191,6 +192,7 @@ def certified(rejects: np.ndarray, order: list[int], n_good: np.ndarray, n_bad:
     return order[:chosen]
 
 
+@scoped
 def safe_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
     """(lang, rule, cutoff) of the strata whose rules are on.
 
@@ -232,6 +234,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~verdict).drop("stratum", *(f"cut_{r}" for r in RULES))
 
 
+@scoped
 def quality_verdicts(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, error: float = ERROR) -> DataFrame:
     """doc_id, lang, the counts, base_failed and kept for every document."""
     measured = stored(measure(docs), "measured")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popweave.llm._store import stored
+from popweave.llm._store import scoped, stored
 from popweave.llm._words import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -82,6 +82,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
 
 
+@scoped
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """One row for each length that occurs, with suffix and prefix sums.
 

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.llm._store import scratch_path, stored
+from popweave.llm._store import scoped, scratch_path, stored
 from popweave.llm._words import slices, utf8
 
 #: Header lines of the two ARC versions (fixed values of the format).
@@ -341,6 +341,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(parse, READ)
 
 
+@scoped
 def convert_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Pages to ARC to WARC files under ``path``, then read back."""
     spark = pages.sparkSession
