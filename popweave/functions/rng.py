@@ -33,6 +33,32 @@ def four_uniforms(seed: int, stream: str, *keys: Column | str) -> Column:
     return F.array(*(F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("double") / F.lit(float(16**8)) for j in range(4)))
 
 
+ROUNDS = 4
+
+
+def permuted(seed: int, stream: str, i: Column, bits: Column, *keys: Column | str) -> Column:
+    """The image of ``i`` under a permutation of the longs below 4**bits, one for each
+    combination of keys: a Feistel network of ROUNDS rounds on two halves of ``bits`` bits."""
+    shift = lambda way, x: F.call_function(f"shift{way}", x, bits)
+    mask = shift("left", F.lit(1).cast("long")) - 1
+    left, right = shift("right", i), i.bitwiseAND(mask)
+    for turn in range(ROUNDS):
+        parts = [F.lit(str(seed)), F.lit(f"{stream}/{turn}"), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys), right.cast("string")]
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(drawn.bitwiseAND(mask))
+    return shift("left", left) + right
+
+
+def permuted_sql(seed: int, stream: str, i: str, bits: str, *keys: str) -> str:
+    """The DuckDB expression of :func:`permuted`; ``i`` and ``bits`` are column names."""
+    mask = f"((1::BIGINT << {bits}) - 1)"
+    left, right = f"({i} >> {bits})", f"({i} & {mask})"
+    for turn in range(ROUNDS):
+        drawn = f"('0x' || substr(md5(concat_ws('|', '{seed}', '{stream}/{turn}', {', '.join(keys)}, {right})), 1, 12))::BIGINT"
+        left, right = right, f"xor({left}, ({drawn}) & {mask})"
+    return f"(({left} << {bits}) + {right})"
+
+
 def pick(u: Column, n: Column) -> Column:
     """An index from 0 to n - 1."""
     return F.least(F.floor(u * n), n - 1).cast("long")

@@ -1,11 +1,17 @@
 """Spreading processes over many configurations at once.
 
-State is only who adopted when: (config, node_id, step). A step joins the edges
-with the newest adopters of all configurations, adds their counts to those of
-earlier steps, and keeps who crosses its threshold; nothing is recomputed for
-old adopters, and every configuration of a sweep shares the same jobs. A node
-counts infected successors by default (an edge leads from the node that looks
-to the node it looks at), or neighbours of any direction.
+State is one table: (config, node_id, n, step) of the nodes that have seen an
+adopter or are one; n counts the adopters they see, step says when they adopted,
+if they did. A step joins the edges with the newest adopters of all configurations
+and adds their counts to the table, so nothing is recomputed for old adopters, no
+set of all adopters is joined, and every configuration of a sweep shares the same
+jobs. A node counts infected successors by default (an edge leads from the node
+that looks to the node it looks at), or neighbours of any direction.
+
+Random seeds are drawn, not ranked: nodes are numbered once, and a configuration
+takes the numbers that a permutation of its own gives for 0, 1, 2 and so on. So
+seeds are an equi-join of (configuration, number) with the numbered nodes, and no
+row is made for a node and a configuration that don't belong together.
 """
 
 from __future__ import annotations
@@ -13,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from popweave.functions.rng import normal, uniform
+from popweave.functions.rng import normal, permuted, uniform
 from popweave.operators.sampling import numbered, smallest
-from popweave.sources.scratch import stored
+from popweave.sources.scratch import drop, scoped, stored
 
 
 def looked_at(edges: DataFrame, directed: bool = True) -> DataFrame:
@@ -24,30 +30,47 @@ def looked_at(edges: DataFrame, directed: bool = True) -> DataFrame:
     return e if directed else e.union(e.select("seen", "node_id").toDF("node_id", "seen")).distinct()
 
 
-def seed_random(configs: DataFrame, nodes: DataFrame, initial: int, seed: int = 42) -> DataFrame:
-    """(config, node_id): the ``initial`` nodes with the smallest numbers of each configuration.
+def numbers(nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """(node_id, place): all nodes numbered from 0, in an order drawn by ``seed``."""
+    return stored(numbered(nodes.select("node_id"), [], uniform(seed, "place", "node_id"), ["node_id"], "place"), "places")
+
+
+def drawn(requests: DataFrame, keys: list[str], seed: int, stream: str = "seed") -> DataFrame:
+    """(keys, place): ``initial`` different numbers below ``n`` for each request (keys, n,
+    initial), all of them if there are fewer. What comes of the permutation's first outputs
+    below n is taken in turn; rows made are about four times the numbers asked for, and the
+    permutation's whole domain only for a request that this leaves short."""
+    bits = F.greatest(F.ceil(F.log2(F.greatest("n", F.lit(2))) / 2), F.lit(1)).cast("int")
+    r = requests.withColumns({"_bits": bits, "_domain": F.call_function("shiftleft", F.lit(1).cast("long"), 2 * bits)})
+    want = F.least(F.col("initial").cast("long"), F.col("n"))
+
+    def first(rows: DataFrame, tries: Column) -> DataFrame:
+        each = rows.where("initial > 0 AND n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)))
+        made = each.withColumn("place", permuted(seed, stream, F.col("_i"), F.col("_bits"), *keys)).where("place < n")
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_i"))
+        return made.withColumn("_r", rank).where(F.col("_r") <= want).select(*keys, "place")
+
+    few = F.least(F.col("_domain"), 20 + 2 * F.ceil(F.col("initial") * F.col("_domain") / F.col("n")))
+    some = first(r, few)
+    got = some.groupBy(*keys).agg(F.count("*").alias("_got"))
+    short = r.join(got, keys, "left").where(F.coalesce("_got", F.lit(0)) < want).drop("_got")
+    if short.isEmpty():
+        return some
+    return some.join(short.select(*keys), keys, "left_anti").unionByName(first(short, F.col("_domain")))
 
-    A cut-off that leaves about four times as many is applied first, so that
-    few nodes are ranked; ranking all of them is the exact way where it leaves
-    too few.
-    """
-    n = nodes.count()
-    u = uniform(seed, "seed", "config", "node_id")
-    drawn = nodes.select("node_id").crossJoin(F.broadcast(configs.select("config"))).withColumn("u", u)
-    few = drawn.where(F.col("u") < min(1.0, (4 * initial + 40) / max(n, 1)))
-    short = configs.select("config").join(few.groupBy("config").agg(F.count("*").alias("k")), "config", "left").where(F.coalesce("k", F.lit(0)) < min(initial, n))
-    rank = F.row_number().over(Window.partitionBy("config").orderBy("u", "node_id"))
-    pool = few if short.isEmpty() else drawn
-    return pool.withColumn("r", rank).where(F.col("r") <= initial).select("config", "node_id")
 
+@scoped
+def seed_random(configs: DataFrame, nodes: DataFrame, initial: int, seed: int = 42, stream: str = "seed") -> DataFrame:
+    """(config, node_id): ``initial`` different nodes of each configuration, drawn for it."""
+    return seed_sized(configs.select("config", F.lit(initial).alias("initial")), nodes, seed, stream)
 
-def seed_sized(configs: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
+
+@scoped
+def seed_sized(configs: DataFrame, nodes: DataFrame, seed: int = 42, stream: str = "seed") -> DataFrame:
     """(config, node_id): as :func:`seed_random`, each configuration with its own number ``initial``."""
-    most = configs.agg(F.max("initial")).first()[0] or 0
-    u = uniform(seed, "seed", "config", "node_id")
-    drawn = seed_random(configs, nodes, most, seed).join(F.broadcast(configs.select("config", "initial")), "config")
-    rank = F.row_number().over(Window.partitionBy("config").orderBy(u, "node_id"))
-    return drawn.withColumn("r", rank).where(F.col("r") <= F.col("initial")).select("config", "node_id")
+    placed = numbers(nodes, seed)
+    asked = configs.select("config", "initial", F.lit(placed.count()).alias("n"))
+    return drawn(asked, ["config"], seed, stream).join(placed, "place").select("config", "node_id")
 
 
 def grid(spark, **values: list) -> DataFrame:
@@ -66,10 +89,10 @@ def seed_focal(configs: DataFrame, edges: DataFrame, focal: int) -> DataFrame:
     return near.union(own).distinct().crossJoin(F.broadcast(configs.select("config"))).select("config", "node_id")
 
 
+@scoped
 def seed_focals(configs: DataFrame, edges: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
     """(config, node_id): for each configuration a random node of its own and that node's successors."""
-    drawn = nodes.select("node_id").crossJoin(F.broadcast(configs.select("config")))
-    focal = drawn.groupBy("config").agg(F.min(F.struct(uniform(seed, "focal", "config", "node_id").alias("u"), "node_id")).alias("f")).select("config", "f.node_id")
+    focal = seed_random(configs, nodes, 1, seed, "focal")
     near = focal.join(edges.select(F.col("src").alias("node_id"), F.col("dst")), "node_id").select("config", F.col("dst").alias("node_id"))
     return stored(focal.unionByName(near).distinct(), "focals")
 
@@ -102,60 +125,79 @@ def thresholds_hybrid(nodes: DataFrame, base: float, vulnerable: float, fraction
     return nodes.select("node_id").join(few.withColumn("_picked", F.lit(True)), "node_id", "left").select("node_id", t.alias("threshold"))
 
 
-def threshold_contagion(edges: DataFrame, seeds: DataFrame, threshold: DataFrame, relative: bool = True, directed: bool = True, max_steps: int = 1000) -> DataFrame:
+def _spread(look: DataFrame, front: DataFrame, state: DataFrame, values: list[str]) -> DataFrame:
+    """``state`` with what the newest adopters add to the counts of those who look at them."""
+    seen = front.select("config", F.col("node_id").alias("seen")).join(look, "seen")
+    kept = [F.max(c).alias(c) for c in values]
+    new = seen.groupBy("config", "node_id").agg(F.count("*").alias("n"), *kept).withColumn("step", F.lit(None).cast("int"))
+    return new.unionByName(state).groupBy("config", "node_id").agg(F.sum("n").alias("n"), F.max("step").alias("step"), *kept)
+
+
+def _started(seeds: DataFrame, look: DataFrame, values: list[str]) -> DataFrame:
+    """The state before the first step: seeds have step 0 (what a seed looks at no longer matters)."""
+    blank = [F.lit(None).cast(look.schema[c].dataType).alias(c) for c in values]
+    return stored(seeds.select("config", "node_id").distinct().select("config", "node_id", F.lit(0).cast("long").alias("n"), F.lit(0).alias("step"), *blank), "state")
+
+
+@scoped
+def threshold_contagion(
+    edges: DataFrame,
+    seeds: DataFrame,
+    threshold: DataFrame,
+    relative: bool = True,
+    directed: bool = True,
+    max_steps: int = 1000,
+    of_nodes: DataFrame | None = None,
+    level: Column | None = None,
+) -> DataFrame:
     """(config, node_id, step) of all adopters; seeds have step 0.
 
     ``threshold`` has node_id and threshold, config and threshold, or both
-    keys. A node adopts once its count of adopters seen (over its number of
-    nodes looked at if ``relative``) reaches it; nodes that look at none never
-    do in relative mode. Ends when no configuration changes.
+    keys. Where thresholds follow from a value of the node and one of the
+    configuration, ``of_nodes`` has node_id and its values, ``threshold`` config and
+    its values, and ``level`` is the threshold as an expression of them. A node
+    adopts once its count of adopters seen (over its number of nodes looked at if
+    ``relative``) reaches its threshold; nodes that look at none never do in relative
+    mode. Ends when no configuration changes, or after ``max_steps``.
     """
-    look = stored(looked_at(edges, directed), "look")
-    k = look.groupBy("node_id").agg(F.count("*").alias("k"))
-    keys = [c for c in ("config", "node_id") if c in threshold.columns]
-    front = stored(seeds.select("config", "node_id").distinct().withColumn("step", F.lit(0)), "adopted")
-    adopted, parts = front, 1
-    counts: DataFrame | None = None
+    level = F.col("threshold") if level is None else level
+    if of_nodes is None and "config" not in threshold.columns:
+        of_nodes = threshold
+    look = looked_at(edges, directed)
+    look = look.join(look.groupBy("node_id").agg(F.count("*").alias("k")), "node_id")
+    values = ["k"]
+    if of_nodes is not None:
+        look = look.join(of_nodes, "node_id")
+        values += [c for c in of_nodes.columns if c != "node_id"]
+    look = stored(look, "look")
+    keys = [c for c in ("config", "node_id") if c in threshold.columns] if threshold is not of_nodes else []
+    state = _started(seeds, look, values)
     for step in range(1, max_steps + 1):
-        new = front.select("config", F.col("node_id").alias("seen")).join(look, "seen").groupBy("config", "node_id").agg(F.count("*").alias("n"))
-        if counts is not None:
-            new = new.unionByName(counts).groupBy("config", "node_id").agg(F.sum("n").alias("n"))
-        # Only nodes that may still adopt carry their count on.
-        waiting = stored(new.join(adopted.select("config", "node_id"), ["config", "node_id"], "left_anti"), "counts")
-        level = waiting.join(threshold, keys).join(k, "node_id")
+        spread = _spread(look, state.where(F.col("step") == step - 1), state, values)
+        told = spread.join(threshold, keys, "left") if keys else spread
         value = F.col("n") / F.col("k") if relative else F.col("n").cast("double")
-        front = stored(level.where(value >= F.col("threshold")).select("config", "node_id", F.lit(step).alias("step")), "adopted")
-        if front.isEmpty():
+        adopts = F.col("step").isNull() & (value >= level)
+        new = stored(told.select("config", "node_id", "n", F.when(adopts, step).otherwise(F.col("step")).alias("step"), *values), "state")
+        drop(state)
+        state = new
+        if state.where(F.col("step") == step).isEmpty():
             break
-        counts = waiting.join(front.select("config", "node_id"), ["config", "node_id"], "left_anti")
-        adopted = adopted.unionByName(front)
-        parts += 1
-        if parts % 16 == 0:
-            adopted = stored(adopted, "adopted")
-    return adopted
+    return state.where("step IS NOT NULL").select("config", "node_id", "step")
 
 
+@scoped
 def simple_contagion(edges: DataFrame, seeds: DataFrame, p_transmit: float = 0.2, max_steps: int = 30, directed: bool = True, seed: int = 42) -> DataFrame:
     """(config, node_id, step): each step a node with n infected nodes seen is
     infected with probability 1 - (1 - p)^n; all ``max_steps`` steps are run."""
     look = stored(looked_at(edges, directed), "look")
-    front = stored(seeds.select("config", "node_id").distinct().withColumn("step", F.lit(0)), "adopted")
-    adopted, parts = front, 1
-    counts: DataFrame | None = None
+    state = _started(seeds, look, [])
     for step in range(1, max_steps + 1):
-        n = front.select("config", F.col("node_id").alias("seen")).join(look, "seen").groupBy("config", "node_id").agg(F.count("*").alias("n"))
-        if counts is not None:
-            n = n.unionByName(counts).groupBy("config", "node_id").agg(F.sum("n").alias("n"))
-        # Only the newest infected are joined on; who may still be infected carries the count on.
-        open_ = stored(n.join(adopted.select("config", "node_id"), ["config", "node_id"], "left_anti"), "counts")
+        spread = _spread(look, state.where(F.col("step") == step - 1), state, [])
         hit = uniform(seed, "transmit", "config", F.lit(step), "node_id") < 1 - F.pow(F.lit(1.0 - p_transmit), F.col("n"))
-        front = stored(open_.where(hit).select("config", "node_id", F.lit(step).alias("step")), "adopted")
-        counts = open_.where(~hit)
-        adopted = adopted.unionByName(front)
-        parts += 1
-        if parts % 16 == 0:
-            adopted = stored(adopted, "adopted")
-    return adopted
+        new = stored(spread.select("config", "node_id", "n", F.when(F.col("step").isNull() & hit, step).otherwise(F.col("step")).alias("step")), "state")
+        drop(state)
+        state = new
+    return state.where("step IS NOT NULL").select("config", "node_id", "step")
 
 
 def series(adopted: DataFrame, last: int | None = None) -> DataFrame:
@@ -240,6 +282,7 @@ def strategy_candidates(metrics: DataFrame, members: DataFrame, strategy: str, t
     return members.join(chosen, "group_id", "left_semi").select("node_id")
 
 
+@scoped
 def strategy_sweep(edges: DataFrame, nodes: DataFrame, members: DataFrame, metrics: DataFrame, strategies: list[str], thresholds: list[float], runs: int, share: float = 0.01, max_steps: int = 1000, seed: int = 42) -> DataFrame:
     """(strategy, threshold_idx, threshold, median_final_adoption, n_runs): every
     strategy and threshold in one contagion. A strategy with fewer candidates
@@ -271,6 +314,7 @@ def _percent(adopted: DataFrame, configs: DataFrame, nodes: DataFrame) -> DataFr
     return final_adoption(adopted, configs).withColumn("percent", 100.0 * F.col("infected") / n).drop("config", "infected")
 
 
+@scoped
 def sweep_uncontested(edges: DataFrame, nodes: DataFrame, thresholds: list[float] = (1, 2, 3, 4, 5), runs: int = 20, max_steps: int = 50, seed: int = 42) -> DataFrame:
     """(threshold, run, percent) of absolute thresholds: up to 1 from one random node,
     above from a random node and its successors."""
@@ -280,22 +324,27 @@ def sweep_uncontested(edges: DataFrame, nodes: DataFrame, thresholds: list[float
     return _percent(threshold_contagion(edges, seeds, c.select("config", "threshold"), relative=False, max_steps=max_steps), c, nodes)
 
 
+@scoped
 def sweep_contested(edges: DataFrame, nodes: DataFrame, fractions: list[float], runs: int = 20, max_steps: int = 50, seed: int = 42) -> DataFrame:
     """(threshold, run, percent) of thresholds as shares, from a random node and its successors."""
     c = _sweep(edges.sparkSession, runs, threshold=list(fractions))
     return _percent(threshold_contagion(edges, seed_focals(c, edges, nodes, seed), c.select("config", "threshold"), max_steps=max_steps), c, nodes)
 
 
+@scoped
 def sweep_hybrid(edges: DataFrame, nodes: DataFrame, fractions: list[float], base: float = 2, vulnerable: float = 1, runs: int = 20, max_steps: int = 50, seed: int = 42) -> DataFrame:
     """(fraction, run, percent): absolute thresholds, lower for the floor(fraction * n)
     nodes with the smallest numbers, from a random node and its successors."""
     c = _sweep(edges.sparkSession, runs, fraction=list(fractions))
     n = nodes.count()
     placed = stored(numbered(nodes.select("node_id"), [], uniform(seed, "vulnerable", "node_id"), ["node_id"], "place"), "places")
-    t = placed.crossJoin(F.broadcast(c.select("config", "fraction"))).select("config", "node_id", F.when(F.col("place") < F.floor(F.col("fraction") * n), float(vulnerable)).otherwise(float(base)).alias("threshold"))
-    return _percent(threshold_contagion(edges, seed_focals(c, edges, nodes, seed), t, relative=False, max_steps=max_steps), c, nodes)
+    level = F.when(F.col("place") < F.floor(F.col("fraction") * n), float(vulnerable)).otherwise(float(base))
+    seeds = seed_focals(c, edges, nodes, seed)
+    adopted = threshold_contagion(edges, seeds, c.select("config", "fraction"), relative=False, max_steps=max_steps, of_nodes=placed, level=level)
+    return _percent(adopted, c, nodes)
 
 
+@scoped
 def sweep_combined(edges: DataFrame, nodes: DataFrame, thresholds: list[float], seed_fractions: list[float], runs: int = 10, max_steps: int = 50, seed: int = 42) -> DataFrame:
     """(threshold, seed_fraction, mean_percent): thresholds as shares by random seeds of a share of all nodes, one at least."""
     n = nodes.count()
@@ -305,24 +354,21 @@ def sweep_combined(edges: DataFrame, nodes: DataFrame, thresholds: list[float],
     return _percent(adopted, c, nodes).groupBy("threshold", "seed_fraction").agg(F.avg("percent").alias("mean_percent"))
 
 
+@scoped
 def compare_topologies(edges: DataFrame, initial: int, threshold: float = 0.25, runs: int = 50, max_steps: int = 1000, seed: int = 42) -> DataFrame:
     """Complex contagion from random seeds on every network of ``edges`` (network,
     src, dst; nodes are those with an edge), all networks and runs in one
     contagion: network, run, infected and n_nodes."""
     node = F.struct("network", F.col("id").alias("id"))
-    nodes = stored(edges.select("network", F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
+    nodes = edges.select("network", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    placed = stored(numbered(nodes, ["network"], uniform(seed, "place", "network", "id"), ["id"], "place"), "places")
     spark = edges.sparkSession
     keyed = edges.select(F.struct("network", F.col("src").alias("id")).alias("src"), F.struct("network", F.col("dst").alias("id")).alias("dst"))
     numbers = spark.range(runs).select(F.col("id").alias("config"))
-    u = uniform(seed, "seed", "config", "network", "id")
-    rank = F.row_number().over(Window.partitionBy("config", "network").orderBy("u", "id"))
-    n = nodes.groupBy("network").agg(F.count("*").alias("n_nodes"))
-    # As in seed_random: about four times as many as are needed are ranked, all where that leaves too few.
-    drawn = nodes.join(n, "network").crossJoin(F.broadcast(numbers)).withColumn("u", u)
-    few = drawn.where(F.col("u") < (4 * initial + 40) / F.col("n_nodes"))
-    short = few.groupBy("network", "config", "n_nodes").agg(F.count("*").alias("k")).where(F.col("k") < F.least(F.lit(initial), F.col("n_nodes")))
-    pool = few if short.isEmpty() else drawn
-    seeds = pool.withColumn("r", rank).where(F.col("r") <= initial).select("config", node.alias("node_id"))
+    n = placed.groupBy("network").agg(F.count("*").alias("n_nodes"))
+    asked = n.crossJoin(F.broadcast(numbers)).select("network", "config", F.col("n_nodes").alias("n"), F.lit(initial).alias("initial"))
+    places = drawn(stored(asked, "asked"), ["network", "config"], seed)
+    seeds = places.join(placed, ["network", "place"]).select("config", node.alias("node_id"))
     adopted = threshold_contagion(keyed, seeds, numbers.withColumn("threshold", F.lit(threshold)), max_steps=max_steps)
     count = adopted.groupBy("config", F.col("node_id.network").alias("network")).agg(F.count("*").alias("infected"))
     every = n.crossJoin(F.broadcast(numbers))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.functions.rng import uniform_sql
+from popweave.functions.rng import permuted_sql, uniform_sql
 from popweave.operators import analysis, composition, contagion, metrics, outcomes, population, sensitivity, targets
 from popweave.plans import fixtures as fx
 
@@ -461,32 +461,52 @@ def _configs(spark: SparkSession, thresholds: list[float], runs: int = 2) -> Dat
     return spark.createDataFrame(rows, "config long, threshold double")
 
 
-def _seeds_sql(configs: str, initial: int) -> str:
-    u = uniform_sql(42, "seed", "config", "node_id")
-    return f", cfg(config, threshold) AS (VALUES {configs}), seeds AS (SELECT config, node_id FROM cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {u}, node_id) <= {initial})"
+def seeds_sql(name: str, requests: str, stream: str = "seed", seed: int = 42, nodes: str = "fx_nodes") -> str:
+    """CTEs of ``name`` (config, node_id): for each of ``requests`` (config, initial) its drawn nodes."""
+    return f""", {name}_p AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY {uniform_sql(seed, "place", "node_id")}, node_id) - 1 AS place FROM {nodes}),
+{name}_b AS (SELECT count(*) AS n, greatest(ceil(log2(greatest(count(*), 2)) / 2), 1)::BIGINT AS b FROM {name}_p),
+{name}_i AS (SELECT config, initial, n, b, unnest(range(1::BIGINT << (2 * b))) AS i FROM ({requests}), {name}_b),
+{name} AS MATERIALIZED (
+  SELECT config, node_id FROM (
+    SELECT config, initial, place, row_number() OVER (PARTITION BY config ORDER BY i) AS r
+    FROM (SELECT *, {permuted_sql(seed, stream, "i", "b", "config")} AS place FROM {name}_i) WHERE place < n) JOIN {name}_p USING (place) WHERE r <= initial)
+"""
+
+
+def spread_until(seeds: str, condition: str, joins: str = "", limit: int = 1000) -> str:
+    """CTEs k and adopted (config, node_id, step): nodes of which ``condition`` holds for n of their
+    k successors adopt, until no configuration changes or for ``limit`` steps. There is a table cfg."""
+    return f""", k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src),
+a AS (
+  SELECT 0 AS r, config, node_id, 0 AS step, true AS moves FROM ({seeds})
+  UNION ALL
+  SELECT r + 1, config, node_id, step, (count(*) FILTER (step = r + 1) OVER ()) > 0 AND r + 1 < {limit} FROM (
+    SELECT r, config, node_id, step FROM a WHERE moves
+    UNION ALL
+    SELECT n.r, n.config, n.node_id, n.r + 1 FROM (
+      SELECT a.r, a.config, e.src AS node_id, count(*) AS n FROM a JOIN fx_edges e ON e.dst = a.node_id WHERE a.moves GROUP BY ALL) n
+    JOIN k USING (node_id) JOIN cfg USING (config) {joins} LEFT JOIN a x ON x.config = n.config AND x.node_id = n.node_id
+    WHERE x.node_id IS NULL AND {condition})),
+adopted AS MATERIALIZED (SELECT config, node_id, step FROM a WHERE r = (SELECT max(r) FROM a))
+"""
 
 
 THRESHOLDS = [0.05, 0.1]
 CONFIGS = ", ".join(f"({i * 2 + r}, {t}::DOUBLE)" for i, t in enumerate(THRESHOLDS) for r in range(2))
 
 
-def _threshold_sql(steps: int) -> str:
-    parts = [_seeds_sql(CONFIGS, 60), ", k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (SELECT config, node_id, 0 AS step FROM seeds)"]
-    for i in range(1, steps + 1):
-        parts.append(
-            f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT n.config, n.node_id, {i} FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config)"
-            f" WHERE n.n / k.k >= cfg.threshold AND NOT EXISTS (SELECT 1 FROM a{i - 1} x WHERE x.config = n.config AND x.node_id = n.node_id))"
-        )
-    return "".join(parts)
+CFG = f", cfg(config, threshold) AS (VALUES {CONFIGS})"
+SHARE = "n.n / k.k >= cfg.threshold"
+THRESHOLD_RUN = f"{CFG}{seeds_sql('seeds', 'SELECT config, 60 AS initial FROM cfg')}{spread_until('FROM seeds', SHARE)}"
 
 
-def _threshold_run(spark: SparkSession, sf_dir: str, steps: int) -> tuple[DataFrame, DataFrame]:
+def _threshold_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     configs = _configs(spark, THRESHOLDS)
     seeds = contagion.seed_random(configs, fx.nodes(spark, sf_dir), 60)
-    return configs, contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs, max_steps=steps)
+    return configs, contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs)
 
 
-@query(f"{_seeds_sql(CONFIGS, 25)} SELECT config::BIGINT AS config, node_id FROM seeds")
+@query(f"{CFG}{seeds_sql('seeds', 'SELECT config, 25 AS initial FROM cfg')} SELECT config::BIGINT AS config, node_id FROM seeds")
 def x5_seed_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contagion.seed_random(_configs(spark, THRESHOLDS), fx.nodes(spark, sf_dir), 25)
 
@@ -496,33 +516,37 @@ def x5_seed_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contagion.seed_focal(_configs(spark, [0.1], 1), fx.edges(spark, sf_dir), 7)
 
 
-@query(f"{_threshold_sql(6)} SELECT config::BIGINT AS config, node_id, step FROM a6")
+@query(f"{THRESHOLD_RUN} SELECT config::BIGINT AS config, node_id, step FROM adopted")
 def x2_threshold_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _threshold_run(spark, sf_dir, 6)[1]
+    return _threshold_run(spark, sf_dir)[1]
 
 
 @query(
-    f"{_seeds_sql('(0, 2::DOUBLE)', 100)}, a0 AS MATERIALIZED (SELECT config, node_id, 0 AS step FROM seeds)"
-    + "".join(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT a.config, e.src, {i} FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id WHERE NOT EXISTS (SELECT 1 FROM a{i - 1} x WHERE x.config = a.config AND x.node_id = e.src) GROUP BY a.config, e.src HAVING count(*) >= 2)" for i in range(1, 6))
-    + " SELECT config::BIGINT AS config, node_id, step FROM a5"
+    f", cfg(config, threshold) AS (VALUES (0, 2::DOUBLE)){seeds_sql('seeds', 'SELECT config, 100 AS initial FROM cfg')}{spread_until('FROM seeds', 'n.n >= cfg.threshold')}"
+    " SELECT config::BIGINT AS config, node_id, step FROM adopted"
 )
 def x2_absolute_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = _configs(spark, [2.0], 1)
     seeds = contagion.seed_random(configs, fx.nodes(spark, sf_dir), 100)
-    return contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs, relative=False, max_steps=5)
+    return contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs, relative=False)
 
 
 @query(
-    f"{_seeds_sql('(0, 0::DOUBLE), (1, 0::DOUBLE)', 20)}, a0 AS MATERIALIZED (SELECT config, node_id, 0 AS step FROM seeds)"
-    + "".join(
-        f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT config, node_id, {i} FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n WHERE {uniform_sql(42, 'transmit', 'config', str(i), 'node_id')} < 1 - pow(0.8::DOUBLE, n) AND NOT EXISTS (SELECT 1 FROM a{i - 1} x WHERE x.config = n.config AND x.node_id = n.node_id))"
-        for i in range(1, 5)
-    )
-    + " SELECT config::BIGINT AS config, node_id, step FROM a4"
+    f", cfg(config) AS (VALUES (0), (1)){seeds_sql('seeds', 'SELECT config, 20 AS initial FROM cfg')}"
+    f""", a AS (
+  SELECT 0 AS r, config, node_id, 0 AS step FROM seeds
+  UNION ALL
+  SELECT r + 1, config, node_id, step FROM (
+    SELECT r, config, node_id, step FROM a
+    UNION ALL
+    SELECT n.r, n.config, n.node_id, n.r + 1 FROM (SELECT a.r, a.config, e.src AS node_id, count(*) AS n FROM a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n
+    LEFT JOIN a x ON x.config = n.config AND x.node_id = n.node_id
+    WHERE x.node_id IS NULL AND {uniform_sql(42, "transmit", "n.config", "n.r + 1", "n.node_id")} < 1 - pow(0.8::DOUBLE, n.n)) WHERE r < 30)
+SELECT config::BIGINT AS config, node_id, step FROM a WHERE r = 30"""
 )
 def x1_simple_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = _configs(spark, [0.0], 2)
-    return contagion.simple_contagion(fx.edges(spark, sf_dir), contagion.seed_random(configs, fx.nodes(spark, sf_dir), 20), max_steps=4)
+    return contagion.simple_contagion(fx.edges(spark, sf_dir), contagion.seed_random(configs, fx.nodes(spark, sf_dir), 20))
 
 
 HYBRID = f" SELECT node_id, (CASE WHEN row_number() OVER (ORDER BY {uniform_sql(42, 'vulnerable', 'node_id')}, node_id) <= floor(0.25 * count(*) OVER ()) THEN 0.02 ELSE 0.3 END)::DOUBLE AS threshold FROM fx_nodes"
@@ -534,17 +558,13 @@ def x4_hybrid_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_seeds_sql('(0, 0::DOUBLE), (1, 0::DOUBLE)', 60)}, hy AS MATERIALIZED ({HYBRID}), k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (SELECT config, node_id, 0 AS step FROM seeds)"
-    + "".join(
-        f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT n.config, n.node_id, {i} FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN hy USING (node_id) WHERE n.n / k.k >= hy.threshold AND NOT EXISTS (SELECT 1 FROM a{i - 1} x WHERE x.config = n.config AND x.node_id = n.node_id))"
-        for i in range(1, 21)
-    )
-    + " SELECT config::BIGINT AS config, node_id, step FROM a20"
+    f", cfg(config) AS (VALUES (0), (1)){seeds_sql('seeds', 'SELECT config, 60 AS initial FROM cfg')}, hy AS MATERIALIZED ({HYBRID})"
+    f"{spread_until('FROM seeds', 'n.n / k.k >= hy.threshold', 'JOIN hy USING (node_id)')} SELECT config::BIGINT AS config, node_id, step FROM adopted"
 )
 def x4_hybrid_contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = fx.nodes(spark, sf_dir)
     seeds = contagion.seed_random(_configs(spark, [0.0], 2), n, 60)
-    return contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, contagion.thresholds_hybrid(n, 0.3, 0.02, 0.25), max_steps=20)
+    return contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, contagion.thresholds_hybrid(n, 0.3, 0.02, 0.25))
 
 
 @query(
@@ -554,16 +574,21 @@ def x3_normal_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(contagion.thresholds_heterogeneous(fx.nodes(spark, sf_dir), "normal", 0.2))
 
 
-@query(f"{_threshold_sql(6)}, g AS (SELECT config, unnest(range((max(step) + 1)::BIGINT)) AS step FROM a6 GROUP BY config) SELECT g.config::BIGINT AS config, g.step::INT AS step, (SELECT count(*) FROM a6 WHERE a6.config = g.config AND a6.step <= g.step) AS infected FROM (SELECT config, unnest(range((SELECT max(step) + 1 FROM a6))) AS step FROM cfg) g")
+@query(
+    f"{THRESHOLD_RUN}, g AS (SELECT config, unnest(range((SELECT max(step) + 1 FROM adopted))) AS step FROM cfg)"
+    " SELECT g.config::BIGINT AS config, g.step::INT AS step, (SELECT count(*) FROM adopted x WHERE x.config = g.config AND x.step <= g.step) AS infected FROM g"
+)
 def x14_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contagion.series(_threshold_run(spark, sf_dir, 6)[1])
+    return contagion.series(_threshold_run(spark, sf_dir)[1])
 
 
 @query(
-    f"{_threshold_sql(6)}, f AS (SELECT threshold, config, count(*)::DOUBLE AS x FROM a6 JOIN cfg USING (config) GROUP BY ALL) SELECT threshold, round(avg(x), 6) AS mean_final_adoption, round(median(x), 6) AS median_final_adoption, round(var_pop(x), 6) AS variance_final_adoption, min(x)::BIGINT AS min_final_adoption, max(x)::BIGINT AS max_final_adoption, count(*) AS n_runs FROM f GROUP BY threshold"
+    f"{THRESHOLD_RUN}, f AS (SELECT threshold, config, count(*)::DOUBLE AS x FROM adopted JOIN cfg USING (config) GROUP BY ALL)"
+    " SELECT threshold, round(avg(x), 6) AS mean_final_adoption, round(median(x), 6) AS median_final_adoption, round(var_pop(x), 6) AS variance_final_adoption,"
+    " min(x)::BIGINT AS min_final_adoption, max(x)::BIGINT AS max_final_adoption, count(*) AS n_runs FROM f GROUP BY threshold"
 )
 def x11_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configs, adopted = _threshold_run(spark, sf_dir, 6)
+    configs, adopted = _threshold_run(spark, sf_dir)
     return rounded(contagion.sweep_summary(contagion.final_adoption(adopted, configs), ["threshold"]))
 
 
@@ -594,7 +619,7 @@ def x7_cascade_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRATEGIES = ["combined_score", "internal_density", "external_exposure_ratio", "random", "size"]
 
 
-def _strategies_sql(share: float, thresholds: list[float], runs: int, steps: int) -> str:
+def _strategies_sql(share: float, thresholds: list[float], runs: int) -> str:
     parts = [f"{SEEDING}, sc AS (SELECT *, exposure AS external_exposure_ratio FROM scores), ini AS (SELECT trunc(count(*) * {share}::DOUBLE)::BIGINT AS k, count(*) AS n FROM fx_nodes)"]
     rows, config = [], 0
     for s, strategy in enumerate(STRATEGIES):
@@ -608,63 +633,57 @@ def _strategies_sql(share: float, thresholds: list[float], runs: int, steps: int
                 own.append(f"({config}, '{strategy}', {t}, {v}::DOUBLE)")
                 config += 1
         rows += own
-        parts.append(f", cf{s}(config, strategy, ti, threshold) AS (VALUES {', '.join(own)}), sd{s} AS MATERIALIZED (SELECT config, node_id FROM cf{s}, (SELECT node_id FROM cand{s} WHERE (SELECT count(*) FROM cand{s}) >= (SELECT k FROM ini) UNION ALL SELECT node_id FROM fx_nodes WHERE (SELECT count(*) FROM cand{s}) < (SELECT k FROM ini)) QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42 + s, 'seed', 'config', 'node_id')}, node_id) <= (SELECT k FROM ini))")
-    parts.append(f", cfg(config, strategy, threshold_idx, threshold) AS (VALUES {', '.join(rows)}), k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM sd{s}" for s in range(len(STRATEGIES))) + ")")
-    for i in range(1, steps + 1):
-        parts.append(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.config, n.node_id FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config) WHERE n.n / k.k >= cfg.threshold)")
-    return "".join(parts) + f" SELECT strategy, threshold_idx, threshold, median(c)::DOUBLE AS median_final_adoption, count(*) AS n_runs FROM (SELECT cfg.*, (SELECT count(*) FROM a{steps} WHERE a{steps}.config = cfg.config) AS c FROM cfg) GROUP BY ALL"
+        pool = f"(SELECT node_id FROM cand{s} WHERE (SELECT count(*) FROM cand{s}) >= (SELECT k FROM ini) UNION ALL SELECT node_id FROM fx_nodes WHERE (SELECT count(*) FROM cand{s}) < (SELECT k FROM ini))"
+        parts.append(f", cf{s}(config, strategy, ti, threshold) AS (VALUES {', '.join(own)}), pool{s} AS MATERIALIZED {pool}")
+        parts.append(seeds_sql(f"sd{s}", f"SELECT config, (SELECT k FROM ini) AS initial FROM cf{s}", seed=42 + s, nodes=f"pool{s}"))
+    parts.append(f", cfg(config, strategy, threshold_idx, threshold) AS (VALUES {', '.join(rows)})")
+    parts.append(spread_until(" UNION ALL ".join(f"SELECT * FROM sd{s}" for s in range(len(STRATEGIES))), SHARE))
+    return "".join(parts) + " SELECT strategy, threshold_idx, threshold, median(c)::DOUBLE AS median_final_adoption, count(*) AS n_runs FROM (SELECT cfg.*, (SELECT count(*) FROM adopted x WHERE x.config = cfg.config) AS c FROM cfg) GROUP BY ALL"
 
 
-@query(_strategies_sql(0.04, [0.05, 0.1], 3, 5))
+@query(_strategies_sql(0.04, [0.05, 0.1], 3))
 def x11_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = seeding(spark, sf_dir).withColumn("external_exposure_ratio", F.col("exposure"))
     n = fx.grouped_nodes(spark, sf_dir)
-    return contagion.strategy_sweep(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), n, m, STRATEGIES, [0.05, 0.1], 3, 0.04, max_steps=5)
+    return contagion.strategy_sweep(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), n, m, STRATEGIES, [0.05, 0.1], 3, 0.04)
 
 
 def _runs_sql(values: list[float], runs: int, name: str) -> str:
     return f", cfg({name}, run, config) AS (VALUES " + ", ".join(f"({v}::DOUBLE, {r}, {i * runs + r})" for i, v in enumerate(values) for r in range(runs)) + ")"
 
 
-FOCALS = f", fo AS MATERIALIZED (SELECT config, node_id FROM focal_cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'focal', 'config', 'node_id')}, node_id) = 1), focals AS MATERIALIZED (SELECT * FROM fo UNION SELECT fo.config, e.dst FROM fo JOIN fx_edges e ON e.src = fo.node_id)"
-
-
-def _spread_steps(start: str, condition: str, steps: int) -> str:
-    """CTEs a0 .. a<steps> of adopters (config, node_id)."""
-    parts = [f", k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED ({start})"]
-    for i in range(1, steps + 1):
-        parts.append(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.config, n.node_id FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config) {condition})")
-    return "".join(parts) + f", fin AS (SELECT cfg.*, (SELECT count(*) FROM a{steps} WHERE a{steps}.config = cfg.config) * 100.0 / (SELECT count(*) FROM fx_nodes) AS percent FROM cfg)"
-
+FOCALS = f"{seeds_sql('fo', 'SELECT config, 1 AS initial FROM focal_cfg', 'focal')}, focals AS MATERIALIZED (SELECT * FROM fo UNION SELECT fo.config, e.dst FROM fo JOIN fx_edges e ON e.src = fo.node_id)"
+FINALS = ", fin AS (SELECT cfg.*, (SELECT count(*) FROM adopted x WHERE x.config = cfg.config) * 100.0 / (SELECT count(*) FROM fx_nodes) AS percent FROM cfg)"
 
-ONE = f"SELECT config, node_id FROM cfg, fx_nodes WHERE threshold <= 1 QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'seed', 'config', 'node_id')}, node_id) <= 1"
 
-
-@query(f"{_runs_sql([1, 2, 3], 2, 'threshold')}, focal_cfg AS (SELECT config FROM cfg WHERE threshold > 1){FOCALS}{_spread_steps(f'{ONE} UNION ALL SELECT * FROM focals', 'WHERE n.n >= cfg.threshold', 4)} SELECT threshold, run, round(percent, 6) AS percent FROM fin")
+@query(
+    f"{_runs_sql([1, 2, 3], 2, 'threshold')}, focal_cfg AS (SELECT config FROM cfg WHERE threshold > 1){FOCALS}{seeds_sql('one', 'SELECT config, 1 AS initial FROM cfg WHERE threshold <= 1')}"
+    f"{spread_until('SELECT * FROM one UNION ALL SELECT * FROM focals', 'n.n >= cfg.threshold', limit=50)}{FINALS} SELECT threshold, run, round(percent, 6) AS percent FROM fin"
+)
 def x6_uncontested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(contagion.sweep_uncontested(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [1, 2, 3], 2, 4))
+    return rounded(contagion.sweep_uncontested(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [1, 2, 3], 2))
 
 
-@query(f"{_runs_sql([0.05, 0.1], 2, 'threshold')}, focal_cfg AS (SELECT config FROM cfg){FOCALS}{_spread_steps('SELECT * FROM focals', 'WHERE n.n / k.k >= cfg.threshold', 4)} SELECT threshold, run, round(percent, 6) AS percent FROM fin")
+@query(f"{_runs_sql([0.05, 0.1], 2, 'threshold')}, focal_cfg AS (SELECT config FROM cfg){FOCALS}{spread_until('FROM focals', SHARE, limit=50)}{FINALS} SELECT threshold, run, round(percent, 6) AS percent FROM fin")
 def x6_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(contagion.sweep_contested(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.05, 0.1], 2, 4))
+    return rounded(contagion.sweep_contested(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.05, 0.1], 2))
 
 
 @query(
     f"{_runs_sql([0.0, 0.2], 2, 'fraction')}, vu AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY {uniform_sql(42, 'vulnerable', 'node_id')}, node_id) - 1 AS place FROM fx_nodes), focal_cfg AS (SELECT config FROM cfg){FOCALS}"
-    f"{_spread_steps('SELECT * FROM focals', 'JOIN vu USING (node_id) WHERE n.n >= CASE WHEN place < floor(cfg.fraction * (SELECT count(*) FROM fx_nodes)) THEN 1 ELSE 2 END', 4)} SELECT fraction, run, round(percent, 6) AS percent FROM fin"
+    f"{spread_until('FROM focals', 'n.n >= CASE WHEN place < floor(cfg.fraction * (SELECT count(*) FROM fx_nodes)) THEN 1 ELSE 2 END', 'JOIN vu USING (node_id)', 50)}{FINALS} SELECT fraction, run, round(percent, 6) AS percent FROM fin"
 )
 def x6_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(contagion.sweep_hybrid(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.0, 0.2], runs=2, max_steps=4))
+    return rounded(contagion.sweep_hybrid(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.0, 0.2], runs=2))
 
 
 COMBINED = ", ".join(f"({t}::DOUBLE, {f}::DOUBLE, {r}, {(i * 2 + j) * 2 + r})" for i, t in enumerate((0.05, 0.1)) for j, f in enumerate((0.01, 0.05)) for r in range(2))
-SIZED = f"SELECT config, node_id FROM cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'seed', 'config', 'node_id')}, node_id) <= greatest(floor(seed_fraction * (SELECT count(*) FROM fx_nodes)), 1)"
+SIZED = "SELECT config, greatest(floor(seed_fraction * (SELECT count(*) FROM fx_nodes)), 1) AS initial FROM cfg"
 
 
-@query(f", cfg(threshold, seed_fraction, run, config) AS (VALUES {COMBINED}){_spread_steps(SIZED, 'WHERE n.n / k.k >= cfg.threshold', 4)} SELECT threshold, seed_fraction, round(avg(percent), 6) AS mean_percent FROM fin GROUP BY ALL")
+@query(f", cfg(threshold, seed_fraction, run, config) AS (VALUES {COMBINED}){seeds_sql('seeds', SIZED)}{spread_until('FROM seeds', SHARE, limit=50)}{FINALS} SELECT threshold, seed_fraction, round(avg(percent), 6) AS mean_percent FROM fin GROUP BY ALL")
 def x6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(contagion.sweep_combined(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.05, 0.1], [0.01, 0.05], 2, 4))
+    return rounded(contagion.sweep_combined(fx.edges(spark, sf_dir), fx.nodes(spark, sf_dir), [0.05, 0.1], [0.01, 0.05], 2))
 
 
 LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"
@@ -678,12 +697,25 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"{LAYERED}, tn AS MATERIALIZED (SELECT network, src AS id FROM le UNION SELECT network, dst FROM le), sz AS (SELECT network, count(*) AS n_nodes FROM tn GROUP BY network), rr AS (SELECT i AS config FROM range(3) t(i)),"
-    f" a0 AS MATERIALIZED (SELECT network, config, id FROM tn, rr QUALIFY row_number() OVER (PARTITION BY network, config ORDER BY {uniform_sql(42, 'seed', 'config', 'network', 'id')}, id) <= 30), k AS (SELECT network, src AS id, count(*) AS k FROM le GROUP BY ALL)"
-    + "".join(f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.network, n.config, n.id FROM (SELECT a.network, a.config, e.src AS id, count(*) AS n FROM a{i - 1} a JOIN le e ON e.network = a.network AND e.dst = a.id GROUP BY ALL) n JOIN k USING (network, id) WHERE n.n / k.k >= 0.25)" for i in range(1, 6))
-    + " SELECT network, config AS run, (SELECT count(*) FROM a5 WHERE a5.network = sz.network AND a5.config = rr.config) AS infected, n_nodes FROM sz, rr"
+    f" tp AS MATERIALIZED (SELECT network, id, row_number() OVER (PARTITION BY network ORDER BY {uniform_sql(42, 'place', 'network', 'id')}, id) - 1 AS place FROM tn),"
+    " tb AS (SELECT network, config, n_nodes, greatest(ceil(log2(greatest(n_nodes, 2)) / 2), 1)::BIGINT AS b FROM sz, rr), ti AS (SELECT *, unnest(range(1::BIGINT << (2 * b))) AS i FROM tb),"
+    f" ts AS MATERIALIZED (SELECT network, config, id FROM (SELECT *, row_number() OVER (PARTITION BY network, config ORDER BY i) AS r FROM (SELECT *, {permuted_sql(42, 'seed', 'i', 'b', 'network', 'config')} AS place FROM ti) WHERE place < n_nodes) JOIN tp USING (network, place) WHERE r <= 30),"
+    " k AS (SELECT network, src AS id, count(*) AS k FROM le GROUP BY ALL),"
+    """ a AS (
+  SELECT 0 AS r, network, config, id, 0 AS step, true AS moves FROM ts
+  UNION ALL
+  SELECT r + 1, network, config, id, step, (count(*) FILTER (step = r + 1) OVER ()) > 0 FROM (
+    SELECT r, network, config, id, step FROM a WHERE moves
+    UNION ALL
+    SELECT n.r, n.network, n.config, n.id, n.r + 1 FROM (
+      SELECT a.r, a.network, a.config, e.src AS id, count(*) AS n FROM a JOIN le e ON e.network = a.network AND e.dst = a.id WHERE a.moves GROUP BY ALL) n
+    JOIN k USING (network, id) LEFT JOIN a x ON x.network = n.network AND x.config = n.config AND x.id = n.id
+    WHERE x.id IS NULL AND n.n / k.k >= 0.25)),
+fin AS MATERIALIZED (SELECT network, config, count(*) AS infected FROM a WHERE r = (SELECT max(r) FROM a) GROUP BY ALL)
+SELECT network, config AS run, coalesce(infected, 0) AS infected, n_nodes FROM tb LEFT JOIN fin USING (network, config)"""
 )
 def x15_compare_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contagion.compare_topologies(layered(spark, sf_dir), 30, 0.25, 3, max_steps=5)
+    return contagion.compare_topologies(layered(spark, sf_dir), 30, 0.25, 3)
 
 
 # --- outcomes -------------------------------------------------------------------
@@ -958,17 +990,13 @@ GRID = ", ".join(f"({i}, {t}::DOUBLE, {n})" for i, (t, n) in enumerate([(0.05, 2
 
 
 @query(
-    f", cfg(config, threshold, initial) AS (VALUES {GRID}), seeds AS (SELECT config, node_id FROM cfg, fx_nodes QUALIFY row_number() OVER (PARTITION BY config ORDER BY {uniform_sql(42, 'seed', 'config', 'node_id')}, node_id) <= initial), k AS (SELECT src AS node_id, count(*) AS k FROM fx_edges GROUP BY src), a0 AS MATERIALIZED (SELECT config, node_id FROM seeds)"
-    + "".join(
-        f", a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION SELECT n.config, n.node_id FROM (SELECT a.config, e.src AS node_id, count(*) AS n FROM a{i - 1} a JOIN fx_edges e ON e.dst = a.node_id GROUP BY ALL) n JOIN k USING (node_id) JOIN cfg USING (config) WHERE n.n / k.k >= cfg.threshold)"
-        for i in range(1, 6)
-    )
-    + " SELECT config::BIGINT AS config, threshold, initial::DOUBLE AS initial, (SELECT count(*) FROM a5 WHERE a5.config = cfg.config) AS infected FROM cfg"
+    f", cfg(config, threshold, initial) AS (VALUES {GRID}){seeds_sql('seeds', 'SELECT config, initial FROM cfg')}{spread_until('FROM seeds', SHARE)}"
+    " SELECT config::BIGINT AS config, threshold, initial::DOUBLE AS initial, (SELECT count(*) FROM adopted x WHERE x.config = cfg.config) AS infected FROM cfg"
 )
 def x6_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = contagion.grid(spark, threshold=[0.05, 0.1], initial=[20, 80])
     seeds = contagion.seed_sized(configs.withColumn("initial", F.col("initial").cast("int")), fx.nodes(spark, sf_dir))
-    adopted = contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs.select("config", "threshold"), max_steps=5)
+    adopted = contagion.threshold_contagion(fx.edges(spark, sf_dir), seeds, configs.select("config", "threshold"))
     return contagion.final_adoption(adopted, configs)
 
 
