@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import permuted_sql, uniform_sql
-from popweave.operators import analysis, composition, contagion, metrics, outcomes, population, sensitivity, targets
+from popweave.operators import analysis, composition, contagion, metrics, modularity, outcomes, population, sensitivity, targets
 from popweave.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1013,6 +1013,43 @@ def m13_network_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.network_table(layered(spark, sf_dir)))
 
 
+@query()
+def m6_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modularity.communities(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), refine=False)
+
+
+def _leiden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of the order priorities' networks, and Leiden communities of all of them."""
+    edges = layered(spark, sf_dir)
+    nodes = edges.select("network", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return nodes, edges, modularity.optimise(nodes, edges)
+
+
+@query()
+def m13_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leiden(spark, sf_dir)[2]
+
+
+@query(f"""{LAYERED}, n AS (SELECT network, count(*) AS n_nodes FROM (SELECT network, src FROM le UNION SELECT network, dst FROM le) GROUP BY network),
+    p AS (SELECT network, count(*) AS n_pairs FROM (SELECT DISTINCT network, least(src, dst), greatest(src, dst) FROM le) GROUP BY network)
+    SELECT network, n_nodes, n_pairs, true AS connected, true AS named_by_member, true AS not_below_spread FROM n JOIN p USING (network)""")
+def m13_leiden_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per network: whether communities are connected, have a member's name, and have no less modularity than spread labels."""
+    nodes, edges, found = _leiden(spark, sf_dir)
+    of = lambda end: F.struct("network", F.col(end).alias("id")).alias(end)
+    keyed = edges.select(of("src"), of("dst"))
+    spread = metrics.label_propagation(nodes.select(of("node_id")), keyed).select("node_id.network", F.col("node_id.id").alias("node_id"), "community")
+    side = lambda end: found.select("network", F.col("node_id").alias(end), F.col("community").alias(f"c{end}"))
+    inner = edges.join(side("src"), ["network", "src"]).join(side("dst"), ["network", "dst"]).where("csrc = cdst")
+    parts = metrics.components(found.select(of("node_id")), inner.select(of("src"), of("dst")))
+    parts = parts.groupBy(F.col("component.network").alias("network")).agg(F.countDistinct("component").alias("n_parts"))
+    own = found.groupBy("network").agg(F.count("*").alias("n_nodes"), F.countDistinct("community").alias("n"), F.count_if(F.col("community") == F.col("node_id")).alias("named"))
+    q = modularity.partition_quality(edges, found).join(modularity.partition_quality(edges, spread).select("network", F.col("modularity").alias("spread")), "network")
+    joined = own.join(parts, "network").join(q.select("network", "n_pairs", "modularity", "spread"), "network")
+    checks = {"connected": F.col("n_parts") == F.col("n"), "named_by_member": F.col("named") == F.col("n"), "not_below_spread": F.col("modularity") >= F.col("spread") - 1e-9}
+    return joined.select("network", "n_nodes", "n_pairs", *(c.alias(name) for name, c in checks.items()))
+
+
 @query(" SELECT network, run, value, max(value) OVER (PARTITION BY network) AS network_size FROM fx_runs")
 def r17_network_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fx.runs(spark, sf_dir).select("network", "run", "value")
