@@ -9,13 +9,13 @@ many waves as nodes this is the sequential rule; fewer waves see less.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform
 from popweave.operators.metrics import degrees
 from popweave.operators.population import five_year_bracket
-from popweave.sources.scratch import stored
+from popweave.sources.scratch import drop, scoped, stored
 
 # The published conditional probability tables of the domain.
 AGE_RANGES = {"[0,20)": (0, 19), "[20,30)": (20, 29), "[30,40)": (30, 39), "[40,50)": (40, 49), "[50,60)": (50, 59), "[60,70)": (60, 69), "[70,80)": (70, 79), "[80,120]": (80, 99)}
@@ -122,9 +122,70 @@ def _by_waves(nodes: DataFrame, edges: DataFrame, base: DataFrame, strength: flo
     return done
 
 
-def income(nodes: DataFrame, edges: DataFrame, seed: int = 42, waves: int = 4) -> DataFrame:
+@scoped
+def _in_order(nodes: DataFrame, edges: DataFrame, base: DataFrame, strength: float, decay: tuple[float, ...], out: str, seed: int) -> DataFrame:
+    """(node_id, code): as if nodes were drawn one by one by descending degree, then id, each from ``base``
+    (node_id, code, p normalised) blended with the decayed shares of the codes that its neighbours of any
+    direction have by then.
+
+    A node waits only for its neighbours of higher rank, so all nodes whose last such neighbour
+    has been drawn are drawn in the same round; rounds are as many as the longest chain of
+    neighbours of falling rank has members. State is a row for each node: how many it waits
+    for, how many of each code it has seen, its code and the round it was drawn in. A round joins
+    only the newest drawn with those who wait for them.
+    """
+    size = len(decay)
+    codes = F.sequence(F.lit(0), F.lit(size - 1))
+    known = base.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "p"))).alias("m"))
+    known = known.select("node_id", F.transform(codes, lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))).alias("p"))
+    d = stored(degrees(nodes, edges).join(known, "node_id").select("node_id", "degree", "p"), "ranked")
+    both = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other")).union(edges.select("dst", "src")).where("node_id <> other").distinct()
+    other = d.select(F.col("node_id").alias("other"), F.col("degree").alias("degree_o"))
+    above = (F.col("degree_o") > F.col("degree")) | ((F.col("degree_o") == F.col("degree")) & (F.col("other") < F.col("node_id")))
+    high = stored(both.join(d.select("node_id", "degree"), "node_id").join(other, "other").where(above).select("node_id", "other"), "higher")
+    waits = high.groupBy("node_id").agg(F.count("*").alias("left"))
+    none = F.array_repeat(F.lit(0).cast("long"), size)
+    state = d.join(waits, "node_id", "left").select("node_id", "p", F.coalesce("left", F.lit(0)).alias("left"), none.alias("seen"), F.lit(None).cast("int").alias("code"), F.lit(None).cast("int").alias("turn"))
+
+    kernel = F.array(*(F.array(*(F.lit(decay[abs(c - s)]) for s in range(size))) for c in range(size)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    near = F.transform(codes, lambda c: total(F.zip_with(kernel[c], F.col("seen"), lambda k, n: k * n)))
+    blend = F.transform(codes, lambda c: F.when(F.col("_all") == 0, F.col("p")[c]).otherwise((1 - strength) * F.col("p")[c] + strength * F.when(F.col("p")[c] > 0, F.col("_near")[c] / F.col("_all")).otherwise(0.0)))
+    upto = lambda c: total(F.slice("_blend", F.lit(1), c + 1))
+    u = uniform(seed, out, "node_id") * total(F.col("_blend"))
+    over = F.filter(codes, lambda c: (F.col("_blend")[c] > 0) & (upto(c) > F.col("_u")))
+    last = F.filter(codes, lambda c: F.col("_blend")[c] > 0)
+    turn = 0
+    while True:
+        if turn:
+            fresh = state.where(F.col("turn") == turn - 1).select(F.col("node_id").alias("other"), F.col("code").alias("code_o"))
+            told = high.join(fresh, "other").groupBy("node_id").agg(F.count("*").alias("dec"), F.array(*(F.count_if(F.col("code_o") == c) for c in range(size))).alias("more"))
+            now = state.join(told, "node_id", "left").withColumns({"left": F.col("left") - F.coalesce("dec", F.lit(0)), "seen": F.coalesce(F.zip_with("seen", "more", lambda a, b: a + b), "seen")})
+        else:
+            now = state
+        ready = F.col("code").isNull() & (F.col("left") == 0)
+        now = now.withColumn("_near", near).withColumn("_all", total(F.col("_near"))).withColumn("_blend", blend).withColumn("_u", u)
+        drawn = F.coalesce(F.get(over, F.lit(0)), F.element_at(last, -1)).cast("int")
+        now = now.select("node_id", "p", "left", "seen", F.when(ready, drawn).otherwise(F.col("code")).alias("code"), F.when(ready, turn).otherwise(F.col("turn")).alias("turn"))
+        rest = Observation()
+        new = stored(now.observe(rest, F.count_if(F.col("turn").isNull()).alias("n")), "drawn")
+        if turn:
+            drop(state)
+        state, turn = new, turn + 1
+        if not rest.get["n"]:
+            return state.where("code IS NOT NULL").select("node_id", "code")
+
+
+def _drawn(nodes: DataFrame, edges: DataFrame, base: DataFrame, strength: float, decay: tuple[float, ...], out: str, seed: int, waves: int | None) -> DataFrame:
+    if waves is None:
+        return _in_order(nodes, edges, base, strength, decay, out, seed)
+    return _by_waves(nodes, edges, base, strength, decay, out, seed, waves)
+
+
+@scoped
+def income(nodes: DataFrame, edges: DataFrame, seed: int = 42, waves: int | None = None) -> DataFrame:
     """Adds inkomensniveau: below 20 not applicable; else by education and age,
-    blended with neighbours' bands."""
+    blended with neighbours' bands, node by node in order of degree (in so many ``waves`` if given)."""
     spark = nodes.sparkSession
     grown = nodes.where("age >= 20")
     edu = _table(spark, [(e, i, p) for e, ps in INCOME_BY_EDUCATION.items() for i, p in enumerate(ps)], "oplniv int, code int, p double")
@@ -135,7 +196,7 @@ def income(nodes: DataFrame, edges: DataFrame, seed: int = 42, waves: int = 4) -
     base = grown.select("node_id", "oplniv", step.alias("step")).join(F.broadcast(edu), "oplniv").join(F.broadcast(age), ["step", "code"])
     p = F.col("p") * F.col("m")
     base = stored(base.select("node_id", "code", (p / F.sum(p).over(Window.partitionBy("node_id"))).alias("p")), "income_base")
-    drawn = _by_waves(nodes, edges, base, INCOME_STRENGTH, INCOME_DECAY, "income", seed, waves)
+    drawn = _drawn(nodes, edges, base, INCOME_STRENGTH, INCOME_DECAY, "income", seed, waves)
     band = F.get(F.array(*map(F.lit, INCOME)), F.col("code"))
     return nodes.join(drawn, "node_id", "left").withColumn("inkomensniveau", F.coalesce(band, F.lit(NOT_APPLICABLE))).drop("code")
 
@@ -166,11 +227,13 @@ def benefits(nodes: DataFrame, seed: int = 42) -> DataFrame:
     return draw(keyed, weights, ["_status"], uniform(seed, "benefit", "node_id"), "uitkeringstype").drop("_status")
 
 
-def marital_status(nodes: DataFrame, edges: DataFrame, seed: int = 42, waves: int = 4) -> DataFrame:
-    """Adds burgerlijke_staat by age bracket, blended with neighbours', among what the bracket allows."""
+@scoped
+def marital_status(nodes: DataFrame, edges: DataFrame, seed: int = 42, waves: int | None = None) -> DataFrame:
+    """Adds burgerlijke_staat by age bracket, blended with neighbours', among what the bracket
+    allows; in order as :func:`income`."""
     rows = [(lft, i, p) for lft, ps in MARITAL_BY_AGE.items() for i, p in enumerate(ps)]
     base = stored(nodes.select("node_id", "lft").join(F.broadcast(_table(nodes.sparkSession, rows, "lft string, code int, p double")), "lft").select("node_id", "code", "p"), "marital_base")
-    drawn = _by_waves(nodes, edges, base, MARITAL_STRENGTH, MARITAL_DECAY, "marital", seed, waves)
+    drawn = _drawn(nodes, edges, base, MARITAL_STRENGTH, MARITAL_DECAY, "marital", seed, waves)
     return nodes.join(drawn, "node_id", "left").withColumn("burgerlijke_staat", F.get(F.array(*map(F.lit, MARITAL)), F.col("code"))).drop("code")
 
 

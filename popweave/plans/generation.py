@@ -444,6 +444,38 @@ def _waves_sql(strength: float, decay: tuple[float, ...], stream: str, waves: in
     return "".join(parts)
 
 
+def _order_sql(strength: float, decay: tuple[float, ...], stream: str) -> str:
+    """CTE drawn (node_id, code) from base (node_id, code, p): a node is drawn once all its neighbours
+    of higher rank (degree, then smaller id) are."""
+    kernel = f"([{', '.join(f'{x!r}::DOUBLE' for x in decay)}])[abs(c.code - s.code) + 1]"
+    return f"""{DEGREES}, rk AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY degree DESC, node_id) AS rank FROM deg WHERE node_id IN (SELECT node_id FROM base)),
+codes AS (SELECT DISTINCT code FROM base),
+high AS MATERIALIZED (
+  SELECT e.node_id, e.other FROM (SELECT src AS node_id, dst AS other FROM fx_edges UNION SELECT dst, src FROM fx_edges) e
+  JOIN rk a ON a.node_id = e.node_id JOIN rk b ON b.node_id = e.other WHERE b.rank < a.rank),
+waits AS MATERIALIZED (SELECT rk.node_id, count(high.other) AS n FROM rk LEFT JOIN high USING (node_id) GROUP BY rk.node_id),
+dr AS (
+  SELECT 0 AS r, NULL::BIGINT AS node_id, NULL::INT AS code, true AS moves
+  UNION ALL
+  SELECT r + 1, node_id, code, bool_or(fresh) OVER () FROM (
+    SELECT r, node_id, code, false AS fresh FROM dr WHERE moves
+    UNION ALL
+    SELECT r, node_id, coalesce(min(code) FILTER (upto > u AND p > 0), max(code) FILTER (p > 0)), true FROM (
+      SELECT r, node_id, code, p, sum(p) OVER (PARTITION BY node_id ORDER BY code) AS upto, {uniform_sql(42, stream, "node_id")} * sum(p) OVER (PARTITION BY node_id) AS u FROM (
+        SELECT r, node_id, code, CASE WHEN h IS NULL THEN p ELSE (1 - {strength}::DOUBLE) * p + {strength}::DOUBLE * (CASE WHEN p > 0 THEN h / hs ELSE 0 END) END AS p FROM (
+          SELECT w.r, b.node_id, b.code, b.p, x.h, sum(x.h) OVER (PARTITION BY b.node_id) AS hs
+          FROM (
+            SELECT t.r, waits.node_id FROM (SELECT max(r) AS r FROM dr WHERE moves) t, waits
+            LEFT JOIN (SELECT high.node_id, count(*) AS k FROM high JOIN dr ON dr.node_id = high.other WHERE dr.moves GROUP BY ALL) g ON g.node_id = waits.node_id
+            LEFT JOIN dr own ON own.node_id = waits.node_id
+            WHERE t.r IS NOT NULL AND own.node_id IS NULL AND coalesce(g.k, 0) = waits.n) w
+          JOIN base b ON b.node_id = w.node_id
+          LEFT JOIN (SELECT high.node_id, c.code, sum({kernel}) AS h FROM high JOIN dr s ON s.node_id = high.other, codes c WHERE s.moves GROUP BY ALL) x ON x.node_id = b.node_id AND x.code = b.code)))
+    GROUP BY r, node_id)),
+drawn AS MATERIALIZED (SELECT node_id, code FROM dr WHERE r = (SELECT max(r) FROM dr) AND node_id IS NOT NULL)
+"""
+
+
 STEP = "CASE " + " ".join(f"WHEN age < {bound} THEN {k}" for k, (bound, _) in enumerate(enrich.INCOME_BY_AGE[:-1])) + f" ELSE {len(enrich.INCOME_BY_AGE) - 1} END"
 INCOME_SQL = (
     f"{DOMAIN}{AGES}, ie(oplniv, code, p) AS (VALUES "
@@ -462,6 +494,13 @@ def a3_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.income(enrich.ages(domain_nodes(spark, sf_dir)), fx.edges(spark, sf_dir), waves=3)
 
 
+@query(
+    f"{INCOME_SQL}{_order_sql(enrich.INCOME_STRENGTH, enrich.INCOME_DECAY, 'income')} SELECT node_id, coalesce(([" + ", ".join(f"'{b}'" for b in enrich.INCOME) + f"])[code + 1], '{enrich.NOT_APPLICABLE}') AS inkomensniveau FROM aged LEFT JOIN drawn USING (node_id)"
+)
+def a3_income_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.income(enrich.ages(domain_nodes(spark, sf_dir)), fx.edges(spark, sf_dir)).select("node_id", "inkomensniveau")
+
+
 @query(
     f"{DOMAIN}, mb(lft, code, p) AS (VALUES "
     + ", ".join(f"('{k}', {i}, {p}::DOUBLE)" for k, ps in enrich.MARITAL_BY_AGE.items() for i, p in enumerate(ps))
@@ -473,6 +512,17 @@ def a6_marital_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.marital_status(domain_nodes(spark, sf_dir), fx.edges(spark, sf_dir), waves=3)
 
 
+@query(
+    f"{DOMAIN}, mb(lft, code, p) AS (VALUES "
+    + ", ".join(f"('{k}', {i}, {p}::DOUBLE)" for k, ps in enrich.MARITAL_BY_AGE.items() for i, p in enumerate(ps))
+    + f"), base AS MATERIALIZED (SELECT node_id, code, p FROM dom JOIN mb USING (lft)){_order_sql(enrich.MARITAL_STRENGTH, enrich.MARITAL_DECAY, 'marital')} SELECT node_id, (["
+    + ", ".join(f"'{m}'" for m in enrich.MARITAL)
+    + "])[code + 1] AS burgerlijke_staat FROM dom LEFT JOIN drawn USING (node_id)"
+)
+def a6_marital_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.marital_status(domain_nodes(spark, sf_dir), fx.edges(spark, sf_dir)).select("node_id", "burgerlijke_staat")
+
+
 DISTANCE = INCOMES + ", code AS (SELECT node_id, list_position(['" + "','".join(enrich.INCOME) + "'], inkomensniveau) AS b FROM inc), dist AS (SELECT src, dst, abs(x.b - y.b)::INT AS income_distance FROM fx_edges LEFT JOIN code x ON x.node_id = src LEFT JOIN code y ON y.node_id = dst)"
 
 

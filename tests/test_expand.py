@@ -1,3 +1,8 @@
+import hashlib
+import itertools
+import random
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from popweave.operators import enrich, expand
@@ -50,3 +55,28 @@ def test_enrichment_is_whole_and_allowed(spark):
         assert r.arbeidsstatus in enrich.WORK[r.lft]
         assert enrich.MARITAL_BY_AGE[r.lft][enrich.MARITAL.index(r.burgerlijke_staat)] > 0
         assert (r.uitkeringstype is None) == (r.arbeidsstatus not in enrich.BENEFIT)
+
+
+def test_marital_status_follows_the_order_of_degrees(spark):
+    """Against a loop over nodes, one by one by descending degree and then id."""
+    r = random.Random(6)
+    people = [(i, list(enrich.AGE_RANGES)[r.randrange(8)]) for i in range(120)]
+    links = sorted({(a, b) for a, b in ((r.randrange(120), int(120 * r.random() ** 2)) for _ in range(400)) if a != b})
+    degree = Counter(x for link in links for x in link)
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b), near[b].add(a)
+    size, own, decay = len(enrich.MARITAL), dict(people), enrich.MARITAL_DECAY
+    code: dict[int, int] = {}
+    for v in sorted(own, key=lambda x: (-degree[x], x)):
+        p = list(enrich.MARITAL_BY_AGE[own[v]])
+        seen = [code[x] for x in near[v] if x in code]
+        if seen:
+            h = [sum(decay[abs(c - s)] for s in seen) for c in range(size)]
+            p = [(1 - enrich.MARITAL_STRENGTH) * x + enrich.MARITAL_STRENGTH * (y / sum(h) if x > 0 else 0) for x, y in zip(p, h, strict=True)]
+        u = int(hashlib.md5(f"42|marital|{v}".encode()).hexdigest()[:12], 16) / 16**12 * sum(p)
+        upto = list(itertools.accumulate(p))
+        code[v] = next((c for c in range(size) if p[c] > 0 and upto[c] > u), max(c for c in range(size) if p[c] > 0))
+    nodes = spark.createDataFrame(people, "node_id long, lft string")
+    out = enrich.marital_status(nodes, spark.createDataFrame(links, "src long, dst long"))
+    assert {x.node_id: x.burgerlijke_staat for x in out.collect()} == {v: enrich.MARITAL[c] for v, c in code.items()}
