@@ -16,12 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import pick, uniform
+from popweave.operators.communities import coordinates
 from popweave.operators.sampling import numbered, smallest
-from popweave.sources.scratch import stored
+from popweave.sources.scratch import scoped, stored
 
 EDGE = ("src", "dst", "src_group", "dst_group", "mechanism", "phase", "round")
 
@@ -37,9 +38,15 @@ class World:
     shared: DataFrame  # src_group, dst_group, turn, shared, community, ks: communities of both groups, numbered
     communities: int
     seed: int
+    theta: DataFrame  # community, theta: places on the ring
 
 
-def world(assignment: DataFrame, targets: DataFrame, seed: int = 42) -> World:
+#: Communities on each side of a source that the ring search goes through.
+RING_WINDOW = 200
+
+
+def world(assignment: DataFrame, targets: DataFrame, seed: int = 42, theta: DataFrame | None = None) -> World:
+    """``theta`` has each community's place on the ring, :func:`communities.coordinates` if not given."""
     u = uniform(seed, "order", "node_id")
     m = numbered(assignment.select("node_id", "group_id", "community"), ["community", "group_id"], u, ["node_id"], "idx")
     m = stored(numbered(m, ["group_id"], u, ["node_id"], "gidx"), "members")
@@ -53,7 +60,7 @@ def world(assignment: DataFrame, targets: DataFrame, seed: int = 42) -> World:
     turn = F.row_number().over(by.orderBy(uniform(seed, "turn", "src_group", "dst_group", "community"), "community")) - 1
     shared = stored(both.withColumns({"turn": turn.cast("long"), "shared": F.count("*").over(by)}), "shared")
     k = (comp.agg(F.max("community")).first()[0] or 0) + 1
-    return World(m, comp, sizes, t, shared, k, seed)
+    return World(m, comp, sizes, t, shared, k, seed, coordinates(assignment, seed) if theta is None else theta)
 
 
 @dataclass
@@ -118,13 +125,41 @@ def _member(rows: DataFrame, w: World, node: str, group: str, index: str, commun
     return rows.join(m, [x for x in name.values() if x != node])
 
 
+def ring_places(comp: DataFrame, theta: DataFrame) -> DataFrame:
+    """(group_id, community, theta, place, n): each group's communities by their place on the ring, numbered from 0."""
+    by = Window.partitionBy("group_id")
+    c = comp.select("group_id", "community").join(theta, "community")
+    place = F.row_number().over(by.orderBy("theta", "community")) - 1
+    return c.select("group_id", "community", "theta", place.cast("long").alias("place"), F.count("*").over(by).alias("n"))
+
+
+def ring_starts(places: DataFrame, asked: DataFrame, theta: DataFrame) -> DataFrame:
+    """(community, dst_group, center, n): for each of ``asked`` (community, dst_group) how many of
+    the destination group's n communities have a smaller theta than the community.
+
+    An as-of join: queries and the group's communities in one run by theta, with a running count."""
+    listed = places.select(F.col("group_id").alias("dst_group"), "theta", F.lit(1).alias("listed"), F.lit(None).cast(asked.schema["community"].dataType).alias("community"))
+    queries = asked.join(theta, "community").select("dst_group", "theta", F.lit(0).alias("listed"), "community")
+    run = Window.partitionBy("dst_group").orderBy("theta", "listed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = queries.unionByName(listed).withColumns({"center": F.sum("listed").over(run), "n": F.sum("listed").over(Window.partitionBy("dst_group"))})
+    return counted.where("listed = 0 AND n > 0").select("community", "dst_group", "center", "n")
+
+
+def ring_slot(slot: Column, center: Column, n: Column) -> Column:
+    """The place of a source's ``slot``-th nearest community: from the center to the right and to the
+    left in turn, RING_WINDOW communities each way at most, and then again."""
+    k = F.pmod(slot, 2 * F.least(F.lit(RING_WINDOW), n))
+    step = F.floor(k / 2)
+    return F.pmod(F.when(k % 2 == 0, center + step).otherwise(center - step - 1), n).cast("long")
+
+
 def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float = 0.0, bridge: float = 0.0, pool: DataFrame | None = None) -> DataFrame:
     """Candidates of the primary mechanism.
 
     community: source and destination in a community that has both groups, the
     destination's moved to a neighbour with probability ``bridge``, and picked
-    from its popular members; ring: destination communities around the
-    source's on the ring; own: the source's community; any: the whole groups.
+    from its popular members; ring: the communities with the destination group that
+    are nearest to the source's on the ring; own: the source's community; any: the whole groups.
     """
     a = _attempts(need, w.seed, f"{mode}/{round_}")
     fraction = 1.0 - attachment
@@ -142,19 +177,22 @@ def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float
         step = F.when(F.col("ub") < bridge / 2, -1).when(F.col("ub") < bridge, 1).otherwise(0)
         a = a.withColumn("there", F.pmod(F.col("community") + step, F.lit(w.communities)).cast("int"))
     else:
-        a = a.join(w.sizes.select(F.col("group_id").alias("src_group"), "k"), "src_group").withColumn("i", pick(F.col("us"), F.col("k"))).drop("k")
+        sizes = w.sizes.select(F.col("group_id").alias("src_group"), "k")
+        a = a.join(sizes, "src_group")
+        if mode == "ring":
+            # Sources by turns: each tries its nearest communities in the order of their slots.
+            a = a.withColumns({"i": F.pmod(F.col("j") - 1 + 7919 * round_, F.col("k")), "slot": F.expr("(j - 1) div k")})
+        else:
+            a = a.withColumn("i", pick(F.col("us"), F.col("k")))
         m = w.members.select(F.col("node_id").alias("src"), F.col("group_id").alias("src_group"), F.col("gidx").alias("i"), "community")
-        a = a.join(m, ["src_group", "i"]).drop("i")
+        a = a.drop("k").join(m, ["src_group", "i"]).drop("i")
         there = F.col("community")
         if mode == "ring":
-            # Neighbours on the ring by turns: 0, +1, -1, +2, -2, ... within the window.
-            place = F.row_number().over(Window.orderBy(uniform(w.seed, "theta", "community"), "community")) - 1
-            ring = stored(w.comp.select("community").distinct().withColumn("place", place), "ring")
-            n = ring.count()
-            k = F.pmod(F.col("j"), F.lit(min(200, n)))
-            delta = F.when(k % 2 == 1, F.ceil(k / 2)).otherwise(-F.floor(k / 2))
-            a = a.join(ring, "community").withColumn("place", F.pmod(F.col("place") + delta, F.lit(n)).cast("int"))
-            a = a.drop("community").join(ring.select(F.col("community"), "place"), "place").drop("place")
+            places = ring_places(w.comp, w.theta)
+            asked = w.comp.select("community", F.col("group_id").alias("src_group")).join(need.select("src_group", "dst_group"), "src_group").select("community", "dst_group").distinct()
+            starts = stored(ring_starts(places, asked, w.theta), "starts")
+            a = a.join(starts, ["community", "dst_group"]).withColumn("place", ring_slot(F.col("slot"), F.col("center"), F.col("n")))
+            a = a.drop("community").join(places.select(F.col("group_id").alias("dst_group"), "place", "community"), ["dst_group", "place"])
         a = a.withColumn("there", there)
     k = w.comp.select(F.col("community").alias("there"), F.col("group_id").alias("dst_group"), F.col("k").alias("kd"))
     # The pool of popular members: a share of the group, and everyone again for each edge that they drew.
@@ -216,6 +254,7 @@ def tagged(rows: DataFrame, phase: str, round_: int) -> DataFrame:
     return rows.select("src", "dst", "src_group", "dst_group", "mechanism", F.lit(phase).alias("phase"), F.lit(round_).alias("round"))
 
 
+@scoped
 def grow(
     w: World,
     edges: DataFrame,

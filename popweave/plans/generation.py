@@ -772,3 +772,24 @@ def k14_group_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "groups")
     sinks.write_groups(fx.grouped_nodes(spark, sf_dir), ["seg", "reg"], path)
     return spark.read.option("header", True).schema("group_id int, seg string, reg string").csv(f"{path}/attributes")
+
+
+@query(
+    f""", comp AS (SELECT DISTINCT node_id % 40 AS community, group_id FROM fx_gnodes),
+    th AS (SELECT community, {uniform_sql(42, "theta", "community")} AS theta FROM (SELECT DISTINCT community FROM comp)),
+    pl AS (SELECT group_id, community, theta, row_number() OVER (PARTITION BY group_id ORDER BY theta, community) - 1 AS place, count(*) OVER (PARTITION BY group_id) AS n FROM comp JOIN th USING (community)),
+    st AS (SELECT t.community, pl.group_id AS dst_group, count(*) FILTER (pl.theta < t.theta) AS center, any_value(n) AS n FROM th t, pl GROUP BY ALL),
+    sl AS (SELECT *, unnest(range(8)) AS slot FROM st),
+    spot AS (SELECT *, CASE WHEN slot % (2 * least(200, n)) % 2 = 0 THEN center + (slot % (2 * least(200, n))) // 2 ELSE center - (slot % (2 * least(200, n))) // 2 - 1 END AS p FROM sl)
+    SELECT spot.community, spot.dst_group, spot.slot, pl.community AS there FROM spot JOIN pl ON pl.group_id = spot.dst_group AND pl.place = ((p % spot.n) + spot.n) % spot.n"""
+)
+def j14_ring_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight nearest communities of each destination group on the ring, seen from every community."""
+    a = fx.grouped_nodes(spark, sf_dir).select("node_id", "group_id", F.pmod("node_id", F.lit(40)).alias("community"))
+    comp, theta = com.composition(a), com.coordinates(a)
+    places = ed.ring_places(comp, theta)
+    asked = comp.select("community").distinct().crossJoin(F.broadcast(comp.select(F.col("group_id").alias("dst_group")).distinct()))
+    slots = ed.ring_starts(places, asked, theta).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    at = slots.withColumn("place", ed.ring_slot(F.col("slot"), F.col("center"), F.col("n")))
+    there = places.select(F.col("group_id").alias("dst_group"), "place", F.col("community").alias("there"))
+    return at.join(there, ["dst_group", "place"]).select("community", "dst_group", "slot", "there")

@@ -1,3 +1,7 @@
+import bisect
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +116,39 @@ def test_subgraph_errors(spark):
         metrics.extract_subgraph(nodes, edges, 0, 0)
     assert metrics.extract_subgraph(nodes, edges, 3, 3) is None
     assert metrics.extract_subgraph(nodes, edges, 0, 2)[1].collect() == [(0, 1)]
+
+
+def test_ring_search_goes_to_the_nearest_communities_of_the_group(spark):
+    """Against bisection in each group's sorted list, right and left in turn, within the window."""
+    r = random.Random(3)
+    theta = {c: r.random() for c in range(30)} | {30: 0.5, 31: 0.5}
+    comp = sorted({(c, g) for c in theta for g in range(5) if r.random() < (0.1 if g == 4 else 0.6)})
+    t = spark.createDataFrame(list(theta.items()), "community int, theta double")
+    places = ed.ring_places(spark.createDataFrame(comp, "community int, group_id int"), t)
+    asked = spark.createDataFrame([(c, g) for c in theta for g in range(5)], "community int, dst_group int")
+    slots = ed.ring_starts(places, asked, t).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    at = slots.withColumn("place", ed.ring_slot(F.col("slot"), F.col("center"), F.col("n")))
+    found = {(x.community, x.dst_group, x.slot): x.there for x in at.join(places.select(F.col("group_id").alias("dst_group"), "place", F.col("community").alias("there")), ["dst_group", "place"]).collect()}
+    want = {}
+    for g in range(5):
+        own = sorted((theta[c], c) for c, h in comp if h == g)
+        n = len(own)
+        for c in theta:
+            center = bisect.bisect_left([x for x, _ in own], theta[c])
+            order = [j % n for delta in range(min(ed.RING_WINDOW, n)) for j in (center + delta, center - delta - 1)]
+            want |= {(c, g, k): own[order[k % len(order)]][1] for k in range(10)}
+    assert found == want and all((there, g) in comp for (_, g, _), there in found.items())
+
+
+def test_ring_candidates_fall_on_members(spark):
+    """A group in few communities: every candidate of the ring is a member of it, near its source first."""
+    people = [(k, k % 3 if k % 40 else 3, k % 25) for k in range(1000)]
+    a = spark.createDataFrame(people, "node_id long, group_id int, community int")
+    targets = spark.createDataFrame([(0, 3, 60), (1, 2, 500), (3, 0, 40)], "src_group int, dst_group int, target long")
+    w = ed.world(a, targets)
+    c = ed.propose(w, targets.select("src_group", "dst_group", F.col("target").alias("need")), "ring", 0).collect()
+    group = {n: g for n, g, _ in people}
+    assert all(group[x.src] == x.src_group and group[x.dst] == x.dst_group for x in c)
+    assert Counter((x.src_group, x.dst_group) for x in c) == {(0, 3): 92, (1, 2): 752, (3, 0): 62}
+    # Each source of a round is tried before any is tried again.
+    assert max(Counter(x.src for x in c if x.src_group == 1).values()) == -(-752 // sum(g == 1 for g in group.values()))
