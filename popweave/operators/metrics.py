@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform
 from popweave.operators.sampling import smallest
-from popweave.sources.scratch import drop, stored
+from popweave.sources.scratch import drop, scoped, stored
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,6 +116,7 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return total.crossJoin(F.broadcast(squares)).select("n_communities", q.alias("modularity"))
 
 
+@scoped
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component): the smallest id of each weakly connected component.
 
@@ -135,6 +136,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+@scoped
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node_id, community): each round all nodes take their neighbours' most
     frequent label, the smaller if equal, their own counting once too.
@@ -158,6 +160,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = N
     return labels.select("node_id", "community")
 
 
+@scoped
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
     """(source, node_id, distance) of all that ``sources`` (node_id) reach, by
     breadth-first rounds until nothing new is found, or to distance ``most``."""
@@ -177,6 +180,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, dir
     return reached
 
 
+@scoped
 def path_sources(nodes: DataFrame, edges: DataFrame, exact_below: int = 1000, sample: int = 100, seed: int = 42) -> DataFrame:
     """Sources (node_id) of path lengths: below ``exact_below`` nodes all of the
     largest weak component (the smaller label if equal), else ``sample`` drawn nodes."""
@@ -216,6 +220,7 @@ def non_isolates(wanted: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return wanted.join(linked, "node_id", "left_semi").orderBy("position").limit(most)
 
 
+@scoped
 def metric_bundle(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """One row with reciprocity, transitivity, path length, degree skew, assortativity and modularity."""
     d = degrees(nodes, edges)
@@ -233,6 +238,7 @@ def metric_bundle(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Dat
     return out
 
 
+@scoped
 def network_table(edges: DataFrame) -> DataFrame:
     """Per network (edges with a column network), all networks in the same jobs:
     n_nodes with an edge, n_edges, mean_degree, degree_skew (population),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from popweave.functions.rng import uniform
 from popweave.operators.metrics import degrees
 from popweave.operators.sampling import numbered, smallest
-from popweave.sources.scratch import stored
+from popweave.sources.scratch import scoped, stored
 
 
 def expected_edges(blocks: DataFrame, probabilities: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def expected_edges(blocks: DataFrame, probabilities: DataFrame) -> DataFrame:
     return r.withColumn("density", F.when(n > 1, F.col("expected_edges") / (n * (n - 1) / 2)).otherwise(0.0))
 
 
+@scoped
 def stochastic_blocks(nodes: DataFrame, probabilities: DataFrame, seed: int = 42) -> DataFrame:
     """(u, v), u < v, of a block model: each unordered pair with its blocks' probability.
 
@@ -72,6 +73,7 @@ def symmetric(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(pairs.select("v", "u"))
 
 
+@scoped
 def induced_sample(nodes: DataFrame, probabilities: DataFrame, m: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """m nodes by their numbers, and a block model on them."""
     chosen = stored(smallest(nodes, uniform(seed, "induce", "node_id"), m, ["node_id"]), "chosen")
@@ -93,6 +95,7 @@ def _pair_of(slot: Column) -> tuple[Column, Column]:
     return row, slot - (row * (row - 1) / 2).cast("long")
 
 
+@scoped
 def _first_draws(spark: SparkSession, make: Callable[[DataFrame], DataFrame], need: int, seed_rows: int = 64) -> DataFrame:
     """The ``need`` pairs (u, v) that turn up first among numbered draws.
 
@@ -193,6 +196,7 @@ def small_world(spark: SparkSession, n: int, k: int, rewire: float, seed: int =
     return e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
+@scoped
 def scale_free(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFrame:
     """(u, v): every newcomer links to m earlier ends, picked by a copying rule.
 
@@ -217,6 +221,7 @@ def scale_free(spark: SparkSession, n: int, m: int, seed: int = 42) -> DataFrame
     return e.union(start).distinct()
 
 
+@scoped
 def homophily_graph(nodes: DataFrame, n_edges: int, strength: float, seed: int = 42) -> DataFrame:
     """(u, v): int(strength * n_edges) pairs within blocks (a random block, then two
     of its members), the rest across, and random pairs for what these leave open.

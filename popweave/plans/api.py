@@ -12,7 +12,7 @@ from popweave.operators import communities as com
 from popweave.operators import edges as ed
 from popweave.operators import population, targets
 from popweave.sources import tables
-from popweave.sources.scratch import stored
+from popweave.sources.scratch import scoped, stored
 
 
 @dataclass
@@ -91,6 +91,7 @@ def community_file(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.select("node_id", "group_id").join(a, "node_id")
 
 
+@scoped
 def generate(
     pops: DataFrame,
     links: DataFrame,
@@ -148,6 +149,7 @@ def generate(
     return made
 
 
+@scoped
 def generate_multiplex(pops: DataFrame, layers: dict[str, DataFrame], households: int, larger: int, scale: float = 1.0, kept_share: float = 0.3, seed: int = 42, **options) -> dict[str, Network]:
     """Layers that build on each other, in the order of ``layers``.
 

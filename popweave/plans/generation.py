@@ -11,9 +11,9 @@ from popweave.operators import edges as ed
 from popweave.operators import enrich, expand, metrics, models
 from popweave.plans import api
 from popweave.plans import fixtures as fx
-from popweave.plans.catalog import DEGREES, TARGETS, _bfs_sql, layered, pairs, query, rounded
+from popweave.plans.catalog import DEGREES, SCALE, TARGETS, _bfs_sql, layered, pairs, query, rounded
 from popweave.sources import sinks, tables
-from popweave.sources.scratch import shared_root, stored
+from popweave.sources.scratch import claim, stored
 from popweave.streaming import resume
 
 K = 7
@@ -172,6 +172,20 @@ def e10_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.edges
 
 
+@query(f"{TARGETS} SELECT src_group, dst_group, target, 0::BIGINT AS n_loops, 0::BIGINT AS n_repeats, 0::BIGINT AS n_over FROM targets WHERE target > 0")
+def e10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every pair of groups with edges or a target: its target, loops, repeated edges, and edges beyond the target."""
+    made = api.generate(fx.pop(spark, sf_dir), fx.links(spark, sf_dir), scale=SCALE, number_of_communities=5, preferential_attachment=0.5, reciprocity=0.3, transitivity=0.2, bridge_probability=0.1)
+    side = lambda end: made.nodes.select(F.col("node_id").alias(end), F.col("group_id").alias(f"{end}_group"))
+    e = made.edges.select("src", "dst").join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    distinct = e.groupBy("src_group", "dst_group", "src", "dst").agg(F.count("*").alias("n"))
+    have = distinct.groupBy("src_group", "dst_group").agg(F.sum("n").alias("n"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.sum(F.col("n") - 1).alias("repeats"))
+    both = made.targets.where("target > 0").select("src_group", "dst_group", "target").join(have, ["src_group", "dst_group"], "full_outer")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    over = F.greatest(count(F.col("n")) - count(F.col("target")), F.lit(0))
+    return both.select("src_group", "dst_group", count(F.col("target")).alias("target"), count(F.col("loops")).alias("n_loops"), count(F.col("repeats")).alias("n_repeats"), over.alias("n_over"))
+
+
 @query()
 def e10_generate_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Popularity beyond one's own community."""
@@ -600,9 +614,7 @@ def p9_parse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" SELECT user_id % 5 AS config, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s2_13_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sweep in batches, interrupted after the first and then resumed."""
-    import uuid
-
-    path = f"{shared_root(spark)}/popweave-{uuid.uuid4().hex}/sweep"
+    path = claim(spark, "sweep")
     e = fx.table(spark, sf_dir, "events").withColumn("config", F.pmod("user_id", F.lit(5)))
     configs = e.select("config").distinct()
     run = lambda c: e.join(c, "config").groupBy("config").agg(F.round(F.sum("value"), 4).alias("total"))
@@ -679,9 +691,7 @@ def n14_expand_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_root(spark)}/popweave-{uuid.uuid4().hex}/{name}"
+    return claim(spark, name)
 
 
 LAYERED = ", le AS (SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority AS network FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"

@@ -66,7 +66,7 @@ def drop(*frames: DataFrame) -> None:
 
 def scoped[**P, R](run: Callable[P, R]) -> Callable[P, R]:
     """Deletes the tables that ``run`` has made, but for those that its result (frames,
-    or tuples, lists and objects that hold them) reads; these pass to the scope around it."""
+    or tuples, lists, dicts and objects that hold them) reads; these pass to the scope around it."""
 
     @functools.wraps(run)
     def inner(*args: P.args, **kwargs: P.kwargs) -> R:
@@ -94,12 +94,14 @@ def scoped[**P, R](run: Callable[P, R]) -> Callable[P, R]:
 def _frames(out: object) -> Iterator[DataFrame]:
     if isinstance(out, DataFrame):
         yield out
+    elif isinstance(out, dict):
+        yield from _frames(list(out.values()))
     elif isinstance(out, (tuple, list)):
         for x in out:
             yield from _frames(x)
     elif hasattr(out, "__dict__"):
         for x in vars(out).values():
-            if isinstance(x, (DataFrame, tuple, list)):
+            if isinstance(x, (DataFrame, dict, tuple, list)):
                 yield from _frames(x)
 
 
