@@ -1015,14 +1015,14 @@ def m13_network_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m6_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modularity.communities(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), refine=False, tolerance=1e-3)
+    return modularity.communities(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), refine=False, tolerance=5e-3)
 
 
 def _leiden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and edges of the order priorities' networks, and Leiden communities of all of them."""
     edges = layered(spark, sf_dir)
     nodes = edges.select("network", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    return nodes, edges, modularity.optimise(nodes, edges, tolerance=1e-3)
+    return nodes, edges, modularity.optimise(nodes, edges, tolerance=5e-3)
 
 
 @query(f"""{LAYERED}, n AS (SELECT network, count(*) AS n_nodes FROM (SELECT network, src FROM le UNION SELECT network, dst FROM le) GROUP BY network),
