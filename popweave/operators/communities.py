@@ -149,8 +149,10 @@ def isolation(groups: DataFrame, targets: DataFrame, names: list[str]) -> DataFr
 
 def assign_segregated(nodes: DataFrame, groups: DataFrame, targets: DataFrame, names: list[str], k: int, threshold: float = 0.1, seed: int = 42) -> DataFrame:
     """(node_id, group_id, community): blocks of the one or two most isolated
-    characteristics get communities by population, and their people are dealt
-    out within them. Without an isolated characteristic all share one block."""
+    characteristics get communities by population, and their people fill them by head-room:
+    communities of a block differ by one person at most, and so do those of one group
+    in them (with more blocks than communities, blocks share some). Without an isolated
+    characteristic all share one block."""
     found = isolation(groups, targets, names).where(F.col("isolation") >= threshold).orderBy(F.desc("isolation"), "characteristic").limit(2).collect()
     by = [r.characteristic for r in found]
     label = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by)) if by else F.lit("all")
@@ -158,11 +160,14 @@ def assign_segregated(nodes: DataFrame, groups: DataFrame, targets: DataFrame, n
     units = proportional_at_least_one(blocks, "n", k, ["block"])
     first = F.coalesce(F.sum("units").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = units.withColumn("first", first)
-    of_group = groups.select("group_id", label.alias("block")).join(placed, "block").select("group_id", "first", "units")
+    # Groups of a block are dealt one after the other, each from where the one before it ended.
+    people = nodes.groupBy("group_id").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("block").orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)
+    of_group = groups.select("group_id", label.alias("block")).join(people, "group_id").join(placed, "block")
+    of_group = of_group.select("group_id", "first", "units", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
     placed = numbered(nodes.select("node_id", "group_id"), ["group_id"], uniform(seed, "deal", "node_id"), ["node_id"], "place")
-    start = F.floor(uniform(seed, "start", "group_id") * F.col("units"))
-    c = F.col("first") + F.pmod(F.col("place") + start, F.col("units"))
-    return placed.join(F.broadcast(of_group), "group_id").select("node_id", "group_id", F.pmod(c, F.lit(k)).cast("int").alias("community"))
+    c = F.col("first") + F.pmod(F.col("place") + F.col("start"), F.col("units"))
+    return placed.join(of_group, "group_id").select("node_id", "group_id", F.pmod(c, F.lit(k)).cast("int").alias("community"))
 
 
 def separated_groups(pairs: DataFrame, k: int) -> list[int]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions.rng import pick, uniform
 from popweave.operators.communities import coordinates
-from popweave.operators.sampling import numbered, smallest
+from popweave.operators.sampling import drawn, numbered, ranges, smallest
 from popweave.sources.scratch import scoped, stored
 
 EDGE = ("src", "dst", "src_group", "dst_group", "mechanism", "phase", "round")
@@ -94,28 +94,81 @@ def begin(w: World, edges: DataFrame) -> Grown:
     return g
 
 
-def accept(candidates: DataFrame, grown: Grown, share: float = 1.0) -> DataFrame:
-    """Of the candidates (an edge with u and mechanism) those that may join: new, no
-    loop, and within ``share`` of the pair's need (rounded up)."""
+def _fresh(candidates: DataFrame, grown: Grown, *also: str) -> DataFrame:
+    """Of the candidates (an edge with u and mechanism, and the columns ``also``) those that
+    are no loop, new, and of a pair with a need; each edge once, with the need."""
     c = candidates.where("src <> dst").join(grown.need, ["src_group", "dst_group"])
-    c = c.groupBy("src", "dst").agg(F.min(F.struct("u", "src_group", "dst_group", "need", "mechanism")).alias("b")).select("src", "dst", "b.*")
-    c = stored(c, "candidates")
+    best = F.min(F.struct("u", "src_group", "dst_group", "need", "mechanism", *also))
+    c = stored(c.groupBy("src", "dst").agg(best.alias("b")).select("src", "dst", "b.*"), "candidates")
     # Edges look for candidates, which are few, and only those found are taken off.
     known = grown.edges.select("src", "dst").join(c.select("src", "dst"), ["src", "dst"], "left_semi")
-    c = c.join(known, ["src", "dst"], "left_anti")
-    ranked = numbered(c, ["src_group", "dst_group"], F.col("u"), ["src", "dst"], "r", 256)
+    return c.join(known, ["src", "dst"], "left_anti")
+
+
+def accept(candidates: DataFrame, grown: Grown, share: float = 1.0) -> DataFrame:
+    """Of the candidates those that may join: new, no loop, and within ``share`` of the pair's need (rounded up)."""
+    ranked = numbered(_fresh(candidates, grown), ["src_group", "dst_group"], F.col("u"), ["src", "dst"], "r", 256)
     return ranked.where(F.col("r") < F.ceil(F.col("need") * share)).select(*CANDIDATE)
 
 
+def quota(left: int, shared: int, share: float) -> int:
+    """What one of ``shared`` communities may take of what is left, at least one edge."""
+    return max(-int(-left * share // shared), 1)
+
+
+def quota_ledger(offers: DataFrame, share: float = 1.0) -> DataFrame:
+    """(src_group, dst_group, place, quota) of a pass, from (src_group, dst_group, need, shared,
+    place, offered): how many edges each community offers to a pair of groups.
+
+    Communities come in the order of their places. One may take ceil(share * left / shared),
+    ``shared`` being the pair's communities and ``left`` what the pair needs after those before it;
+    what they couldn't take raises the quotas of those after them. The order is inherent, so a
+    pair's ledger is one task's: a row for each community of the pair, never for each edge.
+    """
+
+    def settle(rows):
+        rows = rows.sort_values("place")
+        left, shared = int(rows["need"].iloc[0]), int(rows["shared"].iloc[0])
+        quotas = []
+        for offered in rows["offered"].tolist():
+            quotas.append(min(quota(left, shared, share), left))
+            left -= min(quotas[-1], offered)
+        return rows[["src_group", "dst_group", "place"]].assign(quota=quotas)
+
+    types = dict(offers.select("src_group", "dst_group").dtypes)
+    schema = f"src_group {types['src_group']}, dst_group {types['dst_group']}, place long, quota long"
+    columns = offers.select("src_group", "dst_group", "need", "shared", F.col("place").cast("long").alias("place"), "offered")
+    return columns.groupBy("src_group", "dst_group").applyInPandas(settle, schema)
+
+
+def accept_by_quota(candidates: DataFrame, grown: Grown, share: float = 1.0) -> DataFrame:
+    """Like :func:`accept` for candidates with (place, shared) of their community: none
+    exceeds its quota of the pass."""
+    c = stored(_fresh(candidates, grown, "place", "shared"), "fresh")
+    offers = c.groupBy("src_group", "dst_group", "place").agg(F.first("need").alias("need"), F.first("shared").alias("shared"), F.count("*").alias("offered"))
+    ledger = quota_ledger(offers, share)
+    ranked = numbered(c, ["src_group", "dst_group", "place"], F.col("u"), ["src", "dst"], "r", 16)
+    return ranked.join(ledger, ["src_group", "dst_group", "place"]).where("r < quota").select(*CANDIDATE)
+
+
 #: Columns of a candidate.
 CANDIDATE = ("src", "dst", "src_group", "dst_group", "u", "mechanism")
 
+#: Attempts that one row of a strip makes.
+STRIP = 16_384
+
 
-def _attempts(need: DataFrame, seed: int, stream: str) -> DataFrame:
-    n = F.ceil(F.col("need") * 1.5).cast("long") + 2
-    a = need.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), n)))
-    key = ["src_group", "dst_group", "j"]
-    return a.select(*key, *(uniform(seed, f"{stream}/{x}", *key).alias(x) for x in ("us", "ud", "ub", "u")))
+def _attempts(rows: DataFrame, n: Column, seed: int, stream: str, *also: str) -> DataFrame:
+    """``n`` rows for each pair of groups (and of ``also``), numbered by j from 1, with their random
+    numbers. Strips are dealt to all tasks, so no task makes all attempts of a pair."""
+    key = ["src_group", "dst_group", *also, "j"]
+    strips = rows.withColumn("_n", n.cast("long")).where("_n > 0")
+    strips = strips.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / STRIP))))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strips = strips.repartition(tasks, "src_group", "dst_group", *also, "_s")
+    first, last = F.col("_s") * STRIP + 1, F.least((F.col("_s") + 1) * STRIP, F.col("_n"))
+    a = strips.withColumn("j", F.explode(F.sequence(first, last))).drop("_n", "_s")
+    return a.withColumns({x: uniform(seed, f"{stream}/{x}", *key) for x in ("us", "ud", "ub", "u")})
 
 
 def _member(rows: DataFrame, w: World, node: str, group: str, index: str, community: str | None = None) -> DataFrame:
@@ -153,47 +206,65 @@ def ring_slot(slot: Column, center: Column, n: Column) -> Column:
     return F.pmod(F.when(k % 2 == 0, center + step).otherwise(center - step - 1), n).cast("long")
 
 
-def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float = 0.0, bridge: float = 0.0, pool: DataFrame | None = None) -> DataFrame:
+#: Attempts of a pair in a round that fills it, at least.
+FILL_BATCH = 512
+
+
+def shared_weights(w: World) -> DataFrame:
+    """Ranges of the communities that a pair of groups shares, as wide as their pairs of people (see :func:`sampling.ranges`)."""
+    dst = w.comp.select("community", F.col("group_id").alias("dst_group"), F.col("k").alias("kd"))
+    both = w.shared.select("src_group", "dst_group", "community", "ks").join(dst, ["community", "dst_group"])
+    return ranges(both, ["src_group", "dst_group"], F.col("ks") * F.col("kd"), "community")
+
+
+def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float = 0.0, bridge: float = 0.0, pool: DataFrame | None = None, share: float = 1.0) -> DataFrame:
     """Candidates of the primary mechanism.
 
     community: source and destination in a community that has both groups, the
     destination's moved to a neighbour with probability ``bridge``, and picked
     from its popular members; ring: the communities with the destination group that
-    are nearest to the source's on the ring; own: the source's community; any: the whole groups.
+    are nearest to the source's on the ring; shared: one of the communities with both groups, by the
+    number of its pairs of people; any: the whole groups. Those of "community" also have the
+    (place, shared) of their community in the pass's order, which takes ``share`` of the need.
     """
-    a = _attempts(need, w.seed, f"{mode}/{round_}")
+    stream = f"{mode}/{round_}"
+    n = F.greatest(4 * F.col("need"), F.lit(FILL_BATCH)) if mode in ("shared", "any") else F.ceil(F.col("need") * 1.5) + 2
+    if mode != "community":
+        a = _attempts(need, n, w.seed, stream).drop("need")
     fraction = 1.0 - attachment
     if mode == "any":
         for side, group, u in (("src", "src_group", "us"), ("dst", "dst_group", "ud")):
             a = a.join(w.sizes.select(F.col("group_id").alias(group), F.col("k").alias("k")), group).withColumn("i", pick(F.col(u), F.col("k"))).drop("k")
             a = _member(a, w, side, group, "i").drop("i")
         return a.withColumn("mechanism", F.lit("primary")).select(*CANDIDATE)
+    if mode == "shared":
+        a = drawn(a, shared_weights(w), ["src_group", "dst_group"], F.col("ub"))
+        for side, group, u, k in (("src", "src_group", "us", "ks"), ("dst", "dst_group", "ud", "kd")):
+            a = _member(a.withColumn("i", pick(F.col(u), F.col(k))), w, side, group, "i", "community").drop("i")
+        return a.withColumn("mechanism", F.lit("primary")).select(*CANDIDATE)
     if mode == "community":
-        # Communities by turns, from another one on in each round.
-        first = w.shared.where("turn = 0").select("src_group", "dst_group", "shared")
-        a = a.join(first, ["src_group", "dst_group"]).withColumn("turn", F.pmod(F.col("j") + 7919 * round_, F.col("shared"))).drop("shared")
-        a = a.join(w.shared.drop("shared"), ["src_group", "dst_group", "turn"]).withColumn("i", pick(F.col("us"), F.col("ks")))
+        # Communities in an order of the pair's own, from another one on in each round; those
+        # that a small need can't reach aren't asked.
+        asked = need.join(w.shared, ["src_group", "dst_group"]).withColumn("place", F.pmod(F.col("turn") - 7919 * round_, F.col("shared")))
+        asked = asked.where(F.col("place") < 2 * F.col("need") + 8)
+        most = F.greatest(F.ceil(F.col("need") * share / F.col("shared")), F.lit(1))
+        a = _attempts(asked, F.least(3 * most, F.ceil(1.5 * most) + 2), w.seed, stream, "community")
+        a = a.drop("need").withColumn("i", pick(F.col("us"), F.col("ks")))
         a = _member(a, w, "src", "src_group", "i", "community").drop("i", "ks", "turn")
         step = F.when(F.col("ub") < bridge / 2, -1).when(F.col("ub") < bridge, 1).otherwise(0)
         a = a.withColumn("there", F.pmod(F.col("community") + step, F.lit(w.communities)).cast("int"))
     else:
         sizes = w.sizes.select(F.col("group_id").alias("src_group"), "k")
         a = a.join(sizes, "src_group")
-        if mode == "ring":
-            # Sources by turns: each tries its nearest communities in the order of their slots.
-            a = a.withColumns({"i": F.pmod(F.col("j") - 1 + 7919 * round_, F.col("k")), "slot": F.expr("(j - 1) div k")})
-        else:
-            a = a.withColumn("i", pick(F.col("us"), F.col("k")))
+        # Sources by turns: each tries its nearest communities in the order of their slots.
+        a = a.withColumns({"i": F.pmod(F.col("j") - 1 + 7919 * round_, F.col("k")), "slot": F.expr("(j - 1) div k")})
         m = w.members.select(F.col("node_id").alias("src"), F.col("group_id").alias("src_group"), F.col("gidx").alias("i"), "community")
         a = a.drop("k").join(m, ["src_group", "i"]).drop("i")
-        there = F.col("community")
-        if mode == "ring":
-            places = ring_places(w.comp, w.theta)
-            asked = w.comp.select("community", F.col("group_id").alias("src_group")).join(need.select("src_group", "dst_group"), "src_group").select("community", "dst_group").distinct()
-            starts = stored(ring_starts(places, asked, w.theta), "starts")
-            a = a.join(starts, ["community", "dst_group"]).withColumn("place", ring_slot(F.col("slot"), F.col("center"), F.col("n")))
-            a = a.drop("community").join(places.select(F.col("group_id").alias("dst_group"), "place", "community"), ["dst_group", "place"])
-        a = a.withColumn("there", there)
+        places = ring_places(w.comp, w.theta)
+        asked = w.comp.select("community", F.col("group_id").alias("src_group")).join(need.select("src_group", "dst_group"), "src_group").select("community", "dst_group").distinct()
+        starts = stored(ring_starts(places, asked, w.theta), "starts")
+        a = a.join(starts, ["community", "dst_group"]).withColumn("place", ring_slot(F.col("slot"), F.col("center"), F.col("n")))
+        a = a.drop("community").join(places.select(F.col("group_id").alias("dst_group"), "place", F.col("community").alias("there")), ["dst_group", "place"])
     k = w.comp.select(F.col("community").alias("there"), F.col("group_id").alias("dst_group"), F.col("k").alias("kd"))
     # The pool of popular members: a share of the group, and everyone again for each edge that they drew.
     first = F.greatest(F.ceil(F.lit(fraction) * F.col("kd")), F.lit(1)).cast("long") if mode == "community" else F.col("kd")
@@ -202,10 +273,11 @@ def propose(w: World, need: DataFrame, mode: str, round_: int, attachment: float
     if pool is not None and mode == "community":
         later = pool.join(k, ["there", "dst_group"]).select("there", "dst_group", (F.col("p") + F.col("size")).alias("p"), "dst")
         entries = entries.join(k, ["there", "dst_group"]).where("p < size").drop("size").unionByName(later)
-        drawn = pool.groupBy("there", "dst_group").agg(F.count("*").alias("drawn"))
-        k = k.join(drawn, ["there", "dst_group"], "left").select("there", "dst_group", (F.col("size") + F.coalesce("drawn", F.lit(0))).alias("size"))
+        pushed = pool.groupBy("there", "dst_group").agg(F.count("*").alias("pushed"))
+        k = k.join(pushed, ["there", "dst_group"], "left").select("there", "dst_group", (F.col("size") + F.coalesce("pushed", F.lit(0))).alias("size"))
     a = a.join(k, ["there", "dst_group"]).withColumn("p", pick(F.col("ud"), F.col("size")))
-    return a.join(entries, ["there", "dst_group", "p"]).select(*(F.lit("primary").alias(c) if c == "mechanism" else F.col(c) for c in CANDIDATE))
+    also = ("place", "shared") if mode == "community" else ()
+    return a.join(entries, ["there", "dst_group", "p"]).withColumn("mechanism", F.lit("primary")).select(*CANDIDATE, *also)
 
 
 def popularity(w: World, edges: DataFrame, fraction: float, scope: str = "local") -> DataFrame:
@@ -271,28 +343,51 @@ def grow(
     g = begin(w, edges)
     turning: DataFrame | None = None
     for phase, mode, rounds in schedule:
+        asking = g.need
         for r in range(rounds + 3 if derived and phase == "A" else rounds):
-            if g.need.isEmpty():
+            if asking.isEmpty():
                 break
             # Where edges lead to others, a round takes part of the need, so that these find room.
-            share = 0.35 if derived and phase == "A" else 1.0
+            share = 0.35 if derived and phase == "A" else 1 / (1 + reciprocity) if phase == "fill" and r == 0 else 1.0
             pool = stored(popularity(w, g.edges, fraction, scope), "pool") if mode == "community" and attachment > 0 else None
-            new = stored(accept(propose(w, g.need, mode, r, attachment, bridge, pool), g, share), "accepted")
+            found = propose(w, asking, mode, r, attachment, bridge, pool, share)
+            new = stored(accept_by_quota(found, g, share) if mode == "community" else accept(found, g, share), "accepted")
             if new.isEmpty():
                 break
             before = g.edges
             g.add(tagged(new, phase, r))
             # One step for all derived edges; those back along closing edges come a round later.
             extra = [reciprocal(x, reciprocity, w.seed) for x in (new, turning) if x is not None] if reciprocity > 0 else []
-            extra += [closing(w, new, before, *closure)] if max(closure) > 0 else []
+            extra += [closing(w, new, before, *closure)] if max(closure) > 0 and phase != "fill" else []
+            turning = None
             if extra:
                 more = stored(accept(reduce(DataFrame.unionByName, extra), g), "derived")
                 turning = more.where("mechanism = 'closing'")
                 g.add(tagged(more, phase, r))
             g.settle()
+            asking = g.need
+            if phase == "fill":
+                # A pair leaves the stage when a round adds nothing to it.
+                asking = asking.join(new.select("src_group", "dst_group").distinct(), ["src_group", "dst_group"], "left_semi")
     return stored(g.edges, "edges")
 
 
+#: Stages that fill pairs under their target: communities that both groups share, then whole groups.
+FILL = (("fill", "shared", 10), ("fill", "any", 10))
+
+
+def fill_statistics(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row on the fill: total_pairs; fulfilled_pairs and unfulfilled_pairs before it (of
+    those with a target); edges_added, those back within a group included; reciprocal_edges_added."""
+    pair = ["src_group", "dst_group"]
+    before = edges.where("phase <> 'fill'").groupBy(*pair).agg(F.count("*").alias("have"))
+    t = targets.select(*pair, "target").join(before, pair, "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    t = t.agg(F.count("*").alias("total_pairs"), F.count_if(F.expr("target > 0 AND have >= target")).alias("fulfilled_pairs"), F.count_if(F.expr("have < target")).alias("unfulfilled_pairs"))
+    back = F.col("mechanism") == "reciprocal"
+    added = edges.where("phase = 'fill'").agg(F.count_if(~back | (F.col("src_group") == F.col("dst_group"))).alias("edges_added"), F.count_if(back).alias("reciprocal_edges_added"))
+    return t.crossJoin(added)
+
+
 def no_edges(like: World) -> DataFrame:
     return like.members.sparkSession.createDataFrame([], "src long, dst long, src_group int, dst_group int, mechanism string, phase string, round int")
 

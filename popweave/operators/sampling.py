@@ -36,7 +36,7 @@ def numbered(rows: DataFrame, by: Sequence[str], u: Column, ties: Sequence[str],
     n = r.groupBy(*by, "_b").agg(F.count("*").alias("_k"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
-    names = {c: f"_{c}" for c in by}
+    names = {c: f"_by_{c}" for c in by}
     n = n.select(*(F.col(c).alias(names[c]) for c in by), F.col("_b").alias("__b"), "_before")
     match = F.col("_b") == F.col("__b")
     for c in by:
@@ -44,3 +44,25 @@ def numbered(rows: DataFrame, by: Sequence[str], u: Column, ties: Sequence[str],
     place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_u", *ties)) - 1
     placed = r.withColumn("_place", place).join(n, match)
     return placed.withColumn(out, (F.col("_place") + F.col("_before")).cast("long")).drop("_u", "_b", "__b", "_place", "_before", *names.values())
+
+
+def ranges(rows: DataFrame, by: Sequence[str], weight: Column, order: str) -> DataFrame:
+    """Rows with the range [low, high) that their weight (a long) takes of their group's total, once
+    for each ``_bucket`` that it touches. Buckets are as many as the group's rows, and equally wide.
+
+    The windows run over a group's rows, which should be those of a stated table (communities)."""
+    w = Window.partitionBy(*by)
+    r = rows.withColumn("_w", weight.cast("long")).where("_w > 0")
+    r = r.withColumns({"high": F.sum("_w").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "total": F.sum("_w").over(w), "_n": F.count("*").over(w)})
+    r = r.withColumns({"low": F.col("high") - F.col("_w"), "_width": F.expr("(total + _n - 1) div _n")})
+    return r.withColumn("_bucket", F.explode(F.expr("sequence(low div _width, (high - 1) div _width)"))).drop("_w", "_n")
+
+
+def drawn(rows: DataFrame, ranged: DataFrame, by: Sequence[str], u: Column) -> DataFrame:
+    """Each row with the one of :func:`ranges` that ``u`` in [0, 1) falls on: by its weight's share.
+
+    The range join is an equi-join on the bucket, in which two ranges are looked at on average."""
+    totals = ranged.select(*by, "total", "_width").distinct()
+    r = rows.join(totals, list(by)).withColumn("_x", F.floor(u * F.col("total"))).withColumn("_bucket", F.expr("_x div _width"))
+    found = r.drop("total", "_width").join(ranged, [*by, "_bucket"]).where("_x >= low AND _x < high")
+    return found.drop("_x", "_bucket", "_width", "low", "high", "total")

@@ -27,6 +27,9 @@ class Network:
     def check_group_interactions(self) -> DataFrame:
         return targets.check_group_interactions(self.edges, self.nodes, self.targets)
 
+    def fill_statistics(self) -> DataFrame:
+        return ed.fill_statistics(self.targets, self.edges)
+
     def write(self, path: str) -> None:
         """Parquet folders nodes, edges, groups and targets, and metadata (JSON) under ``path``."""
         for name in ("nodes", "edges", "groups", "targets"):
@@ -141,7 +144,7 @@ def generate(
     closure = (transitivity if internal_transitivity is None else internal_transitivity, transitivity if external_transitivity is None else external_transitivity)
     schedule = [("A", "community", 3)] + ([("B", "ring", 3)] if w.communities > 1 else [])
     if fill_unfulfilled:
-        schedule += [("fill", "own", 3), ("fill", "any", 10)]
+        schedule += ed.FILL
     edges = ed.grow(w, stored(start, "edges"), schedule, preferential_attachment, reciprocity, closure, bridge_probability, pa_scope)
     made = Network(nodes.join(a.select("node_id", "community"), "node_id"), edges, g, t)
     if base_path is not None:
@@ -149,6 +152,17 @@ def generate(
     return made
 
 
+@scoped
+def fill_unfulfilled_group_pairs(net: Network, reciprocity: float = 0.0, seed: int = 42) -> Network:
+    """The graph with pairs of groups under their target filled: from communities that both groups
+    share, by their pairs of people, then from the whole groups. See ``fill_statistics`` of the result,
+    whose edges of this phase are new (edges that the graph had are of the phase "before")."""
+    w = ed.world(net.nodes, net.targets, seed)
+    before = net.edges.select(*ed.EDGE).withColumn("phase", F.when(F.col("phase") == "fill", "before").otherwise(F.col("phase")))
+    edges = ed.grow(w, stored(before, "edges"), list(ed.FILL), 0.0, reciprocity, (0.0, 0.0), 0.0)
+    return Network(net.nodes, edges, net.groups, net.targets)
+
+
 @scoped
 def generate_multiplex(pops: DataFrame, layers: dict[str, DataFrame], households: int, larger: int, scale: float = 1.0, kept_share: float = 0.3, seed: int = 42, **options) -> dict[str, Network]:
     """Layers that build on each other, in the order of ``layers``.

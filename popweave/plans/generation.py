@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.functions.rng import uniform_sql
+from popweave.functions.rng import uniform, uniform_sql
 from popweave.operators import communities as com
 from popweave.operators import edges as ed
 from popweave.operators import enrich, expand, metrics, models
+from popweave.operators.sampling import drawn
 from popweave.plans import api
 from popweave.plans import fixtures as fx
 from popweave.plans.catalog import DEGREES, SCALE, TARGETS, _bfs_sql, layered, pairs, query, rounded
@@ -116,8 +117,9 @@ ISOLATION = f"{TARGETS}, g AS (SELECT group_id, 'seg' AS c, seg AS v, n FROM fx_
 @query(
     f"{ISOLATION}, lab AS (SELECT group_id, n, CASE WHEN (SELECT c FROM iso ORDER BY isolation DESC, c LIMIT 1) = 'seg' THEN seg || '|' || reg ELSE reg || '|' || seg END AS block FROM fx_groups), bl AS (SELECT block, sum(n) AS n FROM lab GROUP BY block),"
     f" ex AS (SELECT block, n / sum(n) OVER () * {K} AS exact FROM bl), un AS (SELECT block, exact, greatest(floor(exact), 1)::BIGINT AS k FROM ex), un2 AS (SELECT block, k + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, block) <= {K} - sum(k) OVER () THEN 1 ELSE 0 END AS units FROM un),"
-    f" pl AS (SELECT block, units, coalesce(sum(units) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM un2), place AS (SELECT node_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {DEAL}, node_id) - 1 AS place FROM fx_gnodes)"
-    f" SELECT node_id, group_id, ((first + (place + floor({uniform_sql(42, 'start', 'group_id')} * units)::BIGINT) % units) % {K})::INT AS community FROM place JOIN lab USING (group_id) JOIN pl USING (block)"
+    f" pl AS (SELECT block, units, coalesce(sum(units) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM un2), place AS (SELECT node_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY {DEAL}, node_id) - 1 AS place FROM fx_gnodes),"
+    " st AS (SELECT group_id, coalesce(sum(n) OVER (PARTITION BY block ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lab)"
+    f" SELECT node_id, group_id, ((first + (place + start) % units) % {K})::INT AS community FROM place JOIN lab USING (group_id) JOIN st USING (group_id) JOIN pl USING (block)"
 )
 def c9_assign_segregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return com.assign_segregated(fx.grouped_nodes(spark, sf_dir), fx.groups(spark, sf_dir), link_targets(spark, sf_dir), ["seg", "reg"], K, threshold=-1.0)
@@ -166,6 +168,43 @@ def e8_complete_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.complete_communities(com.assign_natural(n, max(n.count() // 4, 1)))
 
 
+TURNS = f""", sh AS (SELECT src_group, dst_group, target, a.community, a.n AS ks, b.n AS kd, count(*) OVER (PARTITION BY src_group, dst_group) AS shared,
+  row_number() OVER (PARTITION BY src_group, dst_group ORDER BY {uniform_sql(42, "turn", "src_group", "dst_group", "a.community")}, a.community) - 1 AS place
+  FROM targets JOIN comp a ON a.group_id = src_group JOIN comp b ON b.group_id = dst_group AND a.community = b.community WHERE target > 0)"""
+
+
+@query(
+    f"{ASSIGN}{TARGETS}{TURNS}, o AS (SELECT a.group_id AS src_group, b.group_id AS dst_group, a.community, count(*) AS offered FROM fx_edges JOIN assignment a ON a.node_id = src JOIN assignment b ON b.node_id = dst AND a.community = b.community GROUP BY ALL),"
+    " f AS (SELECT sh.*, offered, row_number() OVER (PARTITION BY src_group, dst_group ORDER BY place) AS i FROM sh JOIN o USING (src_group, dst_group, community)),"
+    " led AS (SELECT src_group, dst_group, place, i, target - least((target + shared - 1) // shared, offered) AS remaining, (target + shared - 1) // shared AS quota FROM f WHERE i = 1"
+    " UNION ALL SELECT f.src_group, f.dst_group, f.place, f.i, remaining - least(greatest((remaining + shared - 1) // shared, 1), remaining, offered), least(greatest((remaining + shared - 1) // shared, 1), remaining) FROM led JOIN f ON f.src_group = led.src_group AND f.dst_group = led.dst_group AND f.i = led.i + 1)"
+    " SELECT src_group, dst_group, place::BIGINT AS place, quota::BIGINT AS quota FROM led"
+)
+def e1_quota_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass's quotas where each community offers the given edges that lie in it."""
+    a = assignment(spark, sf_dir)
+    w = ed.world(a, link_targets(spark, sf_dir))
+    side = lambda end: a.select(F.col("node_id").alias(end), F.col("group_id").alias(f"{end}_group"), "community")
+    inside = fx.edges(spark, sf_dir).join(side("src"), "src").join(side("dst"), ["dst", "community"])
+    offered = inside.groupBy("src_group", "dst_group", "community").agg(F.count("*").alias("offered"))
+    need = w.targets.select("src_group", "dst_group", F.col("target").alias("need"))
+    offers = w.shared.join(offered, ["src_group", "dst_group", "community"]).join(need, ["src_group", "dst_group"])
+    return ed.quota_ledger(offers.withColumnRenamed("turn", "place"))
+
+
+@query(
+    f"{ASSIGN}{TARGETS}{TURNS}, r AS (SELECT *, sum(ks * kd) OVER w AS high, sum(ks * kd) OVER (PARTITION BY src_group, dst_group) AS total FROM sh WINDOW w AS (PARTITION BY src_group, dst_group ORDER BY community ROWS UNBOUNDED PRECEDING)),"
+    f" d AS (SELECT src_group, dst_group, unnest(range(1, target + 1)) AS j FROM targets WHERE target > 0), x AS (SELECT *, {uniform_sql(42, 'shared', 'src_group', 'dst_group', 'j')} AS x FROM d)"
+    " SELECT src_group, dst_group, j::BIGINT AS j, community FROM x JOIN r USING (src_group, dst_group) WHERE floor(x * total) >= high - ks * kd AND floor(x * total) < high"
+)
+def e9_shared_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A community for each edge that a pair of groups needs, by the pairs of people in those that it shares."""
+    w = ed.world(assignment(spark, sf_dir), link_targets(spark, sf_dir))
+    need = w.targets.where("target > 0").select("src_group", "dst_group", F.explode(F.sequence(F.lit(1).cast("long"), "target")).alias("j"))
+    u = uniform(42, "shared", "src_group", "dst_group", "j")
+    return drawn(need, ed.shared_weights(w), ["src_group", "dst_group"], u).select("src_group", "dst_group", "j", "community")
+
+
 @query()
 def e10_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = api.generate(fx.pop(spark, sf_dir), fx.links(spark, sf_dir), scale=0.3, number_of_communities=5, preferential_attachment=0.5, reciprocity=0.3, transitivity=0.2, bridge_probability=0.1)

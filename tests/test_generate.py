@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from popweave.operators import communities as com
 from popweave.operators import contagion, metrics, models
 from popweave.operators import edges as ed
+from popweave.operators.sampling import drawn, ranges
 from popweave.operators.targets import fulfilment
 from popweave.plans import api
 
@@ -152,3 +153,95 @@ def test_ring_candidates_fall_on_members(spark):
     assert Counter((x.src_group, x.dst_group) for x in c) == {(0, 3): 92, (1, 2): 752, (3, 0): 62}
     # Each source of a round is tried before any is tried again.
     assert max(Counter(x.src for x in c if x.src_group == 1).values()) == -(-752 // sum(g == 1 for g in group.values()))
+
+
+def test_quota_ledger_is_the_sequential_rule(spark):
+    r = random.Random(5)
+    offers, want = [], {}
+    for pair in range(40):
+        need, shared = r.randint(1, 400), r.randint(1, 30)
+        left = need
+        for place in r.sample(range(shared), r.randint(1, shared)) if pair % 2 else range(shared):
+            offers.append((pair, 0, need, shared, place, r.randint(1, 40)))
+        for row in sorted(x for x in offers if x[0] == pair):
+            quota = min(max(-(-left // shared), 1), left)
+            want[pair, row[4]] = quota
+            left -= min(quota, row[5])
+    r.shuffle(offers)
+    df = spark.createDataFrame(offers, "src_group int, dst_group int, need long, shared long, place long, offered long")
+    assert {(x.src_group, x.place): x.quota for x in ed.quota_ledger(df).collect()} == want
+
+
+@pytest.mark.parametrize("share", [1.0, 0.35])
+def test_a_pass_keeps_every_quota(spark, share):
+    """Communities of very different sizes: none takes more than its ceil(need / communities)."""
+    people = [(k, k % 2, min(k % 37, k % 11)) for k in range(900)]
+    targets = [(0, 1, 700), (1, 0, 3), (0, 0, 95)]
+    w = ed.world(spark.createDataFrame(people, "node_id long, group_id int, community int"), spark.createDataFrame(targets, "src_group int, dst_group int, target long"))
+    g = ed.begin(w, ed.no_edges(w))
+    found = ed.propose(w, g.need, "community", 0, share=share)
+    made = [(x.src, x.dst) for x in ed.accept_by_quota(found, g, share).collect()]
+    home, group = {n: c for n, _, c in people}, {n: x for n, x, _ in people}
+    assert len(made) == len(set(made)) and all(s != d and home[s] == home[d] for s, d in made)
+    taken = Counter((group[s], group[d], home[s]) for s, d in made)
+    for a, b, target in targets:
+        n = sum({a, b} <= {group[k] for k in home if home[k] == c} for c in set(home.values()))
+        quotas = [v for (x, y, _), v in taken.items() if (x, y) == (a, b)]
+        assert 0 < sum(quotas) <= target and max(quotas) <= max(-(-target * share // n), 1)
+
+
+def test_strips_number_every_attempt_once(spark, monkeypatch):
+    monkeypatch.setattr(ed, "STRIP", 7)
+    need = spark.createDataFrame([(0, 1, 50), (1, 1, 7), (2, 0, 0), (2, 1, 1)], "src_group int, dst_group int, need long")
+    got = Counter((x.src_group, x.dst_group) for x in ed._attempts(need, F.col("need"), 1, "s").select("src_group", "dst_group", "j").distinct().collect())
+    assert got == {(0, 1): 50, (1, 1): 7, (2, 1): 1}
+
+
+def test_weighted_draws_follow_their_weights(spark):
+    weights = {("a", k): w for k, w in enumerate([1, 5000, 3, 0, 1000, 10, 4000])} | {("b", 0): 1}
+    rows = spark.createDataFrame([(g, k, w) for (g, k), w in weights.items()], "g string, k int, w long")
+    draws = spark.range(20_000).select(F.lit("a").alias("g"), ((F.col("id") + 0.5) / 20_000).alias("u"))
+    draws = draws.union(spark.createDataFrame([("b", 0.0), ("b", 0.999999)], "g string, u double"))
+    got = Counter((x.g, x.k) for x in drawn(draws, ranges(rows, ["g"], F.col("w"), "k"), ["g"], F.col("u")).collect())
+    assert sum(got.values()) == 20_002 and got["b", 0] == 2 and got["a", 3] == 0
+    assert all(abs(got["a", k] - 20_000 * w / 10_014) <= 1.5 for (g, k), w in weights.items() if g == "a")
+
+
+def test_fill_counts_and_prefers_shared_communities(spark, tables):
+    made = api.generate(*tables, number_of_communities=5, fill_unfulfilled=False)
+    # Half of the edges go, so that there is something to fill, and one pair can't ever be.
+    made.edges = made.edges.where("(src + dst) % 2 = 0")
+    made.targets = made.targets.union(spark.createDataFrame([(2, 0, 40 * 60 + 7)], made.targets.schema))
+    full = api.fill_unfulfilled_group_pairs(made, reciprocity=0.5)
+    pairs = {(r.src_group, r.dst_group): r.target for r in made.targets.collect()}
+    count = lambda e: Counter((r.src_group, r.dst_group) for r in e.collect())
+    before, after = count(made.edges), count(full.edges)
+    added = full.edges.where("phase = 'fill'")
+    back = added.where("mechanism = 'reciprocal'")
+    want = {
+        "total_pairs": len(pairs),
+        "fulfilled_pairs": sum(t > 0 and before[p] >= t for p, t in pairs.items()),
+        "unfulfilled_pairs": sum(before[p] < t for p, t in pairs.items()),
+        "edges_added": added.count() - back.where("src_group <> dst_group").count(),
+        "reciprocal_edges_added": back.count(),
+    }
+    assert full.fill_statistics().first().asDict() == want and back.count() > 0
+    assert all(after[p] == t for p, t in pairs.items() if p != (2, 0)) and 2300 < after[2, 0] <= 40 * 60
+    assert full.edges.select("src", "dst").distinct().count() == full.edges.count() and full.edges.where("src = dst").count() == 0
+    home = {r.node_id: r.community for r in made.nodes.collect()}
+    small = added.where("src_group = 0 AND dst_group = 0 AND mechanism = 'primary'").collect()
+    assert small and all(home[r.src] == home[r.dst] for r in small)
+
+
+def test_segregated_communities_fill_evenly(spark):
+    people = [("x", "p", 61), ("x", "q", 8), ("y", "p", 33), ("y", "q", 5), ("z", "p", 1)]
+    g, nodes = api.people(spark.createDataFrame(people, "a string, b string, n long"))
+    ids = {(r.a, r.b): r.group_id for r in g.collect()}
+    t = spark.createDataFrame([(i, j, 50 if x[0] == y[0] else 1) for x, i in ids.items() for y, j in ids.items()], "src_group int, dst_group int, target long")
+    a = com.assign_segregated(nodes, g, t, ["a"], 9).collect()
+    block = {i: x[0] for x, i in ids.items()}
+    sizes = Counter((block[r.group_id], r.community) for r in a)
+    assert len(a) == 108 and len({c for _, c in sizes}) == len(sizes) == 9
+    for b in "xyz":
+        own = [n for (x, _), n in sizes.items() if x == b]
+        assert max(own) - min(own) <= 1
