@@ -121,18 +121,21 @@ def quota_ledger(offers: DataFrame, share: float = 1.0) -> DataFrame:
     place, offered): how many edges each community offers to a pair of groups.
 
     Communities come in the order of their places. One may take ceil(share * left / shared),
-    ``shared`` being the pair's communities and ``left`` what the pair needs after those before it;
-    what they couldn't take raises the quotas of those after them. The order is inherent, so a
+    ``shared`` being the pair's communities and ``left`` what the pair needs after those before it,
+    until the pass has ceil(share * need); what they couldn't take raises the quotas of those
+    after them. The order is inherent, so a
     pair's ledger is one task's: a row for each community of the pair, never for each edge.
     """
 
     def settle(rows):
         rows = rows.sort_values("place")
         left, shared = int(rows["need"].iloc[0]), int(rows["shared"].iloc[0])
+        budget = -int(-left * share // 1)
         quotas = []
         for offered in rows["offered"].tolist():
-            quotas.append(min(quota(left, shared, share), left))
-            left -= min(quotas[-1], offered)
+            quotas.append(min(quota(left, shared, share), budget))
+            taken = min(quotas[-1], offered)
+            left, budget = left - taken, budget - taken
         return rows[["src_group", "dst_group", "place"]].assign(quota=quotas)
 
     types = dict(offers.select("src_group", "dst_group").dtypes)

@@ -218,22 +218,38 @@ def pairwise_t(runs: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("p_bonferroni", F.least(F.col("p") * F.count("*").over(Window.partitionBy()), F.lit(1.0)))
 
 
+def _pieces(rows: DataFrame, value: str, n: int = 256) -> Column:
+    """The piece of the values' order that a row is in: ``n`` about equal ones, cut at stated numbers."""
+    cuts = sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], 0.001)))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(value).cast("double")))
+
+
 def mann_whitney(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """Every pair of groups: U of the first, rank-biserial correlation, and p by
-    the normal approximation with ties and continuity corrected."""
+    """Every pair of groups: U of the first, rank-biserial correlation, z by the normal
+    approximation with ties and continuity corrected, and p: exact where one group has at
+    most dist.EXACT_BELOW values and none is tied, else of z.
+
+    Ranks are running counts within pieces of the values' order, after the counts of the
+    pieces before, so no task sorts all values of a pair.
+    """
+    counts = runs.groupBy(group, value).agg(F.count("*").alias("n")).withColumn("_piece", _pieces(runs, value))
     names = runs.select(group).distinct()
     pairs = names.select(F.col(group).alias("a")).join(names.select(F.col(group).alias("b")), F.col("a") < F.col("b"))
-    both = pairs.join(F.broadcast(runs.groupBy(group, value).agg(F.count("*").alias("n"))), (F.col(group) == F.col("a")) | (F.col(group) == F.col("b")))
-    per = both.groupBy("a", "b", value).agg(F.sum(F.when(F.col(group) == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("t"))
-    before = Window.partitionBy("a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    sides = pairs.select("a", "b", F.col("a").alias(group), F.lit(1).alias("_first")).unionByName(pairs.select("a", "b", F.col("b").alias(group), F.lit(0).alias("_first")))
+    per = counts.join(sides, group).groupBy("a", "b", "_piece", value).agg(F.sum(F.col("n") * F.col("_first")).alias("na"), F.sum("n").alias("t"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = per.groupBy("a", "b", "_piece").agg(F.sum("t").alias("_t"))
+    pieces = pieces.select("a", "b", "_piece", F.coalesce(F.sum("_t").over(upto(Window.partitionBy("a", "b").orderBy("_piece"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("t").over(upto(Window.partitionBy("a", "b", "_piece").orderBy(value))), F.lit(0))
+    ranked = per.withColumn("_inside", inside).join(pieces, ["a", "b", "_piece"]).withColumn("rank", F.col("_before") + F.col("_inside") + (F.col("t") + 1) / 2)
     s = ranked.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("rank")).alias("ra"), F.sum("na").alias("n1"), F.sum(F.col("t") - F.col("na")).alias("n2"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("ra") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = (F.abs(u - n1 * n2 / 2) - 0.5) / sd
-    return _with(s.select("a", "b", u.alias("u"), (2 * u / (n1 * n2) - 1).alias("rank_biserial"), F.greatest(z, F.lit(0.0)).alias("z")), {"p": (("z",), dist.normal_two_sided)})
+    out = s.select("a", "b", u.alias("u"), (2 * u / (n1 * n2) - 1).alias("rank_biserial"), F.greatest(z, F.lit(0.0)).alias("z"), n1.alias("_n1"), n2.alias("_n2"), F.col("ties").alias("_ties"))
+    return _with(out, {"p": (("u", "z", "_n1", "_n2", "_ties"), dist.mann_whitney_two_sided)}).drop("_n1", "_n2", "_ties")
 
 
 def between_map(cells: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:

@@ -884,6 +884,26 @@ def x9_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.withColumn("u", F.round("u", 4)))
 
 
+RANK_WAYS = """
+    size AS (SELECT max(n1 + n2)::INT AS most FROM s WHERE least(n1, n2) <= 8),
+    ways AS (SELECT 0 AS n, 0 AS m, 0 AS ranks, 1::DOUBLE AS c UNION ALL
+      SELECT n, m, ranks, sum(c) AS c FROM (SELECT w.n + 1 AS n, w.m + t AS m, w.ranks + t * (w.n + 1) AS ranks, c FROM ways w, (VALUES (0), (1)) v(t) WHERE w.n < (SELECT most FROM size) AND w.m + t <= 8) GROUP BY n, m, ranks)"""
+
+
+@query(
+    ", r AS (SELECT s_nationkey AS g, s_acctbal AS v FROM supplier), n AS (SELECT DISTINCT g FROM r), p AS (SELECT x.g AS a, y.g AS b FROM n x JOIN n y ON x.g < y.g), k AS (SELECT a, b, g, v, rank() OVER w + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2 AS k FROM p JOIN r ON g IN (a, b) WINDOW w AS (PARTITION BY a, b ORDER BY v)),"
+    " ti AS (SELECT a, b, sum(pow(t, 3) - t) AS ties FROM (SELECT a, b, count(*)::DOUBLE AS t FROM k GROUP BY a, b, v) GROUP BY a, b), s AS (SELECT a, b, sum(k) FILTER (g = a) - count(*) FILTER (g = a) * (count(*) FILTER (g = a) + 1) / 2 AS u, (count(*) FILTER (g = a))::DOUBLE AS n1, (count(*) FILTER (g = b))::DOUBLE AS n2 FROM k GROUP BY a, b),"
+    " z AS (SELECT s.*, ties, greatest((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM s JOIN ti USING (a, b)),"
+    f"{RANK_WAYS}, law AS (SELECT n, m, ranks - m * (m + 1) / 2 AS u, sum(c) OVER (PARTITION BY n, m ORDER BY ranks) / sum(c) OVER (PARTITION BY n, m) AS upto FROM ways),"
+    " e AS (SELECT a, b, upto FROM z JOIN law ON ties = 0 AND least(n1, n2) <= 8 AND law.n = n1 + n2 AND law.m = least(n1, n2) AND law.u = least(z.u, n1 * n2 - z.u))"
+    f" SELECT a, b, round(u, 4) AS u, round(coalesce(least(2 * upto, 1), 1 - 2 * {simpson_sql(N_PDF, 'least(z, 12)', 400)}), 6) AS p FROM z LEFT JOIN e USING (a, b)"
+)
+def x9_exact_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small groups, whose U has an exact law: suppliers' balances by nation."""
+    m = outcomes.mann_whitney(fx.table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal"), "s_nationkey", "s_acctbal")
+    return rounded(m.select("a", "b", F.round("u", 4).alias("u"), "p"))
+
+
 @query(
     ", r AS (SELECT network, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS k FROM fx_runs), g AS (SELECT network, sum(k) AS r, count(*) AS n FROM r GROUP BY network), t AS (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM fx_runs GROUP BY value)), s AS (SELECT sum(r * r / n) AS q, sum(n)::DOUBLE AS n, (count(*) - 1)::DOUBLE AS df FROM g),"
     " x AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)) AS h, df FROM s, t)"

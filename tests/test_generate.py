@@ -187,7 +187,7 @@ def test_a_pass_keeps_every_quota(spark, share):
     for a, b, target in targets:
         n = sum({a, b} <= {group[k] for k in home if home[k] == c} for c in set(home.values()))
         quotas = [v for (x, y, _), v in taken.items() if (x, y) == (a, b)]
-        assert 0 < sum(quotas) <= target and max(quotas) <= max(-(-target * share // n), 1)
+        assert 0 < sum(quotas) <= -(-target * share // 1) and max(quotas) <= max(-(-target * share // n), 1)
 
 
 def test_strips_number_every_attempt_once(spark, monkeypatch):
