@@ -659,7 +659,7 @@ def s2_13_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = lambda c: e.join(c, "config").groupBy("config").agg(F.round(F.sum("value"), 4).alias("total"))
     resume.append_results(run(configs.where("config < 2")), path, ["config"])
     resume.run_in_batches(configs, path, ["config"], run, 2)
-    return spark.read.parquet(path)
+    return resume.read_results(spark, path)
 
 
 # --- wider tables -----------------------------------------------------------------
@@ -784,7 +784,7 @@ def k7_append_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "edges")
     e = stored(models.stochastic_blocks(*_blocks(spark, sf_dir)), "pairs")
     sinks.append_edges((e.where(F.pmod(F.xxhash64("u", "v"), F.lit(3)) == b) for b in range(3)), path)
-    return spark.read.option("header", True).schema("source long, target long").csv(path)
+    return sinks.read_edges(spark, path)
 
 
 @query(f"{_bfs_sql(12, '(SELECT 7 AS node_id)')}, kept AS (SELECT node_id FROM d12 ORDER BY distance, node_id LIMIT 60) SELECT node_id, seg, reg FROM fx_nodes WHERE node_id IN (SELECT node_id FROM kept)")

@@ -1,10 +1,11 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from popweave.operators.outcomes import parse_runs
-from popweave.sources import sinks, tables
+from popweave.sources import batches, sinks, tables
 from popweave.streaming import resume
 
 
@@ -65,3 +66,62 @@ def test_exports(spark, tmp_path):
     sinks.write_matrix_market(edges, 3, f"{tmp_path}/m")
     assert {r.value for r in spark.read.text(f"{tmp_path}/e").collect()} == {"0 1", "1 2"}
     assert spark.read.text(f"{tmp_path}/m/header").count() == 2
+
+
+def test_two_writers_leave_each_configuration_once(spark, tmp_path, monkeypatch):
+    """A second worker publishes while the first one's batch is staged; overlapping, not equal."""
+    path = f"file://{tmp_path}/sweep"
+    rows = lambda a, b, who: spark.range(a, b).select(F.col("id").alias("config"), F.lit(who).alias("who"), F.explode(F.array(F.lit(1), F.lit(2))).alias("part"))
+    publish, once = batches.publish, iter([True])
+
+    def beaten(*args):
+        if next(once, False):
+            monkeypatch.setattr(batches, "publish", publish)
+            assert resume.append_results(rows(3, 9, "second"), path, ["config"]) == 1
+        return publish(*args)
+
+    monkeypatch.setattr(batches, "publish", beaten)
+    assert resume.append_results(rows(0, 6, "first"), path, ["config"]) == 2
+    got = resume.read_results(spark, path)
+    assert sorted((r.config, r.who, r.part) for r in got.collect()) == [(c, "first" if c < 3 else "second", p) for c in range(9) for p in (1, 2)]
+    assert got.columns == ["config", "who", "part"]
+    # Replayed, nothing is added; nothing staged is left.
+    assert resume.append_results(rows(0, 6, "again"), path, ["config"]) == 0
+    assert sorted(x.name for x in (tmp_path / "sweep").iterdir()) == ["_batch=00000001", "_batch=00000002"]
+
+
+def test_writers_at_once(spark, tmp_path):
+    path = f"file://{tmp_path}/sweep"
+    work = lambda k: resume.append_results(spark.range(k, k + 6).toDF("config").withColumn("who", F.lit(k)), path, ["config"])
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(work, [0, 2, 4, 0]))
+    assert sorted(r.config for r in resume.read_results(spark, path).collect()) == list(range(10))
+    assert sorted(n for n in numbers if n) == list(range(1, len([n for n in numbers if n]) + 1))
+
+
+def test_failed_batch_leaves_the_table_as_it_was(spark, tmp_path):
+    path = f"file://{tmp_path}/sweep"
+    resume.append_results(spark.range(3).toDF("config"), path, ["config"])
+    broken = spark.range(2, 5).select(F.when(F.col("id") > 3, F.raise_error("no")).otherwise(F.col("id")).cast("long").alias("config"))
+    with pytest.raises(Exception, match="no"):
+        resume.append_results(broken, path, ["config"])
+    assert resume.read_results(spark, path).count() == 3 and len(list((tmp_path / "sweep").iterdir())) == 1
+
+
+def test_edge_batches_go_on_after_an_interruption(spark, tmp_path):
+    path = f"file://{tmp_path}/edges"
+    made = []
+
+    def parts(fail=None):
+        for i in range(3):
+            if i == fail:
+                raise RuntimeError("lost")
+            made.append(i)
+            yield spark.range(5).select((F.col("id") + 10 * i).alias("u"), F.lit(i).cast("long").alias("v"))
+
+    with pytest.raises(RuntimeError):
+        sinks.append_edges(parts(fail=2), path)
+    for _ in range(2):
+        assert sinks.append_edges(parts(), path, resume=True) == 3
+        assert sorted(r.source for r in sinks.read_edges(spark, path).collect()) == [10 * i + k for i in range(3) for k in range(5)]
+    assert sinks.append_edges(parts(), path) == 3 and sinks.read_edges(spark, path).count() == 15
