@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions import distributions as dist
 from popweave.functions.rng import four_uniforms, pick
+from popweave.operators.sampling import cuts, piece, sums_before
 
 
 def parse_runs(text: str) -> Column:
@@ -218,12 +219,6 @@ def pairwise_t(runs: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("p_bonferroni", F.least(F.col("p") * F.count("*").over(Window.partitionBy()), F.lit(1.0)))
 
 
-def _pieces(rows: DataFrame, value: str, n: int = 256) -> Column:
-    """The piece of the values' order that a row is in: ``n`` about equal ones, cut at stated numbers."""
-    cuts = sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], 0.001)))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(value).cast("double")))
-
-
 def mann_whitney(runs: DataFrame, group: str, value: str) -> DataFrame:
     """Every pair of groups: U of the first, rank-biserial correlation, z by the normal
     approximation with ties and continuity corrected, and p: exact where one group has at
@@ -232,16 +227,12 @@ def mann_whitney(runs: DataFrame, group: str, value: str) -> DataFrame:
     Ranks are running counts within pieces of the values' order, after the counts of the
     pieces before, so no task sorts all values of a pair.
     """
-    counts = runs.groupBy(group, value).agg(F.count("*").alias("n")).withColumn("_piece", _pieces(runs, value))
+    counts = runs.groupBy(group, value).agg(F.count("*").alias("n")).withColumn("_piece", piece(value, cuts(runs, value)))
     names = runs.select(group).distinct()
     pairs = names.select(F.col(group).alias("a")).join(names.select(F.col(group).alias("b")), F.col("a") < F.col("b"))
     sides = pairs.select("a", "b", F.col("a").alias(group), F.lit(1).alias("_first")).unionByName(pairs.select("a", "b", F.col("b").alias(group), F.lit(0).alias("_first")))
     per = counts.join(sides, group).groupBy("a", "b", "_piece", value).agg(F.sum(F.col("n") * F.col("_first")).alias("na"), F.sum("n").alias("t"))
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = per.groupBy("a", "b", "_piece").agg(F.sum("t").alias("_t"))
-    pieces = pieces.select("a", "b", "_piece", F.coalesce(F.sum("_t").over(upto(Window.partitionBy("a", "b").orderBy("_piece"))), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("t").over(upto(Window.partitionBy("a", "b", "_piece").orderBy(value))), F.lit(0))
-    ranked = per.withColumn("_inside", inside).join(pieces, ["a", "b", "_piece"]).withColumn("rank", F.col("_before") + F.col("_inside") + (F.col("t") + 1) / 2)
+    ranked = sums_before(per, ["a", "b"], [value], "t", "rank").withColumn("rank", F.col("rank") + (F.col("t") + 1) / 2)
     s = ranked.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("rank")).alias("ra"), F.sum("na").alias("n1"), F.sum(F.col("t") - F.col("na")).alias("n2"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -296,12 +287,12 @@ def ward_linkage(cells: DataFrame, by: Sequence[str], group: str, value: str) ->
 def kruskal(runs: DataFrame, group: str, value: str) -> DataFrame:
     """One row: H with ties corrected, its degrees of freedom and p.
 
-    Values are counted first, so only distinct values are ranked.
+    Values are counted first, so only distinct values are ranked, in pieces of their order.
     """
     per = runs.groupBy(value, group).agg(F.count("*").alias("n"))
     t = per.groupBy(value).agg(F.sum("n").alias("t"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rank = t.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    rank = sums_before(t.withColumn("_piece", piece(value, cuts(runs, value))), [], [value], "t", "rank")
+    rank = rank.select(value, (F.col("rank") + (F.col("t") + 1) / 2).alias("rank"))
     g = per.join(rank, value).groupBy(group).agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n"))
     s = g.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.sum("n").cast("double").alias("n"), (F.count("*") - 1).cast("double").alias("df"))
     ties = t.agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))

@@ -66,3 +66,29 @@ def drawn(rows: DataFrame, ranged: DataFrame, by: Sequence[str], u: Column) -> D
     r = rows.join(totals, list(by)).withColumn("_x", F.floor(u * F.col("total"))).withColumn("_bucket", F.expr("_x div _width"))
     found = r.drop("total", "_width").join(ranged, [*by, "_bucket"]).where("_x >= low AND _x < high")
     return found.drop("_x", "_bucket", "_width", "low", "high", "total")
+
+
+#: Pieces of a table's order that running sums are taken in.
+PIECES = 256
+
+
+def cuts(rows: DataFrame, value: str) -> list[float]:
+    """Numbers that cut the values' order into about equal pieces, PIECES at most."""
+    return sorted(set(rows.approxQuantile(value, [i / PIECES for i in range(1, PIECES)], 0.001)))
+
+
+def piece(value: str, at: Sequence[float]) -> Column:
+    """How many of the cuts lie below a value: that piece reaches up to the next cut and includes it."""
+    return F.size(F.filter(F.array(*map(F.lit, at)).cast("array<double>"), lambda c: c < F.col(value).cast("double")))
+
+
+def sums_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: str, out: str, in_piece: str = "_piece") -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over the rows of a group that come before in ``order``.
+
+    ``in_piece`` numbers pieces of that order, which are summed first, so that no task sorts a whole group."""
+    upto = lambda by_, to: Window.partitionBy(*by_).orderBy(*to).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    whole = rows.groupBy(*by, in_piece).agg(F.sum(n).alias("_all"))
+    whole = whole.select(*by, in_piece, F.coalesce(F.sum("_all").over(upto(by, [in_piece])), none).alias("_earlier"))
+    inside = F.coalesce(F.sum(n).over(upto([*by, in_piece], order)), none)
+    return rows.withColumn("_inside", inside).join(whole, [*by, in_piece]).withColumn(out, F.col("_earlier") + F.col("_inside")).drop("_earlier", "_inside")

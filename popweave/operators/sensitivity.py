@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popweave.functions.rng import uniform
+from popweave.operators.sampling import PIECES, cuts, piece, sums_before
+from popweave.sources.scratch import scoped, stored
 
 
 def one_at_a_time(spark: SparkSession, baseline: dict[str, float], ranges: dict[str, Sequence[float]]) -> DataFrame:
@@ -59,18 +61,31 @@ def latin_hypercube(samples: DataFrame, bounds: dict[str, tuple[float, float]],
     return out
 
 
+@scoped
 def pawn(samples: DataFrame, x: str, y: str, slices: int = 10) -> DataFrame:
     """One row: median, mean and largest distance between the output's
     distribution and its distribution within equal slices of ``x``."""
-    tile = F.ntile(slices).over(Window.orderBy(x, y))
-    s = samples.select(y, tile.alias("slice"))
-    all_ = s.groupBy(y).agg(F.count("*").alias("n"))
-    upto = Window.orderBy(y).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = all_.withColumn("cdf", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).drop("n")
-    grid = whole.crossJoin(F.broadcast(s.select("slice").distinct())).join(s.groupBy("slice", y).agg(F.count("*").alias("n")), ["slice", y], "left")
-    inside = Window.partitionBy("slice")
-    c = F.coalesce(F.sum("n").over(inside.orderBy(y).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) / F.sum("n").over(inside)
-    ks = grid.withColumn("d", F.abs(c - F.col("cdf"))).groupBy("slice").agg(F.max("d").alias("ks"))
+    at_x, at_y = cuts(samples, x), cuts(samples, y)
+    # Many samples of one x make a piece that goes on in pieces of y: such an x is a cut itself.
+    tied = F.get(F.array(*map(F.lit, at_x)).cast("array<double>"), piece(x, at_x)) == F.col(x)
+    place = piece(x, at_x) * 2 * PIECES + F.when(tied, PIECES + piece(y, at_y)).otherwise(0)
+    c = samples.groupBy(x, y).agg(F.count("*").alias("n")).withColumn("_piece", place)
+    c = sums_before(c, [], [x, y], "n", "_from").crossJoin(samples.agg(F.count("*").alias("_all")))
+    # The first slices have one sample more where the number doesn't divide; equal samples may be cut.
+    small, large = F.expr(f"_all div {slices}"), F.col("_all") % slices
+    first = lambda i: i * small + F.least(i.cast("long"), large)
+    c = c.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    part = F.least(F.col("_from") + F.col("n"), first(F.col("slice") + 1)) - F.greatest(F.col("_from"), first(F.col("slice")))
+    c = c.withColumn("n", part).where("n > 0")
+    s = stored(c.groupBy("slice", y).agg(F.sum("n").alias("n")).withColumn("_piece", piece(y, at_y)), "slices")
+    # All values in every slice, and as slice -1 those of all samples.
+    every = s.groupBy(y, "_piece").agg(F.sum("n").alias("n")).withColumn("slice", F.lit(-1))
+    counts = every.unionByName(s).groupBy("slice").agg(F.sum("n").alias("_all"))
+    grid = every.select(y, "_piece").join(F.broadcast(counts)).join(s.unionByName(every).select("slice", y, "n"), ["slice", y], "left").na.fill(0, ["n"])
+    grid = sums_before(grid, ["slice"], [y], "n", "_from").withColumn("cdf", (F.col("_from") + F.col("n")) / F.col("_all"))
+    whole = grid.where("slice = -1").select(y, F.col("cdf").alias("whole"))
+    grid = grid.where("slice >= 0").join(whole, y)
+    ks = grid.withColumn("d", F.abs(F.col("cdf") - F.col("whole"))).groupBy("slice").agg(F.max("d").alias("ks"))
     return ks.agg(F.percentile("ks", F.lit(0.5)).alias("pawn_median"), F.avg("ks").alias("pawn_mean"), F.max("ks").alias("pawn_max"))
 
 

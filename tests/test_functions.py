@@ -1,11 +1,13 @@
 import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from popweave.functions import distributions as d
 from popweave.functions.rng import normal, uniform
-from popweave.operators import outcomes
+from popweave.operators import outcomes, sensitivity
+from popweave.operators.sampling import cuts, piece, sums_before
 
 
 def test_tails_against_known_values():
@@ -48,3 +50,20 @@ def test_mann_whitney_with_ties_nulls_and_small_groups(spark):
         assert math.isclose(r.p, d.mann_whitney_exact(u, 3, 6) if (x, y) == ("a", "c") else d.normal_two_sided(r.z))
     assert outcomes.mann_whitney(runs.where("g = 'a'"), "g", "v").count() == 0
     assert outcomes.mann_whitney(runs.where("v > 99"), "g", "v").count() == 0
+
+
+def test_slices_and_ranks_with_many_ties(spark):
+    """Against numpy: a third of the samples have one x, and values repeat."""
+    r = np.random.default_rng(4)
+    x = np.where(r.random(997) < 0.34, 0.5, r.random(997)).round(2)
+    y = (x + r.normal(0, 0.3, 997)).round(2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    order = np.lexsort((y, x))
+    grid = np.unique(y)
+    cdf = lambda v: np.searchsorted(np.sort(v), grid, side="right") / len(v)
+    ks = [abs(cdf(y[part]) - cdf(y)).max() for part in np.array_split(order, 7)]
+    got = sensitivity.pawn(df, "x", "y", 7).first()
+    assert np.allclose([got.pawn_median, got.pawn_mean, got.pawn_max], [np.median(ks), np.mean(ks), max(ks)])
+    counts = df.groupBy("y").agg(F.count("*").alias("n"), F.sum("x").alias("x")).withColumn("_piece", piece("y", cuts(df, "y")))
+    before = {row.y: row.before for row in sums_before(counts, [], ["y"], "n", "before").collect()}
+    assert before == {float(v): int((y < v).sum()) for v in grid}
