@@ -56,6 +56,19 @@ def test_gaps_are_those_of_the_twin_at_small_chances(spark):
     assert tiny.select(models.geometric(F.col("u"), F.col("p")).alias("gap")).first().gap == pytest.approx(math.log(2) * 1e18, rel=1e-9)
 
 
+def test_block_models_deal_strips_before_edges_are_made(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK", 50)
+    nodes = spark.range(90).select(F.col("id").alias("node_id"), F.pmod("id", F.lit(3)).alias("block"))
+    p = spark.createDataFrame([(i, j, 0.2) for i in range(3) for j in range(i, 3)], "i int, j int, p double")
+    e = models.stochastic_blocks(nodes, p)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(sequence(1,") < plan.index("Exchange hashpartitioning(i#")
+    assert "SortMergeJoin" not in plan
+    both = models.symmetric(e)
+    assert both._jdf.queryExecution().executedPlan().toString().count("explode(sequence(1,") == 1
+    assert {(r.src, r.dst) for r in both.collect()} == {x for u, v in pairs(e) for x in ((u, v), (v, u))}
+
+
 def test_homophily_graph_meets_its_quotas(spark):
     nodes = spark.range(60).select(F.col("id").alias("node_id"), F.floor(F.col("id") / 20).alias("block"))
     e = pairs(models.homophily_graph(nodes, 300, 0.8))
