@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popweave.functions import distributions as dist
-from popweave.functions.rng import four_uniforms, pick
+from popweave.functions.rng import digest, pick, quarter
 from popweave.operators.sampling import cuts, piece, sums_before
+from popweave.sources.scratch import scoped, stored
 
 
 def parse_runs(text: str) -> Column:
@@ -156,21 +158,35 @@ def equal_width_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(b, F.lit(bins)).cast("int")).drop("_lo", "_hi")
 
 
+@scoped
 def bootstrap_variance(runs: DataFrame, by: Sequence[str], index: str, value: str, samples: int = 200, seed: int = 42) -> DataFrame:
     """2.5 and 97.5 percentiles of the sample variance over resamples.
 
     ``index`` numbers the runs of a cell from 0. A draw is a counter-based index,
-    joined back to its run.
+    joined back to its run. Resamples are dealt to tasks of about DRAWS draws before any
+    is drawn, each whole to one; up to MOST_SENT runs are sent to all tasks, so draws aren't shuffled.
     """
-    n = runs.groupBy(*by).agg(F.count("*").alias("_n"))
-    blocks = n.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_b")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / 4))).alias("_q"))
+    sizes = runs.groupBy(*by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stored(sizes.withColumn("_first", before), "sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    values = runs.join(F.broadcast(sizes.select(*by, "_first")), list(by)).select((F.col("_first") + F.col(index)).alias("_at"), F.col(value).alias("_value"))
+    tasks = min(max(math.ceil(total * samples / DRAWS), 1), 1 << 15)
+    each = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_b")).repartition(tasks, *by, "_b")
+    blocks = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / 4))).alias("_q"))
     # One digest gives four draws of 32 bits.
-    u = F.transform(four_uniforms(seed, "boot", *by, "_b", "_q"), lambda x: pick(x, F.col("_n")))
-    drawn = blocks.select(*by, "_n", "_b", "_q", F.posexplode(u).alias("_j", index)).where(F.col("_q") * 4 + F.col("_j") < F.col("_n"))
-    v = drawn.join(runs, [*by, index]).groupBy(*by, "_b").agg(F.var_samp(value).alias("_v"))
+    quarters = blocks.select(*by, "_n", "_first", "_b", "_q", digest(seed, "boot", *by, "_b", "_q").alias("_h")).withColumn("_j", F.explode(F.array(*map(F.lit, range(4)))))
+    drawn = quarters.where(F.col("_q") * 4 + F.col("_j") < F.col("_n")).withColumn("_i", pick(quarter(F.col("_h"), F.col("_j")), F.col("_n")))
+    drawn = drawn.select(*by, "_b", (F.col("_first") + F.col("_i")).alias("_at"))
+    v = drawn.join(F.broadcast(values) if total <= MOST_SENT else values, "_at").groupBy(*by, "_b").agg(F.var_samp("_value").alias("_v"))
     return v.groupBy(*by).agg(F.percentile("_v", F.lit(0.025)).alias("low"), F.percentile("_v", F.lit(0.975)).alias("high"))
 
 
+#: Draws of a task, and the runs (a long and a double each) that are sent to all tasks;
+#: more are joined as the planner has it.
+DRAWS, MOST_SENT = 1 << 22, 8_000_000
+
+
 def kernel_density(rows: DataFrame, value: str, points: DataFrame, bandwidth: float) -> DataFrame:
     """(x, density) at the stated points: values are counted first, so the join is points times distinct values."""
     counts = rows.groupBy(value).agg(F.count("*").alias("_n"))

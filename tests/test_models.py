@@ -69,6 +69,18 @@ def test_block_models_deal_strips_before_edges_are_made(spark, monkeypatch):
     assert {(r.src, r.dst) for r in both.collect()} == {x for u, v in pairs(e) for x in ((u, v), (v, u))}
 
 
+def test_bootstrap_deals_resamples_before_they_are_drawn(spark, monkeypatch):
+    runs = spark.range(90).select(F.pmod("id", F.lit(3)).alias("g"), F.floor(F.col("id") / 3).alias("i"), (F.col("id") * F.col("id") % 17).cast("double").alias("v"))
+    monkeypatch.setattr(outcomes, "DRAWS", 100)
+    make = lambda: outcomes.bootstrap_variance(runs, ["g"], "i", "v", 20)
+    sent = make()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode([0,1,2,3])") < plan.index("REPARTITION_BY_NUM") and "SortMergeJoin" not in plan
+    monkeypatch.setattr(outcomes, "MOST_SENT", 0)
+    found, joined = ({r.g: (r.low, r.high) for r in x.collect()} for x in (sent, make()))
+    assert set(found) == {0, 1, 2} and all(found[g] == pytest.approx(joined[g]) for g in found)
+
+
 def test_homophily_graph_meets_its_quotas(spark):
     nodes = spark.range(60).select(F.col("id").alias("node_id"), F.floor(F.col("id") / 20).alias("block"))
     e = pairs(models.homophily_graph(nodes, 300, 0.8))
