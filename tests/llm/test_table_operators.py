@@ -195,6 +195,18 @@ def test_texts_whose_hashes_collide(spark, monkeypatch):
     assert removal(d) == brute_removal(rows)
 
 
+def test_exchanges_in_passes_store_no_text(spark, monkeypatch):
+    """Several passes remove the same, and no table that they store has a text."""
+    kept = []
+    store = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, tag: kept.append((tag, df.columns)) or store(df, tag))
+    monkeypatch.setattr(suffix_dedup, "IN_PASSES", 0)
+    rows = [(i, fx.prose(70 + i % 7, 30) + " " + fx.prose(1000 + i // 2, 9)) for i in range(40)] + [(99, None), (None, fx.prose(72, 30))]
+    assert removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_removal(rows)
+    assert [tag for tag, _ in kept].count("cuts") == suffix_dedup.PASSES
+    assert not any("text" in columns for _, columns in kept)
+
+
 def test_hot_anchors_are_judged_by_window(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     line = fx.prose(75, 20)
