@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from popweave.operators import communities as com
 from popweave.operators import metrics
@@ -118,3 +119,16 @@ def test_distances_run_to_the_end_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long")
     source = spark.createDataFrame([(0,)], "node_id long")
     assert metrics.average_path_length(edges, source).first() == (35.5, 70)
+
+
+def test_a_round_keeps_sources_as_bits(spark, monkeypatch):
+    """130 sources of a ring, three words: a round's table has a row a node and word, not a source."""
+    rows = []
+    store = metrics.stored
+    monkeypatch.setattr(metrics, "stored", lambda df, tag: rows.append((tag, (out := store(df, tag)).count())) or out)
+    ring = spark.createDataFrame([(i, (i + s) % 130) for i in range(130) for s in (1, 7)], "src long, dst long")
+    every = spark.range(130).select(F.col("id").alias("node_id"))
+    found = metrics.distances(ring, every.union(every))
+    assert found.count() == 130 * 130 == found.select("source", "node_id").distinct().count()
+    assert {r.distance for r in found.where("(node_id - source + 130) % 130 = 20").collect()} == {8}
+    assert max(n for tag, n in rows if tag == "front") <= 3 * 130
