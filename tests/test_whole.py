@@ -132,3 +132,36 @@ def test_a_round_keeps_sources_as_bits(spark, monkeypatch):
     assert found.count() == 130 * 130 == found.select("source", "node_id").distinct().count()
     assert {r.distance for r in found.where("(node_id - source + 130) % 130 = 20").collect()} == {8}
     assert max(n for tag, n in rows if tag == "front") <= 3 * 130
+
+
+def test_label_propagation_leaves_settled_parts_alone(spark, monkeypatch):
+    """Once few labels move, only nodes beside them are asked again: a path goes on while cliques have settled."""
+    cliques = [(100 + 5 * c + i, 100 + 5 * c + j) for c in range(80) for i in range(5) for j in range(i)]
+    links = cliques + [(i, i + 1) for i in range(30)] + [(30, 0)]
+    seen, store = [], metrics.stored
+
+    def stored(df, tag):
+        out = store(df, tag)
+        if tag == "touched":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(metrics, "stored", stored)
+    nodes = sorted({v for p in links for v in p})
+    found = metrics.label_propagation(spark.createDataFrame([(n,) for n in nodes], "node_id long"), spark.createDataFrame(links, "src long, dst long"))
+    got = {r.node_id: r.community for r in found.collect()}
+    near = {v: [v] for v in nodes}
+    for a, b in links:
+        near[a].append(b), near[b].append(a)
+    label, was = {v: v for v in nodes}, None
+    while True:
+        new = {}
+        for v in nodes:
+            told = [label[x] for x in near[v]]
+            new[v] = min(told, key=lambda c: (-told.count(c), c))
+        if new in (label, was):
+            label = new
+            break
+        label, was = new, label
+    assert got == label
+    assert seen and max(seen) <= 31
