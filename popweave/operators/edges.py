@@ -13,15 +13,16 @@ and follow accepted edges only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from popweave.functions.rng import pick, uniform
+from popweave.functions.rng import digits, pick, uniform
 from popweave.operators.communities import coordinates
-from popweave.operators.sampling import drawn, numbered, ranges, smallest
+from popweave.operators.sampling import drawn, numbered, ranges, smallest_share
 from popweave.sources.scratch import scoped, stored
 
 EDGE = ("src", "dst", "src_group", "dst_group", "mechanism", "phase", "round")
@@ -84,7 +85,8 @@ class Grown:
     def settle(self) -> None:
         self.need = stored(self.need, "need")
         if len(self.parts) > 8:
-            self.parts = [stored(self.edges, "edges")]
+            # The edges that were there before stay as they are: they can be most of all.
+            self.parts = [self.parts[0], stored(reduce(DataFrame.unionByName, self.parts[1:]), "edges")]
 
 
 def begin(w: World, edges: DataFrame) -> Grown:
@@ -372,7 +374,7 @@ def grow(
             if phase == "fill":
                 # A pair leaves the stage when a round adds nothing to it.
                 asking = asking.join(new.select("src_group", "dst_group").distinct(), ["src_group", "dst_group"], "left_semi")
-    return stored(g.edges, "edges")
+    return g.edges
 
 
 #: Stages that fill pairs under their target: communities that both groups share, then whole groups.
@@ -399,18 +401,34 @@ def pre_seeded(w: World, edges: DataFrame) -> DataFrame:
     """Given edges (src, dst) with their groups, counted towards the targets."""
     side = lambda end: w.members.select(F.col("node_id").alias(end), F.col("group_id").alias(f"{end}_group"))
     e = edges.select("src", "dst").where("src <> dst").distinct().join(side("src"), "src").join(side("dst"), "dst")
-    return tagged(e.withColumn("mechanism", F.lit("given")), "given", 0)
+    return given(e)
+
+
+#: Members of a community that one row of a strip is paired with.
+PAIR_STRIP = 512
 
 
 def complete_communities(assignment: DataFrame) -> DataFrame:
-    """Every ordered pair of different people of a community (src, dst).
+    """Every ordered pair of different people of a community (src, dst), with their src_group and
+    dst_group where the assignment has a group_id.
 
     This is what a layer of households is: its rows are the result, and grow
-    with the square of a community's size, so communities should be small.
+    with the square of a community's size, so communities should be small. Large ones
+    are dealt to all tasks by strips of their sources.
     """
-    a = assignment.select("community", F.col("node_id").alias("src"))
-    b = assignment.select("community", F.col("node_id").alias("dst"))
-    return a.join(b, "community").where("src <> dst").select("src", "dst")
+    group = [c for c in ("group_id",) if c in assignment.columns]
+    side = lambda end: assignment.select("community", F.col("node_id").alias(end), *(F.col(c).alias(f"{end}_group") for c in group))
+    strips = assignment.groupBy("community").agg(F.ceil(F.count("*") / PAIR_STRIP).alias("_n"))
+    tasks = int(assignment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = side("src").join(strips, "community").withColumn("_s", F.pmod(F.xxhash64("src"), F.col("_n"))).drop("_n")
+    b = side("dst").join(strips, "community").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    pairs = a.repartition(tasks, "community", "_s").join(b.repartition(tasks, "community", "_s"), ["community", "_s"]).where("src <> dst")
+    return pairs.select("src", "dst", *(f"{end}_group" for end in ("src", "dst") if group))
+
+
+def given(edges: DataFrame) -> DataFrame:
+    """Edges of a layer with their groups, as what the next layer has before it grows."""
+    return tagged(edges.withColumn("mechanism", F.lit("given")), "given", 0)
 
 
 def diagnostics(edges: DataFrame) -> DataFrame:
@@ -418,10 +436,10 @@ def diagnostics(edges: DataFrame) -> DataFrame:
     return edges.groupBy("phase", "mechanism").agg(F.count("*").alias("n_edges"), F.countDistinct("src_group", "dst_group").alias("n_pairs"))
 
 
-def sample_edges(edges: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """floor(fraction * E) edges with the smallest numbers."""
-    e = edges.select("src", "dst")
-    return smallest(e, uniform(seed, "sample", "src", "dst"), int(fraction * edges.count()), ["src", "dst"])
+def sample_edges(edges: DataFrame, fraction: float, seed: int = 42, also: Sequence[str] = ()) -> DataFrame:
+    """floor(fraction * E) edges with the smallest numbers (src, dst, and the columns ``also``)."""
+    e, n = edges.select("src", "dst", *also), edges.count()
+    return smallest_share(e, digits(seed, "sample", "src", "dst"), int(fraction * n), n, ["src", "dst"])
 
 
 def combine_layers(layers: dict[str, DataFrame]) -> DataFrame:
@@ -430,6 +448,27 @@ def combine_layers(layers: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("src", "dst").agg(F.sort_array(F.collect_set("layer")).alias("layers"))
 
 
+def nested_overlap(home: str, households: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """As :func:`layer_overlap` of ``home``, every pair of the ``households`` (node_id, community), and of the
+    ``layers`` that build on it, in their order: the first was given a part of home's edges, the second
+    all of the first's (phase "given"), the others nothing.
+
+    So only edges that a layer has made itself, none of which it was given, are looked up, those in
+    home by the households of their ends; no pair of home is made."""
+    side = lambda end: households.select(F.col("node_id").alias(end), F.col("community").alias(f"_{end}"))
+    names = list(layers)
+    own = [layers[name].where("phase <> 'given'").select("src", "dst") for name in names]
+    common: dict[tuple[str, str], list[DataFrame]] = {}
+    for i, name in enumerate(names):
+        inside = [own[i].join(side("src"), "src").join(side("dst"), "dst").where("_src = _dst")]
+        inside += [layers[name].where("phase = 'given'")] if i == 0 else common[home, names[0]] if i == 1 else []
+        common[home, name] = inside
+        for j, other in enumerate(names[:i]):
+            common[other, name] = [layers[other] if (j, i) == (0, 1) else own[i].join(layers[other], ["src", "dst"], "left_semi")]
+    n = [e.agg(F.count("*").alias("n")).select(F.lit(min(pair)).alias("a"), F.lit(max(pair)).alias("b"), "n") for pair, parts in common.items() for e in parts]
+    return reduce(DataFrame.unionByName, n).groupBy("a", "b").agg(F.sum("n").alias("n_common")).where("n_common > 0")
+
+
 def layer_overlap(combined: DataFrame) -> DataFrame:
     """(a, b, n_common): edges that each pair of layers shares."""
     x = combined.where(F.size("layers") > 1)

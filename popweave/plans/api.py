@@ -118,6 +118,7 @@ def generate(
     pa_scope: str = "local",
     base_path: str | None = None,
     seed: int = 42,
+    given: DataFrame | None = None,
 ) -> Network:
     """A directed graph whose group-pair counts meet scaled link targets.
 
@@ -125,8 +126,9 @@ def generate(
     before, the path of a community file (Parquet, or JSON if it ends so, as
     ``sinks.write_assignment`` makes both; people whom it leaves out are left
     out), or a number to deal people out. ``pa_scope`` says whether popularity
-    stays in a community. With ``base_path`` the graph is written there. Same
-    arguments and seed, same graph.
+    stays in a community. With ``base_path`` the graph is written there. ``given`` has edges
+    of another layer of the same people (different ones, with their groups), which are taken over
+    without being copied. Same arguments and seed, same graph.
     """
     g, nodes = people(pops, scale, pop_column)
     names = population.characteristics(pops, pop_column)
@@ -135,7 +137,7 @@ def generate(
         assignment = community_file(nodes, assignment)
     a = assignment if assignment is not None else create_communities(nodes, g, t, names, number_of_communities, refine_moves=refine_moves, seed=seed)
     w = ed.world(a, t, seed)
-    start = ed.no_edges(w)
+    start = ed.no_edges(w) if given is None else ed.given(given)
     if pre_seed_edges is not None:
         start = start.unionByName(ed.pre_seeded(w, pre_seed_edges))
     if fully_connect_communities:
@@ -145,7 +147,8 @@ def generate(
     schedule = [("A", "community", 3)] + ([("B", "ring", 3)] if w.communities > 1 else [])
     if fill_unfulfilled:
         schedule += ed.FILL
-    edges = ed.grow(w, stored(start, "edges"), schedule, preferential_attachment, reciprocity, closure, bridge_probability, pa_scope)
+    only_given = given is not None and pre_seed_edges is None and not fully_connect_communities
+    edges = ed.grow(w, start if only_given else stored(start, "edges"), schedule, preferential_attachment, reciprocity, closure, bridge_probability, pa_scope)
     made = Network(nodes.join(a.select("node_id", "community"), "node_id"), edges, g, t)
     if base_path is not None:
         made.write(base_path)
@@ -180,10 +183,16 @@ def generate_multiplex(pops: DataFrame, layers: dict[str, DataFrame], households
         before = list(out.values())[-1].edges if out else None
         if i == 0:
             t = group_targets(links, g, names, scale)
-            w = ed.world(small, t, seed)
-            edges = stored(ed.pre_seeded(w, ed.complete_communities(small)), "edges")
+            # Pairs follow from the households; they are made where they are read, and not stored.
+            edges = ed.given(ed.complete_communities(small))
             out[name] = Network(nodes.join(small.select("node_id", "community"), "node_id"), edges, g, t)
             continue
-        given = ed.sample_edges(before, kept_share, seed) if i == 1 else before if i == 2 else None
-        out[name] = generate(pops, links, scale=scale, assignment=large, pre_seed_edges=given, seed=seed + i, **options)
+        given = ed.sample_edges(before, kept_share, seed, ("src_group", "dst_group")) if i == 1 else before if i == 2 else None
+        out[name] = generate(pops, links, scale=scale, assignment=large, given=given, seed=seed + i, **options)
     return out
+
+
+def multiplex_overlap(layers: dict[str, Network]) -> DataFrame:
+    """(a, b, n_common): edges that each pair of layers of :func:`generate_multiplex` shares."""
+    home, *later = layers
+    return ed.nested_overlap(home, layers[home].nodes, {name: layers[name].edges for name in later})

@@ -241,7 +241,7 @@ def e11_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e14_multiplex(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = fx.links(spark, sf_dir)
     layers = api.generate_multiplex(fx.pop(spark, sf_dir), {"home": links, "family": links, "near": links}, households=60, larger=4, scale=0.1)
-    return ed.layer_overlap(ed.combine_layers({k: v.edges for k, v in layers.items()}))
+    return api.multiplex_overlap(layers)
 
 
 LAYERS = ", le AS (SELECT DISTINCT src, dst, o_orderpriority AS layer FROM (SELECT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderpriority FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1) WHERE src <> dst)"

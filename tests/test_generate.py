@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from popweave.operators import communities as com
 from popweave.operators import contagion, metrics, models
 from popweave.operators import edges as ed
-from popweave.operators.sampling import drawn, ranges
+from popweave.operators.sampling import drawn, ranges, smallest_share
 from popweave.operators.targets import fulfilment
 from popweave.plans import api
 
@@ -108,6 +108,35 @@ def test_multiplex_layers(spark, tables):
     assert kept.join(family, ["src", "dst"], "left_anti").count() == 0
 
 
+def test_overlap_of_nested_layers_makes_no_pair_of_the_first(spark, tables):
+    """Equal to the overlap of the layers' edges put together, also where a layer makes edges of its own."""
+    more = tables[1].withColumn("n", F.col("n") * 2)
+    links = {"home": tables[1], "family": tables[1], "near": more, "work": tables[1]}
+    out = api.generate_multiplex(tables[0], links, households=70, larger=3, scale=1.0)
+    assert out["near"].edges.where("phase <> 'given'").count() > 0
+    found = api.multiplex_overlap(out)
+    assert found.count() > 4
+    assert sorted(found.collect()) == sorted(ed.layer_overlap(ed.combine_layers({k: v.edges for k, v in out.items()})).collect())
+
+
+@pytest.mark.parametrize("total", [1, 10, 4000])
+def test_smallest_share_is_the_smallest(spark, total):
+    """With numbers that repeat, and where the cut lies far from its likely place."""
+    rows = spark.range(total).select("id", F.pmod(F.xxhash64("id"), F.lit(500)).alias("x")).withColumns({"even": F.lpad(F.hex(F.col("x") * 2**39), 12, "0"), "low": F.lpad(F.lower(F.hex("x")), 12, "0")})
+    rows = rows.withColumn("even", F.lower("even"))
+    ordered = [r.id for r in rows.orderBy("x", "id").collect()]
+    for n in {0, 1, total // 3, total}:
+        for digits in ("even", "low"):
+            assert sorted(r.id for r in smallest_share(rows, F.col(digits), n, total, ["id"]).collect()) == sorted(ordered[:n]), digits
+
+
+def test_large_communities_are_paired_by_strips(spark, monkeypatch):
+    monkeypatch.setattr(ed, "PAIR_STRIP", 4)
+    a = spark.range(30).select(F.col("id").alias("node_id"), (F.col("id") % 2).alias("group_id"), F.when(F.col("id") < 25, 0).otherwise(1).alias("community"))
+    got = [(r.src, r.dst) for r in ed.complete_communities(a).collect()]
+    assert sorted(got) == [(s, d) for s in range(30) for d in range(30) if s != d and (s < 25) == (d < 25)]
+
+
 def test_subgraph_errors(spark):
     nodes = spark.range(4).toDF("node_id")
     edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
