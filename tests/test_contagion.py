@@ -117,3 +117,17 @@ def test_only_the_last_state_is_left(spark):
     left = set(os.listdir(root)) - before
     read = {part for frame in (seeds, out) for f in frame.inputFiles() for part in f.split("/") if part.startswith("popweave-")}
     assert left == read & left and len(left) <= 2
+
+
+def test_configurations_are_bits_of_few_rows(spark):
+    """More configurations than a row keeps, each as if it were alone; state and messages have a row for 62."""
+    nodes, edges, links = graph(spark, seed=3)
+    n = 2 * contagion.WORD + 6
+    of = {c: {c % 20, (7 * c + 1) % 20} for c in range(5, 5 + 3 * n, 3)}
+    seeds = spark.createDataFrame([(c, v) for c, vs in of.items() for v in vs], "config long, node_id long")
+    levels = spark.createDataFrame([(c, 0.1 + 0.3 * (c % 4)) for c in of], "config long, threshold double")
+    out = contagion.threshold_contagion(edges, seeds, levels)
+    assert {(r["config"], r.node_id): r.step for r in out.collect()} == looped(links, of, lambda c, _: 0.1 + 0.3 * (c % 4))
+    run = contagion.Spreading.begin(seeds, contagion.looked_at(edges), [])
+    run.advance(run.told(), F.lit(False), 1)
+    assert run.state.count() <= 3 * nodes.count()
