@@ -131,3 +131,22 @@ def test_configurations_are_bits_of_few_rows(spark):
     run = contagion.Spreading.begin(seeds, contagion.looked_at(edges), [])
     run.advance(run.told(), F.lit(False), 1)
     assert run.state.count() <= 3 * nodes.count()
+
+
+def test_nodes_that_have_adopted_everywhere_are_taken_out(spark, monkeypatch):
+    monkeypatch.setattr(contagion, "PRUNED", 1)
+    pruned, prune = [], contagion.Spreading._prune
+
+    def counted(run):
+        before = run.state.count(), run.look.count()
+        prune(run)
+        pruned.append((before, (run.state.count(), run.look.count())))
+
+    monkeypatch.setattr(contagion.Spreading, "_prune", counted)
+    nodes, edges, links = graph(spark, seed=4)
+    of = {c: {c, 10 + c} for c in range(3)}
+    seeds = spark.createDataFrame([(c, v) for c, vs in of.items() for v in vs], "config long, node_id long")
+    levels = spark.createDataFrame([(c, 0.01 + 0.1 * c) for c in of], "config long, threshold double")
+    out = contagion.threshold_contagion(edges, seeds, levels)
+    assert {(r["config"], r.node_id): r.step for r in out.collect()} == looped(links, of, lambda c, _: 0.01 + 0.1 * c)
+    assert pruned and all(b[0] < a[0] and b[1] < a[1] for a, b in pruned)
