@@ -408,15 +408,15 @@ def pre_seeded(w: World, edges: DataFrame) -> DataFrame:
 PAIR_STRIP = 512
 
 
-def complete_communities(assignment: DataFrame) -> DataFrame:
+def complete_communities(assignment: DataFrame, groups: bool = False) -> DataFrame:
     """Every ordered pair of different people of a community (src, dst), with their src_group and
-    dst_group where the assignment has a group_id.
+    dst_group if ``groups`` are asked for.
 
     This is what a layer of households is: its rows are the result, and grow
     with the square of a community's size, so communities should be small. Large ones
     are dealt to all tasks by strips of their sources.
     """
-    group = [c for c in ("group_id",) if c in assignment.columns]
+    group = ["group_id"] if groups else []
     side = lambda end: assignment.select("community", F.col("node_id").alias(end), *(F.col(c).alias(f"{end}_group") for c in group))
     strips = assignment.groupBy("community").agg(F.ceil(F.count("*") / PAIR_STRIP).alias("_n"))
     tasks = int(assignment.sparkSession.conf.get("spark.sql.shuffle.partitions"))

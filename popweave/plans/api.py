@@ -184,7 +184,7 @@ def generate_multiplex(pops: DataFrame, layers: dict[str, DataFrame], households
         if i == 0:
             t = group_targets(links, g, names, scale)
             # Pairs follow from the households; they are made where they are read, and not stored.
-            edges = ed.given(ed.complete_communities(small))
+            edges = ed.given(ed.complete_communities(small, groups=True))
             out[name] = Network(nodes.join(small.select("node_id", "community"), "node_id"), edges, g, t)
             continue
         given = ed.sample_edges(before, kept_share, seed, ("src_group", "dst_group")) if i == 1 else before if i == 2 else None
